@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from heddle.llm.support import OUT_ROWS, load, rows_out
 
-MAX_POSITIVE = 6_000
-MAX_UNLABELLED = 12_000
+MAX_POSITIVE = 4_000
+MAX_UNLABELLED = 8_000
 #: Hashed features: 2 ** BITS.
 BITS = 18
 #: Word beginnings, in letters, that are features beside the word.
@@ -54,7 +54,7 @@ def text_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers, and how many distinct words have each."""
     found = [f for w in words(text) for f in word_features(w)]
     ids, n = np.unique(np.array(found, np.uint32), return_counts=True)
-    return ids, n.astype(np.float32)
+    return ids, np.minimum(n, 65_535).astype(np.uint16)
 
 
 class Linear:
@@ -89,15 +89,13 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     size = 1 << BITS
     if not positive or not unlabelled or prior <= 0:
         return Linear(np.zeros(size, np.float32), float(np.log(prior / (1 - prior))) if 0 < prior < 1 else (-50.0 if prior <= 0 else 50.0))
-    rows = [*positive, *unlabelled]
-    ids = np.concatenate([r[0] for r in rows]).astype(np.int64)
-    values = np.concatenate([r[1] for r in rows])
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     common = np.flatnonzero(_telling(positive, unlabelled, size, least))
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[common] = np.arange(len(common))
-    at = place[ids]
-    at, values, doc = at[at >= 0], values[at >= 0].astype(np.float64), doc[at >= 0]
+    rows = [(place[i][place[i] >= 0], c[place[i] >= 0]) for r in (positive, unlabelled) for i, c in r]
+    at = np.concatenate([r[0] for r in rows])
+    values = np.concatenate([r[1] for r in rows]).astype(np.float64)
+    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     p, n, w, b = len(positive), len(rows), np.zeros(len(common)), float(np.log(prior / (1 - prior)))
     is_p = np.arange(n) < p
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -124,7 +122,10 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
 
 def _telling(positive, unlabelled, size: int, least: int, z: float = 2.5) -> np.ndarray:
     """Features of at least `least` texts whose shares in P and U differ by z standard errors."""
-    a, u = (np.bincount(np.concatenate([r[0] for r in rows]).astype(np.int64), minlength=size) for rows in (positive, unlabelled))
+    a, u = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for n, rows in ((a, positive), (u, unlabelled)):
+        for ids, _ in rows:  # a text has each number once
+            n[ids] += 1
     q = (a + u) / (len(positive) + len(unlabelled))
     error = np.sqrt(np.maximum(q * (1 - q), 1e-12) * (1 / len(positive) + 1 / len(unlabelled)))
     return (np.abs(a / len(positive) - u / len(unlabelled)) >= z * error) & (a + u >= least)
@@ -167,9 +168,8 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column) -> Linear:
     take = lambda d, k, positive: d.orderBy("pick", "doc_id").limit(k).select("doc_id", F.lit(positive).alias("positive"))
     chosen = take(ids.where("toxic = 1"), MAX_POSITIVE, True).unionByName(take(ids, MAX_UNLABELLED, False))
     sample = docs.join(F.broadcast(chosen), "doc_id").select("positive", "text")  # at most MAX_POSITIVE + MAX_UNLABELLED ids
-    got = sample.mapInArrow(_features, "positive boolean, ids binary, counts binary").toArrow()
-    rows = sorted((p, i, c) for p, i, c in zip(*(got[x].to_pylist() for x in ("positive", "ids", "counts")), strict=True))
-    as_arrays = lambda positive: [(np.frombuffer(i, np.uint32), np.frombuffer(c, np.float32)) for p, i, c in rows if p == positive]
+    rows = sorted(map(tuple, sample.mapInArrow(_features, "positive boolean, ids binary, counts binary").toLocalIterator()))  # one partition at a time
+    as_arrays = lambda positive: [(np.frombuffer(i, np.uint32), np.frombuffer(c, np.uint16)) for p, i, c in rows if p == positive]
     return learn_model(as_arrays(True), as_arrays(False), prior)
 
 
