@@ -236,10 +236,20 @@ def fit(totals: DataFrame, lattice: Lattice, parts: int, rounds: int = ROUNDS) -
     return lattice
 
 
+def _discounted(c: np.ndarray, facts: dict, under: np.ndarray) -> np.ndarray:
+    """Natural log of the discounted estimate; under: that of the distribution for what the discount takes off."""
+    if not facts["n"]:
+        return under
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log(np.maximum(c - facts["d"], 0) / facts["n"]), under + math.log(facts["d"] * facts["v"] / facts["n"]))
+
+
 _ANSWER = pa.schema([("grp", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("log_p", pa.binary())])
 
 
-def _answer(shared):
+def _answer(shared, overall: dict, parts: list[dict]):
+    """Each group's words with their training counts and, for each component, natural log probabilities; facts as in _score."""
+
     def run(key, asked, totals):
         place: dict[bytes, int] = {}
         counts, log_p = [], []
@@ -248,27 +258,21 @@ def _answer(shared):
             counts.append(c)
             log_p.append(shared.value.log_probability(words))
         counts, log_p = np.concatenate(counts, axis=1), np.concatenate(log_p, axis=1)
+        total = counts.sum(0)
+        log_p = np.stack([_discounted(k, f, _discounted(total, overall, p)) for k, f, p in zip(counts, parts, log_p, strict=True)], 1).astype(np.float32)
 
         def rows():
             for grp, words in zip(asked["grp"].to_pylist(), asked["words"], strict=True):
                 at = [place[w] for w in words.as_py().split(b" ")]
-                yield grp, words.as_py(), np.ascontiguousarray(counts[:, at]).tobytes(), np.ascontiguousarray(log_p[:, at]).tobytes()
+                yield grp, words.as_py(), total[at].tobytes(), log_p[at].tobytes()
 
         return pa.Table.from_batches(rows_out(_ANSWER, rows()), _ANSWER)
 
     return run
 
 
-_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
-SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, lattice_score double"
-
-
-def _discounted(c: np.ndarray, facts: dict, under: np.ndarray) -> np.ndarray:
-    """Natural log of the discounted estimate; under: that of the distribution for what the discount takes off."""
-    if not facts["n"]:
-        return under
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(np.maximum(c - facts["d"], 0) / facts["n"]), under + math.log(facts["d"] * facts["v"] / facts["n"]))
+_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
 def _score(overall: dict, parts: list[dict]):
@@ -284,27 +288,26 @@ def _score(overall: dict, parts: list[dict]):
 
     def run(key, docs, answers):
         place: dict[bytes, int] = {}
-        base, known, by_pieces, by_part = [], [], [], []
+        base, known, by_part = [], [], []
         for (words, counts), log_p in zip(_read(answers), answers["log_p"], strict=True):
-            c, lp = counts.sum(0), np.frombuffer(log_p.as_py()).reshape(counts.shape)
+            c = counts[0]
             place |= zip(words, range(len(place), len(place) + len(words)), strict=True)
             base.append(np.log10(c + 0.5) - norm)
             known.append(c > 0)
-            by_pieces.append(lp.T)
-            by_part.append(np.stack([_discounted(k, f, _discounted(c, overall, p)) for k, f, p in zip(counts, parts, lp, strict=True)], 1))
+            by_part.append(np.frombuffer(log_p.as_py(), np.float32).reshape(len(c), -1))
         if place:
-            base, known, by_pieces, by_part = (np.concatenate(x) for x in (base, known, by_pieces, by_part))
+            base, known, by_part = (np.concatenate(x) for x in (base, known, by_part))
 
         def rows():
             for doc_id, text in zip(docs["doc_id"].to_pylist(), docs["text"], strict=True):
                 at = np.array([place[w] for w in words_of(text.as_py())], np.int64)
                 if len(at):
-                    b, k, p, q = base[at].sum(), int(known[at].sum()), by_pieces[at].sum(0), by_part[at].sum(0)
+                    b, k, q = base[at].sum(), int(known[at].sum()), by_part[at].sum(0, dtype=np.float64)
                 else:
-                    b, k, p, q = 0.0, 0, np.zeros(len(parts)), np.zeros(len(parts))
+                    b, k, q = 0.0, 0, np.zeros(len(parts))
                 tail = len(at) * log_word + log_end
-                mixed, plain = (float(np.logaddexp.reduce(x + weights)) for x in (q, p))
-                yield doc_id, not trained(doc_id), len(at) + 1, k + (n_texts > 0), n, float(b) + base_end, (mixed + tail) / tens, (plain + tail) / tens
+                mixed = float(np.logaddexp.reduce(q + weights))
+                yield doc_id, not trained(doc_id), len(at) + 1, k + (n_texts > 0), n, float(b) + base_end, (mixed + tail) / tens
 
         return pa.Table.from_batches(rows_out(_SCORE, rows()), _SCORE)
 
@@ -320,7 +323,7 @@ def _facts(batches):
 
 
 def scored(documents: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, by: str | None = None) -> DataFrame:
-    """A row with both scores for each row of documents (doc_id, text), learnt from those that `trained` picks. by: the training rows' column for components. lattice_score: by pieces alone."""
+    """A row with both scores for each row of documents (doc_id, text), learnt from those that `trained` picks. by: the training rows' column for components."""
     spark = documents.sparkSession
     kind = F.col(by).cast("string") if by else F.lit(None).cast("string")
     documents = documents.select(F.col("doc_id").cast("long"), "text", kind.alias("kind"))
@@ -339,7 +342,7 @@ def scored(documents: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROU
         facts[p] |= {"n": words, "v": types, "d": min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5}
     overall = facts.pop(-1) | {"texts": sum(texts.values())}
     lattice = fit(totals, Lattice.read(vocabulary), len(facts), rounds if overall["n"] else 0)
-    answers = asked.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_answer(spark.sparkContext.broadcast(lattice)), "grp int, words binary, counts binary, log_p binary")
+    answers = asked.groupBy("bucket").cogroup(totals.groupBy("bucket")).applyInArrow(_answer(spark.sparkContext.broadcast(lattice), overall, list(facts.values())), "grp int, words binary, counts binary, log_p binary")
     return docs.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_score(overall, list(facts.values())), SCORE)
 
 
