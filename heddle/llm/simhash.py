@@ -244,20 +244,19 @@ class _Forest:
 def _close_pairs(x: np.ndarray, at: np.ndarray, home: np.ndarray, radius: int, forest: _Forest, spare: int) -> None:
     """Links among the rows `at` (of x) of one key. Visitors meet homes only. spare: the next of the splits that haven't been tried."""
     n, pieces = len(at), radius + 1
-    if n > CROWDED and spare < pieces:
+    step = x.shape[1] * 64 / pieces
+    if n > CROWDED and spare < pieces and step >= 8:
         # within the radius, one of radius + 1 pieces is equal: try each piece as a finer key
         bits = np.unpackbits(x[at].view(np.uint8).reshape(n, -1), axis=1)
-        step = bits.shape[1] / pieces
-        if n * step > 0:
-            for k in range(pieces):
-                part = np.packbits(bits[:, int(k * step) : int((k + 1) * step)], axis=1)
-                _, label = np.unique(part, axis=0, return_inverse=True)
-                label = label.ravel()
-                order = np.argsort(label, kind="stable")
-                for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-                    if len(group) > 1 and home[group].any():
-                        _close_pairs(x, at[group], home[group], radius, forest, spare + 1 if len(group) > n // 2 else spare)
-            return
+        for k in range(pieces):
+            part = np.packbits(bits[:, int(k * step) : int((k + 1) * step)], axis=1)
+            _, label = np.unique(part, axis=0, return_inverse=True)
+            label = label.ravel()
+            order = np.argsort(label, kind="stable")
+            for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+                if len(group) > 1 and home[group].any():
+                    _close_pairs(x, at[group], home[group], radius, forest, spare + 1 if len(group) > n // 2 else spare)
+        return
     for s in range(0, n, 256):  # in blocks, so that memory stays small
         d = distances(x[at[s : s + 256], None, :], x[None, at, :])
         i, j = np.nonzero((d <= radius) & (np.arange(s, min(n, s + 256))[:, None] < np.arange(n)) & (home[s : s + 256, None] | home[None, :]))
@@ -327,6 +326,63 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 3, choices: tuple[int,
     return fps.join(each, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- near-duplicates by likeness of their shingle sets
+
+#: For likeness, fingerprints have so many 64-bit words, and as many partitions as below.
+SKETCH_WORDS = 6
+SKETCH_PARTITIONS = 30
+
+
+def expected_distance(likeness: float, n_bits: int, errors: float = 2.0) -> int:
+    """Differing bits of two texts whose shingle sets have this Jaccard likeness, and so many standard errors more."""
+    p = float(np.arccos(min(1.0, 2 * likeness / (1 + likeness))) / np.pi)
+    return int(n_bits * p + errors * (n_bits * p * (1 - p)) ** 0.5)
+
+
+def likenesses(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(a, b, likeness) of pairs (a, b) of keys of texts (key, text): exact Jaccard likeness of shingle sets (64-bit hashes)."""
+
+    def sets(key, text):
+        return key, np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], np.uint64)).tobytes()
+
+    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    rows = texts.join(wanted, "key").select("key", F.col("text").cast("binary"))
+    found = stored(map_rows(rows, sets, pa.schema([("key", pa.int64()), ("hashes", pa.binary())]), "key bigint, hashes binary"), "sets")
+    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+
+    def compare(a, b, x, y):
+        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        union = len(x) + len(y) - shared
+        return a, b, shared / union if union else 1.0
+
+    return map_rows(both.select("a", "b", "x", "y"), compare, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())]), "a bigint, b bigint, likeness double")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> DataFrame:
+    """(doc_id, component_id): for each distinct doc_id of docs the least one of its group of near-duplicates.
+
+    Candidates are fingerprints of SKETCH_WORDS words that agree in one of SKETCH_PARTITIONS partitions
+    and lie within the distance expected at `likeness` and two standard errors; two texts at the
+    likeness meet with a chance of 98 %, closer ones sooner. Links that hold the candidates together,
+    closest first, are then judged by the exact likeness of the shingle sets.
+    """
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").dropDuplicates(["doc_id"])
+    n_bits = 64 * SKETCH_WORDS
+    fps = stored(fingerprints(docs, size, SKETCH_WORDS), "fps")
+    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    if distinct.isEmpty():
+        return fps.select("doc_id", F.col("doc_id").alias("component_id"))
+    partitions = plan(distinct, n_bits, SKETCH_PARTITIONS - 1, (SKETCH_PARTITIONS,))
+    found = stored(links(distinct, partitions, expected_distance(likeness, n_bits)), "candidates")
+    ids = distinct.select("fp", "doc_id")
+    pairs = found.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    kept = likenesses(stored(pairs, "pairs"), docs.select(F.col("doc_id").alias("key"), "text"), size).where(F.col("likeness") >= likeness)
+    roots = components(kept.select("a", "b"))
+    each = distinct.join(roots, distinct["doc_id"] == roots["node"], "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
+    return fps.join(each, "fp").select("doc_id", "component_id")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles, linked at 3 or fewer differing bits."""
     out = classes(load(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -439,8 +439,8 @@ def _expand(key, asked):
     return _table(rows())
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
-KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, kept binary"
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("text", pa.string())])
+KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, text string"
 
 
 def covered(p: Part, known: Known, ids: np.ndarray) -> np.ndarray:
@@ -482,7 +482,7 @@ def _apply(with_text: bool):
                         for i, j in zip(edge[lo:hi].tolist(), stop[lo:hi].tolist(), strict=True):
                             spans += [max(i, b) - b, min(j, e) - b]
                         raw = p.x[b:e][~gone[b:e]].tobytes()
-                    yield names[p.first + t], e - b, removed, len(spans) // 2, hashlib.sha256(raw).hexdigest(), spans, raw if with_text else None
+                    yield names[p.first + t], e - b, removed, len(spans) // 2, hashlib.sha256(raw).hexdigest(), spans, raw.decode("utf-8", "ignore") if with_text else None
 
         return pa.Table.from_batches(rows_out(_KEPT, rows()), _KEPT)
 
@@ -490,7 +490,7 @@ def _apply(with_text: bool):
 
 
 def deduplicated(documents: DataFrame, with_text: bool = True, hot_groups: int = HOT_GROUPS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash and, if asked for, the kept bytes."""
+    """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash of the kept bytes and, if asked for, the kept text (without the rest of a character that was cut)."""
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     n = pieces(total_bytes(rows, "text"), group_bytes)
     group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n)).cast("int")
