@@ -1,7 +1,57 @@
-"""Corpus pipeline: placeholder stages are filled in as operators land."""
-STAGES = []
+"""Corpus pipeline: toxic documents go, near-duplicates go, repeated passages go, and the rest is packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; `run` writes
+each stage's result as Parquet to the shared folder and reads it again for the next. All but the last
+stage return the columns of documents. Rows with a null doc_id are never near-duplicates of others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from heddle.llm import packing, simhash, suffix_dedup, toxicity
+from heddle.llm.support import load, stored
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold; the model learns from the labels of these documents."""
+    labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels, F.lit(True))
+    return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near-duplicates: five-word shingles, likeness 0.8 or more."""
+    groups = simhash.near_duplicates(docs)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings of earlier documents; a character that is cut in two goes whole. n_chars follows the text."""
+    kept = suffix_dedup.deduplicated(docs.select("doc_id", "text")).where("n_removed > 0")
+    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text").alias("_kept")).dropDuplicates(["_id"])
+    text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_kept"))
+    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left").withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packing of all that is left: one row for each piece."""
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", reject_toxic), ("near_duplicates", drop_near_duplicates), ("suffix_dedup", cut_repeats), ("packing", pack)]
+
+#: Learnt scores and byte surgery are not SQL's: the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
