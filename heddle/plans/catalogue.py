@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from heddle.plans import graph_queries
+
+_MODULES = (graph_queries,)
+
+QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
