@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from heddle.plans import graph_queries
+from heddle.plans import finding_queries, graph_queries
 
-_MODULES = (graph_queries,)
+_MODULES = (graph_queries, finding_queries)
 
 QUERIES: dict = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
