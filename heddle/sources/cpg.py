@@ -47,7 +47,7 @@ def mapped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Da
     is_decl = F.col("label").isin(*DECLARATIONS)
     n = materialized(nodes.select("graph_id", "id", text("label").alias("label"), text("code").alias("code"), text("name").alias("name"), text("methodFullName").alias("call_name"), text("fullName").alias("own_name"), text("filename").alias("own_file"), number("lineNumber").alias("line"), number("columnNumber").alias("column")))
     tree = edges.where("kind = 'AST'").select("graph_id", F.col("src").alias("parent"), F.col("dst").alias("id"))
-    tree = materialized(tree.groupBy("graph_id", "id").agg(F.last("parent").alias("parent")))
+    tree = materialized(tree.groupBy("graph_id", "id").agg(F.max("parent").alias("parent")))
     sibling = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("file", "line", "column", "id")) - 1
     file = F.when(F.col("own_file") != "", F.col("own_file")).otherwise(F.col("parent_file"))
     roots = n.join(tree, ["graph_id", "id"], "left_anti").withColumns({"parent_file": F.lit(""), "parent_decl": F.lit(""), "parent_path": F.lit(""), "walk": F.array().cast("array<int>")}).withColumn("file", file)
