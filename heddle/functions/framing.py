@@ -63,3 +63,10 @@ def content_id(commit: Column, rule: Column, uri: Column, line: Column, column:
 def retry_delay(attempt: Column, initial: float, most: float) -> Column:
     """Seconds to wait after the n-th attempt: doubling from `initial`, held at `most`."""
     return F.least(F.lit(float(most)), F.lit(float(initial)) * F.pow(F.lit(2.0), attempt - 1))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """The longest beginning of at most `most` UTF-8 bytes that ends with a whole character."""
+    raw = F.encode(text, "UTF-8")
+    ends = [F.substring(raw, 1, most - k).cast("string") for k in range(min(4, most + 1))]
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.coalesce(*(F.when(F.is_valid_utf8(e), e) for e in ends), F.lit("")))

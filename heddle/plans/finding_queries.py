@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heddle.functions import framing
 from heddle.functions.tables import read
-from heddle.operators import continuity, findings, stats
+from heddle.operators import attest, continuity, findings, stats
 
 ENGINES = {"signup": "ifds", "purchase": "ide", "click": "semgrep", "view": "codeql", "error": "mixed"}
 LEVELS = {"signup": "INFO", "purchase": "WARNING", "click": "INFO", "view": "WARNING", "error": "ERROR"}
@@ -266,6 +267,32 @@ WITH r AS (SELECT c_nationkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'GATE-FA
 SELECT c_nationkey, CASE WHEN bool_or(v IS NULL) THEN 'ungated' WHEN bool_or(v <> 'GATE-PASS') THEN 'front-end-blocked' WHEN bool_and(a) THEN 'ready' ELSE 'not-attested' END AS status FROM r GROUP BY 1
 """
 
-_ALL = (origin_stamp, severity_map, sink_locate, dup_ordinal, canonical_order, finding_violations, effective_origin, repartition, continuity_plan, effective_decision, entity_transitions, eprocess, eprocess_drift, eprocess_accept, combined_e_value, fidelity_gate, reproduction_rate, report_cells, report_regressions, stage_status)
+def attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items once and again as the core's runs, the second without those of quantity 50; two filters as the oracle's."""
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    run = lambda c: li.where(c).select("l_orderkey", "l_partkey")
+    out = attest.attested((run("true"), run("l_quantity <> 50")), (run("l_quantity < 30"), run("l_quantity % 2 = 0")))
+    return out.select("identical", "only_first", "only_second", F.col("oracle_rate").cast("double").alias("oracle_rate"))
+
+
+ATTESTATION = """
+WITH a AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity < 30), b AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity % 2 = 0)
+SELECT count(*) FILTER (l_quantity = 50) = 0 AS identical, count(*) FILTER (l_quantity = 50) AS only_first, 0::BIGINT AS only_second,
+  round_even((SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b))::DOUBLE / (SELECT count(*) FROM a), 4) AS oracle_rate FROM lineitem
+"""
+
+
+def short_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' first 101 bytes, without a character that is cut."""
+    d = read(spark, sf_dir, "documents").select("doc_id", framing.truncated(F.col("text"), 101).alias("short"))
+    return d.select("doc_id", F.sha2("short", 256).alias("short_sha256"), F.octet_length("short").cast("long").alias("n_bytes"))
+
+
+SHORT_TEXTS = """
+WITH c AS (SELECT doc_id, text, max(k) AS k FROM documents, range(102) r(k) WHERE strlen(left(text, k)) <= 101 AND k <= length(text) GROUP BY 1, 2)
+SELECT doc_id, sha256(left(text, k)) AS short_sha256, strlen(left(text, k)) AS n_bytes FROM c
+"""
+
+_ALL = (attestation, short_texts, origin_stamp, severity_map, sink_locate, dup_ordinal, canonical_order, finding_violations, effective_origin, repartition, continuity_plan, effective_decision, entity_transitions, eprocess, eprocess_drift, eprocess_accept, combined_e_value, fidelity_gate, reproduction_rate, report_cells, report_regressions, stage_status)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {f.__name__: globals()[f.__name__.upper()] for f in _ALL}
