@@ -8,6 +8,7 @@ import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +43,20 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with the place of each row in the order of all rows, from 0; the columns must tell all rows apart.
+
+    Rows are sorted in ranges, and each range's places begin after those of the ranges before: only the
+    ranges' sizes come to the driver, and no task sees more than its range.
+    """
+    ranges = materialized(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    sizes = sorted((r["p"], r["count"]) for r in ranges.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts += [F.lit(p).cast("long"), F.lit(total).cast("long")]
+        total += n
+    start = F.create_map(*starts)[part] if starts else F.lit(0)
+    return ranges.withColumn(name, (start + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_id")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, union_all
+from heddle.functions.tables import materialized, numbered, union_all
 
 
 def closure(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = (), with_seeds: bool = True) -> DataFrame:
@@ -71,16 +71,18 @@ def preorder(parents: DataFrame, by: Sequence[str] = (), order: Sequence[str] =
     """
     keys = [*by, "node"]
     place = F.row_number().over(W.partitionBy(*by, "parent").orderBy(*order)) - 1
-    numbered = materialized(parents.select(*keys, "parent", place.cast("long").alias("place")))
-    level = materialized(numbered.where(F.col("parent").isNull()).select(*keys, F.array("place").alias("path")))
+    placed = materialized(parents.select(*keys, "parent", place.cast("long").alias("place")))
+    level = materialized(placed.where(F.col("parent").isNull()).select(*keys, F.array("place").alias("path")))
     found = []
     while not level.isEmpty():
         found.append(level)
-        children = numbered.join(level.select(*by, F.col("node").alias("parent"), "path"), [*by, "parent"])
+        children = placed.join(level.select(*by, F.col("node").alias("parent"), "path"), [*by, "parent"])
         level = materialized(children.select(*keys, F.concat("path", F.array("place")).alias("path")))
     whole = union_all(found) if found else level
-    rank = F.row_number().over(W.partitionBy(*by).orderBy("path") if by else W.orderBy("path")) - 1
-    return whole.withColumns({"depth": F.size("path") - 1, "preorder": rank.cast("long")})
+    whole = whole.withColumn("depth", F.size("path") - 1)
+    if not by:
+        return numbered(whole, ["path"], "preorder")
+    return whole.withColumn("preorder", (F.row_number().over(W.partitionBy(*by).orderBy("path")) - 1).cast("long"))
 
 
 def backward_slice(edges: DataFrame, targets: DataFrame, kinds: Sequence[str], by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -97,25 +99,24 @@ def backward_slice(edges: DataFrame, targets: DataFrame, kinds: Sequence[str], b
 
 
 def refine(nodes: DataFrame, edges: DataFrame, by: Sequence[str] = (), rounds: int | None = None) -> DataFrame:
-    """(by..., node, color): colors of direction-aware refinement, dense from 0 in each graph.
+    """(by..., node, color): colors of direction-aware refinement; equal strings for nodes that it can't tell apart.
 
-    A node's next color is the rank of its color with the sorted (kind, color) of its edges in and out,
-    each as often as it occurs. Refines until no color splits, or for `rounds`. nodes: by..., node,
-    label; edges: by..., src, dst, kind.
+    A node's next color is the digest of its color and, for each direction, kind and color, the number of
+    its edges; so colors need no order of all nodes, and a hub's edges are counted before they meet.
+    Refines until no color splits, or for `rounds`. nodes: by..., node, label; edges: by..., src, dst, kind.
     """
     keys = [*by, "node"]
-    rank = lambda *c: (F.dense_rank().over(W.partitionBy(*by).orderBy(*c) if by else W.orderBy(*c)) - 1).cast("long")
-    colors = materialized(nodes.select(*keys, rank("label").alias("color")))
+    colors = materialized(nodes.select(*keys, F.sha2("label", 256).alias("color")))
     count = lambda df: df.select(*by, "color").distinct().count()
     n, done = count(colors), 0
     while rounds is None or done < rounds:
-        ends = []
-        for here, there, name in (("dst", "src", "ins"), ("src", "dst", "outs")):
+        sides = []
+        for here, there, side in (("dst", "src", "in"), ("src", "dst", "out")):
             other = colors.select(*by, F.col("node").alias(there), "color")
-            seen = edges.join(other, [*by, there]).select(*by, F.col(here).alias("node"), F.concat_ws(":", "kind", F.lpad(F.col("color").cast("string"), 12, "0")).alias("item"))
-            ends.append(seen.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias(name)))
-        signed = colors.join(ends[0], keys, "left").join(ends[1], keys, "left")
-        after = signed.select(*keys, rank("color", F.coalesce("ins", F.lit("")), F.coalesce("outs", F.lit(""))).alias("color"))
+            seen = edges.join(other, [*by, there]).groupBy(*by, F.col(here).alias("node"), "kind", "color").agg(F.count("*").alias("n"))
+            sides.append(seen.select(*keys, F.concat_ws(":", F.lit(side), "kind", "color", F.col("n").cast("string")).alias("item")))
+        items = sides[0].unionByName(sides[1]).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
+        after = colors.join(items, keys, "left").select(*keys, F.sha2(F.concat_ws("|", "color", F.coalesce("items", F.lit(""))), 256).alias("color"))
         colors, done = materialized(after), done + 1
         m = count(colors)
         if rounds is None and m == n:

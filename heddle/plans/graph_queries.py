@@ -223,7 +223,9 @@ def wl_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = nodes.unionByName(n.select(node("n", "n_nationkey").alias("node"), F.lit("nation").alias("label"))).unionByName(r.select(node("r", "r_regionkey").alias("node"), F.lit("region").alias("label")))
     edges = s.select(node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst"), F.lit("in").alias("kind"))
     edges = edges.unionByName(n.select(node("n", "n_nationkey").alias("src"), node("r", "n_regionkey").alias("dst"), F.lit("of").alias("kind")))
-    return graphs.refine(nodes, edges, rounds=3)
+    colors = graphs.refine(nodes, edges, rounds=3)
+    classes = colors.groupBy("color").agg(F.min("node").alias("class"), F.count("*").alias("members"))
+    return colors.join(classes, "color").select("node", "class", "members")
 
 
 def _wl_round(k: int) -> str:
@@ -239,7 +241,7 @@ WITH nodes AS (
 edges AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 'in' AS kind FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'of' FROM nation),
 c0 AS (SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS color FROM nodes),
 {_wl_round(0)}, {_wl_round(1)}, {_wl_round(2)}
-SELECT node, color FROM c3
+SELECT node, min(node) OVER (PARTITION BY color) AS class, count(*) OVER (PARTITION BY color) AS members FROM c3
 """
 
 QUERIES = {f.__name__: f for f in (taint_reach, taint_witness, taint_findings, callers_closure, affected_set, route_decision, graph_delta, ast_owner, ast_preorder, backward_slice, wl_refine)}
