@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,13 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """df as a written table: the lineage ends here, and a lost executor costs no earlier round."""
+def written(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as a written table, and its rows, which are counted on the way: the lineage ends here, and a lost executor costs no earlier round."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), rows.get["n"]
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    return written(df)[0]
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, numbered, union_all
+from heddle.functions.tables import materialized, numbered, union_all, written
 
 
 def closure(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = (), with_seeds: bool = True) -> DataFrame:
@@ -29,8 +29,8 @@ def closure(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = (), with_see
         new = frontier.join(step, keys).select(*by, F.col("dst").alias("node")).distinct()
         if found:
             new = new.join(union_all(found), keys, "left_anti")
-        frontier = materialized(new)
-        if frontier.isEmpty():
+        frontier, n = written(new)
+        if not n:
             return union_all(found) if found else frontier
         found.append(frontier)
 
@@ -72,12 +72,12 @@ def preorder(parents: DataFrame, by: Sequence[str] = (), order: Sequence[str] =
     keys = [*by, "node"]
     place = F.row_number().over(W.partitionBy(*by, "parent").orderBy(*order)) - 1
     placed = materialized(parents.select(*keys, "parent", place.cast("long").alias("place")))
-    level = materialized(placed.where(F.col("parent").isNull()).select(*keys, F.array("place").alias("path")))
+    level, n = written(placed.where(F.col("parent").isNull()).select(*keys, F.array("place").alias("path")))
     found = []
-    while not level.isEmpty():
+    while n:
         found.append(level)
         children = placed.join(level.select(*by, F.col("node").alias("parent"), "path"), [*by, "parent"])
-        level = materialized(children.select(*keys, F.concat("path", F.array("place")).alias("path")))
+        level, n = written(children.select(*keys, F.concat("path", F.array("place")).alias("path")))
     whole = union_all(found) if found else level
     whole = whole.withColumn("depth", F.size("path") - 1)
     if not by:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, union_all
+from heddle.functions.tables import materialized, union_all, written
 
 
 def procedures(nodes: DataFrame, order: DataFrame | None = None) -> DataFrame:
@@ -78,8 +78,8 @@ def tabulate(seeded: DataFrame, moves: DataFrame, blocked: DataFrame) -> DataFra
         leaving = frontier.join(blocked, keys, "left_anti").join(moves, ["graph_id", "node_id"])
         new = leaving.select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact").distinct()
         new = new.join(union_all(found).drop("depth"), [*keys, "fact"], "left_anti")
-        frontier = materialized(new.withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
+        frontier, n = written(new.withColumn("depth", F.lit(depth)))
+        if not n:
             return union_all(found)
         found.append(frontier)
 
