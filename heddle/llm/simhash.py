@@ -221,30 +221,37 @@ def _probe_rows(partitions: list[Partition]):
     return rows
 
 
-class _Forest:
-    """Disjoint sets over rows; `join` keeps the links that connect."""
+def spanning(pairs: np.ndarray, apart: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a spanning forest over n rows that takes the closest pairs first, and their distances."""
+    up = list(range(n))
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
 
-    def __init__(self, n: int):
-        self.up, self.kept = list(range(n)), []
+    order, kept = np.lexsort((pairs[:, 1], pairs[:, 0], apart)), []
+    for k, i, j in zip(order.tolist(), pairs[order, 0].tolist(), pairs[order, 1].tolist(), strict=True):
+        a, b = root(i), root(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(k)
+    return pairs[kept], apart[kept]
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
 
-    def join(self, pairs: np.ndarray) -> None:
-        for i, j in pairs.tolist():
-            a, b = self.root(i), self.root(j)
-            if a != b:
-                self.up[max(a, b)] = min(a, b)
-                self.kept.append((i, j))
+_NONE = np.zeros((0, 2), np.int64), np.zeros(0, np.int32)
 
 
-def _close_pairs(x: np.ndarray, at: np.ndarray, home: np.ndarray, radius: int, forest: _Forest, spare: int) -> None:
-    """Links among the rows `at` (of x) of one key. Visitors meet homes only. spare: the next of the splits that haven't been tried."""
-    n, pieces = len(at), radius + 1
+def _close_pairs(x: np.ndarray, at: np.ndarray, home: np.ndarray, radius: int, spare: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among the rows `at` (of x) of one key. Visitors meet homes only. spare: the next of the splits that haven't been tried."""
+    n, pieces, found = len(at), radius + 1, _NONE
     step = x.shape[1] * 64 / pieces
+
+    def add(pairs: np.ndarray, apart: np.ndarray) -> None:
+        nonlocal found
+        found = spanning(np.concatenate((found[0], pairs)), np.concatenate((found[1], apart)), len(x))
+
     if n > CROWDED and spare < pieces and step >= 8:
         # within the radius, one of radius + 1 pieces is equal: try each piece as a finer key
         bits = np.unpackbits(x[at].view(np.uint8).reshape(n, -1), axis=1)
@@ -253,20 +260,20 @@ def _close_pairs(x: np.ndarray, at: np.ndarray, home: np.ndarray, radius: int, f
             _, label = np.unique(part, axis=0, return_inverse=True)
             label = label.ravel()
             order = np.argsort(label, kind="stable")
-            for group in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-                if len(group) > 1 and home[group].any():
-                    _close_pairs(x, at[group], home[group], radius, forest, spare + 1 if len(group) > n // 2 else spare)
-        return
-    for s in range(0, n, 256):  # in blocks, so that memory stays small
+            some = [_close_pairs(x, at[g], home[g], radius, spare + 1 if len(g) > n // 2 else spare) for g in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(g) > 1 and home[g].any()]
+            if some:
+                add(*(np.concatenate(c) for c in zip(*some, strict=True)))
+        return found
+    for s in range(0, n, 256):  # in blocks: a forest of a forest and new pairs is one of all pairs, so memory stays small
         d = distances(x[at[s : s + 256], None, :], x[None, at, :])
         i, j = np.nonzero((d <= radius) & (np.arange(s, min(n, s + 256))[:, None] < np.arange(n)) & (home[s : s + 256, None] | home[None, :]))
         if len(i):
-            order = np.argsort(d[i, j], kind="stable")
-            forest.join(np.stack([at[i[order] + s], at[j[order]]], 1))
+            add(np.stack([at[i + s], at[j]], 1), d[i, j])
+    return found
 
 
 def _verify(radius: int):
-    """A spanning forest of the links between fingerprints that meet in this Spark partition."""
+    """A spanning forest, closest links first, of the links between fingerprints that meet in this Spark partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -277,12 +284,12 @@ def _verify(radius: int):
         raw = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
         x, of = np.unique(raw, axis=0, return_inverse=True) if raw.shape[1] > 1 else np.unique(raw[:, 0], return_inverse=True)
         x, of = x.reshape(len(x), -1), of.ravel()
-        forest = _Forest(len(x))
         order = np.lexsort((key, part))
         new = np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(key[order]) != 0)) + 1
         begins = np.concatenate(([0], new))
         sizes = np.diff(np.append(begins, len(order)))
         small = sizes <= 24
+        found = [_NONE]
         # small groups, all at once: rows d apart in the same group
         group = np.repeat(np.arange(len(sizes)), sizes)
         is_small = small[group]
@@ -291,16 +298,18 @@ def _verify(radius: int):
             a, b = of[order[i]], of[order[i + d]]
             fits = (home[order[i]] | home[order[i + d]]) & (a != b)
             a, b = a[fits], b[fits]
-            near = distances(x[a], x[b]) <= radius
-            forest.join(np.stack([a[near], b[near]], 1))
+            apart = distances(x[a], x[b])
+            near = apart <= radius
+            found.append((np.stack([a[near], b[near]], 1), apart[near]))
         for g in np.flatnonzero(~small).tolist():
             rows = order[begins[g] : begins[g] + sizes[g]]
             if home[rows].any():
                 rows = rows[np.argsort(~home[rows], kind="stable")]
                 at, first = np.unique(of[rows], return_index=True)
-                _close_pairs(x, at, home[rows][first], radius, forest, 0)
-        for s in range(0, len(forest.kept), 10_000):
-            i, j = (np.array(c) for c in zip(*forest.kept[s : s + 10_000], strict=True))
+                found.append(_close_pairs(x, at, home[rows][first], radius))
+        kept, _ = spanning(*(np.concatenate(c) for c in zip(*found, strict=True)), len(x))
+        for s in range(0, len(kept), 10_000):
+            i, j = kept[s : s + 10_000].T
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[i]], pa.binary()), pa.array([r.tobytes() for r in x[j]], pa.binary())], names=["a", "b"])
 
     return run
@@ -333,7 +342,7 @@ SKETCH_WORDS = 6
 SKETCH_PARTITIONS = 30
 
 
-def expected_distance(likeness: float, n_bits: int, errors: float = 2.0) -> int:
+def expected_distance(likeness: float, n_bits: int, errors: float = 2.5) -> int:
     """Differing bits of two texts whose shingle sets have this Jaccard likeness, and so many standard errors more."""
     p = float(np.arccos(min(1.0, 2 * likeness / (1 + likeness))) / np.pi)
     return int(n_bits * p + errors * (n_bits * p * (1 - p)) ** 0.5)
@@ -347,7 +356,8 @@ def likenesses(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     rows = texts.join(wanted, "key").select("key", F.col("text").cast("binary"))
-    found = stored(map_rows(rows, sets, pa.schema([("key", pa.int64()), ("hashes", pa.binary())]), "key bigint, hashes binary"), "sets")
+    found = map_rows(rows, sets, pa.schema([("key", pa.int64()), ("hashes", pa.binary())]), "key bigint, hashes binary")
+    found = stored(found.groupBy("key").agg(F.min("hashes").alias("hashes")), "sets")
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
 
     def compare(a, b, x, y):
@@ -363,13 +373,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
     """(doc_id, component_id): for each distinct doc_id of docs the least one of its group of near-duplicates.
 
     Candidates are fingerprints of SKETCH_WORDS words that agree in one of SKETCH_PARTITIONS partitions
-    and lie within the distance expected at `likeness` and two standard errors; two texts at the
-    likeness meet with a chance of 98 %, closer ones sooner. Links that hold the candidates together,
-    closest first, are then judged by the exact likeness of the shingle sets.
+    and lie within the distance expected at `likeness` and two and a half standard errors; two texts
+    at the likeness meet with a chance of 97 %, closer ones sooner. Links that hold the candidates together,
+    closest first, are then judged by the exact likeness of the shingle sets. Rows that share a doc_id
+    are one document, by the least of their fingerprints and shingle sets.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").dropDuplicates(["doc_id"])
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     n_bits = 64 * SKETCH_WORDS
-    fps = stored(fingerprints(docs, size, SKETCH_WORDS), "fps")
+    fps = stored(fingerprints(docs, size, SKETCH_WORDS).groupBy("doc_id").agg(F.min("fp").alias("fp")), "fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     if distinct.isEmpty():
         return fps.select("doc_id", F.col("doc_id").alias("component_id"))
