@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.support import load, pieces, rows_out, stored, total_bytes
+from heddle.llm.support import load, parallelism, pieces, rows_out, stored, total_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 GROUP_BYTES = 12 << 20
@@ -328,7 +328,7 @@ def scored(documents: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROU
     kind = F.col(by).cast("string") if by else F.lit(None).cast("string")
     documents = documents.select(F.col("doc_id").cast("long"), "text", kind.alias("kind"))
     learnt = documents.where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.crc32(F.lit("None").cast("binary"))) % 5 != 1)
-    n = pieces(total_bytes(documents, "text"), GROUP_BYTES)
+    n = pieces(total_bytes(documents, "text"), GROUP_BYTES, least=parallelism(spark))
     frequent = [r["kind"] for r in learnt.where("kind is not null").groupBy("kind").count().orderBy(F.desc("count"), "kind").limit(COMPONENTS).collect()]
     part = F.coalesce(*(F.when(F.col("kind") == k, i) for i, k in enumerate(frequent)), F.lit(len(frequent)))
     texts = {r["part"]: r["count"] for r in learnt.groupBy(part.alias("part")).count().collect()}

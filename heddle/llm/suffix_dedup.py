@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.bwt import DEPTH, common_prefix_groups
-from heddle.llm.support import load, pieces, rows_out, stored, total_bytes
+from heddle.llm.support import load, parallelism, pieces, rows_out, stored, total_bytes
 
 GROUP_BYTES = 12 << 20
 SEED = 20
@@ -492,7 +492,7 @@ def _apply(with_text: bool):
 def deduplicated(documents: DataFrame, with_text: bool = True, hot_groups: int = HOT_GROUPS, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash of the kept bytes and, if asked for, the kept text (without the rest of a character that was cut)."""
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    n = pieces(total_bytes(rows, "text"), group_bytes)
+    n = pieces(total_bytes(rows, "text"), group_bytes, least=parallelism(rows.sparkSession))
     group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n)).cast("int")
     docs = rows.select(group.alias("grp"), "doc_id", F.col("text").cast("binary")).repartition(n, "grp")
     told = stored(docs.groupBy("grp").applyInArrow(_name(n), WIRE).groupBy("bucket").applyInArrow(_meet(hot_groups), WIRE), "shared")

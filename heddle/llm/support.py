@@ -16,7 +16,18 @@ from pyspark.sql import functions as F
 OUT_ROWS = 512
 
 
+#: Rows of an Arrow batch on the way to Python, where the session has Spark's own 10,000: long texts make those too large.
+BATCH_ROWS = "1000"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, so that a lost executor costs no rerun of what came before."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
@@ -56,6 +68,11 @@ def pieces(n_bytes: int, target: int, least: int = 1) -> int:
     return max(least, math.ceil(n_bytes / target))
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Groups at least, so that small inputs use the whole cluster, too."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rows_out(schema: pa.Schema, rows: Iterator[tuple], size: int = OUT_ROWS) -> Iterator[pa.RecordBatch]:
     """Tuples in the schema's order as record batches of at most `size` rows."""
     part: list[tuple] = []
