@@ -507,5 +507,19 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+#: On hex digits, two for each byte.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest([substr(h, 2 * i + 1, 100) for i in range(0, greatest(0, length(h) // 2 - 49))]) AS s, unnest(range(0, greatest(0, length(h) // 2 - 49))) AS i FROM d),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
+n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, TRUE) AS fresh FROM r),
+k AS (SELECT doc_id, i, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM n),
+g AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM k GROUP BY doc_id, k),
+p AS (SELECT g.doc_id, a, z, substr(h, 2 * coalesce(lag(z) OVER (PARTITION BY g.doc_id ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY g.doc_id ORDER BY a), 0))) AS kept FROM g JOIN d USING (doc_id)),
+t AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(kept, '' ORDER BY a) AS kept, max(z) AS z FROM p GROUP BY 1)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+"""
+
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_suffix_dedup": ORACLE}
