@@ -17,6 +17,7 @@ Defined results: null and empty texts have no ids; a null key counts as the text
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.llm.support import load, rows_out
+from heddle.llm.support import OUT_ROWS, load
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -38,6 +39,7 @@ VARIANTS = 3
 #: Characters whose chunks are encoded together.
 BATCH_CHARS = 6_000_000
 SPACE = "▁"
+SLOT_BITS = 21
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -48,19 +50,27 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def chunk_names(codes: np.ndarray) -> np.ndarray:
+    """Hashes of chunks of equal length, by their code points (a row each)."""
+    h = np.full(len(codes), codes.shape[1], np.uint64)
+    for column in codes.T:
+        h = _mix(h * _ODD + column)
+    return h
+
+
 class Pieces:
     """Pieces, scores and byte pieces of a vocabulary of the merge type."""
 
     def __init__(self, names: list[str], scores: list[float], bytes_: dict[int, int], unknown: int, usable: list[int]):
         self.names, self.unknown, self.bytes = names, unknown, bytes_
         self.byte_of = {i: b for b, i in bytes_.items()}
-        self._table = self._spelt = None
+        self._table = self._spelt = self._slots = None
         ids = {names[i]: i for i in usable}
         self.chars = {p: i for p, i in ids.items() if len(p) == 1 and p != SPACE} | ({" ": ids[SPACE]} if SPACE in ids else {})
         pairs = sorted((ids[p[:k]] << 32 | ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.pair_keys = np.array([k for k, _ in pairs], np.int64)
         self.pair_ids = np.array([i for _, i in pairs], np.int64)
-        self.pair_scores = np.array([scores[i] for _, i in pairs])
+        self.pair_scores = np.array([scores[i] for _, i in pairs], np.float32)
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -73,13 +83,35 @@ class Pieces:
 
     def _candidates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Scores (-inf: no piece) and ids of the unions of pieces."""
+        if self._slots is None:
+            self._fill_slots()
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        ok = (self.pair_keys[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(ok, self.pair_scores[at], -np.inf), self.pair_ids[at]
-
-    def _merged(self, ids: np.ndarray, names: np.ndarray, rate: float) -> list[list[int]]:
-        """ids: chunks of equal length, a row each (-1: a character without a piece); names: keyed hashes of the chunks."""
+        slot = (key.astype(np.uint64) * _ODD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = self._slots[slot]
+        score = np.full(len(key), -np.inf, np.float32)
+        todo = np.flatnonzero((at >= 0) & (left >= 0) & (right >= 0))
+        while len(todo):
+            hit = self.pair_keys[at[todo]] == key[todo]
+            score[todo[hit]] = self.pair_scores[at[todo[hit]]]
+            todo = todo[~hit]
+            slot[todo] = slot[todo] + 1 & (1 << SLOT_BITS) - 1
+            at[todo] = self._slots[slot[todo]]
+            todo = todo[at[todo] >= 0]
+        return score, self.pair_ids[np.maximum(at, 0)]
+
+    def _fill_slots(self) -> None:
+        """A table of pairs by hash; a pair whose slot is taken stands in the next free one."""
+        self._slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        slots = (self.pair_keys.astype(np.uint64) * _ODD >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        left = np.arange(len(slots))
+        while len(left):
+            free = left[self._slots[slots[left]] < 0]
+            self._slots[slots[free]] = free
+            left = left[self._slots[slots[left]] != left]
+            slots[left] = slots[left] + 1 & (1 << SLOT_BITS) - 1
+
+    def _merged(self, ids: np.ndarray, names: np.ndarray, rate: float) -> list[bytes]:
+        """Ids of each chunk as 32-bit numbers. ids: chunks of equal length, a row each (-1: a character without a piece); names: keyed hashes of the chunks."""
         n, width = ids.shape
         limit = np.uint64(min((1 << 64) - 1, int(rate * 2.0**64)))
         # a piece stands where it begins; each knows where the next and the one before stand
@@ -118,28 +150,28 @@ class Pieces:
             inner = before[live, best] >= 0
             look(live[inner], before[live, best][inner])
         kept = ids != -2
-        flat, ends = ids[kept].tolist(), np.cumsum(kept.sum(1)).tolist()
-        return [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        raw, ends = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
-    def encode_chunks(self, chunks: list[str], variant: int, rate: float, seed: int) -> list[list[int]]:
-        """Ids of each chunk."""
-        out: list[list[int]] = [[]] * len(chunks)
-        sizes = np.array([len(c) for c in chunks])
+    def encode_chunks(self, chunks: list[str], variant: int, rate: float, seed: int) -> list[bytes]:
+        """Ids of each chunk as 32-bit numbers."""
+        out: list[bytes] = [b""] * len(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         order = np.argsort(sizes, kind="stable")
-        key = seed * 1_000_003 + variant & (1 << 64) - 1
+        key = _mix(np.array([seed * 1_000_003 + variant & (1 << 64) - 1], np.uint64))
         for group in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1):
             if not len(group):
                 continue
             width = len(chunks[group[0]])
             for s in range(0, len(group), max(1, 400_000 // width)):
                 part = group[s : s + max(1, 400_000 // width)].tolist()
-                texts = [chunks[i] for i in part]
-                found = self._ids(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)).reshape(-1, width)
-                names = np.array([xxhash.xxh64_intdigest(t, key) for t in texts], np.uint64)
-                for i, ids, odd in zip(part, self._merged(found, names, rate), (found < 0).any(1).tolist(), strict=True):
+                codes = np.frombuffer("".join([chunks[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
+                found = self._ids(codes)
+                odd_ones = (found < 0).any(1).tolist()  # before the merging, which works in place
+                for i, ids, odd in zip(part, self._merged(found, chunk_names(codes) ^ key, rate), odd_ones, strict=True):
                     if odd:
                         unknown = iter([ch for ch in chunks[i] if ch not in self.chars])
-                        ids = [k for j in ids for k in ([j] if j >= 0 else [self.bytes[b] for b in next(unknown).encode()])]
+                        ids = np.array([k for j in np.frombuffer(ids, np.int32).tolist() for k in ([j] if j >= 0 else [self.bytes[b] for b in next(unknown).encode()])], np.int32).tobytes()
                     out[i] = ids
         return out
 
@@ -152,20 +184,29 @@ class Pieces:
         return self._table[codes]
 
     def __getstate__(self):
-        return self.__dict__ | {"_table": None, "_spelt": None}
+        return self.__dict__ | {"_table": None, "_spelt": None, "_slots": None}
 
-    def encode(self, texts: list[str], variants: list[int], rate: float = DROPOUT, seed: int = SEED) -> list[list[int]]:
+    def encode(self, texts: list[str], variants: list[int], rate: float = DROPOUT, seed: int = SEED) -> list[np.ndarray]:
+        """Ids of each text."""
         split = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-        known: dict[int, dict[str, list[int]]] = {}
+        known: dict[int, dict[str, bytes]] = {}
         for v in set(variants):
             distinct = list(set(chain.from_iterable(cs for cs, w in zip(split, variants, strict=True) if w == v)))
             known[v] = dict(zip(distinct, self.encode_chunks(distinct, v, rate, seed), strict=True))
-        return [list(chain.from_iterable(map(known[v].__getitem__, cs))) for cs, v in zip(split, variants, strict=True)]
+        return [np.frombuffer(b"".join(map(known[v].__getitem__, cs)), np.int32) for cs, v in zip(split, variants, strict=True)]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
+        if not len(ids):
+            return ""
         if self._spelt is None:
-            self._spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
-        return b"".join([self._spelt[i] for i in ids]).decode()[1:] if ids else ""
+            spelt = [bytes([self.byte_of[i]]) if i in self.byte_of else n.replace(SPACE, " ").encode() for i, n in enumerate(self.names)]
+            sizes = np.array([len(x) for x in spelt])
+            self._spelt = np.frombuffer(b"".join(spelt), np.uint8), np.cumsum(sizes) - sizes, sizes
+        raw, starts, sizes = self._spelt
+        n = sizes[ids]
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1]) + np.repeat(starts[ids] - ends + n, n)
+        return raw[at].tobytes().decode()[1:]
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_ids", pa.int64()), ("n_chars", pa.int64()), ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
@@ -183,23 +224,29 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, rate: float = DROPOUT, seed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
 
-        def some(rows: list[tuple]) -> Iterator[tuple]:
+        def some(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             texts = [t or "" for _, t in rows]
-            for (i, _), t, ids in zip(rows, texts, p.encode(texts, [variant_of(i, variants) for i, _ in rows], rate, seed), strict=True):
-                yield i, len(ids), len(t), ids, p.decode(ids) == t
-
-        def each() -> Iterator[tuple]:
-            rows, n = [], 0
+            coded = p.encode(texts, [variant_of(i, variants) for i, _ in rows], rate, seed)
+            for s in range(0, len(rows), OUT_ROWS):
+                t, ids = texts[s : s + OUT_ROWS], coded[s : s + OUT_ROWS]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                columns = [[i for i, _ in rows[s : s + OUT_ROWS]], [len(x) for x in ids], [len(x) for x in t], lists, [p.decode(x) == y for x, y in zip(ids, t, strict=True)]]
+                yield pa.RecordBatch.from_arrays([c if c is lists else pa.array(c, f.type) for c, f in zip(columns, _OUT, strict=True)], schema=_OUT)
+
+        rows, n = [], 0
+        gc.disable()  # many small objects live at once, and none is part of a cycle
+        try:
             for b in batches:
-                for i, t in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
-                    rows.append((i, t.as_py()))
-                    n += len(rows[-1][1] or "")
+                for i, t in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                    rows.append((i, t))
+                    n += len(t or "")
                     if n >= BATCH_CHARS:
                         yield from some(rows)
                         rows, n = [], 0
             yield from some(rows)
-
-        return rows_out(_OUT, each(), 128)
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, OUT)
 
