@@ -14,11 +14,20 @@ from heddle.llm import packing, simhash, suffix_dedup, toxicity
 from heddle.llm.support import load, stored
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; the model learns from the labels of these documents."""
     labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs, labels, F.lit(True))
-    return toxicity.scored(docs, model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(docs.columns)
+    score = _free(docs, "toxicity")
+    return toxicity.scored(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +39,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-byte strings of earlier documents; a character that is cut in two goes whole. n_chars follows the text."""
+    id_, kept_text = _free(docs, "kept_id"), _free(docs, "kept_text")
     kept = suffix_dedup.deduplicated(docs.select("doc_id", "text")).where("n_removed > 0")
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("text").alias("_kept")).dropDuplicates(["_id"])
-    text = F.when(F.col("_id").isNull(), F.col("text")).otherwise(F.col("_kept"))
-    out = docs.join(kept, docs["doc_id"] == kept["_id"], "left").withColumn("text", text)
+    kept = kept.select(F.col("doc_id").alias(id_), F.col("text").alias(kept_text)).dropDuplicates([id_])
+    same = F.col(id_).isNull()
+    out = docs.join(kept, docs["doc_id"] == kept[id_], "left").withColumn("text", F.when(same, F.col("text")).otherwise(F.col(kept_text)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 
