@@ -324,15 +324,32 @@ def links(fps: DataFrame, partitions: list[Partition], radius: int) -> DataFrame
 def classes(docs: DataFrame, size: int = 3, radius: int = 3, choices: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text)."""
     fps = stored(fingerprints(docs, size), "fps")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    distinct = _distinct(fps)
     if distinct.isEmpty():
         return fps.withColumn("component_id", F.col("doc_id"))
     found = components(links(distinct, plan(distinct, 64, radius, choices), radius))
     near = found.join(distinct, found["node"] == distinct["fp"]).select("root", "node", "doc_id")
     least = near.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = near.select("root", "node").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    each = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return fps.join(each, "fp").select("doc_id", "fp", "component_id")
+    return _spread(fps, distinct, of, "fp")
+
+
+#: A fingerprint of more than this share of all rows is joined by broadcast, so there are fewer than 1 / HOT_SHARE of them.
+HOT_SHARE = 0.01
+
+
+def _distinct(fps: DataFrame) -> DataFrame:
+    return stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "distinct")
+
+
+def _spread(fps: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """doc_id, fp, component_id of all rows; roots: key (a column of distinct), component_id, of what has links; the rest stands alone."""
+    each = distinct.join(roots, key, "left").select("fp", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
+    each = stored(each, "components")
+    most = HOT_SHARE * (distinct.agg(F.sum("copies").alias("n")).first()["n"] or 0)
+    hot = F.broadcast(each.where(F.col("copies") > most).select("fp", "component_id"))
+    cold = fps.join(hot, "fp", "left_anti").join(each.select("fp", "component_id"), "fp")
+    return fps.join(hot, "fp").unionByName(cold).select("doc_id", "fp", "component_id")
 
 
 # ---- near-duplicates by likeness of their shingle sets
@@ -381,7 +398,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     n_bits = 64 * SKETCH_WORDS
     fps = stored(fingerprints(docs, size, SKETCH_WORDS).groupBy("doc_id").agg(F.min("fp").alias("fp")), "fps")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
+    distinct = _distinct(fps)
     if distinct.isEmpty():
         return fps.select("doc_id", F.col("doc_id").alias("component_id"))
     partitions = plan(distinct, n_bits, SKETCH_PARTITIONS - 1, (SKETCH_PARTITIONS,))
@@ -389,9 +406,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
     ids = distinct.select("fp", "doc_id")
     pairs = found.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
     kept = likenesses(stored(pairs, "pairs"), docs.select(F.col("doc_id").alias("key"), "text"), size).where(F.col("likeness") >= likeness)
-    roots = components(kept.select("a", "b"))
-    each = distinct.join(roots, distinct["doc_id"] == roots["node"], "left").select("fp", F.coalesce("root", "doc_id").alias("component_id"))
-    return fps.join(each, "fp").select("doc_id", "component_id")
+    roots = components(kept.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    return _spread(fps, distinct, roots, "doc_id").select("doc_id", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
