@@ -42,6 +42,8 @@ def expand(bwt: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     lf[np.argsort(bwt, kind="stable")] = np.arange(n)
     starts = np.zeros(n + 1, bool)
     starts[[0, n]] = True
+    heads = np.zeros(n + 1, bool)  # where the suffixes' first byte changes
+    heads[np.cumsum(np.bincount(bwt, minlength=256))] = True
     low, high = np.zeros(min(n, 1), np.int64), np.full(min(n, 1), n - 1, np.int64)
     for _ in range(depth):
         if not len(low):
@@ -53,7 +55,7 @@ def expand(bwt: np.ndarray, depth: int = DEPTH) -> np.ndarray:
         # one sort deals the extended suffixes to their intervals: by place, with the interval that they come from
         key = np.sort(lf[at] << 24 | of)
         place, of = key >> 24, key & 0xFFFFFF
-        last = np.concatenate(((np.diff(of) != 0) | (np.diff(place) != 1) | (np.diff(bwt_symbol(bwt, place)) != 0), [True]))
+        last = np.concatenate(((np.diff(of) != 0) | (np.diff(place) != 1) | heads[place[1:]], [True]))
         first = np.concatenate(([True], last[:-1]))
         low, high = place[first], place[last]
         new = ~starts[high + 1]
@@ -62,12 +64,6 @@ def expand(bwt: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return starts
 
 
-def bwt_symbol(bwt: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """First bytes of the suffixes at these places."""
-    heads = np.cumsum(np.bincount(bwt, minlength=256))
-    return np.searchsorted(heads, place, side="right")
-
-
 def common_prefix_groups(x: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """(order, group): suffixes in order, and numbers of the groups whose members agree in `depth` bytes."""
     order = suffix_order(x)

@@ -80,13 +80,22 @@ def window_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - n)], h[width - n :])
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse up to n at least, kept for the next buffer."""
+    if len(_POWERS[0]) <= n:
+        _POWERS[:] = [np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(n, b)))) for b in (_BASE, _INVERSE)]
+    return _POWERS
+
+
 class Spans:
     """128-bit hashes of spans of a buffer."""
 
     def __init__(self, x: np.ndarray):
-        powers = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(len(x), _BASE))))
-        self.back = np.multiply.accumulate(np.concatenate((np.ones(1, U), np.full(len(x), _INVERSE))))
-        self.sums = [np.concatenate((np.zeros(1, U), np.cumsum(t[x] * powers[:-1], dtype=U))) for t in _TABLES]
+        powers, self.back = _powers(len(x))
+        self.sums = [np.concatenate((np.zeros(1, U), np.cumsum(t[x] * powers[: len(x)], dtype=U))) for t in _TABLES]
 
     def of(self, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
         s = self.sums[which]
@@ -150,14 +159,15 @@ def _group(docs) -> tuple[list[bytes], np.ndarray]:
     return [t or b"" for t in docs["text"].to_pylist()], np.array(ids, np.int64)
 
 
-def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the place of one row of each, and its least and largest document."""
+def distinct(keys: np.ndarray, low: np.ndarray, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the place of one row of each, its least `low` and its largest `high` (if not given, `low`)."""
+    high = low if high is None else high
     if not len(keys):
-        return keys, np.zeros(0, np.int64), docs, docs
+        return keys, np.zeros(0, np.int64), low, high
     order = np.argsort(keys)
     k = keys[order]
     b = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    return k[b], order[b], np.minimum.reduceat(docs[order], b), np.maximum.reduceat(docs[order], b)
+    return k[b], order[b], np.minimum.reduceat(low[order], b), np.maximum.reduceat(high[order], b)
 
 
 def find(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -208,8 +218,7 @@ def _name(buckets: int):
         if not found:
             return _table(iter(()))
         k, low, high = (np.concatenate([f[i] for f in found]) for i in (0, 2, 3))
-        keys, _, least, _ = distinct(k, low)
-        _, _, _, most = distinct(k, high)
+        keys, _, least, most = distinct(k, low, high)
         a, b, ids_ = (np.concatenate(c) for c in zip(*chunks, strict=True))
         _, at, low, high = distinct(pair(a, b), ids_)
         a, b = a[at], b[at]
@@ -319,8 +328,7 @@ def _contexts(buckets: int):
         k, names, low, high, n, x = (np.concatenate(c) for c in zip(*found, strict=True))
         size = n + DEPTH - 1
         begin = np.cumsum(size) - size
-        _, at, least, _ = distinct(names, low)
-        _, _, _, most = distinct(names, high)
+        _, at, least, most = distinct(names, low, high)
 
         def rows():
             for bucket, r in _dealt(buckets, k[at]):
@@ -334,9 +342,13 @@ def _contexts(buckets: int):
 
 def _shared(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Rows whose key more than one document has."""
-    names, _, least, _ = distinct(keys, low)
-    _, _, _, most = distinct(keys, high)
-    return (least != most)[find(keys, names)]
+    out = np.zeros(len(keys), bool)
+    if len(keys):
+        order = np.argsort(keys)
+        b = np.flatnonzero(np.concatenate(([True], np.diff(keys[order]) != 0)))
+        several = np.minimum.reduceat(low[order], b) != np.maximum.reduceat(high[order], b)
+        out[order] = np.repeat(several, np.diff(np.append(b, len(keys))))
+    return out
 
 
 def least_documents(x: np.ndarray, n: np.ndarray, low: np.ndarray, key: np.ndarray, part_bytes: int = PART_BYTES) -> np.ndarray:
@@ -389,8 +401,7 @@ def _expand(key, asked):
     x = _u(asked["f"], np.uint8)
     size = n + DEPTH - 1
     begin = np.cumsum(size) - size
-    own, at, least, _ = distinct(names, low)
-    _, _, _, most = distinct(names, high)
+    own, at, least, most = distinct(names, low, high)
     several = _shared(k[at], least, most)
     own, at, least, most = own[several], at[several], least[several], most[several]
     # windows whose first and last 35 bytes more than one document has
