@@ -141,7 +141,7 @@ def witnesses(nodes: DataFrame, edges: DataFrame, clauses: DataFrame, order: Dat
     return rows.groupBy("spec_id", "graph_id").applyInPandas(_search, "spec_id string, graph_id string, sink long, fact long, witness array<long>")
 
 
-def _search(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _search(key, rows):
     of = {w: rows[rows.what == w] for w in ("seed", "stop", "sink", "move", "rank")}
     rank = dict(zip(of["rank"].a, of["rank"].b, strict=True))
     stop, sinks = set(of["stop"].a), sorted(set(of["sink"].a), key=lambda n: (rank.get(n, 1 << 62), n))
