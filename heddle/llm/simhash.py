@@ -207,6 +207,8 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _probe_rows(partitions: list[Partition]):
+    """Rows of home and visited keys; the columns after the fingerprint go along."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
@@ -216,7 +218,7 @@ def _probe_rows(partitions: list[Partition]):
                     home = _keys(x, p.bits)
                     flips = [sum(1 << j for j in c) for t in range(1, p.threshold + 1) for c in combinations(range(len(p.bits)), t)]
                     for flip in [0, *flips]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(home ^ flip), b.column(0), pa.array(np.full(len(x), flip == 0))], names=["part", "key", "fp", "home"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(home ^ flip), b.column(0), pa.array(np.full(len(x), flip == 0)), *b.columns[1:]], names=["part", "key", "fp", "home", *b.schema.names[1:]])
 
     return rows
 
@@ -321,6 +323,42 @@ def links(fps: DataFrame, partitions: list[Partition], radius: int) -> DataFrame
     return rows.repartition("part", "key").mapInArrow(_verify(radius), "a binary, b binary").distinct()
 
 
+def _across(radius: int):
+    """Pairs of ids of unequal labels whose fingerprints meet in a key and are within the radius; block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        part, key, id_, label = (t[c].to_numpy() for c in ("part", "key", "id", "label"))
+        home = t["home"].to_numpy(zero_copy_only=False)
+        x = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        order = np.lexsort((key, part))
+        new = np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(key[order]) != 0)) + 1
+        for rows in np.split(order, new):
+            if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
+                continue
+            step = max(1, min(256, 500_000 // len(rows)))  # so that a crowded key takes no more memory
+            for s in range(0, len(rows), step):
+                some, rest = rows[s : s + step], rows[s:]
+                near = (label[some, None] != label[None, rest]) & (home[some, None] | home[None, rest])
+                i, j = np.nonzero(near)
+                close = distances(x[some[i]], x[rest[j]]) <= radius
+                a, b = id_[some[i[close]]], id_[rest[j[close]]]
+                if len(a):
+                    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return run
+
+
+def links_across(labelled: DataFrame, partitions: list[Partition], radius: int) -> DataFrame:
+    """All pairs (a, b) of ids, a < b, within the radius that meet and have unequal labels; labelled: fp, id, label."""
+    rows = labelled.select("fp", "id", "label").mapInArrow(_probe_rows(partitions), "part int, key bigint, fp binary, home boolean, id bigint, label bigint")
+    return rows.repartition("part", "key").mapInArrow(_across(radius), "a bigint, b bigint").distinct()
+
+
 def classes(docs: DataFrame, size: int = 3, radius: int = 3, choices: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """doc_id, fp, component_id for every row of docs (doc_id, text)."""
     fps = stored(fingerprints(docs, size), "fps")
@@ -392,8 +430,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
     Candidates are fingerprints of SKETCH_WORDS words that agree in one of SKETCH_PARTITIONS partitions
     and lie within the distance expected at `likeness` and two and a half standard errors; two texts
     at the likeness meet with a chance of 97 %, closer ones sooner. Links that hold the candidates together,
-    closest first, are then judged by the exact likeness of the shingle sets. Rows that share a doc_id
-    are one document, by the least of their fingerprints and shingle sets.
+    closest first, are then judged by the exact likeness of the shingle sets; where one fails, so are all
+    pairs of candidates between the two sides, so no candidate that is alike enough is lost. Rows that
+    share a doc_id are one document, by the least of their fingerprints and shingle sets.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     n_bits = 64 * SKETCH_WORDS
@@ -402,11 +441,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
     if distinct.isEmpty():
         return fps.select("doc_id", F.col("doc_id").alias("component_id"))
     partitions = plan(distinct, n_bits, SKETCH_PARTITIONS - 1, (SKETCH_PARTITIONS,))
-    found = stored(links(distinct, partitions, expected_distance(likeness, n_bits)), "candidates")
+    radius = expected_distance(likeness, n_bits)
+    found = stored(links(distinct, partitions, radius), "candidates")
     ids = distinct.select("fp", "doc_id")
     pairs = found.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    kept = likenesses(stored(pairs, "pairs"), docs.select(F.col("doc_id").alias("key"), "text"), size).where(F.col("likeness") >= likeness)
-    roots = components(kept.select("a", "b")).select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    texts = docs.select(F.col("doc_id").alias("key"), "text")
+    judged = stored(likenesses(stored(pairs, "pairs"), texts, size), "judged")
+    kept = judged.where(F.col("likeness") >= likeness).select("a", "b")
+    roots = components(kept)
+    # where a link that held candidates together fails, all other pairs between its two sides are judged, too
+    labels = stored(distinct.select("fp", F.col("doc_id").alias("id")).join(roots.toDF("id", "root"), "id", "left").select("fp", "id", F.coalesce("root", "id").alias("label")), "labels")
+    sides = labels.select("id", "label")
+    failed = judged.where(F.col("likeness") < likeness).join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").where("x <> y")
+    again = stored(labels.join(failed.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "label", "left_semi"), "again")
+    if not again.isEmpty():
+        more = stored(links_across(again, partitions, radius).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "more")
+        late = likenesses(more, texts, size).where(F.col("likeness") >= likeness).select("a", "b")
+        # the links so far are told by their roots
+        roots = components(roots.where("node <> root").toDF("a", "b").unionByName(late))
+    roots = roots.toDF("doc_id", "component_id")
     return _spread(fps, distinct, roots, "doc_id").select("doc_id", "component_id")
 
 

@@ -388,6 +388,26 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(got[i] != want[i] for i in want) <= 1 and all(got[i] == i or len(sets[i] & sets[got[i]]) > 0 for i in got)
 
 
+def test_near_duplicates_lose_no_link_beside_unlike_candidates(spark):
+    """Trees of copies of copies: alike enough are a text and its copy only, but all of a tree are candidates."""
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(4000)]
+    rows, parent = [], {}
+    for _ in range(4):
+        first = len(rows)
+        rows.append([rng.choice(words) for _ in range(70)])
+        for _ in range(40):
+            parent[len(rows)] = of = rng.randrange(first, len(rows))
+            copy = list(rows[of])
+            copy[rng.randrange(5, 65)] = rng.choice(words)
+            rows.append(copy)
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in docs}
+    assert all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in parent.items())
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, DOC)).collect()}
+    assert sum(got[i] != got[j] for i, j in parent.items()) <= 1
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
