@@ -59,7 +59,10 @@ def shingles(text: bytes | None, size: int) -> list[bytes]:
 
 def fingerprint(text: bytes | None, size: int = 3, words: int = 1) -> bytes:
     """8 * words bytes, most significant bit first; word k takes the hashes with seed SEED + k."""
-    found = shingles(text, size)
+    return _majority(shingles(text, size), words)
+
+
+def _majority(found: list[bytes], words: int) -> bytes:
     if not found:
         return bytes(8 * words)
     out = []
@@ -403,16 +406,34 @@ def expected_distance(likeness: float, n_bits: int, errors: float = 2.5) -> int:
     return int(n_bits * p + errors * (n_bits * p * (1 - p)) ** 0.5)
 
 
+def shingle_set(found: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Of shingles: a digest of their set, its 64-bit hashes in order, and where in `found` each is first."""
+    hashes, first = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], np.uint64), return_index=True)
+    return xxhash.xxh128_digest(hashes.tobytes()), hashes, first
+
+
+def sketches(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, fp, digest (of the shingle set) for every row of docs (doc_id, text)."""
+
+    def sketch(doc_id, text):
+        found = shingles(text, size)
+        return doc_id, _majority(found, SKETCH_WORDS), shingle_set(found)[0]
+
+    arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary())])
+    return map_rows(docs.select("doc_id", F.col("text").cast("binary")), sketch, arrow, "doc_id bigint, fp binary, digest binary")
+
+
 def likenesses(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(a, b, likeness) of pairs (a, b) of keys of texts (key, text): exact Jaccard likeness of shingle sets (64-bit hashes)."""
 
     def sets(key, text):
-        return key, np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, size)], np.uint64)).tobytes()
+        digest, hashes, _ = shingle_set(shingles(text, size))
+        return key, digest, hashes.tobytes()
 
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
     rows = texts.join(wanted, "key").select("key", F.col("text").cast("binary"))
-    found = map_rows(rows, sets, pa.schema([("key", pa.int64()), ("hashes", pa.binary())]), "key bigint, hashes binary")
-    found = stored(found.groupBy("key").agg(F.min("hashes").alias("hashes")), "sets")
+    found = map_rows(rows, sets, pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())]), "key bigint, digest binary, hashes binary")
+    found = stored(found.groupBy("key").agg(F.min_by("hashes", "digest").alias("hashes")), "sets")
     both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
 
     def compare(a, b, x, y):
@@ -427,30 +448,36 @@ def likenesses(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> DataFrame:
     """(doc_id, component_id): for each distinct doc_id of docs the least one of its group of near-duplicates.
 
-    Candidates are fingerprints of SKETCH_WORDS words that agree in one of SKETCH_PARTITIONS partitions
-    and lie within the distance expected at `likeness` and two and a half standard errors; two texts
-    at the likeness meet with a chance of 97 %, closer ones sooner. Links that hold the candidates together,
-    closest first, are then judged by the exact likeness of the shingle sets; where one fails, so are all
-    pairs of candidates between the two sides, so no candidate that is alike enough is lost. Rows that
-    share a doc_id are one document, by the least of their fingerprints and shingle sets.
+    Documents of equal shingle sets count once. Candidates are sets whose fingerprints of SKETCH_WORDS words
+    agree in one of SKETCH_PARTITIONS partitions and lie within the distance expected at `likeness` and two
+    and a half standard errors; two texts at the likeness meet with a chance of 97 %, closer ones sooner.
+    Links that hold the candidates together, closest first (of sets of one fingerprint, those to the least),
+    are then judged by the exact likeness of the shingle sets; where one fails, so are all pairs of
+    candidates between the two sides, so no candidate that is alike enough is lost. Rows that share a doc_id
+    are one document, by the shingle set of least digest.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     n_bits = 64 * SKETCH_WORDS
-    fps = stored(fingerprints(docs, size, SKETCH_WORDS).groupBy("doc_id").agg(F.min("fp").alias("fp")), "fps")
-    distinct = _distinct(fps)
+    least = F.min(F.struct("digest", "fp")).alias("least")
+    of = stored(sketches(docs, size).groupBy("doc_id").agg(least).select("doc_id", "least.fp", "least.digest"), "sketches")
+    sets = stored(of.groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "distinct")
+    distinct = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("sets")), "fps")
     if distinct.isEmpty():
-        return fps.select("doc_id", F.col("doc_id").alias("component_id"))
+        return of.select("doc_id", F.col("doc_id").alias("component_id"))
     partitions = plan(distinct, n_bits, SKETCH_PARTITIONS - 1, (SKETCH_PARTITIONS,))
     radius = expected_distance(likeness, n_bits)
     found = stored(links(distinct, partitions, radius), "candidates")
     ids = distinct.select("fp", "doc_id")
-    pairs = found.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    between = found.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    # sets of one fingerprint are candidates, too
+    inside = sets.join(distinct.where("sets > 1").select("fp", F.col("doc_id").alias("a")), "fp").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
+    pairs = between.unionByName(inside)
     texts = docs.select(F.col("doc_id").alias("key"), "text")
     judged = stored(likenesses(stored(pairs, "pairs"), texts, size), "judged")
     kept = judged.where(F.col("likeness") >= likeness).select("a", "b")
     roots = components(kept)
     # where a link that held candidates together fails, all other pairs between its two sides are judged, too
-    labels = stored(distinct.select("fp", F.col("doc_id").alias("id")).join(roots.toDF("id", "root"), "id", "left").select("fp", "id", F.coalesce("root", "id").alias("label")), "labels")
+    labels = stored(sets.select("fp", F.col("doc_id").alias("id")).join(roots.toDF("id", "root"), "id", "left").select("fp", "id", F.coalesce("root", "id").alias("label")), "labels")
     sides = labels.select("id", "label")
     failed = judged.where(F.col("likeness") < likeness).join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").where("x <> y")
     again = stored(labels.join(failed.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "label", "left_semi"), "again")
@@ -460,7 +487,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
         # the links so far are told by their roots
         roots = components(roots.where("node <> root").toDF("a", "b").unionByName(late))
     roots = roots.toDF("doc_id", "component_id")
-    return _spread(fps, distinct, roots, "doc_id").select("doc_id", "component_id")
+    by_set = F.col("digest").alias("fp")
+    return _spread(of.select("doc_id", by_set), sets.select(by_set, "doc_id", "copies"), roots, "doc_id").select("doc_id", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

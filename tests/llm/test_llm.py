@@ -408,6 +408,19 @@ def test_near_duplicates_lose_no_link_beside_unlike_candidates(spark):
     assert sum(got[i] != got[j] for i, j in parent.items()) <= 1
 
 
+def test_near_duplicates_of_one_fingerprint_are_judged(spark):
+    """A long run of one token fixes a fingerprint that counts repeats, whatever the other words are."""
+    rng = random.Random(21)
+    bases = [[f"u{rng.randrange(10**9)}" for _ in range(150)] for _ in range(8)]
+    # each base, and a copy of it that is its only near text
+    words = [*bases, *([*b[:-2], "x", f"y{i}"] for i, b in enumerate(bases))]
+    docs = [(i, " ".join(["-"] * 2000 + w)) for i, w in enumerate(words)]
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in docs}
+    want = _linked(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert want == {i: i % 8 for i in range(16)}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, DOC)).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
