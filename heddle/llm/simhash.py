@@ -413,11 +413,12 @@ def shingle_set(found: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp, digest (of the shingle set) for every row of docs (doc_id, text)."""
+    """doc_id, fp, digest of the shingle set of every row of docs (doc_id, text): repeats count neither in likeness nor here."""
 
     def sketch(doc_id, text):
         found = shingles(text, size)
-        return doc_id, _majority(found, SKETCH_WORDS), shingle_set(found)[0]
+        digest, _, first = shingle_set(found)
+        return doc_id, _majority([found[i] for i in first.tolist()], SKETCH_WORDS), digest
 
     arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary())])
     return map_rows(docs.select("doc_id", F.col("text").cast("binary")), sketch, arrow, "doc_id bigint, fp binary, digest binary")

@@ -421,6 +421,21 @@ def test_near_duplicates_of_one_fingerprint_are_judged(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, DOC)).collect()} == want
 
 
+def test_near_duplicates_of_repeated_lines(spark):
+    """Lines that a copy repeats change its shingle set little."""
+    rng = random.Random(22)
+    rows = []
+    for repeats in (5, 20, 50, 200):
+        base = [f"u{rng.randrange(10**9)}" for _ in range(600)]
+        line = [f"l{rng.randrange(10**9)}" for _ in range(8)]
+        rows += [base, base + line * repeats]
+    docs = [(i, " ".join(r)) for i, r in enumerate(rows)]
+    sets = {i: set(simhash.shingles(t.encode(), 5)) for i, t in docs}
+    want = _linked(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert want == {i: i - i % 2 for i in range(8)}
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(docs, DOC)).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
