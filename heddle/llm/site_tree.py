@@ -9,10 +9,12 @@ blocks of text). With m pages,
     importance   = (1 - GAMMA) * presentation + GAMMA * content,
 
 so what looks and reads alike on every page has an importance near 0. Branches below THRESHOLD that
-MIN_PAGES pages show are removed from each page. The markup's own word comes first: menus, footers,
-forms, adverts, notices, comments and the like go whatever their importance, and what a page marks as
-its article stays, for a paragraph that many articles quote is still theirs: such branches count for the
-importance of those around them, and have no node of their own.
+MIN_PAGES pages show are removed from each page. The
+markup's own word comes first: menus, footers, forms, adverts, notices, comments and the like go whatever
+their importance, and what a page marks as its article or main part stays, whatever is around it. Of the
+branches inside it those go that NEARLY_ALL pages of the host show, too: a template's branch has a path of
+its own with the same content everywhere, but a paragraph that many articles quote shares its path with
+their other paragraphs.
 
 Defined results: a null html is empty and gives an empty text; a null url is the host ''; a page without
 a marked article gives all blocks that are left; rows that repeat give rows that repeat. White space is
@@ -37,6 +39,7 @@ from heddle.llm.support import load, map_rows, rows_out, stored
 GAMMA = 0.9
 THRESHOLD = 0.25
 MIN_PAGES = 8
+NEARLY_ALL = 0.9
 
 # Elements of HTML and the words that sites name their parts by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -74,6 +77,8 @@ class Element:
     path: int
     noise: bool
     level: int  # BODY, MAIN or ARTICLE: how the page marks what is in it
+    marks: bool = False  # it is what makes the level
+    gone: bool = False  # in a branch that the tree removes
     children: list[str] = field(default_factory=list)
     blocks: list[int] = field(default_factory=list)
 
@@ -112,12 +117,13 @@ class Page:
             self.text, self.dark = [], []
 
     def _say(self, text: str) -> None:
-        (self.dark if self.stack[-1].noise else self.text).append(text)
+        top = self.stack[-1]
+        (self.dark if top.noise or top.gone else self.text).append(text)
 
     def _pop(self) -> None:
         e = self.stack.pop()
         if e.tag not in ROOTS:
-            if e.level == BODY:
+            if not e.marks:
                 self.nodes.append((e.path, _hash(" ".join(e.children)), e.blocks))
             self.stack[-1].blocks += e.blocks  # a branch's content is all text in it
 
@@ -148,9 +154,10 @@ class Page:
             noise = noise or not words.isdisjoint(NOISE_WORDS)
         if level != ARTICLE and (tag == "header" or "header" in words and tag not in ("html", "body", "main")):
             noise = True
-        path = _hash(f"{top.path}/{tag}.{re.sub(r'[0-9]+', '#', names.strip())}")
-        noise = noise or level == BODY and path in self.gone
-        self.stack.append(Element(tag, path, noise, level))
+        # the last bit tells what is inside a marked part
+        path = _hash(f"{top.path}/{tag}.{re.sub(r'[0-9]+', '#', names.strip())}") & ~1 | (level != BODY)
+        marks = level > top.level
+        self.stack.append(Element(tag, path, noise, level, marks, not marks and (top.gone or path in self.gone)))
 
     def _close(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -203,34 +210,35 @@ def host_of(url: str | None) -> str:
 
 # ---- the tree of each host
 
-STYLE, CONTENT = 0, 1
-_SEEN = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
-SEEN = "page_id bigint, host string, node bigint, kind int, value bigint"
+STYLE, CONTENT, PAGE = 0, 1, 2
+_SEEN = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
+SEEN = "page_id bigint, row bigint, host string, node bigint, kind int, value bigint"
 
 
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
-            for page_id, url, source in zip(b["page_id"].to_pylist(), b["url"].to_pylist(), b["html"], strict=True):
-                host, seen = host_of(url), set()
-                for path, style, blocks in Page(source.as_py() or "").nodes:
+            for page_id, row, url, source in zip(b["page_id"].to_pylist(), b["row"].to_pylist(), b["url"].to_pylist(), b["html"], strict=True):
+                host, page, seen = host_of(url), Page(source.as_py() or ""), set()
+                for path, style, blocks in page.nodes:
                     seen.add((path, STYLE, style))
                     seen.update((path, CONTENT, x) for x in blocks)
+                yield page_id, row, host, 0, PAGE, _hash("\n".join(block for _, block in page.found))
                 for node, kind, value in sorted(seen):
-                    yield page_id, host, node, kind, value
+                    yield page_id, row, host, node, kind, value
 
     return rows_out(_SEEN, rows(), 4096)
 
 
 def observed(pages: DataFrame) -> DataFrame:
-    """For each page the nodes that it shows, with their child sequences and text blocks (hashes)."""
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(_observe, SEEN)
+    """For each page a hash of its text, and the nodes that it shows, with their child sequences and text blocks (hashes)."""
+    return pages.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", "html").mapInArrow(_observe, SEEN)
 
 
 def importance(seen: DataFrame) -> DataFrame:
     """host, node, pages, presentation, content, importance over all pages of each host."""
     # counts are summed before they meet by node, so a host with many pages is a few rows from each task
-    each = seen.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
+    each = seen.where(F.col("kind") != PAGE).groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
     log = F.col("n") * F.log(F.col("n").cast("double"))
     sums = each.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == STYLE, F.col("n"))).alias("pages"),
@@ -249,7 +257,11 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     seen = stored(observed(pages), "nodes")
-    low = importance(seen).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES)).select("host", "node")
+    each = seen
+    low = importance(each).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES)).select("host", "node", "pages")
+    total = each.where(F.col("kind") == PAGE).groupBy("host").agg(F.count("*").alias("total"))
+    inside = F.col("node").bitwiseAND(F.lit(1)) == 1
+    low = low.join(total, "host").where(~inside | (F.col("pages") >= NEARLY_ALL * F.col("total"))).select("host", "node")
     shown = seen.where(F.col("kind") == STYLE).select("page_id", "host", "node").distinct()
     gone = shown.join(low, ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("gone"))
     # url and host belong together but for rows that share a page_id: a path of another host is on no page of this one

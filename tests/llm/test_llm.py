@@ -176,6 +176,19 @@ def test_op3_importance_removes_what_all_pages_share(spark):
     assert site_tree.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def _extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{body}</body></html>") for i, body in enumerate(pages)]
+    return [r.text for r in site_tree.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_op3_template_branches_inside_articles_go(spark):
+    """A licence branch on every page goes; a paragraph that all articles quote stays."""
+    pages = [f'<article><h1>Title {i}</h1><div class="story"><p>Text {i}</p><p>As they say</p></div><div class="lic"><p>Free to copy</p></div></article>' for i in range(12)]
+    assert _extracted(spark, pages) == [f"Title {i}\nText {i}\nAs they say" for i in range(12)]
+    # what only half of the pages show is no template
+    assert _extracted(spark, pages + [f"<article><p>Other {i}</p></article>" for i in range(12)])[0] == "Title 0\nText 0\nAs they say\nFree to copy"
+
+
 # ---- 4
 
 
