@@ -9,7 +9,7 @@ blocks of text). With m pages,
     importance   = (1 - GAMMA) * presentation + GAMMA * content,
 
 so what looks and reads alike on every page has an importance near 0. Branches below THRESHOLD that
-MIN_PAGES pages show are removed from each page. The
+MIN_PAGES pages show are removed from each page. Pages of a host that show the same text count once. The
 markup's own word comes first: menus, footers, forms, adverts, notices, comments and the like go whatever
 their importance, and what a page marks as its article or main part stays, whatever is around it. Of the
 branches inside it those go that NEARLY_ALL pages of the host show, too: a template's branch has a path of
@@ -235,6 +235,12 @@ def observed(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", "html").mapInArrow(_observe, SEEN)
 
 
+def once(seen: DataFrame) -> DataFrame:
+    """What one of the pages of each text shows, for each host; seen: written, so that its row numbers hold."""
+    first = seen.where(F.col("kind") == PAGE).groupBy("host", "value").agg(F.min("row").alias("row"))
+    return seen.join(first.select("row"), "row", "left_semi")
+
+
 def importance(seen: DataFrame) -> DataFrame:
     """host, node, pages, presentation, content, importance over all pages of each host."""
     # counts are summed before they meet by node, so a host with many pages is a few rows from each task
@@ -257,7 +263,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     seen = stored(observed(pages), "nodes")
-    each = seen
+    each = once(seen)
     low = importance(each).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES)).select("host", "node", "pages")
     total = each.where(F.col("kind") == PAGE).groupBy("host").agg(F.count("*").alias("total"))
     inside = F.col("node").bitwiseAND(F.lit(1)) == 1

@@ -189,6 +189,20 @@ def test_op3_template_branches_inside_articles_go(spark):
     assert _extracted(spark, pages + [f"<article><p>Other {i}</p></article>" for i in range(12)])[0] == "Title 0\nText 0\nAs they say\nFree to copy"
 
 
+@pytest.mark.parametrize("tag", ["article", "section"])
+def test_op3_copies_count_once(spark, tag):
+    """Copies of one page don't make the wrapper of all pages a template; an article stays in any wrapper."""
+    texts = ["Copied"] * 300 + [f"Text {i}" for i in range(20)]
+    pages = [f'<div id="page"><{tag}><p>{t}</p></{tag}></div>' for t in texts]
+    assert _extracted(spark, pages) == texts
+
+
+def test_op3_article_in_a_removed_wrapper_stays():
+    page = '<div id="page"><p>Welcome</p><article><p>Text</p></article></div>'
+    gone = frozenset(p for p, _, _ in site_tree.Page('<div id="page"><p>Welcome</p></div>').nodes)
+    assert site_tree.Page(page, gone).main_text() == "Text"
+
+
 # ---- 4
 
 
