@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; `run` writes
 each stage's result as Parquet to the shared folder and reads it again for the next. All but the last
-stage return the columns of documents. Rows with a null doc_id are never near-duplicates of others.
+stage return the columns of documents. Rows are judged each by its own text, also where they share a
+doc_id; a null doc_id comes after all others.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import packing, simhash, suffix_dedup, toxicity
-from heddle.llm.support import load, stored
+from heddle.llm.support import LAST_ID, load, stored, text_tag
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -30,20 +31,41 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.scored(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with two columns that tell a document: its doc_id (null: after all others) and 128 bits of its text."""
+    id_, tag = _free(docs, "key_id"), _free(docs, "key_tag")
+    return docs.withColumn(id_, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(tag, text_tag("text")), id_, tag
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group of near-duplicates: five-word shingles, likeness 0.8 or more."""
-    groups = simhash.near_duplicates(docs)
-    gone = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The document of smallest doc_id of each group of near-duplicates: five-word shingles, likeness 0.8 or more.
+
+    Rows are judged by their texts, whatever ids they share. A null doc_id comes after all others, equal ids go by a hash of the text,
+    and of rows that have both alike one stays (that of least hash of all columns).
+    """
+    near = simhash.near_duplicates(docs)
+    first = (F.col("id") == F.col("first_id")) & (F.col("tag") == F.col("first_tag"))
+    keyed, id_, tag = _keyed(docs)
+    near = stored(near.withColumn("first", first).select(F.col("id").alias(id_), F.col("tag").alias(tag), "copies", "first"), "near")
+    out = keyed.join(near.where("not first or copies > 1").select(id_, tag), [id_, tag], "left_anti").select(docs.columns)
+    repeated = keyed.join(near.where("first and copies > 1").select(id_, tag), [id_, tag], "left_semi")
+    whole = F.struct(*docs.columns)
+    one = repeated.groupBy(id_, tag).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(id_ + "row"))
+    return out.unionByName(one.select(id_ + "row.*"))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 50-byte strings of earlier documents; a character that is cut in two goes whole. n_chars follows the text."""
-    id_, kept_text = _free(docs, "kept_id"), _free(docs, "kept_text")
-    kept = suffix_dedup.deduplicated(docs.select("doc_id", "text")).where("n_removed > 0")
-    kept = kept.select(F.col("doc_id").alias(id_), F.col("text").alias(kept_text)).dropDuplicates([id_])
-    same = F.col(id_).isNull()
-    out = docs.join(kept, docs["doc_id"] == kept[id_], "left").withColumn("text", F.when(same, F.col("text")).otherwise(F.col(kept_text)))
+    """Texts without the 50-byte strings of earlier documents; a character that is cut in two goes whole. n_chars follows the text.
+
+    What a row loses follows from its doc_id (null: after all others) and its text, so rows that share an id keep what is their own.
+    """
+    keyed, id_, tag = _keyed(docs)
+    kept_text = _free(docs, "kept_text")
+    kept = suffix_dedup.deduplicated(docs.select("doc_id", "text"), with_tag=True).where("n_removed > 0")
+    kept = kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(id_), F.col("tag").alias(tag), F.col("text").alias(kept_text)).dropDuplicates([id_, tag])
+    out = keyed.join(kept, [id_, tag], "left")
+    same = F.col(kept_text).isNull()
+    out = out.withColumn("text", F.when(same, F.col("text")).otherwise(F.col(kept_text)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)

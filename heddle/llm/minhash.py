@@ -36,7 +36,7 @@ _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * _M1
     h = (h ^ (h >> np.uint64(29))) * _M2
     return h ^ (h >> np.uint64(32))
@@ -53,7 +53,7 @@ def shingle_hashes(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
     out = h[:n].copy()
     for k in range(1, size):
         out = out * _STEP + h[k : k + n]
-    return _mix(out + np.uint64(size))
+    return mix(out + np.uint64(size))
 
 
 _ATTEMPTS: dict[int, np.ndarray] = {}
@@ -63,7 +63,7 @@ def _attempts(bins: int, block: int) -> np.ndarray:
     """Bins that attempts 64 * block ... of each bin name."""
     if (key := bins << 20 | block) not in _ATTEMPTS:
         at = np.arange(bins, dtype=np.uint64)[:, None] << np.uint64(32) | (np.arange(64, dtype=np.uint64) + np.uint64(64 * block))
-        _ATTEMPTS[key] = (_mix(at + np.uint64(0x5851F42D4C957F2D)) % np.uint64(bins)).astype(np.int64)
+        _ATTEMPTS[key] = (mix(at + np.uint64(0x5851F42D4C957F2D)) % np.uint64(bins)).astype(np.int64)
     return _ATTEMPTS[key]
 
 
@@ -90,7 +90,7 @@ def fingerprint(text: bytes | None, bins: int = BINS, bits: int = BITS, size: in
     least = np.full(bins, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, bin_, h & np.uint64((1 << 40) - 1))
     values = densified(least, least != np.iinfo(np.uint64).max)
-    low = (_mix(values) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    low = (mix(values) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     return np.packbits(np.unpackbits(low[:, None], axis=1)[:, 8 - bits :].ravel()).tobytes()
 
 

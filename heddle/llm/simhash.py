@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.components import components
-from heddle.llm.support import load, map_rows, stored
+from heddle.llm.minhash import mix, shingle_hashes
+from heddle.llm.support import LAST_ID, load, map_rows, stored, text_tag
 
 SEED = 42
 #: Cost of a probe and of a candidate that is verified, in candidates.
 PROBE_COST = 20.0
 #: A group of more fingerprints than this is split again before it is verified pair by pair.
 CROWDED = 512
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 # ---- fingerprints
@@ -97,13 +99,13 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(column), -1), axis=1)
 
 
-def bit_statistics(fps: DataFrame, n_bits: int) -> tuple[int, np.ndarray]:
-    """Number of distinct fingerprints, and for each two bits in how many both are set."""
+def bit_statistics(fps: DataFrame, n_bits: int, first: int = 0) -> tuple[int, np.ndarray]:
+    """Number of distinct fingerprints, and for each two of n_bits bits in how many both are set."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((n_bits, n_bits)), 0
         for b in batches:
-            x = _bits(b.column(0)).astype(np.float32)
+            x = _bits(b.column(0))[:, first : first + n_bits].astype(np.float32)
             total += x.T @ x
             n += len(x)
         where = np.triu_indices(n_bits)
@@ -124,15 +126,17 @@ def correlated_groups(n: int, both: np.ndarray, parts: int) -> list[tuple[int, .
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-9))
     r = np.abs(both / max(n, 1) - np.outer(share, share)) / np.outer(spread, spread)
     np.fill_diagonal(r, 0)
-    left, groups = list(range(n_bits)), []
+    left, groups = np.arange(n_bits), []
     for k in range(parts):
         size = -(-len(left) // (parts - k))
-        group = [max(left, key=lambda i: (r[i, left].max(), -i))]
-        left.remove(group[0])
+        at = r[np.ix_(left, left)].max(1).argmax()  # of equals the least bit
+        group, left = [int(left[at])], np.delete(left, at)
+        near = r[left, group[0]].copy()
         while len(group) < size:
-            nxt = max(left, key=lambda i: (r[i, group].mean(), -i))
-            group.append(nxt)
-            left.remove(nxt)
+            at = near.argmax()
+            group.append(int(left[at]))
+            left, near = np.delete(left, at), np.delete(near, at)
+            near += r[left, group[-1]]
         groups.append(tuple(sorted(group)))
     return groups
 
@@ -178,12 +182,12 @@ def thresholds(costs: list[list[float]], radius: int) -> tuple[float, list[int]]
     return best[radius + 1]
 
 
-def plan(fps: DataFrame, n_bits: int, radius: int, choices: tuple[int, ...]) -> list[Partition]:
-    """Partitions and thresholds of least estimated cost among the given numbers of partitions; fps: distinct fp."""
-    n, both = bit_statistics(fps, n_bits)
-    groupings = [correlated_groups(n, both, m) for m in choices]
+def plan(fps: DataFrame, n_bits: int, radius: int, choices: tuple[int, ...], first: int = 0) -> list[Partition]:
+    """Partitions and thresholds of least estimated cost among the given numbers of partitions; fps: distinct fp, of which n_bits bits from `first` on count."""
+    n, both = bit_statistics(fps, n_bits, first)
+    groupings = [[tuple(first + i for i in g) for g in correlated_groups(n, both, m)] for m in choices]
     same = _same_key_pairs(fps, groupings)
-    share, options = np.diag(both) / max(n, 1), []
+    share, options = np.concatenate((np.zeros(first), np.diag(both) / max(n, 1))), []
     for g, groups in enumerate(groupings):
         costs = []
         for i, bits in enumerate(groups):
@@ -209,19 +213,21 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
-def _probe_rows(partitions: list[Partition]):
-    """Rows of home and visited keys; the columns after the fingerprint go along."""
+def _probe_rows(partitions: list[Partition], carried: int | None):
+    """Rows of home and visited keys, with the first `carried` bytes of the fingerprint and the node's name."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in range(0, batch.num_rows, 4096):
                 b = batch.slice(s, 4096)
-                x = _bits(b.column(0))
+                x, fp = _bits(b.column(0)), b.column(0)
+                if carried is not None:
+                    fp = pa.array([v[:carried] for v in fp.to_pylist()], pa.binary())
                 for i, p in enumerate(partitions):
                     home = _keys(x, p.bits)
                     flips = [sum(1 << j for j in c) for t in range(1, p.threshold + 1) for c in combinations(range(len(p.bits)), t)]
                     for flip in [0, *flips]:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(home ^ flip), b.column(0), pa.array(np.full(len(x), flip == 0)), *b.columns[1:]], names=["part", "key", "fp", "home", *b.schema.names[1:]])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), pa.array(home ^ flip), fp, pa.array(np.full(len(x), flip == 0)), b.column(1)], names=["part", "key", "fp", "home", "node"])
 
     return rows
 
@@ -277,21 +283,40 @@ def _close_pairs(x: np.ndarray, at: np.ndarray, home: np.ndarray, radius: int, s
     return found
 
 
+#: Rows of whole keys that are verified together; a key with more is verified by itself.
+TOGETHER = 50_000
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], together: int) -> Iterator[pa.Table]:
+    """Rows in order of (part, key) as tables of whole keys, of `together` rows or little more but for larger keys."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) >= together:
+            t = pa.Table.from_batches(held)
+            part, key = t["part"].to_numpy(), t["key"].to_numpy()
+            ends = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+            if len(ends):  # the last key may go on
+                yield t.slice(0, int(ends[-1]))
+                t = t.slice(int(ends[-1]))
+            held = t.combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _verify(radius: int):
-    """A spanning forest, closest links first, of the links between fingerprints that meet in this Spark partition."""
+    """Spanning forests, closest links first, of the links between fingerprints that meet in a key."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
+    def forest(t: pa.Table) -> Iterator[pa.RecordBatch]:
         part, key, home = t["part"].to_numpy(), t["key"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)
-        raw = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        x, of = np.unique(raw, axis=0, return_inverse=True) if raw.shape[1] > 1 else np.unique(raw[:, 0], return_inverse=True)
-        x, of = x.reshape(len(x), -1), of.ravel()
-        order = np.lexsort((key, part))
-        new = np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(key[order]) != 0)) + 1
-        begins = np.concatenate(([0], new))
+        raw = b"".join(t["node"].to_pylist())
+        names, first, of = np.unique(np.frombuffer(raw, f"V{len(raw) // t.num_rows}"), return_index=True, return_inverse=True)
+        fp = t["fp"].take(first).to_pylist()
+        x, of = np.frombuffer(b"".join(fp), np.uint64).reshape(len(fp), -1), of.ravel()
+        order = np.arange(len(of))
+        begins = np.concatenate(([0], np.flatnonzero((np.diff(part) != 0) | (np.diff(key) != 0)) + 1))
         sizes = np.diff(np.append(begins, len(order)))
         small = sizes <= 24
         found = [_NONE]
@@ -300,8 +325,8 @@ def _verify(radius: int):
         is_small = small[group]
         for d in range(1, int(sizes[small].max(initial=1))):
             i = np.flatnonzero((group[:-d] == group[d:]) & is_small[:-d])
-            a, b = of[order[i]], of[order[i + d]]
-            fits = (home[order[i]] | home[order[i + d]]) & (a != b)
+            a, b = of[i], of[i + d]
+            fits = (home[i] | home[i + d]) & (a != b)
             a, b = a[fits], b[fits]
             apart = distances(x[a], x[b])
             near = apart <= radius
@@ -315,51 +340,22 @@ def _verify(radius: int):
         kept, _ = spanning(*(np.concatenate(c) for c in zip(*found, strict=True)), len(x))
         for s in range(0, len(kept), 10_000):
             i, j = kept[s : s + 10_000].T
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x[i]], pa.binary()), pa.array([r.tobytes() for r in x[j]], pa.binary())], names=["a", "b"])
-
-    return run
-
-
-def links(fps: DataFrame, partitions: list[Partition], radius: int) -> DataFrame:
-    """Links (a, b) between distinct fingerprints within the radius that meet; enough of them to connect all that are linked."""
-    rows = fps.select("fp").mapInArrow(_probe_rows(partitions), "part int, key bigint, fp binary, home boolean")
-    return rows.repartition("part", "key").mapInArrow(_verify(radius), "a binary, b binary").distinct()
-
-
-def _across(radius: int):
-    """Pairs of ids of unequal labels whose fingerprints meet in a key and are within the radius; block by block."""
+            yield pa.RecordBatch.from_arrays([pa.array(names[i].tolist(), pa.binary()), pa.array(names[j].tolist(), pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        part, key, id_, label = (t[c].to_numpy() for c in ("part", "key", "id", "label"))
-        home = t["home"].to_numpy(zero_copy_only=False)
-        x = np.frombuffer(b"".join(t["fp"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
-        order = np.lexsort((key, part))
-        new = np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(key[order]) != 0)) + 1
-        for rows in np.split(order, new):
-            if len(rows) < 2 or (label[rows] == label[rows[0]]).all():
-                continue
-            step = max(1, min(256, 500_000 // len(rows)))  # so that a crowded key takes no more memory
-            for s in range(0, len(rows), step):
-                some, rest = rows[s : s + step], rows[s:]
-                near = (label[some, None] != label[None, rest]) & (home[some, None] | home[None, rest])
-                i, j = np.nonzero(near)
-                close = distances(x[some[i]], x[rest[j]]) <= radius
-                a, b = id_[some[i[close]]], id_[rest[j[close]]]
-                if len(a):
-                    found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+        for t in _keyed(batches, TOGETHER):
+            yield from forest(t)
 
     return run
 
 
-def links_across(labelled: DataFrame, partitions: list[Partition], radius: int) -> DataFrame:
-    """All pairs (a, b) of ids, a < b, within the radius that meet and have unequal labels; labelled: fp, id, label."""
-    rows = labelled.select("fp", "id", "label").mapInArrow(_probe_rows(partitions), "part int, key bigint, fp binary, home boolean, id bigint, label bigint")
-    return rows.repartition("part", "key").mapInArrow(_across(radius), "a bigint, b bigint").distinct()
+def links(fps: DataFrame, partitions: list[Partition], radius: int, carried: int | None = None) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (fp, and node, their names) within the radius that meet; enough of them to connect all that are linked.
+
+    carried: the fingerprints' first bytes that the radius is about, where that isn't the whole of them.
+    """
+    rows = fps.select("fp", "node").mapInArrow(_probe_rows(partitions, carried), "part int, key bigint, fp binary, home boolean, node binary")
+    return rows.repartition("part", "key").sortWithinPartitions("part", "key").mapInArrow(_verify(radius), "a binary, b binary").distinct()
 
 
 def classes(docs: DataFrame, size: int = 3, radius: int = 3, choices: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
@@ -368,14 +364,15 @@ def classes(docs: DataFrame, size: int = 3, radius: int = 3, choices: tuple[int,
     distinct = _distinct(fps)
     if distinct.isEmpty():
         return fps.withColumn("component_id", F.col("doc_id"))
-    found = components(links(distinct, plan(distinct, 64, radius, choices), radius))
+    found = components(links(distinct.select("fp", F.col("fp").alias("node")), plan(distinct, 64, radius, choices), radius))
     near = found.join(distinct, found["node"] == distinct["fp"]).select("root", "node", "doc_id")
     least = near.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of = near.select("root", "node").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    return _spread(fps, distinct, of, "fp")
+    each = distinct.join(of, "fp", "left").select("fp", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return spread(fps, "fp", stored(each, "components"), "component_id")
 
 
-#: A fingerprint of more than this share of all rows is joined by broadcast, so there are fewer than 1 / HOT_SHARE of them.
+#: A key of more than this share of all rows is joined by broadcast, so there are fewer than 1 / HOT_SHARE of them.
 HOT_SHARE = 0.01
 
 
@@ -383,113 +380,271 @@ def _distinct(fps: DataFrame) -> DataFrame:
     return stored(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "distinct")
 
 
-def _spread(fps: DataFrame, distinct: DataFrame, roots: DataFrame, key: str) -> DataFrame:
-    """doc_id, fp, component_id of all rows; roots: key (a column of distinct), component_id, of what has links; the rest stands alone."""
-    each = distinct.join(roots, key, "left").select("fp", "copies", F.coalesce("component_id", "doc_id").alias("component_id"))
-    each = stored(each, "components")
-    most = HOT_SHARE * (distinct.agg(F.sum("copies").alias("n")).first()["n"] or 0)
-    hot = F.broadcast(each.where(F.col("copies") > most).select("fp", "component_id"))
-    cold = fps.join(hot, "fp", "left_anti").join(each.select("fp", "component_id"), "fp")
-    return fps.join(hot, "fp").unionByName(cold).select("doc_id", "fp", "component_id")
+def spread(rows: DataFrame, key: str, each: DataFrame, value: str) -> DataFrame:
+    """All rows with their key's value; each: key, copies (about as many as rows have the key), value."""
+    most = HOT_SHARE * (each.agg(F.sum("copies").alias("n")).first()["n"] or 0)
+    hot = F.broadcast(each.where(F.col("copies") > most).select(key, value))
+    cold = rows.join(hot, key, "left_anti").join(each.select(key, value), key)
+    return rows.join(hot, key).unionByName(cold)
 
 
 # ---- near-duplicates by likeness of their shingle sets
 
-#: For likeness, fingerprints have so many 64-bit words, and as many partitions as below.
+#: Words of a fingerprint that its distance is about; its partitions' bits come after them.
 SKETCH_WORDS = 6
-SKETCH_PARTITIONS = 30
+#: Fingerprints that share a partition's key by chance, about, and the share of pairs exactly at the likeness that may fail to meet.
+BY_CHANCE = 8
+MISSED = 0.03
+#: Nodes and bytes that are compared at once.
+BLOCK = 512
+BLOCK_BYTES = 8 << 20
+
+
+def differing(likeness: float) -> float:
+    """The share of differing bits of two texts whose shingle sets have this Jaccard likeness."""
+    return float(np.arccos(min(1.0, 2 * likeness / (1 + likeness))) / np.pi)
 
 
 def expected_distance(likeness: float, n_bits: int, errors: float = 2.5) -> int:
-    """Differing bits of two texts whose shingle sets have this Jaccard likeness, and so many standard errors more."""
-    p = float(np.arccos(min(1.0, 2 * likeness / (1 + likeness))) / np.pi)
+    """Differing bits of two texts of this likeness, and so many standard errors more."""
+    p = differing(likeness)
     return int(n_bits * p + errors * (n_bits * p * (1 - p)) ** 0.5)
 
 
-def shingle_set(found: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Of shingles: a digest of their set, its 64-bit hashes in order, and where in `found` each is first."""
-    hashes, first = np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in found], np.uint64), return_index=True)
-    return xxhash.xxh128_digest(hashes.tobytes()), hashes, first
+def shape(n: int, likeness: float) -> tuple[int, int]:
+    """(partitions, their bits): partitions so wide that few of n fingerprints meet by chance, and enough of them for pairs at the likeness."""
+    width = max(12, int(np.ceil(np.log2(max(n, 1) / BY_CHANCE))))
+    agree = (1 - differing(likeness)) ** width
+    return int(np.ceil(np.log(MISSED) / np.log1p(-agree))), width
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The 64-bit hashes of a text's distinct shingles, in order."""
+    return np.unique(shingle_hashes(text, size))
+
+
+def sketch(hashes: np.ndarray, words: int) -> bytes:
+    """Majority bits of distinct shingles: 8 * words bytes."""
+    if not len(hashes):
+        return bytes(8 * words)
+    out = []
+    for step in _STEP * np.arange(1, words + 1, dtype=np.uint64):
+        bits = np.unpackbits(mix(hashes + step).view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(np.packbits(bits.sum(0, dtype=np.uint32) * 2 > len(hashes)).tobytes())
+    return b"".join(out)
 
 
-def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp, digest of the shingle set of every row of docs (doc_id, text): repeats count neither in likeness nor here."""
+def sketches(docs: DataFrame, size: int, words: int) -> DataFrame:
+    """id, tag, node (digest of the shingle set), fp of every row of docs (id, tag, text)."""
 
-    def sketch(doc_id, text):
-        found = shingles(text, size)
-        digest, _, first = shingle_set(found)
-        return doc_id, _majority([found[i] for i in first.tolist()], SKETCH_WORDS), digest
+    def one(id_, tag, text):
+        found = shingle_set(text, size)
+        return id_, tag, xxhash.xxh128_digest(found.tobytes()), sketch(found, words)
 
-    arrow = pa.schema([("doc_id", pa.int64()), ("fp", pa.binary()), ("digest", pa.binary())])
-    return map_rows(docs.select("doc_id", F.col("text").cast("binary")), sketch, arrow, "doc_id bigint, fp binary, digest binary")
+    arrow = pa.schema([("id", pa.int64()), ("tag", pa.binary()), ("node", pa.binary()), ("fp", pa.binary())])
+    return map_rows(docs.select("id", "tag", F.col("text").cast("binary")), one, arrow, "id bigint, tag binary, node binary, fp binary")
 
 
-def likenesses(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, b, likeness) of pairs (a, b) of keys of texts (key, text): exact Jaccard likeness of shingle sets (64-bit hashes)."""
+def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """node, hashes for each of nodes (node, id, tag: a row of docs that has its text)."""
+    rows = docs.join(nodes, ["id", "tag"]).select("node", F.col("text").cast("binary"))
+    arrow = pa.schema([("node", pa.binary()), ("hashes", pa.binary())])
+    return map_rows(rows, lambda n, t: (n, shingle_set(t, size).tobytes()), arrow, "node binary, hashes binary").dropDuplicates(["node"])
 
-    def sets(key, text):
-        digest, hashes, _ = shingle_set(shingles(text, size))
-        return key, digest, hashes.tobytes()
 
-    wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    rows = texts.join(wanted, "key").select("key", F.col("text").cast("binary"))
-    found = map_rows(rows, sets, pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary())]), "key bigint, digest binary, hashes binary")
-    found = stored(found.groupBy("key").agg(F.min_by("hashes", "digest").alias("hashes")), "sets")
-    both = pairs.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b")
+def _shared(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    return a, b, len(np.intersect1d(a, b, assume_unique=True))
+
+
+def likenesses(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, likeness) of pairs (a, b) of nodes: exact Jaccard likeness of their sets (node, hashes)."""
 
     def compare(a, b, x, y):
+        p, q, n = _shared(x, y)
+        union = len(p) + len(q) - n
+        return a, b, n / union if union else 1.0
+
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return map_rows(both.select("a", "b", "x", "y"), compare, pa.schema([("a", pa.binary()), ("b", pa.binary()), ("likeness", pa.float64())]), "a binary, b binary, likeness double")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+
+
+_APART = pa.schema([("grp", pa.int64()), ("node", pa.binary()), ("centre", pa.binary()), ("label", pa.binary()), ("size", pa.int64()), ("d", pa.binary()), ("alike", pa.bool_())])
+APART = "grp bigint, node binary, centre binary, label binary, size bigint, d binary, alike boolean"
+
+
+def apart(members: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """Members (grp, node, label, centre) with the size of their sets, the shingles `d` in which they differ from the centre's, and whether both are alike."""
+
+    def one(grp, node, centre, label, x, y):
         x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        union = len(x) + len(y) - shared
-        return a, b, shared / union if union else 1.0
+        d = np.setxor1d(x, y, assume_unique=True)
+        both = len(x) + len(y)
+        return grp, node, centre, label, len(x), d.tobytes(), both - len(d) >= likeness * (both + len(d))
 
-    return map_rows(both.select("a", "b", "x", "y"), compare, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likeness", pa.float64())]), "a bigint, b bigint, likeness double")
+    both = members.join(sets.toDF("node", "x"), "node").join(sets.toDF("centre", "y"), "centre")
+    return map_rows(both.select("grp", "node", "centre", "label", "x", "y"), one, _APART, APART)
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in zip(*batch.columns, strict=True):
+            grp, node, label, outer, d = (v.as_py() for v in row)
+            for s in range(0, len(d), 800_000):
+                e = np.frombuffer(d[s : s + 800_000], np.int64)
+                same = [pa.repeat(pa.scalar(v, t), len(e)) for v, t in ((grp, pa.int64()), (node, pa.binary()), (label, pa.binary()), (outer, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(e)], names=["grp", "node", "label", "outer", "e"])
+
+
+def _open(members: DataFrame, likeness: float) -> DataFrame:
+    """Members (grp, node, label, outer, size, d) that share enough of their differences with others to be alike one of another label.
+
+    Of two alike, neither differs from the other in more than (1 - s) / s of its own size; so all but as many of
+    its differences from the centre, and one at least, are the other's, too.
+    """
+    each = members.select("grp", "node", "label", "outer", "d").mapInArrow(_differences, "grp bigint, node binary, label binary, outer boolean, e bigint")
+    each = stored(each, "differences")
+    told = each.groupBy("grp", "e").agg(F.max("outer").alias("outer"), F.min("label").alias("least"), F.max("label").alias("largest"))
+    told = told.where(F.col("outer") & (F.col("least") != F.col("largest"))).select("grp", "e")
+    n = each.join(told, ["grp", "e"]).groupBy("grp", "node").agg(F.count("*").alias("shared"))
+    needed = F.greatest(F.lit(1), F.octet_length("d") / 8 - F.floor(F.col("size") * ((1 - likeness) / likeness) + 1e-9))
+    return members.join(n, ["grp", "node"]).where(F.col("shared") >= needed).drop("shared")
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of the sets x and y share."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    values, column, count = np.unique(np.concatenate((*x, *y)), return_inverse=True, return_counts=True)
+    column = np.where(count > 1, np.cumsum(count > 1) - 1, -1)[column.ravel()]
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in (*x, *y)])
+    row, column = row[column >= 0], column[column >= 0]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for s in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        at = slice(*np.searchsorted(column, [s, s + 2048]))
+        m = np.zeros((len(x) + len(y), 2048), np.float32)
+        m[row[at], column[at] - s] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out
+
+
+def _compare_blocks(likeness: float):
+    """A forest, closest first, of the links between outer nodes and all nodes of unequal labels in two blocks of a group."""
+
+    def run(key, t):
+        asks = t["asks"].to_numpy(zero_copy_only=False)
+        node, label = np.array(t["node"].to_pylist(), object), np.array(t["label"].to_pylist(), object)
+        d = [np.frombuffer(v, np.uint64) for v in t["d"].to_pylist()]
+        size, n = t["size"].to_numpy(), np.array([len(v) for v in d])
+        i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
+        if not len(i) or not len(j):
+            return _NO_PAIRS
+        unlike = n[i][:, None] + n[j] - 2 * _common([d[k] for k in i], [d[k] for k in j])
+        both = size[i][:, None] + size[j]
+        a, b = np.nonzero((both - unlike >= likeness * (both + unlike)) & (label[i][:, None] != label[j]))
+        if not len(a):
+            return _NO_PAIRS
+        _, of = np.unique(node, return_inverse=True)  # a node may be in both blocks
+        first = np.empty(of.max() + 1, np.int64)
+        first[of] = np.arange(len(of))
+        kept, _ = spanning(np.stack([of[i[a]], of[j[b]]], 1), unlike[a, b] / both[a, b], len(first))
+        return pa.table({"a": pa.array(node[first[kept[:, 0]]], pa.binary()), "b": pa.array(node[first[kept[:, 1]]], pa.binary())})
+
+    return run
+
+
+_NO_PAIRS = pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+
+
+def alike_outer(members: DataFrame, likeness: float) -> DataFrame:
+    """Links (a, b) between outer nodes and nodes of other labels of their groups (grp, node, label, outer, size, d): enough of them to connect all that are alike."""
+    members = stored(_open(members, likeness), "open")
+    load = members.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.octet_length("d")).alias("bytes"), F.max("outer").alias("any"))
+    load = load.where("any").select("grp", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    rows = members.join(load, "grp").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    columns = ["grp", "node", "label", "size", "d"]
+    ask = rows.where("outer").select(*columns, F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("asks"))
+    answer = rows.select(*columns, F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"))
+    return ask.unionByName(answer).groupBy("grp", "i", "j").applyInArrow(_compare_blocks(likeness), "a binary, b binary")
+
+
+def _relabelled(nodes: DataFrame, labels: DataFrame, kept: DataFrame) -> DataFrame:
+    """node, label of all nodes (label: the least node that links lead to); labels: those that aren't their own so far."""
+    roots = components(labels.where("node <> label").toDF("a", "b").unionByName(kept.select("a", "b")))
+    return stored(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+
+
+def linked_sets(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(node, label): the components of all links of at least `likeness` between nodes that pairs (a, b) connect.
+
+    The pairs given are judged first. In each group of connected nodes that then has several labels, all
+    are judged with the group's centre, the node of most links. Of a node x let D(x) be the shingles
+    that either it or the centre C has, and w(x) = k |D(x)| - |x| with k = (1 + s) / (1 - s) at likeness s. Where
+    D(x) and D(y) have nothing in common, x and y are alike if and only if w(x) + w(y) <= 0. Those not alike the
+    centre have w > |C|, and no w is below -|C|; so those that aren't linked to the centre, the outer ones, are
+    alike only nodes with which they share one of D. `_open` finds who shares enough of D with others; these
+    are compared in blocks, by their D alone, and no pair leaves a block but those of a forest.
+    """
+    nodes = sets.select("node")
+    judged = stored(likenesses(_ordered(pairs), sets), "judged")
+    good = judged.where(F.col("likeness") >= likeness)
+    labels = _relabelled(nodes, nodes.withColumn("label", F.col("node")), good)
+    if judged.where(F.col("likeness") < likeness).isEmpty():
+        return labels
+    degree = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    groups = components(pairs).select(F.xxhash64("root").alias("grp"), "node").join(labels, "node").join(degree, "node", "left")
+    groups = stored(groups.select("grp", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree")), "groups")
+    about = groups.groupBy("grp").agg(F.min("label").alias("least"), F.max("label").alias("largest"), F.max(F.struct("degree", "node")).alias("centre"))
+    about = about.where("least <> largest").select("grp", F.col("centre.node").alias("centre"))
+    members = stored(apart(groups.join(about, "grp").select("grp", "node", "label", "centre"), sets, likeness), "apart")
+    labels = _relabelled(nodes, labels, members.where("alike and node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")))
+    now = members.drop("label").join(labels, "node").join(labels.toDF("centre", "centre_label"), "centre")
+    now = stored(now.select("grp", "node", "label", (F.col("label") != F.col("centre_label")).alias("outer"), "size", "d"), "members")
+    open_ = now.where("outer").select("grp").distinct()
+    return _relabelled(nodes, labels, alike_outer(now.join(open_, "grp", "left_semi"), likeness))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> DataFrame:
-    """(doc_id, component_id): for each distinct doc_id of docs the least one of its group of near-duplicates.
-
-    Documents of equal shingle sets count once. Candidates are sets whose fingerprints of SKETCH_WORDS words
-    agree in one of SKETCH_PARTITIONS partitions and lie within the distance expected at `likeness` and two
-    and a half standard errors; two texts at the likeness meet with a chance of 97 %, closer ones sooner.
-    Links that hold the candidates together, closest first (of sets of one fingerprint, those to the least),
-    are then judged by the exact likeness of the shingle sets; where one fails, so are all pairs of
-    candidates between the two sides, so no candidate that is alike enough is lost. Rows that share a doc_id
-    are one document, by the shingle set of least digest.
+    """A row for each distinct (doc_id, text) of docs, with the first document of its group of near-duplicates.
+
+    Columns: id (doc_id; null: LAST_ID, after all others), tag (128-bit hash of the text; null: of the empty
+    one), copies (rows that have both), first_id and first_tag (the least of the group).
+
+    Documents of equal shingle sets count once. Candidates are sets whose fingerprints agree in one of the
+    partitions (within its threshold) and lie within the distance expected at `likeness` and two and a half
+    standard errors; a share MISSED of pairs exactly at the likeness fails to agree, closer ones less. The
+    partitions grow in number and width with the logarithm of the number of sets, so that few meet by chance at any
+    size. Links that hold the candidates together, closest first (of sets of one fingerprint, those to the
+    least), are then judged by the exact likeness of the shingle sets, and `linked_sets` finds all further links among
+    connected candidates. Texts without words are alike.
     """
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    n_bits = 64 * SKETCH_WORDS
-    least = F.min(F.struct("digest", "fp")).alias("least")
-    of = stored(sketches(docs, size).groupBy("doc_id").agg(least).select("doc_id", "least.fp", "least.digest"), "sketches")
-    sets = stored(of.groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")), "distinct")
-    distinct = stored(sets.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("sets")), "fps")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), text_tag("text").alias("tag"), "text")
+    parts, width = shape(docs.count(), likeness)
+    of = sketches(docs, size, SKETCH_WORDS + -(-parts * width // 64))
+    of = stored(of.groupBy("id", "tag", "node", "fp").agg(F.count("*").alias("copies")), "rows")
+    nodes = of.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("first"), F.min("fp").alias("fp"), F.sum("copies").alias("copies"))
+    nodes = stored(nodes.select("node", "first.id", "first.tag", "fp", "copies"), "nodes")
+    distinct = stored(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("sets")), "fps")
     if distinct.isEmpty():
-        return of.select("doc_id", F.col("doc_id").alias("component_id"))
-    partitions = plan(distinct, n_bits, SKETCH_PARTITIONS - 1, (SKETCH_PARTITIONS,))
-    radius = expected_distance(likeness, n_bits)
-    found = stored(links(distinct, partitions, radius), "candidates")
-    ids = distinct.select("fp", "doc_id")
-    between = found.join(ids.toDF("a", "i"), "a").join(ids.toDF("b", "j"), "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-    # sets of one fingerprint are candidates, too
-    inside = sets.join(distinct.where("sets > 1").select("fp", F.col("doc_id").alias("a")), "fp").where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    pairs = between.unionByName(inside)
-    texts = docs.select(F.col("doc_id").alias("key"), "text")
-    judged = stored(likenesses(stored(pairs, "pairs"), texts, size), "judged")
-    kept = judged.where(F.col("likeness") >= likeness).select("a", "b")
-    roots = components(kept)
-    # where a link that held candidates together fails, all other pairs between its two sides are judged, too
-    labels = stored(sets.select("fp", F.col("doc_id").alias("id")).join(roots.toDF("id", "root"), "id", "left").select("fp", "id", F.coalesce("root", "id").alias("label")), "labels")
-    sides = labels.select("id", "label")
-    failed = judged.where(F.col("likeness") < likeness).join(sides.toDF("a", "x"), "a").join(sides.toDF("b", "y"), "b").where("x <> y")
-    again = stored(labels.join(failed.select(F.explode(F.array("x", "y")).alias("label")).distinct(), "label", "left_semi"), "again")
-    if not again.isEmpty():
-        more = stored(links_across(again, partitions, radius).join(judged.select("a", "b"), ["a", "b"], "left_anti"), "more")
-        late = likenesses(more, texts, size).where(F.col("likeness") >= likeness).select("a", "b")
-        # the links so far are told by their roots
-        roots = components(roots.where("node <> root").toDF("a", "b").unionByName(late))
-    roots = roots.toDF("doc_id", "component_id")
-    by_set = F.col("digest").alias("fp")
-    return _spread(of.select("doc_id", by_set), sets.select(by_set, "doc_id", "copies"), roots, "doc_id").select("doc_id", "component_id")
+        return of.select("id", "tag", "copies", F.col("id").alias("first_id"), F.col("tag").alias("first_tag"))
+    bits = 64 * SKETCH_WORDS
+    partitions = plan(distinct, parts * width, parts - 1, (parts,), bits)
+    found = links(distinct, partitions, expected_distance(likeness, bits), bits // 8)
+    inside = nodes.join(distinct.where("sets > 1").select("fp", F.col("node").alias("a")), "fp").where("a <> node").select("a", F.col("node").alias("b"))
+    pairs = stored(found.unionByName(inside), "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(shingle_sets(docs, nodes.join(wanted, "node").select("node", "id", "tag"), size), "sets")
+    labels = linked_sets(pairs, sets, likeness)
+    least = labels.join(nodes, "node").groupBy("label").agg(F.min(F.struct("id", "tag")).alias("first"))
+    first = labels.join(least, "label").select("node", "first")
+    each = nodes.join(first, "node", "left").select("node", "copies", F.coalesce("first", F.struct("id", "tag")).alias("first"))
+    out = spread(of.select("id", "tag", "copies", "node"), "node", stored(each, "firsts"), "first")
+    return out.select("id", "tag", "copies", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

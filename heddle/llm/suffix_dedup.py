@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.bwt import DEPTH, common_prefix_groups
-from heddle.llm.support import load, parallelism, pieces, rows_out, stored, total_bytes
+from heddle.llm.support import LAST_ID, load, parallelism, pieces, rows_out, stored, total_bytes
 
 GROUP_BYTES = 12 << 20
 SEED = 20
@@ -44,7 +44,7 @@ ANCHOR = 16
 HOT_GROUPS = 512
 #: Bytes that one transform takes, but for a single key's.
 PART_BYTES = 1 << 20
-LAST = np.iinfo(np.int64).max
+LAST = LAST_ID
 
 U = np.uint64
 _RNG = np.random.default_rng(50)
@@ -450,8 +450,8 @@ def _expand(key, asked):
     return _table(rows())
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("text", pa.string())])
-KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, text string"
+_KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64())), ("text", pa.string()), ("tag", pa.binary())])
+KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, text string, tag binary"
 
 
 def covered(p: Part, known: Known, ids: np.ndarray) -> np.ndarray:
@@ -474,7 +474,7 @@ def covered(p: Part, known: Known, ids: np.ndarray) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def _apply(with_text: bool):
+def _apply(with_text: bool, with_tag: bool):
     def run(key, docs, told):
         texts, ids = _group(docs)
         known, names = Known(told), docs["doc_id"].to_pylist()
@@ -488,20 +488,21 @@ def _apply(with_text: bool):
                 for t, (b, e) in enumerate(zip(p.begins.tolist(), p.ends.tolist(), strict=True)):
                     removed = int(total[e] - total[b])
                     raw, spans = texts[p.first + t], []
+                    tag = hashlib.md5(raw, usedforsecurity=False).digest() if with_tag else None
                     if removed:
                         lo, hi = np.searchsorted(stop, b, "right"), np.searchsorted(edge, e, "left")
                         for i, j in zip(edge[lo:hi].tolist(), stop[lo:hi].tolist(), strict=True):
                             spans += [max(i, b) - b, min(j, e) - b]
                         raw = p.x[b:e][~gone[b:e]].tobytes()
-                    yield names[p.first + t], e - b, removed, len(spans) // 2, hashlib.sha256(raw).hexdigest(), spans, raw.decode("utf-8", "ignore") if with_text else None
+                    yield names[p.first + t], e - b, removed, len(spans) // 2, hashlib.sha256(raw).hexdigest(), spans, raw.decode("utf-8", "ignore") if with_text else None, tag
 
         return pa.Table.from_batches(rows_out(_KEPT, rows()), _KEPT)
 
     return run
 
 
-def deduplicated(documents: DataFrame, with_text: bool = True, hot_groups: int = HOT_GROUPS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash of the kept bytes and, if asked for, the kept text (without the rest of a character that was cut)."""
+def deduplicated(documents: DataFrame, with_text: bool = True, with_tag: bool = False, hot_groups: int = HOT_GROUPS, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash of the kept bytes and, if asked for, the kept text (without the rest of a character that was cut) and 128 bits of the whole text (`support.text_tag`)."""
     rows = documents.select(F.col("doc_id").cast("long"), "text")
     n = pieces(total_bytes(rows, "text"), group_bytes, least=parallelism(rows.sparkSession))
     group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n)).cast("int")
@@ -509,7 +510,7 @@ def deduplicated(documents: DataFrame, with_text: bool = True, hot_groups: int =
     told = stored(docs.groupBy("grp").applyInArrow(_name(n), WIRE).groupBy("bucket").applyInArrow(_meet(hot_groups), WIRE), "shared")
     asked = docs.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_contexts(n), WIRE)
     repeats = asked.groupBy("bucket").applyInArrow(_expand, WIRE)
-    return docs.groupBy("grp").cogroup(told.unionByName(repeats).groupBy("grp")).applyInArrow(_apply(with_text), KEPT)
+    return docs.groupBy("grp").cogroup(told.unionByName(repeats).groupBy("grp")).applyInArrow(_apply(with_text, with_tag), KEPT)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

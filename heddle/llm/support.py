@@ -9,9 +9,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A null doc_id stands after all others.
+LAST_ID = (1 << 63) - 1
 #: Rows that a Python worker hands back to Spark at once; bounds memory when texts are long.
 OUT_ROWS = 512
 
@@ -58,6 +60,11 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def text_tag(column: str) -> Column:
+    """128 bits that tell a text; null: as the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     """UTF-8 bytes in a string column, over all rows."""
     return df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
