@@ -9,8 +9,9 @@ toxic texts P and unlabelled texts U. With class prior pi and logistic loss the
 and where the second term falls below zero its gradient is taken the other way, which keeps a flexible
 model from fitting unlabelled toxic texts as negatives.
 
-The training sets are bounded samples (the rows of smallest hash of doc_id): MAX_POSITIVE confirmed
-texts, MAX_UNLABELLED texts. Everything else covers all rows; scoring is a narrow map.
+The training sets are bounded samples (the doc_ids of smallest hash): MAX_POSITIVE confirmed texts,
+MAX_UNLABELLED texts; of rows that share a doc_id the least text stands for all. Everything else covers all rows;
+scoring is a narrow map.
 
 Defined results: null and empty texts have no features and get the score of the intercept; a document
 with several labels counts as toxic if one says so; with no confirmed text, or no text at all, the score
@@ -170,12 +171,13 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column) -> Linear:
     """A classifier from the documents (doc_id, text) for which `learn` holds; labels: doc_id, toxic."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     docs = documents.select("doc_id", "text").where(learn)
-    ids = docs.select("doc_id").join(known, "doc_id", "left").withColumn("pick", F.xxhash64("doc_id", F.lit("pu")))
+    ids = docs.select("doc_id").where("doc_id is not null").distinct().join(known, "doc_id", "left").withColumn("pick", F.xxhash64("doc_id", F.lit("pu")))
     n = ids.agg(F.count("toxic").alias("known"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     prior = min(0.95, n["toxic"] / n["known"]) if n["known"] else 0.0
     take = lambda d, k, positive: d.orderBy("pick", "doc_id").limit(k).select("doc_id", F.lit(positive).alias("positive"))
     chosen = take(ids.where("toxic = 1"), MAX_POSITIVE, True).unionByName(take(ids, MAX_UNLABELLED, False))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("positive", "text")  # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    sample = docs.join(F.broadcast(chosen), "doc_id")  # at most MAX_POSITIVE + MAX_UNLABELLED distinct ids
+    sample = sample.groupBy("positive", "doc_id").agg(F.min("text").alias("text")).select("positive", "text")
     rows = sorted(map(tuple, sample.mapInArrow(_features, "positive boolean, ids binary").toLocalIterator()))  # one partition at a time
     as_arrays = lambda positive: [np.frombuffer(i, np.uint32) for p, i in rows if p == positive]
     return learn_model(as_arrays(True), as_arrays(False), prior)
