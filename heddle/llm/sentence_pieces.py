@@ -18,6 +18,7 @@ Defined results: null and empty texts have no ids; a null key counts as the text
 from __future__ import annotations
 
 import gc
+import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
@@ -40,6 +41,8 @@ VARIANTS = 3
 BATCH_CHARS = 6_000_000
 SPACE = "▁"
 SLOT_BITS = 21
+#: Characters of a chunk from which on its agenda is a heap.
+LONG = 512
 _CHUNK = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,6 +156,45 @@ class Pieces:
         raw, ends = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(1))).tolist()
         return [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
+    def _merged_long(self, ids: np.ndarray, name: int, rate: float) -> bytes:
+        """The same for one long chunk, with the agenda as a heap: a merge looks at its neighbours only."""
+        parts, width, limit = ids.tolist(), len(ids), min((1 << 64) - 1, int(rate * 2.0**64))
+        after, before = list(range(1, width + 1)), list(range(-1, width - 1))
+        current: dict[int, tuple] = {}  # the entry of the agenda that holds, by where its left piece begins
+        agenda: list[tuple] = []
+
+        def look(found: list[int]) -> None:
+            for at in found:
+                current.pop(at, None)
+            found = [at for at in found if at >= 0 and after[at] < width]
+            if not found:
+                return
+            mid = [after[at] for at in found]
+            score, union = self._candidates(np.array([parts[at] for at in found], np.int64), np.array([parts[m] for m in mid], np.int64))
+            key = np.array([(at << 40 | m << 20 | after[m]) & (1 << 64) - 1 for at, m in zip(found, mid, strict=True)], np.uint64)
+            if rate > 0:
+                score = np.where(_mix(np.uint64(name) ^ _mix(key * _ODD + np.uint64(1))) < np.uint64(limit), -np.inf, score)
+            for at, s, u in zip(found, score.tolist(), union.tolist(), strict=True):
+                if s > -np.inf:
+                    current[at] = entry = (-s, at, u, after[at], after[after[at]])
+                    heapq.heappush(agenda, entry)
+
+        look(list(range(width)))
+        while agenda:
+            entry = heapq.heappop(agenda)
+            at = entry[1]
+            if current.get(at) is not entry:
+                continue
+            mid = after[at]
+            parts[at], parts[mid] = entry[2], -2
+            current.pop(mid, None)
+            current.pop(at, None)
+            after[at] = after[mid]
+            if after[at] < width:
+                before[after[at]] = at
+            look([at, before[at]])
+        return np.array([p for p in parts if p != -2], np.int32).tobytes()
+
     def encode_chunks(self, chunks: list[str], variant: int, rate: float, seed: int) -> list[bytes]:
         """Ids of each chunk as 32-bit numbers."""
         out: list[bytes] = [b""] * len(chunks)
@@ -167,8 +209,9 @@ class Pieces:
                 part = group[s : s + max(1, 400_000 // width)].tolist()
                 codes = np.frombuffer("".join([chunks[i] for i in part]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, width)
                 found = self._ids(codes)
-                odd_ones = (found < 0).any(1).tolist()  # before the merging, which works in place
-                for i, ids, odd in zip(part, self._merged(found, chunk_names(codes) ^ key, rate), odd_ones, strict=True):
+                odd_ones, names = (found < 0).any(1).tolist(), chunk_names(codes) ^ key  # before the merging, which works in place
+                merged = [self._merged_long(x, int(k), rate) for x, k in zip(found, names, strict=True)] if width > LONG else self._merged(found, names, rate)
+                for i, ids, odd in zip(part, merged, odd_ones, strict=True):
                     if odd:
                         unknown = iter([ch for ch in chunks[i] if ch not in self.chars])
                         ids = np.array([k for j in np.frombuffer(ids, np.int32).tolist() for k in ([j] if j >= 0 else [self.bytes[b] for b in next(unknown).encode()])], np.int32).tobytes()
