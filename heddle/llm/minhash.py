@@ -138,7 +138,12 @@ def neighbours(docs: DataFrame, n_parts: int) -> DataFrame:
     cuts = sorted({int(c) for c in docs.approxQuantile("doc_id", [k / n_parts for k in range(1, n_parts)], 0.25 / n_parts)}) if n_parts > 1 else []
     part = F.lit(0)
     if cuts:  # how many cuts lie at or above doc_id: the ranges are numbered downward
-        part = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c >= F.col("doc_id")))
+        step = max(1, int(len(cuts) ** 0.5))
+        blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+        below = F.size(F.filter(F.lit([b[-1] for b in blocks]).cast("array<bigint>"), lambda c: c < F.col("doc_id")))  # whole blocks
+        block = F.get(F.array(*(F.lit(b).cast("array<bigint>") for b in blocks)), below)
+        inside = F.coalesce(F.size(F.filter(block, lambda c: c >= F.col("doc_id"))), F.lit(0))
+        part = F.greatest(F.lit(0), F.lit(len(cuts)) - (below + 1) * step) + F.greatest(F.lit(0), inside)
     docs = docs.withColumn("part", part.cast("int"))
     tops = {r["part"]: r["top"] for r in docs.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}
     order = sorted(tops)  # from the largest ids on
