@@ -8,13 +8,18 @@ blocks of text). With m pages,
     content      = 1 - mean over text blocks of log_m(pages with that block there),
     importance   = (1 - GAMMA) * presentation + GAMMA * content,
 
-so what looks and reads alike on every page has an importance near 0. Branches below THRESHOLD that
-MIN_PAGES pages show are removed from each page. Pages of a host that show the same text count once. The
-markup's own word comes first: menus, footers, forms, adverts, notices, comments and the like go whatever
-their importance, and what a page marks as its article or main part stays, whatever is around it. Of the
-branches inside it those go that NEARLY_ALL pages of the host show, too: a template's branch has a path of
+so what looks and reads alike on every page has an importance near 0; a branch that fewer than MIN_PAGES
+pages show has 1. Pages of a host that show the same text count once. What a branch is called is a prior
+on its importance: it is multiplied by CALLED_NOISE where the tag, role or class names a menu, advert, form, reader
+comment and the like, and by MAYBE_NOISE inside a marked article where the word may as well be the article's own
+(`response`, `notice`). Branches whose product is below THRESHOLD go from each page, wherever they are. Inside
+an article without such a name NEARLY_ALL pages of the host must show the branch, too: a template's branch has a path of
 its own with the same content everywhere, but a paragraph that many articles quote shares its path with
-their other paragraphs.
+their other paragraphs. The element that marks an article or main part has no importance itself, so no wrapper takes it along.
+
+Tags are read by HTML's rules in one pass: a quote opens a value only after "=", a tag that the page's end cuts is
+dropped, and the work is linear in the page. Elements nested deeper than MAX_DEPTH are part of the branch at
+that depth.
 
 Defined results: a null html is empty and gives an empty text; a null url is the host ''; a page without
 a marked article gives all blocks that are left; rows that repeat give rows that repeat. White space is
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import html as html_
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -40,6 +46,10 @@ GAMMA = 0.9
 THRESHOLD = 0.25
 MIN_PAGES = 8
 NEARLY_ALL = 0.9
+#: Priors of branches that are called noise, or may be.
+CALLED_NOISE = 0.1
+MAYBE_NOISE = 0.3
+MAX_DEPTH = 64
 
 # Elements of HTML and the words that sites name their parts by.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,6 +57,8 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NOISE_TAGS = frozenset("script style noscript template head title nav footer aside form button select textarea input label dialog menu iframe object svg canvas map audio video".split())
 NOISE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar sidebars aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond response responses reply replies discussion footer masthead pagination pager toolbar skip login search tracking".split())
+#: Of these, what an article's own parts may be called.
+OPEN_WORDS = frozenset("alert alerts banner crumbs discussion login masthead modal notice notices notification notifications overlay pager pagination popup promotion replies reply response responses search share sharing skip social toolbar tracking widget widgets".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 ARTICLE_CLASSES = frozenset("article-body article-content article-text articlebody entry-content post-body post-content post-text story-body story-content".split())
 CLOSES = {
@@ -64,8 +76,9 @@ ROOTS = frozenset(("", "html", "body"))
 #: An element that ends the search for one to close.
 SCOPES = frozenset("table ul ol dl div section article main body html td th button select form".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The end of a tag, or an attribute and its value; a quoted value and its closing quote.
+_ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"|\Z)|'([^']*+)('|\Z)|([^\s>\"'][^\s>]*+)?))?)")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 BODY, MAIN, ARTICLE = 0, 1, 2
@@ -83,22 +96,35 @@ class Element:
     blocks: list[int] = field(default_factory=list)
 
 
+#: Elements that the search for one to close looks at.
+CLOSING = SCOPES | frozenset().union(*CLOSES.values())
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, a, b, c in _ATTRIBUTE.findall(raw):
-        out.setdefault(name.lower(), html_.unescape(a or b or c))
-    return out
+def _tag(s: str, at: int) -> tuple[dict[str, str], int] | None:
+    """Attributes of a tag whose name ends at `at`, and where it ends; None if the page ends first."""
+    found: dict[str, str] = {}
+    while m := _ATTRIBUTE.match(s, at):
+        at = m.end()
+        if m[1]:
+            return found, at
+        if m[4] == "" or m[6] == "":
+            return None
+        value = m[3] or m[5] or m[7]
+        found.setdefault(m[2].lower(), html_.unescape(value) if value else "")
+    return None
 
 
 class Page:
-    """One pass over a page. gone: paths of branches to leave out."""
+    """One pass over a page. gone: paths of branches to leave out; prior: whether what branches are called counts."""
 
-    def __init__(self, source: str, gone: frozenset[int] = frozenset()):
-        self.gone, self.stack, self.nodes = gone, [Element("", 0, False, BODY)], []
+    def __init__(self, source: str, gone: frozenset[int] = frozenset(), prior: bool = True):
+        self.gone, self.prior, self.stack, self.nodes = gone, prior, [Element("", 0, False, BODY)], []
+        self.closing: list[int] = []  # places of such elements in the stack
+        self.open: Counter[str] = Counter()
         self.found: list[tuple[int, str]] = []
         self.text: list[str] = []
         self.dark: list[str] = []  # text of noise, for the tree only
@@ -107,11 +133,11 @@ class Page:
     def _flush(self) -> None:
         """Ends the block: of its words those outside noise are a block of the page."""
         if self.text or self.dark:
-            top = self.stack[-1]
+            top, node = self.stack[-1], self.stack[: MAX_DEPTH][-1]
             for text, out in ((self.text, self.found), (self.dark, None)):
                 if words := "".join(text).split():
                     block = " ".join(words)
-                    top.blocks.append(_hash(block))
+                    node.blocks.append(_hash(block))
                     if out is not None:
                         out.append((top.level, block))
             self.text, self.dark = [], []
@@ -122,20 +148,23 @@ class Page:
 
     def _pop(self) -> None:
         e = self.stack.pop()
-        if e.tag not in ROOTS:
+        self.open[e.tag] -= 1
+        if self.closing and self.closing[-1] == len(self.stack):
+            self.closing.pop()
+        if e.tag not in ROOTS and len(self.stack) < MAX_DEPTH:
             if not e.marks:
                 self.nodes.append((e.path, _hash(" ".join(e.children)), e.blocks))
             self.stack[-1].blocks += e.blocks  # a branch's content is all text in it
 
-    def _open(self, tag: str, raw: str) -> None:
-        a = _attributes(raw) if raw.strip(" \t\r\n/") else {}
+    def _open(self, tag: str, a: dict[str, str]) -> None:
         if tag in CLOSES:
-            for i in range(len(self.stack) - 1, 0, -1):
+            for i in reversed(self.closing):
                 t = self.stack[i].tag
                 if t in CLOSES[tag]:
                     while len(self.stack) > i:
                         self._pop()
-                elif t in SCOPES:
+                    break
+                if t in SCOPES:
                     break
         top = self.stack[-1]
         if not top.children or top.children[-1] != tag:
@@ -149,54 +178,87 @@ class Page:
             level = ARTICLE
         elif level == BODY and (tag == "main" or a.get("role", "").lower() == "main" or a.get("id", "").lower() == "main-content"):
             level = MAIN
-        noise = top.noise or tag in NOISE_TAGS or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        noise, maybe = self._called(tag, a, words, level) if self.prior else (tag in RAW, False)
+        # the last bits tell what is inside a marked part, and what may be noise
+        path = _hash(f"{top.path}/{tag}.{re.sub(r'[0-9]+', '#', names.strip())}") & ~3 | (level != BODY) | maybe << 1
+        marks = level > top.level
+        if tag in CLOSING:
+            self.closing.append(len(self.stack))
+        self.open[tag] += 1
+        self.stack.append(Element(tag, path, top.noise or noise, level, marks, not marks and (top.gone or path in self.gone)))
+
+    @staticmethod
+    def _called(tag: str, a: dict[str, str], words: set[str], level: int) -> tuple[bool, bool]:
+        """Whether the markup calls an element noise, and whether it may be."""
+        noise = tag in NOISE_TAGS or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+        maybe = False
         if words and tag not in ("html", "body", "main") and (tag != "article" or not words.isdisjoint(("comment", "comments", "reply", "related"))):
-            noise = noise or not words.isdisjoint(NOISE_WORDS)
+            named = words & NOISE_WORDS
+            maybe = bool(named) and level == ARTICLE and tag != "article" and named <= OPEN_WORDS
+            noise = noise or bool(named) and not maybe
         if level != ARTICLE and (tag == "header" or "header" in words and tag not in ("html", "body", "main")):
             noise = True
-        # the last bit tells what is inside a marked part
-        path = _hash(f"{top.path}/{tag}.{re.sub(r'[0-9]+', '#', names.strip())}") & ~1 | (level != BODY)
-        marks = level > top.level
-        self.stack.append(Element(tag, path, noise, level, marks, not marks and (top.gone or path in self.gone)))
+        return noise, maybe and not noise
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                while len(self.stack) > i:
-                    self._pop()
+        while self.open[tag] > 0:
+            last = self.stack[-1].tag
+            self._pop()
+            if last == tag:
                 return
 
     def _read(self, s: str) -> None:
         at, end = 0, len(s)
         while at < end:
-            m = _TOKEN.search(s, at)
+            begin = s.find("<", at)
             # a "<" that begins no tag is text
-            text = s[at : m.start() if m else end]
-            if text:
-                self._say(html_.unescape(text))
-            if not m:
+            while 0 <= begin < end - 1 and not (s[begin + 1] in "!?/" or s[begin + 1].isascii() and s[begin + 1].isalpha()):
+                begin = s.find("<", begin + 1)
+            if begin < 0 or begin == end - 1:
+                self._say(html_.unescape(s[at:]))
                 break
-            at, tag = m.end(), (m[2] or "").lower()
-            if m[0].startswith("<![CDATA["):
-                self._say(m[0][9:-3])
-            if not tag:
-                continue
-            if tag == "br":
-                self._say(" ")
-                continue
-            if tag in BLOCK:
-                self._flush()
-            if m[1]:
-                self._close(tag)
-                continue
-            self._open(tag, m[3])
-            if tag in RAW and not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
-                at = stop.start() if stop else end
+            if begin > at:
+                self._say(html_.unescape(s[at:begin]))
+            at = self._markup(s, begin, end)
         self._flush()
         while self.stack:
             self._pop()
 
+    def _markup(self, s: str, at: int, end: int) -> int:
+        """Reads the tag, comment or declaration at `at`, and says where it ends."""
+
+        def after(mark: str, start: int) -> int:
+            found = s.find(mark, start)
+            return end if found < 0 else found + len(mark)
+
+        if s.startswith("<!--", at):
+            return after("-->", at + 4)
+        if s.startswith("<![CDATA[", at):
+            stop = after("]]>", at + 9)
+            self._say(s[at + 9 : stop - 3 if s.startswith("]]>", stop - 3) else stop])
+            return stop
+        closing = s[at + 1] == "/"
+        name = _NAME.match(s, at + 1 + closing)
+        if not name:  # a declaration, or an end tag without a name, which HTML takes as a comment
+            return after(">", at + 1)
+        tag, found = name[0].lower(), _tag(s, name.end())
+        if not found:
+            return end
+        attributes, at = found
+        if tag == "br":
+            self._say(" ")
+            return at
+        if tag in BLOCK:
+            self._flush()
+        if closing:
+            self._close(tag)
+            return at
+        self._open(tag, attributes)
+        if tag in RAW and s[at - 2] != "/":
+            stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(s, at)
+            return stop.start() if stop else end
+        return at
+
     def main_text(self) -> str:
         """The blocks of the best marked level that has any."""
         best = max((level for level, _ in self.found), default=BODY)
@@ -215,11 +277,11 @@ _SEEN = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.str
 SEEN = "page_id bigint, row bigint, host string, node bigint, kind int, value bigint"
 
 
-def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _observe(batches: Iterator[pa.RecordBatch], named: bool) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
             for page_id, row, url, source in zip(b["page_id"].to_pylist(), b["row"].to_pylist(), b["url"].to_pylist(), b["html"], strict=True):
-                host, page, seen = host_of(url), Page(source.as_py() or ""), set()
+                host, page, seen = host_of(url), Page(source.as_py() or "", prior=named), set()
                 for path, style, blocks in page.nodes:
                     seen.add((path, STYLE, style))
                     seen.update((path, CONTENT, x) for x in blocks)
@@ -230,9 +292,9 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return rows_out(_SEEN, rows(), 4096)
 
 
-def observed(pages: DataFrame) -> DataFrame:
+def observed(pages: DataFrame, named: bool = True) -> DataFrame:
     """For each page a hash of its text, and the nodes that it shows, with their child sequences and text blocks (hashes)."""
-    return pages.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", "html").mapInArrow(_observe, SEEN)
+    return pages.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", "html").mapInArrow(lambda batches: _observe(batches, named), SEEN)
 
 
 def once(seen: DataFrame) -> DataFrame:
@@ -259,21 +321,22 @@ def importance(seen: DataFrame) -> DataFrame:
     return out.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text for each row of pages (page_id, url, html)."""
+def extracted(pages: DataFrame, named: bool = True) -> DataFrame:
+    """page_id, url, text for each row of pages (page_id, url, html). named: whether what branches are called counts, or the tree alone."""
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
-    seen = stored(observed(pages), "nodes")
+    seen = stored(observed(pages, named), "nodes")
     each = once(seen)
-    low = importance(each).where((F.col("importance") < THRESHOLD) & (F.col("pages") >= MIN_PAGES)).select("host", "node", "pages")
+    prior = F.when(F.col("node").bitwiseAND(F.lit(2)) == 2, MAYBE_NOISE).otherwise(1.0)
+    low = importance(each).where((F.col("importance") * prior < THRESHOLD) & (F.col("pages") >= MIN_PAGES)).select("host", "node", "pages")
     total = each.where(F.col("kind") == PAGE).groupBy("host").agg(F.count("*").alias("total"))
-    inside = F.col("node").bitwiseAND(F.lit(1)) == 1
-    low = low.join(total, "host").where(~inside | (F.col("pages") >= NEARLY_ALL * F.col("total"))).select("host", "node")
+    free = F.col("node").bitwiseAND(F.lit(3)) != 1
+    low = low.join(total, "host").where(free | (F.col("pages") >= NEARLY_ALL * F.col("total"))).select("host", "node")
     shown = seen.where(F.col("kind") == STYLE).select("page_id", "host", "node").distinct()
     gone = shown.join(low, ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("gone"))
     # url and host belong together but for rows that share a page_id: a path of another host is on no page of this one
     rows = pages.join(gone.withColumnRenamed("page_id", "gone_id"), F.col("page_id").eqNullSafe(F.col("gone_id")), "left").select("page_id", "url", "html", "gone")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-    return map_rows(rows, lambda i, u, h, g: (i, u, Page(h or "", frozenset(g or ())).main_text()), arrow, "page_id bigint, url string, text string")
+    return map_rows(rows, lambda i, u, h, g: (i, u, Page(h or "", frozenset(g or ()), named).main_text()), arrow, "page_id bigint, url string, text string")
 
 
 def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
