@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -219,6 +220,68 @@ def test_op3_article_in_a_removed_wrapper_stays():
     assert site_tree.Page(page, gone).main_text() == "Text"
 
 
+def test_op3_tags_are_read_by_the_rules_of_html():
+    text = lambda s: site_tree.Page(s).main_text()
+    assert text('<p class="a"">First</p><p class=b\'>Second') == "First\nSecond"
+    assert text('<p title="a > b">x</p><p title=\'<p>\'>y</p>') == "x\ny"
+    assert text('<p a=">z') == "" and text("kept<p") == "kept" and text("<p/class=x>y</p >z</ p>") == "y\nz"
+    assert text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>after") == "deep\nafter"
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<b>", "<b></x>", "<div>x", "<p><b>", "<", "\"'<p a=", "<!--", "</", "&"])
+def test_op3_hostile_pages_are_read_in_one_pass(unit):
+    """Twice the page, about twice the work."""
+    took = []
+    for n in (100_000, 400_000):
+        began = time.process_time()
+        site_tree.Page("<b>" * 1000 + unit * (n // len(unit))).main_text()
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1
+
+
+def test_op3_importance_by_brute_force(spark):
+    rng = random.Random(33)
+    pages = []
+    for i in range(40):
+        body = "".join(f'<div class="{rng.choice("abc")}">' + "".join(f"<{t}>{rng.choice(['same', f'own {i}', 'other'])}</{t}>" for t in rng.choices(("p", "h2"), k=rng.randrange(4))) + "</div>" for _ in range(rng.randrange(4)))
+        pages.append((i, f"http://{rng.choice('xy')}.example/", f"<body>{body}<p>page {i}</p>"))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {(r.host, r.node): (r.pages, r.presentation, r.content, r.importance) for r in site_tree.importance(site_tree.observed(df)).collect()}
+    shown = collections.defaultdict(lambda: ([], []))
+    for _, url, source in pages:
+        styles, blocks = collections.defaultdict(set), collections.defaultdict(set)
+        for path, style, found in site_tree.Page(source).nodes:
+            styles[path].add(style)
+            blocks[path] |= set(found)
+        for path in styles:
+            node = shown[site_tree.host_of(url), path]
+            node[0].append(styles[path])
+            node[1].append(blocks[path])
+    assert got.keys() == shown.keys()
+    for key, (styles, blocks) in shown.items():
+        n = collections.Counter(s for x in styles for s in x)
+        m = sum(n.values())
+        presentation = -sum(c / m * np.log(c / m) for c in n.values()) / np.log(m) if m > 1 else 1.0
+        k = collections.Counter(b for x in blocks for b in x)
+        each = [np.log(k[b]) / np.log(m) for x in blocks for b in x] if m > 1 else []
+        content = presentation if not k else 1 - min(1, np.mean(each)) if m > 1 else 1.0
+        assert got[key] == (m, pytest.approx(presentation), pytest.approx(content), pytest.approx(0.1 * presentation + 0.9 * content))
+
+
+def test_op3_a_name_inside_an_article_is_a_prior_only(spark):
+    """A branch that is called like noise stays where it says something of its own on each page, and goes where it repeats."""
+    pages = [f'<article><p>Text {i}</p><div class="response"><p>Answer {i}</p></div><div class="alert"><p>{"Old" if i % 2 else "New"}</p></div><section class="comments"><p>Says {i}</p></section></article>' for i in range(12)]
+    assert _extracted(spark, pages) == [f"Text {i}\nAnswer {i}" for i in range(12)]
+
+
+def test_op3_the_tree_alone(spark):
+    """Without names, entropy tells the menus of a host from its articles."""
+    pages = [f'<nav><p>Home</p><p>News</p></nav><div class="x1"><h1>Title {i}</h1><p>Text {i}</p></div><footer><p>All rights</p></footer>' for i in range(12)]
+    rows = spark.createDataFrame([(i, f"http://h.example/{i}", f"<html><body>{b}</body></html>") for i, b in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_tree.extracted(rows, named=False).collect()}
+    assert got == {i: f"Title {i}\nText {i}" for i in range(12)}
+
+
 # ---- 4
 
 
@@ -248,9 +311,28 @@ def test_op4_paths_of_trees(spark):
     assert ranked.select("tree_id", "leaf_id").distinct().groupBy("tree_id").count().where("count > 1").count() == 0
 
 
+def test_op4_cycles_are_on_no_path(spark):
+    rows = [(1, 0, None), (1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 0)]
+    for tree, size in ((1, 3), (2, 2), (3, 4), (4, 1), (5, 7)):  # cycles, and a tail that hangs on each
+        rows += [(tree, 100 + k, 100 + (k + 1) % size) for k in range(size)] + [(tree, 200, 100), (tree, 201, 200)]
+    rows += [(6, k, k - 1 if k else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "tree_id long, node_id long, parent_id long")
+    got = {(r.tree_id, r.leaf_id, r.depth, r.node_id) for r in chat.root_paths(df).collect()}
+    assert got == {(1, 3, d, d) for d in range(4)} | {(1, 4, 0, 0), (1, 4, 1, 4)} | {(6, 39, d, d) for d in range(40)}
+
+
 # ---- 5
 
 
+def test_op5_ranges(spark, monkeypatch):
+    """Many small ranges give what one gives."""
+    rows = [(i * 7 % 1000, f"text {i} of many words that go on") for i in range(700)] + [(5, "same")] * 3
+    df = spark.createDataFrame(rows, DOC)
+    one = sorted(map(tuple, minhash.compared(df).collect()))
+    monkeypatch.setattr(minhash, "PART_BYTES", 300)
+    assert sorted(map(tuple, minhash.compared(df).collect())) == one
+
+
 def test_op5_likeness_and_edits(docs, texts):
     got = {r.doc_id: r for r in minhash.compared(docs).collect()}
     order = sorted(texts, reverse=True)
@@ -305,6 +387,47 @@ def test_op6_best_fit_by_hand():
     assert [c for _, _, c in packing.pack([5], (8, 100))] == [8]
 
 
+def test_op6_equal_rows_are_dealt(spark, monkeypatch):
+    """Many equal rows are packed each, and no group gets them all."""
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 40_000)
+    monkeypatch.setattr(packing, "SHARED_TOKENS", 25_600)
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("").alias("text"))
+    df = df.unionByName(spark.range(500).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 300).alias("text")))
+    rows = packing.packed(df, (512, 2048)).collect()
+    assert len(rows) == 3500 and sum(r.length for r in rows) == 3000 + 500 * 301
+    assert max(collections.Counter(r.grp for r in rows).values()) < 1750
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.grp, r.bin].append((r.offset, r.length))
+    for b in bins.values():
+        assert all(a + n == c for (a, n), (c, _) in itertools.pairwise(sorted(b)))
+
+
+def _pack_by_rule(lengths, capacities):
+    """The rule as it is stated, without its data structures."""
+    bins, out, left = [], [], sum(lengths)
+    for n in lengths:
+        open_ = [(c - u, k) for k, (c, u) in enumerate(bins) if c - u >= n]
+        if open_:
+            k = min(open_)[1]
+        else:
+            _, c = min((packing.cost(c) / min(c, left), c) for c in capacities if c >= n)
+            k = len(bins)
+            bins.append([c, 0])
+        out.append((k, bins[k][1]))
+        bins[k][1] += n
+        left -= n
+    return [(k, at, min(c for c in capacities if c >= bins[k][1])) for k, at in out]
+
+
+def test_op6_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(60):
+        sizes = sorted(rng.sample(range(5, 200), rng.randrange(1, 4)))
+        lengths = sorted((rng.randrange(1, sizes[-1] + 1) for _ in range(rng.randrange(1, 80))), reverse=True)
+        assert packing.pack(lengths, tuple(sizes)) == _pack_by_rule(lengths, sizes)
+
+
 # ---- 7
 
 
@@ -350,6 +473,20 @@ def test_op7_agenda_by_hand(texts):
     assert [np.frombuffer(x, np.int32).tolist() for x in p.encode_chunks(chunks, 3, 0.3, 5)] == [agenda(c, 0.3, 5, 3) for c in chunks]
 
 
+def test_op7_long_chunks_give_the_same(texts, monkeypatch):
+    """The heap's agenda and the rounds over all chunks merge alike; an unbroken text takes seconds."""
+    p = sentence_pieces.Pieces.read(sentence_pieces.VOCABULARY)
+    chunks = sorted({c for t in list(texts.values())[:30] for c in sentence_pieces._CHUNK.findall(" " + t)})[:400] + ["x" * 300, "ab" * 200, "".join(texts.values()).replace(" ", "").replace("\n", "")[:3000], "日本語" * 90]
+    for rate in (0, 0.3):
+        monkeypatch.setattr(sentence_pieces, "LONG", 10_000)
+        want = p.encode_chunks(chunks, 2, rate, 5)
+        monkeypatch.setattr(sentence_pieces, "LONG", 1)
+        assert p.encode_chunks(chunks, 2, rate, 5) == want
+    monkeypatch.undo()
+    whole = "".join(texts.values()).replace(" ", "").replace("\n", "")[:80_000]
+    assert p.decode(p.encode([whole], [0])[0]) == whole
+
+
 # ---- 8
 
 
@@ -583,11 +720,64 @@ def test_op9_lost_packets_and_noise_are_seen():
     assert media.demux(b"\x00" * 188)["errors"] == 188 and media.demux(None)["units"] == []
 
 
-def test_op9_operators(spark, odd):
-    kept = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    back = media.read_streams(media.write_streams(kept, "doc_id", "text"), "doc_id", "media")
-    want = {i: (t or "").encode() for i, t in ODD if i is not None}
-    assert {r.doc_id: bytes(r.data) for r in back.collect()} == want
+def test_op9_packets_may_repeat_and_noise_may_stand_anywhere():
+    data = bytes(range(256)) * 40
+    stream = media.mux(data)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    read = lambda s: (media.demux(s)["data"].get(media.ES_PID), *(media.demux(s)[k] for k in ("gaps", "repeats", "errors")))
+    assert read(b"".join(p for p in packets for _ in range(2))) == (data, 0, len(packets), 0)
+    assert read(b"".join([*packets[:7], packets[6], *packets[7:]])) == (data, 0, 1, 0)
+    for noise in (b"x", b"G", b"Gx" * 40, bytes(500)):
+        assert read(noise + stream)[:2] == (data, 0) and media.demux(noise + stream)["errors"] == len(noise)
+        assert read(b"".join(packets[:9]) + noise + b"".join(packets[9:]))[:2] == (data, 0)
+    assert read(stream + stream[:100]) == (data, 0, 0, 100)
+    # a damaged sync byte costs its packet only
+    got = media.demux(b"".join([*packets[:9], b"\x00" + packets[9][1:], *packets[10:]]))
+    assert (got["gaps"], got["errors"]) == (1, 188) and len(got["units"]) == 3
+    rng = random.Random(9)
+    for _ in range(200):  # whatever comes
+        media.demux(bytes(rng.choice((0x47, 0, 1, 255)) for _ in range(rng.randrange(900))))
+
+
+def test_op9_tables_over_packets():
+    """Two long tables in one PID, cut over packets at odd places."""
+    many = b"".join((k).to_bytes(2, "big") + (0xE000 | 0x200 + k).to_bytes(2, "big") for k in range(1, 91))
+    one, two = media._section(0, 1, many), media._section(0, 2, (500).to_bytes(2, "big") + (0xE000 | 0x500).to_bytes(2, "big"))
+    packets, rest, first = [], one, True
+    while rest:
+        room = 184 - first
+        part, rest = rest[:room], rest[room:]
+        body = (b"\x00" if first else b"") + part
+        if not rest:  # the second begins where the first ends
+            body = bytes([len(part)]) + part + two
+            packets.append(media._head(0, True, 1, len(packets)) + body.ljust(184, b"\xff"))
+        else:
+            packets.append(media._head(0, first, 1, len(packets)) + body)
+        first = False
+    want = [(k, 0x200 + k) for k in range(1, 91)] + [(500, 0x500)]
+    assert media.demux(b"".join(packets))["programs"] == want
+    assert media.demux(packets[0] + packets[2])["programs"] in ([], [(500, 0x500)])
+
+
+def test_op9_operators(spark, odd, none):
+    back = media.read_streams(media.write_streams(odd.withColumn("units_", F.lit(1)), "text"))
+    got = back.collect()
+    assert sorted((support_none(r.doc_id), bytes(r.data)) for r in got) == sorted((support_none(i), (t or "").encode()) for i, t in ODD)
+    long = next(r for r in got if r.doc_id == 9)
+    assert [u.pts for u in long.units] == [k * media.TICKS for k in range(-(-len(LONG) // media.UNIT_BYTES))] and [u.random_access for u in long.units[:9]] == [True, *[False] * 7, True]
+    assert media.read_streams(media.write_streams(none, "text")).count() == 0
+
+
+def test_op9_query_by_brute_force(spark, tmp_path, odd):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r)[:7] for r in media.op9_transport_streams(spark, str(tmp_path)).na.fill({"doc_id": support.LAST_ID}).collect())
+    want = []
+    for i, t in ODD:
+        b = (t or "").encode()
+        p = b + bytes(max(64, -(-len(b) // 64) * 64) - len(b))
+        m = media.mux(p)
+        want.append((support_none(i), len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(m), hashlib.sha256(m).hexdigest()))
+    assert got == sorted(want)
 
 
 # ---- 10
@@ -613,6 +803,17 @@ def test_op10_learns_from_positives_and_unlabelled(spark):
     assert np.mean([got[i] >= 0.3 for i in got if i % 8]) < 0.02
 
 
+def test_op10_sample_is_bounded(spark, monkeypatch):
+    """Rows that share a doc_id count once in the sample."""
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 5)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 9)
+    seen = []
+    monkeypatch.setattr(toxicity, "learn_model", lambda p, u, prior: seen.append((len(p), len(u), prior)))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, f"vile {i}") for i in range(2, 40)] + [(None, "x")] * 5, DOC)
+    toxicity.train(docs, spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int"), F.lit(True))
+    assert seen == [(5, 9, pytest.approx(19 / 39))]
+
+
 def test_op10_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
     for d, n in ((odd, len(ODD)), (none, 0)):
