@@ -15,8 +15,9 @@ content, so that equal windows meet:
 5. `_apply`: each group's documents lose the bytes of windows whose least document is smaller.
 
 A key that many groups name (HOT_GROUPS) is dealt by its windows' own content instead of by key, so a
-line that is in every document is not one task's work. Nothing is capped: every window is decided. Keys
-are 64 bits, identities of chunks and runs 128 and 128 bits.
+line that is in every document is not one task's work. Nothing is capped: every window is decided.
+Identities of chunks are 128 bits, and one whose name of 64 bits is another's, too, is searched by its windows. Keys are 64 bits;
+they only deal windows. Runs are told apart by 64 bits within the groups that meet in one task.
 
 Defined results: a null text is empty; texts under 50 bytes lose nothing; rows with equal doc_id count
 as one document, each judged on its own text; a null doc_id comes after all others. Very long texts are
@@ -258,8 +259,12 @@ def _meet(hot_groups: int):
                 mine = asked.take(at)
                 a, b, low, high = _u(mine["a"]), _u(mine["b"]), _u(mine["c"], np.int64), _u(mine["d"], np.int64)
                 sizes = np.array([len(x) // 8 for x in mine["a"].to_pylist()])
-                names, _, least, _ = distinct(pair(a, b), low)
-                least = least[find(pair(a, b), names)]
+                name, least = pair(a, b), np.full(len(a), LAST)
+                names, place, _, _ = distinct(name, low)
+                place = place[find(name, names)]
+                same = np.flatnonzero((a[place] == a) & (b[place] == b))  # the name is half as long as the identity
+                names, _, low, _ = distinct(name[same], low[same])
+                least[same] = low[find(name[same], names)]
                 for g, s, n in zip(grp[at].tolist(), (np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
                     i = s + np.flatnonzero(least[s : s + n] < high[s : s + n])
                     if len(i):
@@ -284,7 +289,7 @@ class Known:
         a, b, least = _u(t["a"]), _u(t["b"]), _u(t["c"], np.int64)
         names = pair(a, b)
         order = np.argsort(names)
-        self.chunks, self.least = names[order], least[order]
+        self.chunks, self.halves, self.least = names[order], (a[order], b[order]), least[order]
         t = of(REPEATS)
         names, self.low, self.high, ids = _u(t["a"]), _u(t["b"], np.uint8), _u(t["c"], np.uint8), _u(t["d"], np.int64)
         order = np.argsort(names, kind="stable")
@@ -294,7 +299,10 @@ class Known:
         """Runs that lie in a chunk of an earlier document; then what is left to search: text, start, windows, key."""
         text, a, b = p.chunks(spans)
         at = find(pair(a, b), self.chunks)
-        copied = (at >= 0) & (self.least[np.maximum(at, 0)] < ids[text + p.first]) if len(self.chunks) else np.zeros(len(text), bool)
+        copied = np.zeros(len(text), bool)
+        if len(self.chunks):
+            i = np.maximum(at, 0)
+            copied = (at >= 0) & (self.halves[0][i] == a) & (self.halves[1][i] == b) & (self.least[i] < ids[text + p.first])
         copied = copied[p.chunk]
         at = find(p.key, self.keys)
         look = np.flatnonzero((at >= 0) & ~copied)
