@@ -13,7 +13,8 @@ Texts in several languages share little: training counts are also kept for each
 values of a column of the training rows (`lang`), as components k with weights by training texts, in
 which the formula holds with the component's own c, d, V, N and piece weights, and the overall counts'
 P(token) in the place of P_pieces. A text's probability is the sum over components of weight times the product over its tokens.
-A text is scored from its characters alone; the column has no part in that.
+A text is scored from its characters alone; the column has no part in that. `vocabulary_score` is the likelihood
+by the vocabulary's own weights alone, without anything learnt but the share of ends.
 
 The end of a text is a token of its own, with the share of ends among training tokens.
 
@@ -213,8 +214,9 @@ def _sum(key, table):
 
 
 def fit(totals: DataFrame, lattice: Lattice, parts: int, rounds: int = ROUNDS) -> Lattice:
-    """Rounds of expectation-maximisation in each component, every distinct training word weighing 1: pieces are for words that the counts don't know."""
-    lattice = Lattice(lattice.names, np.repeat(lattice.log_p, parts, axis=0))
+    """Rounds of expectation-maximisation in each component, every distinct training word weighing 1: pieces are for words that the counts don't know. The last row of weights is the vocabulary's own."""
+    own = lattice.log_p
+    lattice = Lattice(lattice.names, np.repeat(own, parts, axis=0))
     prior = np.exp(lattice.log_p)
     for _ in range(rounds):
         shared = totals.sparkSession.sparkContext.broadcast(lattice)  # as large as the vocabulary
@@ -233,7 +235,7 @@ def fit(totals: DataFrame, lattice: Lattice, parts: int, rounds: int = ROUNDS) -
         n = prior * PRIOR_COUNTS
         n[rows["part"].to_numpy(), rows["piece"].to_numpy()] += rows["n"].to_numpy()
         lattice = Lattice(lattice.names, np.log(n / n.sum(1, keepdims=True)))
-    return lattice
+    return Lattice(lattice.names, np.concatenate((lattice.log_p, own)))
 
 
 def _discounted(c: np.ndarray, facts: dict, under: np.ndarray) -> np.ndarray:
@@ -248,7 +250,7 @@ _ANSWER = pa.schema([("grp", pa.int32()), ("words", pa.binary()), ("counts", pa.
 
 
 def _answer(shared, overall: dict, parts: list[dict]):
-    """Each group's words with their training counts and, for each component, natural log probabilities; facts as in _score."""
+    """Each group's words with their training counts and natural log probabilities, for each component and by the vocabulary's weights; facts as in _score."""
 
     def run(key, asked, totals):
         place: dict[bytes, int] = {}
@@ -259,7 +261,7 @@ def _answer(shared, overall: dict, parts: list[dict]):
             log_p.append(shared.value.log_probability(words))
         counts, log_p = np.concatenate(counts, axis=1), np.concatenate(log_p, axis=1)
         total = counts.sum(0)
-        log_p = np.stack([_discounted(k, f, _discounted(total, overall, p)) for k, f, p in zip(counts, parts, log_p, strict=True)], 1).astype(np.float32)
+        log_p = np.stack([*(_discounted(k, f, _discounted(total, overall, p)) for k, f, p in zip(counts, parts, log_p, strict=False)), log_p[-1]], 1).astype(np.float32)
 
         def rows():
             for grp, words in zip(asked["grp"].to_pylist(), asked["words"], strict=True):
@@ -271,8 +273,8 @@ def _answer(shared, overall: dict, parts: list[dict]):
     return run
 
 
-_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+_SCORE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("vocabulary_score", pa.float64())])
+SCORE = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, vocabulary_score double"
 
 
 def _score(overall: dict, parts: list[dict]):
@@ -304,10 +306,10 @@ def _score(overall: dict, parts: list[dict]):
                 if len(at):
                     b, k, q = base[at].sum(), int(known[at].sum()), by_part[at].sum(0, dtype=np.float64)
                 else:
-                    b, k, q = 0.0, 0, np.zeros(len(parts))
+                    b, k, q = 0.0, 0, np.zeros(len(parts) + 1)
                 tail = len(at) * log_word + log_end
-                mixed = float(np.logaddexp.reduce(q + weights))
-                yield doc_id, not trained(doc_id), len(at) + 1, k + (n_texts > 0), n, float(b) + base_end, (mixed + tail) / tens
+                mixed = float(np.logaddexp.reduce(q[:-1] + weights))
+                yield doc_id, not trained(doc_id), len(at) + 1, k + (n_texts > 0), n, float(b) + base_end, (mixed + tail) / tens, (float(q[-1]) + tail) / tens
 
         return pa.Table.from_batches(rows_out(_SCORE, rows()), _SCORE)
 
@@ -323,7 +325,7 @@ def _facts(batches):
 
 
 def scored(documents: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS, by: str | None = None) -> DataFrame:
-    """A row with both scores for each row of documents (doc_id, text), learnt from those that `trained` picks. by: the training rows' column for components."""
+    """A row with the scores for each row of documents (doc_id, text), learnt from those that `trained` picks. by: the training rows' column for components."""
     spark = documents.sparkSession
     kind = F.col(by).cast("string") if by else F.lit(None).cast("string")
     documents = documents.select(F.col("doc_id").cast("long"), "text", kind.alias("kind"))
