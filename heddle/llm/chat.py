@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.llm.support import load, map_rows, stored
+from heddle.llm.support import forget, load, map_rows, stored
 
 # The control strings of the template.
 CONTROLS = ["<s>", "</s>", "[INST]", "[/INST]", "[SYS]", "[/SYS]", "[ROLE:", "[/ROLE]"]
@@ -91,6 +91,7 @@ def root_paths(messages: DataFrame) -> DataFrame:
     paths = stored(m.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).alias("back")), "paths")
     reach = 1
     while left:
+        old = paths, up
         higher = paths.join(up, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("back") + reach).alias("back"))
         paths = stored(paths.unionByName(higher), "paths")
         twice = up.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
@@ -98,6 +99,7 @@ def root_paths(messages: DataFrame) -> DataFrame:
         reach *= 2
         # a tree with messages deeper than this has some at each depth before it, which have dropped out by now
         before, left = left, up.count()
+        forget(*old)
         if left == before:
             lost = up.select("tree_id", F.col("node_id").alias("leaf_id"))
             paths = stored(paths.join(lost, ["tree_id", "leaf_id"], "left_anti"), "paths")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.support import stored
+from heddle.llm.support import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _content(edges: DataFrame) -> tuple:
+    """The number of distinct links and two combinations of their hashes, which tell sets of links apart."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node that has a link; root is the least node of the component.
 
@@ -30,11 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = stored(e, "links")
+    now = _content(e)
     while True:
         after = stored(_small_star(_large_star(e)), "links")
-        if after.exceptAll(e).isEmpty() and e.exceptAll(after).isEmpty():
-            break
+        seen, now = now, _content(after)
+        forget(e)
         e = after
+        if seen == now:
+            break
     # now every link goes from a node to its root
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

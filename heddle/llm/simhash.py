@@ -597,7 +597,10 @@ def linked_sets(pairs: DataFrame, sets: DataFrame, likeness: float) -> DataFrame
     if judged.where(F.col("likeness") < likeness).isEmpty():
         return labels
     degree = good.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    groups = components(pairs).select(F.xxhash64("root").alias("grp"), "node").join(labels, "node").join(degree, "node", "left")
+    # failed links join labels to groups
+    ends = judged.where(F.col("likeness") < likeness).join(labels.toDF("a", "x"), "a").join(labels.toDF("b", "y"), "b")
+    joined = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    groups = joined.select(F.xxhash64("root").alias("grp"), F.col("node").alias("label")).join(labels, "label").join(degree, "node", "left")
     groups = stored(groups.select("grp", "node", "label", F.coalesce("degree", F.lit(0)).alias("degree")), "groups")
     about = groups.groupBy("grp").agg(F.min("label").alias("least"), F.max("label").alias("largest"), F.max(F.struct("degree", "node")).alias("centre"))
     about = about.where("least <> largest").select("grp", F.col("centre.node").alias("centre"))

@@ -6,6 +6,7 @@ import atexit
 import math
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,9 +35,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests), a temporary one is set."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a temporary one in local mode only: the machines of a cluster don't share it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="heddle-")
         shared_dir.own = where
     return where.rstrip("/")
@@ -49,7 +52,20 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+#: Where written tables are, as long as somebody holds them.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, such as the rounds of a loop."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            _drop(t.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
