@@ -167,6 +167,20 @@ def test_op2_lattice_sums_all_segmentations():
     assert e @ np.array([len(x) for x in names]) == pytest.approx(len(lattice.WORD_START) + 6)
 
 
+def test_op2_vocabulary_score(spark):
+    """The likelihood by the vocabulary's own weights, over all segmentations of each word, and the share of ends."""
+    rows = [(i, f"Some words here, {i} and more") for i in range(12)] + [(100, ""), (101, None)]
+    got = {r.doc_id: r for r in lattice.scored(spark.createDataFrame(rows, DOC)).collect()}
+    lat = lattice.Lattice.read(lattice.VOCABULARY)
+    ends = sum(zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows)
+    n = next(iter(got.values())).train_tokens
+    end = (ends + 0.5) / (n - ends + ends + 1)
+    for i, t in rows:
+        words = lattice.words_of((t or "").encode())
+        want = lat.log_probability(words)[0].sum() if words else 0.0
+        assert got[i].vocabulary_score == pytest.approx((want + len(words) * np.log(1 - end) + np.log(end)) / np.log(10), rel=1e-5)
+
+
 def test_op2_odd(odd, none):
     rows = lattice.scored(odd).collect()
     assert len(rows) == len(ODD) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
