@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import pairwise
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,12 +112,19 @@ class _Graph:
         return best[1], True
 
 
-def _canonical(nodes: pd.DataFrame, edges: pd.DataFrame, most: int) -> tuple[list[int], bytes, bool]:
-    """Node ids in canonical order, the encoding, and whether it is strong."""
-    nodes = nodes.sort_values("node_id")
-    place = {v: i for i, v in enumerate(nodes.node_id)}
-    rows = list(nodes.itertuples(index=False))
-    g = _Graph([label_bytes(r) for r in rows], [(place[e.src], place[e.dst], e.kind) for e in edges.itertuples(index=False)])
+class Node(NamedTuple):
+    node_id: int
+    kind: str
+    operator_or_literal: str
+    resolved_fqn: str
+    enclosing_decl_fqn: str
+    structural_path: str
+
+
+def _canonical(rows: list[Node], edges: list[tuple[int, int, str]], most: int) -> tuple[list[int], bytes, bool]:
+    """Node ids in canonical order, the encoding, and whether it is strong; rows by node_id."""
+    place = {v.node_id: i for i, v in enumerate(rows)}
+    g = _Graph([label_bytes(r) for r in rows], [(place[a], place[b], kind) for a, b, kind in edges])
     colors, whole = g.canonical(most) if rows else ([], True)
     if not whole:
         key = lambda i: (hashlib.sha256(rows[i].enclosing_decl_fqn.encode()).hexdigest(), rows[i].structural_path, sorted(k for _, k, _ in g.at[i]), g.labels[i], rows[i].node_id)
@@ -128,32 +136,48 @@ def _canonical(nodes: pd.DataFrame, edges: pd.DataFrame, most: int) -> tuple[lis
     return [int(rows[v].node_id) for v in order], g.encoding(colors), whole
 
 
+def _each_graph(nodes: DataFrame, edges: DataFrame, one: Callable[[list[Node], list[tuple]], tuple], columns: str) -> DataFrame:
+    """graph_id and the columns that `one` makes of each graph's nodes and edges; a graph is gathered into one row."""
+    n = nodes.groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*Node._fields))).alias("nodes"))
+    e = edges.groupBy("graph_id").agg(F.collect_list(F.struct("src", "dst", "kind")).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for graph, ns, es in zip(*(b[c] for c in ("graph_id", "nodes", "edges")), strict=True):
+                found = one([Node(**v) for v in ns.as_py()], [(v["src"], v["dst"], v["kind"]) for v in es.as_py() or []])
+                out.append((graph.as_py(), *found))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
+
+    names = ["graph_id", *(c.split()[0] for c in columns.split(", "))]
+    return n.join(e, "graph_id", "left").select("graph_id", "nodes", "edges").mapInArrow(run, f"graph_id string, {columns}")
+
+
 def canonical_graphs(nodes: DataFrame, edges: DataFrame, states: int = STATES) -> DataFrame:
-    """(graph_id, node_ids, graph_sha256, fingerprint_class) of each graph, a task at a time; `weak` where the search gave up after `states` states."""
+    """(graph_id, node_ids, graph_sha256, fingerprint_class) of each graph with nodes; `weak` where the search gave up after `states` states."""
 
-    def one(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        ids, code, whole = _canonical(n, e, states)
-        return pd.DataFrame([(key[0], ids, hashlib.sha256(code).hexdigest(), STRONG if whole else WEAK)], columns=["graph_id", "node_ids", "graph_sha256", "fingerprint_class"])
+    def one(rows: list[Node], es: list[tuple]) -> tuple:
+        ids, code, whole = _canonical(rows, es, states)
+        return ids, hashlib.sha256(code).hexdigest(), STRONG if whole else WEAK
 
-    return nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(one, "graph_id string, node_ids array<long>, graph_sha256 string, fingerprint_class string")
+    return _each_graph(nodes, edges, one, "node_ids array<long>, graph_sha256 string, fingerprint_class string")
 
 
 def slice_fingerprints(nodes: DataFrame, edges: DataFrame, states: int = STATES) -> DataFrame:
     """(graph_id, slice_sha256, fingerprint_class) of slices: names of identifiers become %local0, %local1, ... in canonical order of the slice without them, and names of declarations keep their last part."""
-
-    def one(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.copy()
-        for c in ("resolved_fqn", "enclosing_decl_fqn"):
-            n[c] = n[c].map(lambda s: "%pkg." + s.rpartition(".")[2] if s else "")
-        local = n.kind == "IDENTIFIER"
-        blank = n.assign(operator_or_literal=n.operator_or_literal.where(~local, ""))
-        ids, _, whole = _canonical(blank, e, states)
-        names = {v: f"%local{i}" for i, v in enumerate(v for v in ids if v in set(n.node_id[local]))}
-        n["operator_or_literal"] = [names.get(v, s) for v, s in zip(n.node_id, n.operator_or_literal, strict=True)]
-        _, code, also = _canonical(n, e, states)
-        return pd.DataFrame([(key[0], hashlib.sha256(code).hexdigest(), STRONG if whole and also else WEAK)], columns=["graph_id", "slice_sha256", "fingerprint_class"])
-
-    return nodes.groupBy("graph_id").cogroup(edges.groupBy("graph_id")).applyInPandas(one, "graph_id string, slice_sha256 string, fingerprint_class string")
+    short = lambda s: "%pkg." + s.rpartition(".")[2] if s else ""
+
+    def one(rows: list[Node], es: list[tuple]) -> tuple:
+        rows = [r._replace(resolved_fqn=short(r.resolved_fqn), enclosing_decl_fqn=short(r.enclosing_decl_fqn)) for r in rows]
+        local = {r.node_id for r in rows if r.kind == "IDENTIFIER"}
+        blank = [r._replace(operator_or_literal="") if r.node_id in local else r for r in rows]
+        ids, _, whole = _canonical(blank, es, states)
+        names = {v: f"%local{i}" for i, v in enumerate(v for v in ids if v in local)}
+        _, code, also = _canonical([r._replace(operator_or_literal=names.get(r.node_id, r.operator_or_literal)) for r in rows], es, states)
+        return hashlib.sha256(code).hexdigest(), STRONG if whole and also else WEAK
+
+    return _each_graph(nodes, edges, one, "slice_sha256 string, fingerprint_class string")
 
 
 def weak_witness_hash(tree_sha256: str, witness: list[int], kinds: dict[tuple[int, int], list[str]]) -> str:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.operators.textscan import lines
+from heddle.operators.textscan import lines as text_lines
 
 # Outcomes that the ground truth expects.
 EXPECTED = {"should-stay": "stayed", "should-flip": "flipped"}
-CALL = r"\b([A-Za-z_]\w*)\s*\("
+CALL = r"(?U)\b([A-Za-z_]\w*)\s*\("
 
 
 def callee_token(line: Column) -> Column:
@@ -19,7 +19,7 @@ def callee_token(line: Column) -> Column:
 
 def sink_lines(files: DataFrame, tokens: DataFrame) -> DataFrame:
     """(file, token, lines) of all lines that call the token. files: file, text; tokens: file, token."""
-    calls = lines(files).select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(CALL), 1))).alias("token"))
+    calls = text_lines(files).select("file", "line", F.explode(F.array_distinct(F.regexp_extract_all("line_text", F.lit(CALL), 1))).alias("token"))
     found = calls.groupBy("file", "token").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     return tokens.join(found, ["file", "token"], "left").withColumn("lines", F.coalesce("lines", F.array().cast("array<int>")))
 

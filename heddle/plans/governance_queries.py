@@ -111,14 +111,16 @@ SELECT pair_id, outcome, reason, CASE WHEN reason IS NULL THEN CASE WHEN pair_id
 
 
 def callee_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of documents with a bracket after each comma's word, so that words are calls."""
-    d = read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace(F.expr("substring_index(text, '\n', 1)"), ",", "(").alias("line"))
-    d = d.where(F.col("line").rlike("^[ -~]*$"))  # the two regex engines see word ends at accented letters differently
-    return d.select("doc_id", refactor.callee_token(F.col("line")).alias("token"))
+    """Every line of every document, with a bracket in each comma's place, so that words are calls."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", ",", "(").alias("text"))
+    return refactor.text_lines(d).select("doc_id", F.col("line").cast("long").alias("line"), refactor.callee_token(F.col("line_text")).alias("token"))
 
 
+#: Between brackets, what stands before each is looked at, since the expressions here have no word ends for all letters.
 CALLEE_TOKENS = r"""
-SELECT doc_id, regexp_extract_all(replace(split_part(text, chr(10), 1), ',', '('), '\b([A-Za-z_]\w*)\s*\(', 1)[-1] AS token FROM documents WHERE lang = 'en' AND regexp_matches(split_part(text, chr(10), 1), '^[ -~]*$')
+WITH d AS (SELECT doc_id, CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END AS text FROM documents WHERE text <> ''),
+l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, replace(unnest(string_split(text, chr(10))), ',', '(') AS t FROM d)
+SELECT doc_id, line, [x for x in [regexp_extract(s, '(?:^|[^\p{L}\p{M}\p{N}_])([A-Za-z_][\p{L}\p{M}\p{N}_]*)\s*$', 1) for s in string_split(t, '(')[:-2]] if x <> ''][-1] AS token FROM l
 """
 
 

@@ -30,34 +30,23 @@ def taint_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.groupBy(F.col("graph_id").cast("long").alias("conv_id"), F.col("node_id").alias("sink_turn")).agg(F.count("*").alias("n_facts"))
 
 
-_REACH = """
+REACH = """
 WITH RECURSIVE t AS (SELECT conv_id, turn, role, length(text) % 5 = 0 AS clean FROM conversations),
 r AS (
   SELECT conv_id, turn AS source_turn, turn, clean, CAST(turn AS VARCHAR) AS witness FROM t WHERE role = 'user'
   UNION ALL
   SELECT t.conv_id, r.source_turn, t.turn, t.clean, r.witness || ',' || t.turn FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn + 1 WHERE NOT r.clean)
 """
-TAINT_REACH = _REACH + "SELECT r.conv_id, r.turn AS sink_turn, count(*) AS n_facts FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn AND t.role = 'assistant' GROUP BY 1, 2"
-
-
-def taint_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest paths: a turn has one successor, so the path is the run of turns between."""
-    facts, sinks, _ = _conversation_graph(spark, sf_dir)
-    at = facts.join(sinks, ["graph_id", "node_id"])
-    path = F.array_join(F.sequence("fact", "node_id"), ",")
-    return at.select(F.col("graph_id").cast("long").alias("conv_id"), F.col("fact").alias("source_turn"), F.col("node_id").alias("sink_turn"), path.alias("witness"), (F.col("depth") + 1).cast("long").alias("witness_length"))
-
-
-TAINT_WITNESS = _REACH + "SELECT r.conv_id, r.source_turn, r.turn AS sink_turn, r.witness, r.turn - r.source_turn + 1 AS witness_length FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn AND t.role = 'assistant'"
+TAINT_REACH = REACH + "SELECT r.conv_id, r.turn AS sink_turn, count(*) AS n_facts FROM r JOIN t ON t.conv_id = r.conv_id AND t.turn = r.turn AND t.role = 'assistant' GROUP BY 1, 2"
 
 
 def taint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole solver on graphs made of events: a user's events in order are a procedure's control flow, and a purchase calls the procedure of the user half its number."""
-    nodes, edges, clauses = _event_graph(spark, sf_dir)
+    nodes, edges, clauses = event_graph(spark, sf_dir)
     return taint.solve(nodes, edges, clauses).select("sink", "fact", F.col("depth").cast("long").alias("depth"))
 
 
-def _event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def event_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e = read(spark, sf_dir, "events")
     entry = -F.col("user_id") - 1
     graph = F.lit("events").alias("graph_id")
@@ -195,7 +184,7 @@ SELECT p_partkey, array_to_string(path, '.') AS structural_path, CAST(len(path)
 
 def backward_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What reaches supplier 1 from orders over line items (kinds by ship flag R are not walked, but show in the slice)."""
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0")
+    li = read(spark, sf_dir, "lineitem")
     item = F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber")
     order, part, supplier = (F.concat(F.lit(p), F.col(c).cast("string")) for p, c in (("o", "l_orderkey"), ("p", "l_partkey"), ("s", "l_suppkey")))
     to_item = li.select(order.alias("src"), item.alias("dst"), F.when(F.col("l_returnflag") == "R", "AST").otherwise("CFG").alias("kind"))
@@ -205,7 +194,7 @@ def backward_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BACKWARD_SLICE = """
-WITH RECURSIVE li AS (SELECT *, concat_ws(':', 'l', l_orderkey, l_linenumber) AS item FROM lineitem WHERE l_orderkey % 5 = 0),
+WITH RECURSIVE li AS (SELECT *, concat_ws(':', 'l', l_orderkey, l_linenumber) AS item FROM lineitem),
 edges AS (
   SELECT 'o' || l_orderkey AS src, item AS dst, CASE WHEN l_returnflag = 'R' THEN 'AST' ELSE 'CFG' END AS kind FROM li
   UNION ALL SELECT item, 's' || l_suppkey, 'PDG' FROM li UNION ALL SELECT item, 'p' || l_partkey, 'CALL' FROM li),
@@ -216,14 +205,14 @@ UNION ALL SELECT src || '>' || dst || '>' || kind, 'edge' FROM edges WHERE src I
 
 
 def wl_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three rounds of refinement on suppliers, nations and regions; suppliers are labelled by the sign of their balance."""
+    """Refinement of suppliers, nations and regions until it is stable; suppliers are labelled by the sign of their balance."""
     s, n, r = (read(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     nodes = s.select(node("s", "s_suppkey").alias("node"), F.when(F.col("s_acctbal") > 5000, "rich").otherwise("poor").alias("label"))
     nodes = nodes.unionByName(n.select(node("n", "n_nationkey").alias("node"), F.lit("nation").alias("label"))).unionByName(r.select(node("r", "r_regionkey").alias("node"), F.lit("region").alias("label")))
     edges = s.select(node("s", "s_suppkey").alias("src"), node("n", "s_nationkey").alias("dst"), F.lit("in").alias("kind"))
     edges = edges.unionByName(n.select(node("n", "n_nationkey").alias("src"), node("r", "n_regionkey").alias("dst"), F.lit("of").alias("kind")))
-    colors = graphs.refine(nodes, edges, rounds=3)
+    colors = graphs.refine(nodes, edges)
     classes = colors.groupBy("color").agg(F.min("node").alias("class"), F.count("*").alias("members"))
     return colors.join(classes, "color").select("node", "class", "members")
 
@@ -234,15 +223,16 @@ def _wl_round(k: int) -> str:
     return f"c{k + 1} AS (SELECT node, dense_rank() OVER (ORDER BY color, ins, outs) - 1 AS color FROM (SELECT x.node, x.color, {side('dst', 'src')} AS ins, {side('src', 'dst')} AS outs FROM c{k} x))"
 
 
+#: The graph is three levels high: six rounds are more than it takes to be stable, and one more changes no class.
 WL_REFINE = f"""
 WITH nodes AS (
   SELECT 's' || s_suppkey AS node, CASE WHEN s_acctbal > 5000 THEN 'rich' ELSE 'poor' END AS label FROM supplier
   UNION ALL SELECT 'n' || n_nationkey, 'nation' FROM nation UNION ALL SELECT 'r' || r_regionkey, 'region' FROM region),
 edges AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst, 'in' AS kind FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'of' FROM nation),
 c0 AS (SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS color FROM nodes),
-{_wl_round(0)}, {_wl_round(1)}, {_wl_round(2)}
-SELECT node, min(node) OVER (PARTITION BY color) AS class, count(*) OVER (PARTITION BY color) AS members FROM c3
+{', '.join(map(_wl_round, range(6)))}
+SELECT node, min(node) OVER (PARTITION BY color) AS class, count(*) OVER (PARTITION BY color) AS members FROM c6
 """
 
-QUERIES = {f.__name__: f for f in (taint_reach, taint_witness, taint_findings, callers_closure, affected_set, route_decision, graph_delta, ast_owner, ast_preorder, backward_slice, wl_refine)}
-ORACLES = {"taint_reach": TAINT_REACH, "taint_witness": TAINT_WITNESS, "taint_findings": TAINT_FINDINGS, "callers_closure": CALLERS_CLOSURE, "affected_set": AFFECTED_SET, "route_decision": ROUTE_DECISION, "graph_delta": GRAPH_DELTA, "ast_owner": AST_OWNER, "ast_preorder": AST_PREORDER, "backward_slice": BACKWARD_SLICE, "wl_refine": WL_REFINE}
+QUERIES = {f.__name__: f for f in (taint_reach, taint_findings, callers_closure, affected_set, route_decision, graph_delta, ast_owner, ast_preorder, backward_slice, wl_refine)}
+ORACLES = {"taint_reach": TAINT_REACH, "taint_findings": TAINT_FINDINGS, "callers_closure": CALLERS_CLOSURE, "affected_set": AFFECTED_SET, "route_decision": ROUTE_DECISION, "graph_delta": GRAPH_DELTA, "ast_owner": AST_OWNER, "ast_preorder": AST_PREORDER, "backward_slice": BACKWARD_SLICE, "wl_refine": WL_REFINE}
