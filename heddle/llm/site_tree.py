@@ -152,7 +152,7 @@ class Page:
         if self.closing and self.closing[-1] == len(self.stack):
             self.closing.pop()
         if e.tag not in ROOTS and len(self.stack) < MAX_DEPTH:
-            if not e.marks:
+            if not e.marks and not e.noise:  # what is called noise goes whatever its importance
                 self.nodes.append((e.path, _hash(" ".join(e.children)), e.blocks))
             self.stack[-1].blocks += e.blocks  # a branch's content is all text in it
 
@@ -334,6 +334,7 @@ def extracted(pages: DataFrame, named: bool = True) -> DataFrame:
     shown = seen.where(F.col("kind") == STYLE).select("page_id", "host", "node").distinct()
     gone = shown.join(low, ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("gone"))
     # url and host belong together but for rows that share a page_id: a path of another host is on no page of this one
+    gone = stored(gone, "gone")  # a small table is sent to all tasks, and the pages stay where they are
     rows = pages.join(gone.withColumnRenamed("page_id", "gone_id"), F.col("page_id").eqNullSafe(F.col("gone_id")), "left").select("page_id", "url", "html", "gone")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     return map_rows(rows, lambda i, u, h, g: (i, u, Page(h or "", frozenset(g or ()), named).main_text()), arrow, "page_id bigint, url string, text string")
