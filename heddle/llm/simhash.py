@@ -643,8 +643,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, likeness: float = 0.8) -> Da
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(shingle_sets(docs, nodes.join(wanted, "node").select("node", "id", "tag"), size), "sets")
     labels = linked_sets(pairs, sets, likeness)
-    least = labels.join(nodes, "node").groupBy("label").agg(F.min(F.struct("id", "tag")).alias("first"))
-    first = labels.join(least, "label").select("node", "first")
+    least = labels.join(nodes.select("node", "id", "tag"), "node").groupBy("label").agg(F.min(F.struct("id", "tag")).alias("first"), F.count("*").alias("copies"))
+    first = spread(labels, "label", stored(least, "least"), "first").select("node", "first")
     each = nodes.join(first, "node", "left").select("node", "copies", F.coalesce("first", F.struct("id", "tag")).alias("first"))
     out = spread(of.select("id", "tag", "copies", "node"), "node", stored(each, "firsts"), "first")
     return out.select("id", "tag", "copies", F.col("first.id").alias("first_id"), F.col("first.tag").alias("first_tag"))
