@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries, by the operators' numbers.
-MODULES = ("chat", "lattice", "media", "minhash", "packing", "phrases", "ranking", "sentence_pieces", "simhash", "site_tree", "suffix_dedup", "toxicity")
+MODULES = ("banded", "chat", "lattice", "media", "minhash", "packing", "phrases", "ranking", "sentence_pieces", "simhash", "site_tree", "suffix_dedup", "toxicity")
 
 
 def queries() -> dict:
