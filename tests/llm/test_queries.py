@@ -19,13 +19,16 @@ CONTRACT = {
     "op7_merge_dropout": ("documents", {"doc_id": "bigint"}),
     "op8_simhash": ("documents", {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"}),
     "op9_transport_streams": ("documents", {"doc_id": "bigint", "n_bytes": "bigint", "payload_bytes": "bigint", "payload_sha256": "string", "tail_crc32": "bigint", "media_bytes": "bigint", "media_sha256": "string", "feature": "string"}),
+    "op11_pcy_phrases": (None, {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint", "score": "bigint"}),
+    "op12_ranked_search": (None, {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"}),
+    "op13_banded_minhash": ("documents", {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint", "kept": "boolean"}),
     "op10_nnpu_toxicity": ("documents", {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"}),
 }
 
 
 def test_all_are_registered():
     names = entry.queries().keys()
-    assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in names} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} <= {k.split("_")[0] + "_" for k in names} and "pipeline" in names
     assert CONTRACT.keys() == heddle.llm.queries().keys()
 
 
