@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -33,7 +34,20 @@ def written(df: DataFrame) -> tuple[DataFrame, int]:
     rows = Observation()
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path), rows.get["n"]
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out, rows.get["n"]
+
+
+#: Where written tables are, as long as somebody holds them.
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        if path := _PATHS.pop(t, None):
+            _remove(t.sparkSession, path)
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -52,6 +66,35 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+class Found:
+    """What the rounds of a fixpoint have found, in a few written tables.
+
+    A round adds one. Beyond MOST tables the later ones are rewritten as one, and the first with them once they
+    have as many rows, so a row is rewritten about as often as the whole doubles, and what each round
+    has to read stays a few files' worth, however many rounds there are.
+    """
+
+    MOST = 8
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[DataFrame, int]] = []
+
+    def add(self, table: DataFrame, rows: int) -> None:
+        """table: a written one; it must be distinct from all before."""
+        if len(self.parts) >= self.MOST:
+            later = sum(n for _, n in self.parts[1:])
+            keep = 0 if later >= self.parts[0][1] else 1
+            # the newest is the frontier that the next round still reads
+            old, newest = self.parts[keep:-1], self.parts[-1:]
+            merged = written(union_all([t for t, _ in old]))
+            forget(*(t for t, _ in old))
+            self.parts = [*self.parts[:keep], merged, *newest]
+        self.parts.append((table, rows))
+
+    def all(self) -> DataFrame:
+        return union_all([t for t, _ in self.parts])
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with the place of each row in the order of all rows, from 0; the columns must tell all rows apart.
 

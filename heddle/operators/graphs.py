@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, numbered, union_all, written
+from heddle.functions.tables import Found, materialized, numbered, union_all, written
 
 
 def closure(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = (), with_seeds: bool = True) -> DataFrame:
@@ -23,16 +23,18 @@ def closure(edges: DataFrame, seeds: DataFrame, by: Sequence[str] = (), with_see
     """
     keys = [*by, "node"]
     step = edges.select(*by, F.col("src").alias("node"), "dst").distinct()
-    frontier = materialized(seeds.select(*keys).distinct())
-    found = [frontier] if with_seeds else []
+    frontier, n = written(seeds.select(*keys).distinct())
+    found = Found()
+    if with_seeds:
+        found.add(frontier, n)
     while True:
         new = frontier.join(step, keys).select(*by, F.col("dst").alias("node")).distinct()
-        if found:
-            new = new.join(union_all(found), keys, "left_anti")
+        if found.parts:
+            new = new.join(found.all(), keys, "left_anti")
         frontier, n = written(new)
         if not n:
-            return union_all(found) if found else frontier
-        found.append(frontier)
+            return found.all() if found.parts else frontier
+        found.add(frontier, n)
 
 
 def transitive_callers(calls: DataFrame, seeds: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -15,10 +15,9 @@ import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, union_all, written
+from heddle.functions.tables import Found, materialized, numbered, union_all, written
 
 
 def procedures(nodes: DataFrame, order: DataFrame | None = None) -> DataFrame:
@@ -58,9 +57,14 @@ def _matches(nodes: DataFrame, clauses: DataFrame, primitive: str) -> DataFrame:
 
 
 def seeds(nodes: DataFrame, clauses: DataFrame) -> DataFrame:
-    """(spec_id, graph_id, node_id, fact): facts numbered from 0 by (node, clause), in procedures or not."""
-    number = F.row_number().over(W.partitionBy("spec_id", "graph_id").orderBy("node_id", "ordinal")) - 1
-    return _matches(nodes, clauses, "source").select("spec_id", "graph_id", "node_id", number.cast("long").alias("fact"))
+    """(spec_id, graph_id, node_id, fact): facts numbered from 0 by (node, clause) in each graph and specification, in procedures or not.
+
+    The rows of all graphs are numbered in ranges, so that one large graph isn't one task; a graph's first number is taken off.
+    """
+    keys = ["spec_id", "graph_id"]
+    placed = numbered(_matches(nodes, clauses, "source"), [*keys, "node_id", "ordinal"], "place")
+    first = placed.groupBy(*keys).agg(F.min("place").alias("first"))
+    return placed.join(first, keys).select(*keys, "node_id", (F.col("place") - F.col("first")).alias("fact"))
 
 
 def tabulate(seeded: DataFrame, moves: DataFrame, blocked: DataFrame) -> DataFrame:
@@ -71,17 +75,18 @@ def tabulate(seeded: DataFrame, moves: DataFrame, blocked: DataFrame) -> DataFra
     keys = ["spec_id", "graph_id", "node_id"]
     moves = moves.select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
     blocked = blocked.select(*keys).distinct()
-    frontier = materialized(seeded.select(*keys, "fact", F.lit(0).alias("depth")).distinct())
-    found, depth = [frontier], 0
+    frontier, n = written(seeded.select(*keys, "fact", F.lit(0).alias("depth")).distinct())
+    found, depth = Found(), 0
+    found.add(frontier, n)
     while True:
         depth += 1
         leaving = frontier.join(blocked, keys, "left_anti").join(moves, ["graph_id", "node_id"])
         new = leaving.select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact").distinct()
-        new = new.join(union_all(found).drop("depth"), [*keys, "fact"], "left_anti")
+        new = new.join(found.all().drop("depth"), [*keys, "fact"], "left_anti")
         frontier, n = written(new.withColumn("depth", F.lit(depth)))
         if not n:
-            return union_all(found)
-        found.append(frontier)
+            return found.all()
+        found.add(frontier, n)
 
 
 def solve(nodes: DataFrame, edges: DataFrame, clauses: DataFrame, within: DataFrame | None = None) -> DataFrame:
