@@ -10,7 +10,8 @@ assistant, `[ROLE:name] text [/ROLE]` for any other role. Inside texts a backsla
 first character of a control string is written as backslash and a letter; `parse` undoes both.
 
 Defined results: null text and null role are empty; a parent that is missing makes its message a root;
-messages on a cycle have no root and no path, and are left out; equal scores go by the smallest leaf.
+messages on a cycle have no root and no path, and are left out; equal scores go by the smallest leaf. Rows
+without a tree_id (conv_id) are one tree, as SQL groups them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -75,34 +76,41 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def _tied(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins on the keys; a null tree_id is a tree like any other."""
+    right = right.withColumnsRenamed({k: f"{k}_tied" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"{k}_tied")) if k == "tree_id" else F.col(k) == F.col(f"{k}_tied") for k in keys]
+    return left.join(right, reduce(Column.__and__, same), how).drop(*(f"{k}_tied" for k in keys))
+
+
 def root_paths(messages: DataFrame) -> DataFrame:
     """(tree_id, leaf_id, node_id, depth) for each message on each root-to-leaf path; depth 0 is the root.
 
-    messages: tree_id, node_id, parent_id (null, or of no message, at a root). Only ids are joined, never
-    texts. Messages that lead into a cycle reach no root and are on no path.
+    messages: tree_id (rows without one are one tree), node_id, parent_id (null, or of no message, at a root).
+    Only ids are joined, never texts. A message without a node_id is on no path but its own. Messages that lead into a cycle reach no root and are on no path.
     """
     m = messages.select("tree_id", "node_id", "parent_id").distinct()
     known = m.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("known"))
-    m = m.join(known, ["tree_id", "parent_id"], "left").select("tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
+    m = _tied(m, known, ["tree_id", "parent_id"], "left").select("tree_id", "node_id", F.when(F.col("known"), F.col("parent_id")).alias("up"))
     parents = m.where("up is not null").select("tree_id", F.col("up").alias("node_id")).distinct()
     # paths holds (leaf, node, steps above the leaf); up reaches 2**k messages at once
     up = stored(m.where("up is not null"), "up")
     left = up.count()
-    paths = stored(m.join(parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).alias("back")), "paths")
+    paths = stored(_tied(m, parents, ["tree_id", "node_id"], "left_anti").select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).alias("back")), "paths")
     reach = 1
     while left:
         old = paths, up
-        higher = paths.join(up, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("back") + reach).alias("back"))
+        higher = _tied(paths, up, ["tree_id", "node_id"]).select("tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("back") + reach).alias("back"))
         paths = stored(paths.unionByName(higher), "paths")
         twice = up.select("tree_id", F.col("node_id").alias("up"), F.col("up").alias("up2"))
-        up = stored(up.join(twice, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up")), "up")
+        up = stored(_tied(up, twice, ["tree_id", "up"]).select("tree_id", "node_id", F.col("up2").alias("up")), "up")
         reach *= 2
         # a tree with messages deeper than this has some at each depth before it, which have dropped out by now
         before, left = left, up.count()
         forget(*old)
         if left == before:
             lost = up.select("tree_id", F.col("node_id").alias("leaf_id"))
-            paths = stored(paths.join(lost, ["tree_id", "leaf_id"], "left_anti"), "paths")
+            paths = stored(_tied(paths, lost, ["tree_id", "leaf_id"], "left_anti"), "paths")
             break
     depth = F.max("back").over(W.partitionBy("tree_id", "leaf_id"))
     return paths.select("tree_id", "leaf_id", "node_id", (depth - F.col("back")).alias("depth"))
@@ -113,13 +121,13 @@ def ranked_branches(paths: DataFrame, scores: DataFrame, keep: int | None = None
 
     scores: tree_id, node_id, score (null counts as 0).
     """
-    each = paths.join(scores.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id")
+    each = _tied(paths, scores.select("tree_id", "node_id", "score"), ["tree_id", "node_id"]).groupBy("tree_id", "leaf_id")
     branches = each.agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("branch_score"))
     order = W.partitionBy("tree_id").orderBy(F.desc("branch_score"), "leaf_id")
     branches = branches.withColumn("branch_rank", F.row_number().over(order))
     if keep is not None:
         branches = branches.where(F.col("branch_rank") <= keep)
-    return paths.join(branches, ["tree_id", "leaf_id"])
+    return _tied(paths, branches, ["tree_id", "leaf_id"])
 
 
 _OUT = pa.schema([("tree_id", pa.int64()), ("leaf_id", pa.int64()), ("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
@@ -127,7 +135,7 @@ _OUT = pa.schema([("tree_id", pa.int64()), ("leaf_id", pa.int64()), ("formatted"
 
 def formatted(branches: DataFrame, texts: DataFrame) -> DataFrame:
     """One row for each branch: tree_id, leaf_id, formatted, loss (spans). texts: tree_id, node_id, role, text."""
-    turns = branches.join(texts.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
+    turns = _tied(branches, texts.select("tree_id", "node_id", "role", "text"), ["tree_id", "node_id"])
     turns = turns.groupBy("tree_id", "leaf_id").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
 
     def one(tree, leaf, turns):

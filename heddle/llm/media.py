@@ -144,7 +144,7 @@ def _sections(a: np.ndarray, at: np.ndarray, start: np.ndarray, cc: np.ndarray,
     held, last = b"", -1
     for r in rows.tolist():
         p = a[r, at[r] :].tobytes()
-        if last >= 0 and (cc[r] - cc[last]) % 16 != 1:
+        if last >= 0 and (int(cc[r]) - int(cc[last])) % 16 != 1:
             held = b""  # a packet of the section is lost
         last = r
         if start[r] and p:

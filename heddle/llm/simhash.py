@@ -17,7 +17,8 @@ that differ in at most `radius` bits:
 Equal fingerprints count once throughout, so groups of copies weigh as much as one document.
 
 Defined results: null and empty texts have the fingerprint zero; a text with fewer words than a shingle
-has one shingle of all its words; the order of rows and ties have no effect.
+has one shingle of all its words; the order of rows and ties have no effect. A null doc_id is no smallest
+one: a component whose ids are all null has a null component_id.
 """
 
 from __future__ import annotations

@@ -9,19 +9,24 @@ blocks of text). With m pages,
     importance   = (1 - GAMMA) * presentation + GAMMA * content,
 
 so what looks and reads alike on every page has an importance near 0; a branch that fewer than MIN_PAGES
-pages show has 1. Pages of a host that show the same text count once. What a branch is called is a prior
-on its importance: it is multiplied by CALLED_NOISE where the tag, role or class names a menu, advert, form, reader
-comment and the like, and by MAYBE_NOISE inside a marked article where the word may as well be the article's own
-(`response`, `notice`). Branches whose product is below THRESHOLD go from each page, wherever they are. Inside
-an article without such a name NEARLY_ALL pages of the host must show the branch, too: a template's branch has a path of
-its own with the same content everywhere, but a paragraph that many articles quote shares its path with
-their other paragraphs. The element that marks an article or main part has no importance itself, so no wrapper takes it along.
+pages show has 1. Pages of a host that show the same text count once. What a branch is called gives a prior by
+which its importance is multiplied: MAYBE_NOISE for words that an article's or a page's own parts may have as well
+(`response`, `notice`, `search`), CALLED_NOISE where tag, role or class name a menu, advert, form, reader comment
+and the like, else 1. Branches whose product is below THRESHOLD go from each page, wherever they are. No importance
+is above 1, so a class whose prior itself is below THRESHOLD is decided before the tree is built, and its branches
+are no nodes; with the constants as they are this holds for CALLED_NOISE, and the tree decides on all
+others, on pages with and without a marked article. Inside an article a branch without a prior goes only if
+NEARLY_ALL pages of the host show it, too: a template's branch has a path of its own with the same content everywhere, but a
+paragraph that many articles quote shares its path with their other paragraphs. The element that marks an
+article or main part has no importance itself, so no wrapper takes it along. On hosts of fewer than MIN_PAGES
+pages the priors decide alone.
 
 Tags are read by HTML's rules in one pass: a quote opens a value only after "=", a tag that the page's end cuts is
 dropped, and the work is linear in the page. Elements nested deeper than MAX_DEPTH are part of the branch at
 that depth.
 
-Defined results: a null html is empty and gives an empty text; a null url is the host ''; a page without
+Defined results: a null html is empty and gives an empty text; a null url is the host ''; rows are told apart by
+url and html, so those that share a page_id, or have none, keep each its own text; a page without
 a marked article gives all blocks that are left; rows that repeat give rows that repeat. White space is
 what Python's str.split takes; <br> is white space inside a block. Unclosed tags, comments and elements
 end with the page.
@@ -37,7 +42,7 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm.support import load, map_rows, rows_out, stored
@@ -49,6 +54,9 @@ NEARLY_ALL = 0.9
 #: Priors of branches that are called noise, or may be.
 CALLED_NOISE = 0.1
 MAYBE_NOISE = 0.3
+#: By class of what a branch is called.
+PRIORS = (1.0, MAYBE_NOISE, CALLED_NOISE)
+PLAIN, MAYBE, CALLED = range(3)
 MAX_DEPTH = 64
 
 # Elements of HTML and the words that sites name their parts by.
@@ -57,7 +65,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 NOISE_TAGS = frozenset("script style noscript template head title nav footer aside form button select textarea input label dialog menu iframe object svg canvas map audio video".split())
 NOISE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion banner cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay newsletter subscribe subscription signup nav navbar navigation menu menus breadcrumb breadcrumbs crumbs sidebar sidebars aside widget widgets related recommended recommendations share sharing social comment comments commentlist disqus respond response responses reply replies discussion footer masthead pagination pager toolbar skip login search tracking".split())
-#: Of these, what an article's own parts may be called.
+#: Of these, what an article's or a page's own parts may be called.
 OPEN_WORDS = frozenset("alert alerts banner crumbs discussion login masthead modal notice notices notification notifications overlay pager pagination popup promotion replies reply response responses search share sharing skip social toolbar tracking widget widgets".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist".split())
 ARTICLE_CLASSES = frozenset("article-body article-content article-text articlebody entry-content post-body post-content post-text story-body story-content".split())
@@ -152,7 +160,7 @@ class Page:
         if self.closing and self.closing[-1] == len(self.stack):
             self.closing.pop()
         if e.tag not in ROOTS and len(self.stack) < MAX_DEPTH:
-            if not e.marks and not e.noise:  # what is called noise goes whatever its importance
+            if not e.marks and not e.noise:  # what no importance could keep is no node
                 self.nodes.append((e.path, _hash(" ".join(e.children)), e.blocks))
             self.stack[-1].blocks += e.blocks  # a branch's content is all text in it
 
@@ -178,9 +186,10 @@ class Page:
             level = ARTICLE
         elif level == BODY and (tag == "main" or a.get("role", "").lower() == "main" or a.get("id", "").lower() == "main-content"):
             level = MAIN
-        noise, maybe = self._called(tag, a, words, level) if self.prior else (tag in RAW, False)
-        # the last bits tell what is inside a marked part, and what may be noise
-        path = _hash(f"{top.path}/{tag}.{re.sub(r'[0-9]+', '#', names.strip())}") & ~3 | (level != BODY) | maybe << 1
+        called = self._called(tag, a, words, level) if self.prior else PLAIN
+        noise = tag in RAW or PRIORS[called] < THRESHOLD  # times 1, the most that importance can be
+        # the last bits tell what is inside a marked part, and the class of the name
+        path = _hash(f"{top.path}/{tag}.{re.sub(r'[0-9]+', '#', names.strip())}") & ~7 | (level != BODY) | called << 1
         marks = level > top.level
         if tag in CLOSING:
             self.closing.append(len(self.stack))
@@ -188,17 +197,18 @@ class Page:
         self.stack.append(Element(tag, path, top.noise or noise, level, marks, not marks and (top.gone or path in self.gone)))
 
     @staticmethod
-    def _called(tag: str, a: dict[str, str], words: set[str], level: int) -> tuple[bool, bool]:
-        """Whether the markup calls an element noise, and whether it may be."""
-        noise = tag in NOISE_TAGS or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-        maybe = False
-        if words and tag not in ("html", "body", "main") and (tag != "article" or not words.isdisjoint(("comment", "comments", "reply", "related"))):
-            named = words & NOISE_WORDS
-            maybe = bool(named) and level == ARTICLE and tag != "article" and named <= OPEN_WORDS
-            noise = noise or bool(named) and not maybe
-        if level != ARTICLE and (tag == "header" or "header" in words and tag not in ("html", "body", "main")):
-            noise = True
-        return noise, maybe and not noise
+    def _called(tag: str, a: dict[str, str], words: set[str], level: int) -> int:
+        """The class of what the markup calls an element."""
+        if tag in NOISE_TAGS or a.get("role", "").lower() in NOISE_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+            return CALLED
+        if tag in ("html", "body", "main"):
+            return PLAIN
+        if level != ARTICLE and (tag == "header" or "header" in words):
+            return CALLED
+        named = words & NOISE_WORDS
+        if tag == "article":
+            return CALLED if named and not words.isdisjoint(("comment", "comments", "reply", "related")) else PLAIN
+        return PLAIN if not named else MAYBE if named <= OPEN_WORDS else CALLED
 
     def _close(self, tag: str) -> None:
         while self.open[tag] > 0:
@@ -273,28 +283,33 @@ def host_of(url: str | None) -> str:
 # ---- the tree of each host
 
 STYLE, CONTENT, PAGE = 0, 1, 2
-_SEEN = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
-SEEN = "page_id bigint, row bigint, host string, node bigint, kind int, value bigint"
+_SEEN = pa.schema([("page", pa.binary()), ("row", pa.int64()), ("host", pa.string()), ("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())])
+SEEN = "page binary, row bigint, host string, node bigint, kind int, value bigint"
 
 
 def _observe(batches: Iterator[pa.RecordBatch], named: bool) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
-            for page_id, row, url, source in zip(b["page_id"].to_pylist(), b["row"].to_pylist(), b["url"].to_pylist(), b["html"], strict=True):
+            for name, row, url, source in zip(b["page"].to_pylist(), b["row"].to_pylist(), b["url"].to_pylist(), b["html"], strict=True):
                 host, page, seen = host_of(url), Page(source.as_py() or "", prior=named), set()
                 for path, style, blocks in page.nodes:
                     seen.add((path, STYLE, style))
                     seen.update((path, CONTENT, x) for x in blocks)
-                yield page_id, row, host, 0, PAGE, _hash("\n".join(block for _, block in page.found))
+                yield name, row, host, 0, PAGE, _hash("\n".join(block for _, block in page.found))
                 for node, kind, value in sorted(seen):
-                    yield page_id, row, host, node, kind, value
+                    yield name, row, host, node, kind, value
 
     return rows_out(_SEEN, rows(), 4096)
 
 
+def page_tag() -> Column:
+    """128 bits that tell a page: its url, which has its host, and its html."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.octet_length(F.coalesce("url", F.lit(""))).cast("string"), "url", "html").cast("binary")))
+
+
 def observed(pages: DataFrame, named: bool = True) -> DataFrame:
-    """For each page a hash of its text, and the nodes that it shows, with their child sequences and text blocks (hashes)."""
-    return pages.select(F.col("page_id").cast("long"), F.monotonically_increasing_id().alias("row"), "url", "html").mapInArrow(lambda batches: _observe(batches, named), SEEN)
+    """For each page (its tag) a hash of its text, and the nodes that it shows, with their child sequences and text blocks (hashes)."""
+    return pages.select(page_tag().alias("page"), F.monotonically_increasing_id().alias("row"), "url", "html").mapInArrow(lambda batches: _observe(batches, named), SEEN)
 
 
 def once(seen: DataFrame) -> DataFrame:
@@ -326,16 +341,16 @@ def extracted(pages: DataFrame, named: bool = True) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), "url", "html")
     seen = stored(observed(pages, named), "nodes")
     each = once(seen)
-    prior = F.when(F.col("node").bitwiseAND(F.lit(2)) == 2, MAYBE_NOISE).otherwise(1.0)
+    called = F.shiftright("node", 1).bitwiseAND(F.lit(3)).cast("int")
+    prior = F.get(F.array(*map(F.lit, PRIORS)), called)
     low = importance(each).where((F.col("importance") * prior < THRESHOLD) & (F.col("pages") >= MIN_PAGES)).select("host", "node", "pages")
     total = each.where(F.col("kind") == PAGE).groupBy("host").agg(F.count("*").alias("total"))
-    free = F.col("node").bitwiseAND(F.lit(3)) != 1
+    free = (F.col("node").bitwiseAND(F.lit(1)) == 0) | (called != PLAIN)
     low = low.join(total, "host").where(free | (F.col("pages") >= NEARLY_ALL * F.col("total"))).select("host", "node")
-    shown = seen.where(F.col("kind") == STYLE).select("page_id", "host", "node").distinct()
-    gone = shown.join(low, ["host", "node"]).groupBy("page_id").agg(F.collect_set("node").alias("gone"))
-    # url and host belong together but for rows that share a page_id: a path of another host is on no page of this one
+    shown = seen.where(F.col("kind") == STYLE).select("page", "host", "node").distinct()
+    gone = shown.join(low, ["host", "node"]).groupBy("page").agg(F.collect_set("node").alias("gone"))
     gone = stored(gone, "gone")  # a small table is sent to all tasks, and the pages stay where they are
-    rows = pages.join(gone.withColumnRenamed("page_id", "gone_id"), F.col("page_id").eqNullSafe(F.col("gone_id")), "left").select("page_id", "url", "html", "gone")
+    rows = pages.withColumn("page", page_tag()).join(gone, "page", "left").select("page_id", "url", "html", "gone")
     arrow = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
     return map_rows(rows, lambda i, u, h, g: (i, u, Page(h or "", frozenset(g or ()), named).main_text()), arrow, "page_id bigint, url string, text string")
 

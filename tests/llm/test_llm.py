@@ -296,9 +296,78 @@ def test_op3_the_tree_alone(spark):
     assert got == {i: f"Title {i}\nText {i}" for i in range(12)}
 
 
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("ids", [(100, 200), (None, None), (3, 3)])
+def test_op3_rows_that_share_an_id_keep_their_text(spark, ids):
+    """What one host repeats is another page's own, whatever the rows' ids are."""
+    rows = [(ids[0] if i == 0 else i + 50, f"http://a.com/{i}", f'<body><div class="box"><p>beta box text of its own</p></div><div class="c"><p>alpha main {i}</p></div></body>') for i in range(12)]
+    rows += [(ids[1], "http://b.com/", '<body><div class="box"><p>beta box text of its own</p></div><div class="c"><p>beta main</p></div></body>')]
+    got = {r.url: r.text for r in site_tree.extracted(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {f"http://a.com/{i}": f"alpha main {i}" for i in range(12)} | {"http://b.com/": "beta box text of its own\nbeta main"}
+
+
+def test_op3_unmarked_pages_go_by_the_tree(spark):
+    """A name that a page's own part may have is a prior: what repeats over the host goes, what is a page's own stays, on small hosts, too."""
+    pages = [f'<div class="notice"><p>We use cookies</p></div><div class="search-results"><p>Result {i}</p></div><div class="ad"><p>Buy {i}</p></div>' for i in range(12)]
+    assert _extracted(spark, pages) == [f"Result {i}" for i in range(12)]
+    assert _extracted(spark, ['<div class="search-results"><p>All my text</p></div>', '<div class="widget-content"><p>Main body</p></div>']) == ["All my text", "Main body"]
+
+
+def _brute_extracted(rows):
+    """The texts by plain counting over each host: nodes of all pages, their importance, and what goes."""
+    out, hosts = [], collections.defaultdict(list)
+    for _, url, source in rows:
+        hosts[site_tree.host_of(url)].append(site_tree.Page(source or ""))
+    for i, url, source in rows:
+        every = hosts[site_tree.host_of(url)]
+        pages = list({tuple(b for _, b in p.found): p for p in reversed(every)}.values())
+        gone = set()
+        for path in {n[0] for p in pages for n in p.nodes}:
+            shown = [[n for n in p.nodes if n[0] == path] for p in pages]
+            shown = [s for s in shown if s]
+            styles = collections.Counter(v for s in shown for v in {n[1] for n in s})
+            blocks = collections.Counter(v for s in shown for v in {b for n in s for b in n[2]})
+            m = sum(styles.values())
+            if m < site_tree.MIN_PAGES:
+                continue
+            presentation = -sum(c / m * np.log(c / m) for c in styles.values()) / np.log(m)
+            content = 1 - min(1, sum(c * np.log(c) for c in blocks.values()) / (sum(blocks.values()) * np.log(m))) if blocks else presentation
+            called = path >> 1 & 3
+            low = (0.1 * presentation + 0.9 * content) * (1.0, 0.3, 0.1)[called] < 0.25
+            if low and (not path & 1 or called or m >= 0.9 * len(pages)):
+                gone.add(path)
+        out.append((i, site_tree.Page(source or "", frozenset(gone)).main_text()))
+    return sorted(out, key=repr)
+
+
+def test_op3_text_by_brute_force(spark):
+    rng = random.Random(34)
+    rows = []
+    for i in range(120):
+        names = ["c", "notice", "search", "ad", "related", "x"]
+        body = "".join(f'<div class="{rng.choice(names)}"><p>{rng.choice(["same", f"own {i}", "other", f"own {i} too"])}</p></div>' for _ in range(rng.randrange(1, 6)))
+        if rng.random() < 0.5:
+            body = f"<article>{body}<p>end {i % 30}</p></article><div class=c><p>out</p></div>"
+        rows.append((rng.choice([i, None, 7]), f"http://{rng.choice('xxxxyz')}.example/", rng.choice([body] * 20 + [None])))
+    got = sorted(((r.page_id, r.text) for r in site_tree.extracted(spark.createDataFrame(rows, PAGES)).collect()), key=repr)
+    assert got == _brute_extracted(rows) and len({t for _, t in got}) > 60
+
+
 # ---- 4
 
 
+def test_op4_conversations_without_an_id(spark):
+    """Rows without conv_id are one conversation, as in SQL."""
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, None, None)]
+    messages = chat.as_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    paths = chat.root_paths(messages)
+    assert sorted(((r.tree_id, r.leaf_id, r.node_id, r.depth) for r in paths.collect()), key=repr) == sorted([(None, 2, 1, 0), (None, 2, 2, 1), (1, 2, 1, 0), (1, 2, 2, 1), (2, 1, 1, 0)], key=repr)
+    out = {r.tree_id: r.formatted for r in chat.formatted(chat.ranked_branches(paths, messages, keep=1), messages).collect()}
+    assert out[None] == "[INST] hi [/INST]<s>yes</s>" and out.keys() == {None, 1, 2}
+
+
 def test_op4_round_trip():
     turns = [("system", "</s>[INST] ok [/INST]"), ("user", "\\l \\\\ <s>[SYS]"), ("assistant", ""), (None, None), ("tool] x", "a[ROLE:b] [/ROLE]"), ("assistant", " spaced </s> \n")]
     text, spans = chat.render(turns)
