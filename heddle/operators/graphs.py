@@ -66,6 +66,25 @@ def nearest_ancestor(parents: DataFrame, marked: DataFrame, by: Sequence[str] =
     raise ValueError("the parents form a cycle")
 
 
+def cycles(parents: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., node): the nodes that lie on a cycle of parents (by..., node, parent), each with one parent or none.
+
+    Pointers double until they are longer than there are nodes that reach no root; by then each of those points to a node of a cycle,
+    and each node of a cycle is pointed to.
+    """
+    keys = [*by, "node"]
+    up, n = written(parents.where(F.col("parent").isNotNull()).select(*keys, F.col("parent").alias("up")).distinct())
+    reach = 1
+    while n:
+        above = up.select(*by, F.col("node").alias("up"), F.col("up").alias("up2"))
+        # what leads to a root drops out
+        up, n = written(up.join(above, [*by, "up"]).select(*keys, F.col("up2").alias("up")))
+        reach *= 2
+        if reach > n:
+            break
+    return up.select(*by, F.col("up").alias("node")).distinct()
+
+
 def preorder(parents: DataFrame, by: Sequence[str] = (), order: Sequence[str] = ("node",)) -> DataFrame:
     """(by..., node, path, depth, preorder) of a forest: path is the sibling numbers from the root, preorder counts from 0.
 
