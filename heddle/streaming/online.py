@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from heddle.operators.leases import OUT, Item, Policy, frame, rows_of
 from heddle.operators.ledger import TERMINAL
 from heddle.operators.stats import ALPHA, CAP, KAPPA, PI_ZERO
 
@@ -88,3 +89,28 @@ def dead_letters(deliveries: DataFrame, most: int = 3) -> DataFrame:
 def stage_counts(items: DataFrame, by: str = "request") -> DataFrame:
     """Running counts of states for each request, as a streaming aggregate in update mode."""
     return items.groupBy(by).agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("failed", "cancelled", "running", "pending", "completed")))
+
+
+def leases(events: DataFrame, policy: Policy, delay: str = "0 seconds") -> DataFrame:
+    """(item, at, seq, outcome, token, state) as `heddle.operators.leases.folded` gives, of events (item string, ts timestamp, seq long, kind string, token long).
+
+    The end of a running lease is the item's timer: when the watermark, `delay` behind the latest event, passes it, the attempt
+    expires, also if no event of the item comes any more.
+    """
+
+    def step(key, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+        item = Item(*state.get) if state.exists else Item()
+        if state.hasTimedOut:
+            ended = item.expire(item.until, policy)
+            out = [(key[0], ended[0], None, *ended[1:])] if ended else []
+        else:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "seq"], kind="stable")
+            out = list(rows_of(item, key[0], rows[["at", "seq", "kind", "token"]].itertuples(index=False), policy))
+        state.update(item.values())
+        if item.state == "running":
+            # timers count milliseconds, and one has to lie after the watermark: a lease that is over by now ends with the next batch
+            state.setTimeoutTimestamp(max(-(-item.until // 1000), state.getCurrentWatermarkMs() + 1))
+        yield frame(out)
+
+    rows = events.withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
+    return rows.groupBy("item").applyInPandasWithState(step, OUT, "state string, token long, until long, due long", "append", GroupStateTimeout.EventTimeTimeout)
