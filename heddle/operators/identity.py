@@ -192,6 +192,20 @@ def weak_witness_hash(tree_sha256: str, witness: list[int], kinds: dict[tuple[in
     return h.hexdigest()
 
 
+def witness_digest(tree_sha256: Column, witness: Column, kinds: Column) -> Column:
+    """`weak_witness_hash` as a column: witness is an array of ids, kinds an array with the sorted kinds of each step's edges; a step without an edge gives null."""
+    ids = F.array_join(F.transform(witness, lambda v: F.lpad(F.hex(v), 16, "0")), "")
+    steps = F.array_join(F.transform(kinds, lambda k: F.hex(F.array_join(k, "\x00").cast("binary"))), "")
+    whole = (F.size(kinds) == F.size(witness) - 1) & F.forall(kinds, lambda k: F.size(k) > 0)
+    return F.when(whole, F.sha2(F.unhex(F.concat(tree_sha256, ids, steps)), 256))
+
+
+def path_digest(witness: Column, prefix: str) -> Column:
+    """The former digest of a path, of its ids alone behind a prefix; it tells no source trees apart, so it keeps no decision."""
+    ids = F.array_join(F.transform(witness, lambda v: F.lpad(F.hex(v), 16, "0")), "")
+    return F.sha2(F.concat(F.lit(prefix).cast("binary"), F.unhex(ids)), 256)
+
+
 def label_digest(*parts: Column) -> Column:
     """Digest of framed label parts as a column."""
     return F.sha2(F.concat(*(framed(p) for p in parts)), 256)
