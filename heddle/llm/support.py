@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,13 +46,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+#: Paths of the tables that each open scope has written.
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that are written inside it, but for those written with `outside`: what comes after must read only these."""
+    mine: list[tuple[SparkSession, str]] = []
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        for spark, path in mine:
+            _drop(spark, path)
+
+
+def stored(df: DataFrame, tag: str, outside: bool = False) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage, so that a lost executor costs no rerun of what came before."""
     spark = df.sparkSession
     bounded_batches(spark)
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_drop, spark, path)
+    if _SCOPES and not outside:
+        _SCOPES[-1].append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
