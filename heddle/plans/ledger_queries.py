@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,17 +145,26 @@ JSON_PROJECTION = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BI
 
 
 def distributivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each of five flow functions on sets of eight facts distributes over union, on all 65,536 pairs of sets."""
-    sets = spark.range(256)
-    pairs = sets.select(F.col("id").alias("x")).crossJoin(sets.select(F.col("id").alias("y")))  # a fixed domain, not data
+    """Whether each of five flow functions distributes over union, on the sets of facts that hold at successive events of a user.
+
+    A set is the kinds of a user's last three events and the remainders of their variables, as bits; each is joined with the next one.
+    """
+    e = read(spark, sf_dir, "events")
+    kinds = F.create_map(*(F.lit(x) for i, k in enumerate(EVENT_KINDS) for x in (k, 1 << i)))
+    bits = kinds[F.col("event_type")].bitwiseOR(F.expr("shiftleft(1, cast(get_json_object(props, '$.k') as int) % 8)"))
+    w = W.partitionBy("user_id").orderBy("event_id")
+    sets = e.withColumn("b", bits).withColumn("x", F.bit_or("b").over(w.rowsBetween(-2, 0))).withColumn("y", F.lead("x").over(w)).where("y IS NOT NULL")
     f = {"identity": lambda s: s, "kill_low": lambda s: s.bitwiseAND(F.lit(240)), "gen_one": lambda s: s.bitwiseOR(F.lit(1)), "move": lambda s: F.shiftleft(s.bitwiseAND(F.lit(15)), 4).bitwiseOR(s), "needs_both": lambda s: F.when(s.bitwiseAND(F.lit(3)) == 3, s.bitwiseOR(F.lit(128))).otherwise(s)}
     x, y = F.col("x"), F.col("y")
-    row = pairs.agg(*(F.count_if(g(x.bitwiseOR(y)) != g(x).bitwiseOR(g(y))).alias(n) for n, g in f.items()))
+    row = sets.agg(*(F.count_if(g(x.bitwiseOR(y)) != g(x).bitwiseOR(g(y))).alias(n) for n, g in f.items()))
     return row.unpivot([], list(f), "flow", "violations")
 
 
-DISTRIBUTIVITY = """
-WITH p AS (SELECT x, y FROM range(256) a(x), range(256) b(y)),
+EVENT_KINDS = ("signup", "view", "click", "purchase", "error")
+DISTRIBUTIVITY = f"""
+WITH e AS (SELECT user_id, event_id, (1 << (list_position({list(EVENT_KINDS)}, event_type) - 1)) | (1 << (CAST(json_extract_string(props, '$.k') AS INTEGER) % 8)) AS b FROM events),
+s AS (SELECT user_id, event_id, bit_or(b) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS x FROM e),
+p AS (SELECT * FROM (SELECT x, lead(x) OVER (PARTITION BY user_id ORDER BY event_id) AS y FROM s) WHERE y IS NOT NULL),
 v AS (SELECT count(*) FILTER (FALSE) AS identity, count(*) FILTER (((x | y) & 240) <> ((x & 240) | (y & 240))) AS kill_low, count(*) FILTER (((x | y) | 1) <> ((x | 1) | (y | 1))) AS gen_one,
   count(*) FILTER (((((x | y) & 15) << 4) | (x | y)) <> ((((x & 15) << 4) | x) | (((y & 15) << 4) | y))) AS move,
   count(*) FILTER ((CASE WHEN ((x | y) & 3) = 3 THEN (x | y) | 128 ELSE x | y END) <> ((CASE WHEN (x & 3) = 3 THEN x | 128 ELSE x END) | (CASE WHEN (y & 3) = 3 THEN y | 128 ELSE y END))) AS needs_both FROM p)
