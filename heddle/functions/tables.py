@@ -27,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which is deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame) -> tuple[DataFrame, int]:
     """df as a written table, and its rows, which are counted on the way: the lineage ends here, and a lost executor costs no earlier round."""
     spark = df.sparkSession

@@ -44,10 +44,14 @@ def either(*expressions: str) -> str:
     return "|".join(expressions)
 
 
+QUOTES = "'\""
+
+
 def computed_require(line: Column) -> Column:
     """Whether a line requires something else than one literal: what follows a bracket neither begins with a literal nor closes after it."""
     parts = F.split(line, called("require"))
-    return F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda a: ~a.rlike(r"""^(?:'[^'\n]*'|"[^"\n]*")\s*\)"""))
+    literal = either(*(f"{q}[^{q}\\n]*{q}" for q in QUOTES))
+    return F.exists(F.slice(parts, F.lit(2), F.size(parts)), lambda a: ~a.rlike(rf"^(?:{literal})\s*\)"))
 
 
 Pattern = str | Callable[[Column], Column]

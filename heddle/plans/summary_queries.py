@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import shared_folder
+from heddle.functions.tables import own_folder
 from heddle.operators import summaries, taint
 from heddle.plans.graph_queries import event_graph
 
@@ -48,7 +46,7 @@ def procedure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resumed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings after a change, from the cache that a run before the change wrote: the rows of a full run."""
     nodes, edges, clauses = event_graph(spark, sf_dir)
-    folder = f"{shared_folder(spark)}/summaries-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "summaries")
     _, places = summaries.solve(nodes, edges, clauses)
     summaries.write_cache(places, folder, VERSION, ENVIRONMENT)
     after, affected = _changed(nodes)

@@ -38,8 +38,8 @@ def get(spark: SparkSession, root: str, **keys: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled functions of a CSV file (commit_sha, file_path, func_name, cwe, positive, language, class) with a row id."""
-    rows = spark.read.option("header", True).option("mode", "FAILFAST").schema("commit_sha string, file_path string, func_name string, cwe string, positive string, language string, class string").csv(path)
+    """Labelled functions of a CSV file (commit_sha, file_path, func_name, cwe, positive, language, class) with a row id; a quotation mark inside quotes is doubled."""
+    rows = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').schema("commit_sha string, file_path string, func_name string, cwe string, positive string, language string, class string").csv(path)
     return rows.withColumn("row_id", row_id("case:", F.col("commit_sha"), F.col("file_path"), F.col("func_name")))
 
 
