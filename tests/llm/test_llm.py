@@ -933,3 +933,56 @@ def test_pipeline(spark, tmp_path):
     assert sorted((support_none(r.doc_id), r.text or "") for r in kept[3].collect()) == _brute_kept(before)
     packed = corpus_pipeline.STAGES[-1][1](spark, kept[3], str(tmp_path)).collect()
     assert sorted({support_none(r.doc_id) for r in packed}) == sorted(set(ids[3]))
+
+
+def _plain_fit(positive, unlabelled, prior, steps, rate=0.05, shrink=1e-4, least=3):
+    """The fit in loops over texts and features: weights by feature, intercept, and in how many steps the risk of clean texts was below zero."""
+    counts = {}
+    for k, rows in enumerate((positive, unlabelled)):
+        for ids in rows:
+            for f in ids:
+                counts.setdefault(int(f), [0, 0])[k] += 1
+    used = []
+    for f, (a, u) in sorted(counts.items()):
+        q = (a + u) / (len(positive) + len(unlabelled))
+        error = (max(q * (1 - q), 1e-12) * (1 / len(positive) + 1 / len(unlabelled))) ** 0.5
+        if abs(a / len(positive) - u / len(unlabelled)) >= 2.5 * error and a + u >= least:
+            used.append(f)
+    w, b = dict.fromkeys(used, 0.0), float(np.log(prior / (1 - prior)))
+    m, v, mb, vb, below = dict.fromkeys(used, 0.0), dict.fromkeys(used, 0.0), 0.0, 0.0, 0
+    texts = [(True, [int(f) for f in r if int(f) in w]) for r in positive] + [(False, [int(f) for f in r if int(f) in w]) for r in unlabelled]
+    for t in range(1, steps + 1):
+        z = [b + sum(w[f] for f in ids) for _, ids in texts]
+        clean_loss = [np.log1p(np.exp(x)) for x in z]
+        rest = sum(x for x, (p, _) in zip(clean_loss, texts, strict=True) if not p) / len(unlabelled) - prior * sum(x for x, (p, _) in zip(clean_loss, texts, strict=True) if p) / len(positive)
+        below += rest < 0
+        gw, gb = dict.fromkeys(used, 0.0), 0.0
+        for x, (p, ids) in zip(z, texts, strict=True):
+            s = 1 / (1 + np.exp(-x))
+            as_clean = -prior * s / len(positive) if p else s / len(unlabelled)  # of the corrected risk of clean texts
+            as_toxic = -prior * (1 - s) / len(positive) if p else 0.0
+            g = as_toxic + as_clean if rest >= 0 else -as_clean  # below zero, that risk alone is led back
+            gb += g
+            for f in ids:
+                gw[f] += g
+        step = rate / (1 - 0.9**t)
+        for f in used:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * gw[f], 0.999 * v[f] + 0.001 * gw[f] ** 2
+            scale = (v[f] / (1 - 0.999**t)) ** 0.5 + 1e-8
+            w[f] -= step * m[f] / scale
+            w[f] = np.sign(w[f]) * max(0.0, abs(w[f]) - rate * shrink / scale)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        b -= step * mb / ((vb / (1 - 0.999**t)) ** 0.5 + 1e-8)
+    return w, b, below
+
+
+@pytest.mark.parametrize(("prior", "steps", "switches"), [(0.2, 5, False), (0.2, 40, True), (0.9, 40, True)])
+def test_op10_fit_is_the_plain_computation(prior, steps, switches):
+    rng = random.Random(40)
+    text = lambda marks: np.array(sorted({f for f in range(40) if rng.random() < (0.7 if f in marks else 0.15)}), np.int64)
+    positive, unlabelled = [text(range(6)) for _ in range(30)], [text(range(6, 9)) for _ in range(70)]
+    w, b, below = _plain_fit(positive, unlabelled, prior, steps)
+    model = toxicity.fit(positive, unlabelled, prior, steps)
+    assert set(np.flatnonzero(model.weights)) == {f for f, x in w.items() if x} and len(w) > 4
+    assert model.intercept == pytest.approx(b, abs=1e-6) and all(model.weights[f] == pytest.approx(x, abs=1e-5) for f, x in w.items())
+    assert (below > 0) == switches
