@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import packing, simhash, suffix_dedup, toxicity
-from heddle.llm.support import LAST_ID, load, stored, text_tag
+from heddle.llm.support import LAST_ID, load, scratch, stored, text_tag
 
 
 def _free(docs: DataFrame, name: str) -> str:
@@ -43,10 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are judged by their texts, whatever ids they share. A null doc_id comes after all others, equal ids go by a hash of the text,
     and of rows that have both alike one stays (that of least hash of all columns).
     """
-    near = simhash.near_duplicates(docs)
     first = (F.col("id") == F.col("first_id")) & (F.col("tag") == F.col("first_tag"))
     keyed, id_, tag = _keyed(docs)
-    near = stored(near.withColumn("first", first).select(F.col("id").alias(id_), F.col("tag").alias(tag), "copies", "first"), "near")
+    with scratch():  # the search's own tables aren't kept for the stages that follow
+        near = simhash.near_duplicates(docs).withColumn("first", first)
+        near = stored(near.select(F.col("id").alias(id_), F.col("tag").alias(tag), "copies", "first"), "near", outside=True)
     out = keyed.join(near.where("not first or copies > 1").select(id_, tag), [id_, tag], "left_anti").select(docs.columns)
     repeated = keyed.join(near.where("first and copies > 1").select(id_, tag), [id_, tag], "left_semi")
     whole = F.struct(*docs.columns)
