@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heddle.llm.bwt import DEPTH, common_prefix_groups
 from heddle.llm.support import LAST_ID, load, parallelism, pieces, rows_out, stored, total_bytes
@@ -504,21 +505,25 @@ def _apply(with_text: bool, with_tag: bool):
                         raw = p.x[b:e][~gone[b:e]].tobytes()
                     yield names[p.first + t], e - b, removed, len(spans) // 2, hashlib.sha256(raw).hexdigest(), spans, raw.decode("utf-8", "ignore") if with_text else None, tag
 
-        return pa.Table.from_batches(rows_out(_KEPT, rows()), _KEPT)
+        out = pa.Table.from_batches(rows_out(_KEPT, rows()), _KEPT)
+        # rows come in the order of docs
+        return out.append_column("carried", docs["carried"]) if "carried" in docs.column_names else out
 
     return run
 
 
 def deduplicated(documents: DataFrame, with_text: bool = True, with_tag: bool = False, hot_groups: int = HOT_GROUPS, group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash of the kept bytes and, if asked for, the kept text (without the rest of a character that was cut) and 128 bits of the whole text (`support.text_tag`)."""
-    rows = documents.select(F.col("doc_id").cast("long"), "text")
+    """A row for each row of documents (doc_id, text): sizes, removed spans (start, end, ... in bytes), hash of the kept bytes and, if asked for, the kept text (without the rest of a character that was cut) and 128 bits of the whole text (`support.text_tag`). A column `carried`, of any type, comes back with its row."""
+    carried = [f for f in documents.schema.fields if f.name == "carried"]
+    rows = documents.select(F.col("doc_id").cast("long"), "text", *(f.name for f in carried))
     n = pieces(total_bytes(rows, "text"), group_bytes, least=parallelism(rows.sparkSession))
     group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n)).cast("int")
-    docs = rows.select(group.alias("grp"), "doc_id", F.col("text").cast("binary")).repartition(n, "grp")
+    docs = rows.select(group.alias("grp"), "doc_id", F.col("text").cast("binary"), *(f.name for f in carried)).repartition(n, "grp")
     told = stored(docs.groupBy("grp").applyInArrow(_name(n), WIRE).groupBy("bucket").applyInArrow(_meet(hot_groups), WIRE), "shared")
     asked = docs.groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(_contexts(n), WIRE)
     repeats = asked.groupBy("bucket").applyInArrow(_expand, WIRE)
-    return docs.groupBy("grp").cogroup(told.unionByName(repeats).groupBy("grp")).applyInArrow(_apply(with_text, with_tag), KEPT)
+    schema = T.StructType([*T.StructType.fromDDL(KEPT).fields, *carried])
+    return docs.groupBy("grp").cogroup(told.unionByName(repeats).groupBy("grp")).applyInArrow(_apply(with_text, with_tag), schema)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
