@@ -87,7 +87,7 @@ class Found:
         self.parts: list[tuple[DataFrame, int]] = []
 
     def add(self, table: DataFrame, rows: int) -> None:
-        """table: a written one; it must be distinct from all before."""
+        """table: a written one, distinct from all before. What `all` gave before may not be read after this: the tables may be gone."""
         if len(self.parts) >= self.MOST:
             later = sum(n for _, n in self.parts[1:])
             keep = 0 if later >= self.parts[0][1] else 1

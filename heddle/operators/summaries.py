@@ -82,20 +82,24 @@ def tabulate(p: Program, start: DataFrame, base: DataFrame | None = None) -> Dat
             body = body.join(bodies.all(), ["spec_id", "graph_id", "proc", "fact"], "left_anti")
         if left.parts:
             leaving = leaving.join(left.all(), ["spec_id", "graph_id", "call"], "left_anti")
-        (body, n_body), (leaving, n_left) = written(body), written(leaving)
+        none = {c: F.lit(None).cast(kind) for c, kind in (("proc", "long"), ("fact", "string"), ("call", "long"))}
+        columns = ["spec_id", "graph_id", *none]
+        told = body.withColumn("call", none["call"]).select(columns).unionByName(leaving.withColumns({c: none[c] for c in ("proc", "fact")}).select(columns))
+        told, n_told = written(told)  # both in one table
+        body, leaving = told.where("proc IS NOT NULL").drop("call"), told.where("call IS NOT NULL").drop("proc", "fact")
         moved = frontier.join(p.blocked, ["spec_id", "graph_id", "node_id"], "left_anti").join(p.moves, ["graph_id", "node_id"])
         new = [moved.select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact")]
-        if n_left and bodies.parts:  # older facts of the callee return to calls that are first left now
+        if n_told and bodies.parts:  # older facts of the callee return to calls that are first left now
             sites = leaving.join(p.returns, ["graph_id", "call"]).select("spec_id", "graph_id", "proc", "dst").distinct()
             new.append(sites.join(bodies.all(), ["spec_id", "graph_id", "proc"]).select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact"))
-        if n_left:
-            left.add(leaving, n_left)
-        if n_body and left.parts:  # new facts of the callee return to all calls left so far
+        if n_told:
+            left.add(leaving, n_told)
+        if n_told and left.parts:  # new facts of the callee return to all calls left so far
             sites = left.all().join(p.returns, ["graph_id", "call"]).select("spec_id", "graph_id", "proc", "dst").distinct()
             new.append(sites.join(body, ["spec_id", "graph_id", "proc"]).select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact"))
-        if n_body:
-            bodies.add(body, n_body)
         frontier, n = written(union_all(new).distinct().join(found.all(), PLACE, "left_anti"))
+        if n_told:  # not before: adding may delete tables that the new places are found from
+            bodies.add(body, n_told)
     forget(*(t for t, _ in bodies.parts + left.parts))
     return found.all() if found.parts else frontier
 
