@@ -60,16 +60,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     What a row loses follows from its doc_id (null: after all others) and its text, so rows that share an id keep what is their own.
     """
-    keyed, id_, tag = _keyed(docs)
-    kept_text = _free(docs, "kept_text")
-    kept = suffix_dedup.deduplicated(docs.select("doc_id", "text"), with_tag=True).where("n_removed > 0")
-    kept = kept.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias(id_), F.col("tag").alias(tag), F.col("text").alias(kept_text)).dropDuplicates([id_, tag])
-    out = keyed.join(kept, [id_, tag], "left")
-    same = F.col(kept_text).isNull()
-    out = out.withColumn("text", F.when(same, F.col("text")).otherwise(F.col(kept_text)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    # all columns travel with the text, so the texts are shuffled for the search alone
+    null = _free(docs, "no_text")
+    others = [c for c in docs.columns if c != "text"]
+    carried = F.struct(*others, F.col("text").isNull().alias(null))
+    out = suffix_dedup.deduplicated(docs.select("doc_id", "text", carried.alias("carried")))
+    columns = {c: F.col("carried").getField(c) for c in others} | {"text": F.when(~F.col("carried").getField(null), F.col("text"))}
+    if "n_chars" in others:
+        columns["n_chars"] = F.when(F.col("n_removed") == 0, columns["n_chars"]).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
