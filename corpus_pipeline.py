@@ -8,6 +8,7 @@ doc_id; a null doc_id comes after all others.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents whose toxicity score is below the threshold; the model learns from the labels of these documents."""
     labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
     model = toxicity.train(docs, labels, F.lit(True))
+    pa.default_memory_pool().release_unused()  # the sample's memory on the driver, which later stages don't need
     score = _free(docs, "toxicity")
     return toxicity.scored(docs, model, score).where(F.col(score) < toxicity.THRESHOLD).select(docs.columns)
 
