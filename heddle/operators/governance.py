@@ -60,6 +60,15 @@ def unexpected_keys(json: Column, expected: Sequence[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, expected)))
 
 
+def wrong_ends() -> Column:
+    """The rule that an edge (kind, with src_kind, src_expr, dst_kind, dst_expr of its ends) breaks, or null."""
+    fits = lambda e, kinds: F.col(f"{e}_expr") if kinds == EXPRESSION else F.col(f"{e}_kind").isin(kinds)
+    bad = F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), "dangling")
+    for kind, (a, b) in ENDS.items():
+        bad = bad.when((F.col("kind") == kind) & ~(fits("src", a) & fits("dst", b)), kind)
+    return bad.when((F.col("kind") == "REF") & (F.col("src_kind") == "IDENTIFIER") & ~F.col("dst_kind").isin(REFERENCES), "REF")
+
+
 def typed_edge_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges of a typed graph that join what they may not, and nodes with two owners, with the rule's name.
 
@@ -67,12 +76,7 @@ def typed_edge_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     end = lambda e: nodes.select("graph_id", F.col("id").alias(e), F.col("kind").alias(f"{e}_kind"), F.col("is_expression").alias(f"{e}_expr"))
     rows = edges.join(end("src"), ["graph_id", "src"], "left").join(end("dst"), ["graph_id", "dst"], "left")
-    fits = lambda e, kinds: F.col(f"{e}_expr") if kinds == EXPRESSION else F.col(f"{e}_kind").isin(kinds)
-    bad = F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), "dangling")
-    for kind, (a, b) in ENDS.items():
-        bad = bad.when((F.col("kind") == kind) & ~(fits("src", a) & fits("dst", b)), kind)
-    bad = bad.when((F.col("kind") == "REF") & (F.col("src_kind") == "IDENTIFIER") & ~F.col("dst_kind").isin(REFERENCES), "REF")
-    wrong = rows.withColumn("rule", bad).where("rule IS NOT NULL").select("graph_id", "src", "dst", "kind", "rule")
+    wrong = rows.withColumn("rule", wrong_ends()).where("rule IS NOT NULL").select("graph_id", "src", "dst", "kind", "rule")
     owners = edges.where("kind = 'AST'").groupBy("graph_id", "dst").agg(F.count_distinct("src").alias("n"), F.min("src").alias("src")).where("n > 1")
     return wrong.unionByName(owners.select("graph_id", "src", "dst", F.lit("AST").alias("kind"), F.lit("owners").alias("rule")))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,6 +20,45 @@ CATALOGUE = [
 EDGES = [("AST", None), ("CALL", None), ("ARGUMENT", None), ("REACHING_DEF", "VARIABLE")]
 
 
+def _filled(text: str, *values: Column) -> Column:
+    """text with the values for its %s; a missing one says null."""
+    out = []
+    for before, value in zip(text.split("%s"), [*values, None], strict=True):
+        out += [F.lit(before)] * bool(before) + ([] if value is None else [F.coalesce(value.cast("string"), F.lit("null"))])
+    return F.concat(*out)
+
+
+def _nodes(x: Column, broken: bool) -> Column:
+    """The nodes of an order (part 0) or an item, as JSON."""
+    k, n, nameless = x["key"] * 100, x["part"], x["status"] == "P"
+    line = F.when(F.lit(broken) & (x["priority"] == "1-URGENT"), _filled('"%s"', x["day"])).otherwise(x["day"].cast("string"))
+    named = F.when(nameless, "").otherwise(_filled('"FULL_NAME":"%s",', x["priority"]))
+    missing = F.when(nameless & F.lit(not broken), '["FULL_NAME"]').otherwise("[]")
+    method = _filled('{"id":"%s","kind":"METHOD","properties":{%s"FILENAME":"%s","LINE_NUMBER":%s,"OVERLAYS":["a","%s"]},"missing_properties":%s}', k, named, x["status"], line, x["status"], missing)
+    formal = '{"id":"%s","kind":"METHOD_PARAMETER_IN","properties":{"INDEX":%s},"missing_properties":[]}'
+    call = '{"id":"%s","kind":"CALL","properties":{"NAME":"%s","ARGUMENT_INDEX":%s,"IS_STATIC":%s},"missing_properties":[]}'
+    return F.when(n == 0, method).otherwise(_filled(f"{formal},{call}", k + 1 + n, n, k + 50 + n, x["flag"], n, x["status"] == "F"))
+
+
+def _edges(x: Column, broken: bool) -> Column:
+    """The edges of an item, as JSON; an order has none."""
+    k, n, bad = x["key"] * 100, x["part"], F.lit(broken)
+    formal, call = k + 1 + n, k + 50 + n
+    edge = lambda a, b, kind, props="{}": _filled('{"src":"%s","dst":"%s","kind":"' + kind + '","properties":' + props + "}", a, b)
+    nested = bad & (x["flag"] == "R") & (n > 1)
+    calls = F.when(bad & x["untaxed"], formal).otherwise(k)
+    edges = [
+        edge(F.when(nested, k + n).otherwise(k), formal, "AST"),
+        edge(k, call, "AST"),
+        edge(call, calls, "CALL"),
+        F.when(n > 1, edge(call, k + 49 + n, "ARGUMENT")),
+        F.when(x["status"] == "F", edge(formal, call, "REACHING_DEF", '{"VARIABLE":"x"}')),
+        F.when(bad & x["fifty"], edge(formal, F.lit("77"), "REACHING_DEF")),
+        F.when(bad & (x["priority"] == "4-NOT SPECIFIED") & (n == 1), edge(call, k, "AST")),
+    ]
+    return F.when(n > 0, F.concat_ws(",", *edges))
+
+
 def _documents(spark: SparkSession, sf_dir: str, broken: bool) -> observed.Documents:
     """A document for each customer with orders.
 
@@ -27,42 +66,20 @@ def _documents(spark: SparkSession, sf_dir: str, broken: bool) -> observed.Docum
     their name is missing, items with flag R stand below an item, those without tax call a formal, and the first
     item of an unspecified order owns its method. Items of 50 pieces lead to a node that isn't there.
     """
-    o = read(spark, sf_dir, "orders")
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.dayofmonth("o_orderdate").alias("day"))
     li = read(spark, sf_dir, "lineitem")
-    bad = F.lit(broken)
-    method = (F.col("o_orderkey") * 100).cast("string")
-    line = F.dayofmonth("o_orderdate").cast("string")
-    line = F.when(bad & (F.col("o_orderpriority") == "1-URGENT"), F.concat(F.lit('"'), line, F.lit('"'))).otherwise(line)
-    nameless = F.col("o_orderstatus") == "P"
-    named = F.when(nameless, "").otherwise(F.format_string('"FULL_NAME":"%s",', "o_orderpriority"))
-    missing = F.when(nameless & ~bad, '["FULL_NAME"]').otherwise("[]")
-    method_node = F.format_string('{"id":"%s","kind":"METHOD","properties":{%s"FILENAME":"%s","LINE_NUMBER":%s,"OVERLAYS":["a","%s"]},"missing_properties":%s}', method, named, "o_orderstatus", line, "o_orderstatus", missing)
-    m = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("key"), F.lit(0).alias("part"), F.array(method_node).alias("nodes"), F.array().cast("array<string>").alias("edges"))
     # line numbers repeat within orders
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    li = li.withColumn("n", n).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    formal = (F.col("l_orderkey") * 100 + 1 + F.col("n")).cast("string")
-    before = (F.col("l_orderkey") * 100 + F.col("n")).cast("string")
-    call = (F.col("l_orderkey") * 100 + 50 + F.col("n")).cast("string")
-    formal_node = F.format_string('{"id":"%s","kind":"METHOD_PARAMETER_IN","properties":{"INDEX":%d},"missing_properties":[]}', formal, "n")
-    call_node = F.format_string('{"id":"%s","kind":"CALL","properties":{"NAME":"%s","ARGUMENT_INDEX":%d,"IS_STATIC":%s},"missing_properties":[]}', call, "l_returnflag", "n", (F.col("l_linestatus") == "F").cast("string"))
-    edge = lambda a, b, kind, props="{}": F.format_string('{"src":"%s","dst":"%s","kind":"' + kind + '","properties":' + props + "}", a, b)
-    nested = bad & (F.col("l_returnflag") == "R") & (F.col("n") > 1)
-    calls = F.when(bad & (F.col("l_tax") == 0), formal).otherwise(method)
-    edges = [
-        edge(F.when(nested, before).otherwise(method), formal, "AST"),
-        edge(method, call, "AST"),
-        edge(call, calls, "CALL"),
-        F.when(F.col("n") > 1, edge(call, (F.col("l_orderkey") * 100 + 49 + F.col("n")).cast("string"), "ARGUMENT")),
-        F.when(F.col("l_linestatus") == "F", edge(formal, call, "REACHING_DEF", '{"VARIABLE":"x"}')),
-        F.when(bad & (F.col("l_quantity") == 50), edge(formal, F.lit("77"), "REACHING_DEF")),
-        F.when(bad & (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("n") == 1), edge(call, method, "AST")),
-    ]
-    items = li.select(F.col("o_custkey").alias("graph_id"), F.col("l_orderkey").alias("key"), F.col("n").alias("part"), F.array(formal_node, call_node).alias("nodes"), F.array_compact(F.array(*edges)).alias("edges"))
-    rows = m.unionByName(items).groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct("key", "part", "nodes", "edges"))).alias("x"))
-    joined = lambda n: F.array_join(F.flatten(F.transform("x", lambda x: x[n])), ",")
-    meta = '{"id":"0","kind":"META_DATA","properties":{"LANGUAGE":"SQL"},"missing_properties":[]},'
-    docs = rows.select(F.col("graph_id").cast("string").alias("graph_id"), F.concat(F.lit('{"nodes":[' + meta.replace('"0"', '"1"')), joined("nodes"), F.lit('],"edges":['), joined("edges"), F.lit("]}")).alias("json"))
+    li = li.select("l_orderkey", n.alias("n"), "l_returnflag", "l_linestatus", (F.col("l_tax") == 0).alias("untaxed"), (F.col("l_quantity") == 50).alias("fifty")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    shared = [F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("key")]
+    m = o.select(*shared, F.lit(0).alias("part"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "day", *(F.lit(None).cast(t).alias(c) for c, t in (("flag", "string"), ("untaxed", "boolean"), ("fifty", "boolean"))))
+    items = li.select(*shared, F.col("n").alias("part"), F.col("o_orderpriority").alias("priority"), F.col("l_linestatus").alias("status"), F.lit(None).cast("int").alias("day"), F.col("l_returnflag").alias("flag"), "untaxed", "fifty")
+    # only what the texts are made of is shuffled; the number of parts is fixed, since they become some forty times as large
+    parts = 8 + o.count() // 20_000
+    rows = m.unionByName(items).repartition(parts, "graph_id").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*m.columns[1:]))).alias("x"))
+    joined = lambda make: F.array_join(F.transform("x", lambda x: make(x, broken)), ",")
+    meta = '{"id":"1","kind":"META_DATA","properties":{"LANGUAGE":"SQL"},"missing_properties":[]},'
+    docs = rows.select(F.col("graph_id").cast("string").alias("graph_id"), F.concat(F.lit('{"nodes":[' + meta), joined(_nodes), F.lit('],"edges":['), joined(_edges), F.lit("]}")).alias("json"))
     catalogue = spark.createDataFrame(CATALOGUE, "kind string, name string, native string, quantity string")
     return observed.read(docs, catalogue, spark.createDataFrame(EDGES, "kind string, name string"))
 

@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, union_all
-from heddle.operators.governance import owner_methods, typed_edge_violations
+from heddle.functions.tables import materialized, union_all, written
+from heddle.operators.governance import owner_methods, wrong_ends
 from heddle.operators.graphs import cycles
 
 # Native types and what VARIANT calls them, and what parts of a method and relations of nodes are called.
@@ -54,15 +54,22 @@ def _strings(v: Column, name: str) -> Column:
 
 
 def read(documents: DataFrame, catalogue: DataFrame, edge_catalogue: DataFrame) -> Documents:
-    """documents: graph_id, json. Nodes and edges are written tables; a document that isn't JSON, or in which an object has a key twice, is broken."""
+    """documents: graph_id, json. Each is parsed once, into one written table of nodes and edges; a document that isn't JSON, or in which an object has a key twice, is broken."""
     v = documents.select("graph_id", F.try_parse_json("json").alias("v"))
-    lists = materialized(v.select("graph_id", *(F.try_variant_get("v", f"$.{n}", "array<variant>").alias(n) for n in ("nodes", "edges"))))
-    n = lists.select("graph_id", F.posexplode("nodes").alias("ordinal", "v"))
-    e = lists.select("graph_id", F.posexplode("edges").alias("ordinal", "v"))
-    v, props = F.col("v"), F.try_variant_get("v", "$.properties", "map<string,variant>").alias("properties")
-    nodes = n.select("graph_id", F.col("ordinal").cast("long"), _text(v, "id").alias("id"), _text(v, "kind").alias("kind"), props, _strings(v, "missing_properties").alias("missing"))
-    edges = e.select("graph_id", F.col("ordinal").cast("long"), _text(v, "src").alias("src"), _text(v, "dst").alias("dst"), _text(v, "kind").alias("kind"), props)
-    return Documents(materialized(nodes), materialized(edges), lists.where("nodes IS NULL OR edges IS NULL").select("graph_id"), catalogue, edge_catalogue)
+    lists = v.select("graph_id", *(F.try_variant_get("v", f"$.{n}", "array<variant>").alias(n) for n in ("nodes", "edges")))
+    none, no_place = F.lit(None).cast("variant"), F.lit(None).cast("int")
+    items = [
+        F.transform("nodes", lambda x, i: F.struct(i.alias("n"), no_place.alias("e"), x.alias("v"))),
+        F.transform("edges", lambda x, i: F.struct(no_place.alias("n"), i.alias("e"), x.alias("v"))),
+        F.when(F.col("nodes").isNull() | F.col("edges").isNull(), F.array(F.struct(no_place.alias("n"), no_place.alias("e"), none.alias("v")))),
+    ]
+    rows = lists.select("graph_id", F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<struct<n:int,e:int,v:variant>>")) for x in items))).alias("x")).select("graph_id", "x.*")
+    v, props = F.col("v"), F.try_variant_get("v", "$.properties", "map<string,variant>")
+    # nodes' and edges' columns are apart, so that those who read the ones skip the others
+    of = {"n": {"id": _text(v, "id"), "kind": _text(v, "kind"), "properties": props, "missing": _strings(v, "missing_properties")}, "e": {"src": _text(v, "src"), "dst": _text(v, "dst"), "kind": _text(v, "kind"), "properties": props}}
+    table = materialized(rows.select("graph_id", *(c for k, cs in of.items() for c in (F.col(k).cast("long").alias(f"{k}_ordinal"), *(F.when(F.col(k).isNotNull(), x).alias(f"{k}_{name}") for name, x in cs.items())))))
+    part = lambda k: table.where(f"{k}_ordinal IS NOT NULL").select("graph_id", *(F.col(f"{k}_{name}").alias(name) for name in ("ordinal", *of[k])))
+    return Documents(part("n"), part("e"), table.where("n_ordinal IS NULL AND e_ordinal IS NULL").select("graph_id"), catalogue, edge_catalogue)
 
 
 def _said(df: DataFrame, rule: str, subject: Column) -> DataFrame:
@@ -94,6 +101,29 @@ def parents(d: Documents) -> DataFrame:
     return d.edges.where("kind = 'AST'").groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
 
 
+def _ended(typed: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, kind, src_kind, dst_kind, rule, is_node): edges with the kinds of their ends and what they break, and the nodes themselves as rows with no src.
+
+    A document is one row of the input, so its nodes and edges are dealt out together, once; what meets at a node is then a window without a shuffle.
+    """
+    none = F.lit(None).cast("string")
+    sort = F.struct(F.col("kind").alias("k"), F.col("is_expression").alias("e"))
+    both = typed.select("graph_id", F.col("id").alias("src"), none.alias("dst"), none.alias("kind"), sort.alias("sort"), F.lit(True).alias("is_node"))
+    both = both.unionByName(edges.select("graph_id", "src", "dst", "kind", F.lit(None).cast(both.schema["sort"].dataType).alias("sort"), F.lit(False).alias("is_node")))
+    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(parts, "graph_id")
+    kinds = lambda end: F.collect_set("sort").over(W.partitionBy("graph_id", end))
+    other = ~F.col("is_node")
+    # a name that several nodes have stands for each of their kinds; no name is no node
+    both = both.withColumn("x", F.when(other & F.col("src").isNotNull(), kinds("src")))
+    both = both.select("graph_id", "src", F.when(F.col("is_node"), F.col("src")).otherwise(F.col("dst")).alias("dst"), "kind", "sort", "is_node", F.explode_outer("x").alias("s"))
+    both = both.withColumn("x", F.when(other & F.col("dst").isNotNull(), kinds("dst")))
+    both = both.select("graph_id", F.when(other, F.col("src")).alias("src"), "dst", "kind", "sort", "is_node", "s", F.explode_outer("x").alias("d"))
+    end = lambda x: [F.col(f"{x[0]}.k").alias(f"{x}_kind"), F.col(f"{x[0]}.e").alias(f"{x}_expr")]
+    rows = both.select("graph_id", "src", "dst", "kind", "sort", "is_node", *end("src"), *end("dst"))
+    return rows.select("graph_id", "src", "dst", "kind", "src_kind", F.coalesce("dst_kind", "sort.k").alias("dst_kind"), F.when(other, wrong_ends()).alias("rule"), "is_node")
+
+
 def violations(d: Documents) -> DataFrame:
     """(graph_id, rule, subject): all that is wrong, subject being a node's id or place, an edge as src>dst, or a property as id.name.
 
@@ -116,18 +146,27 @@ def violations(d: Documents) -> DataFrame:
     not_text = F.exists(F.map_values("properties"), lambda v: F.schema_of_variant(v) != "STRING")
     known_edges = edges.join(edge_kinds, "kind")
     expressions = d.catalogue.where("name = 'ARGUMENT_INDEX'").select("kind", F.lit(True).alias("is_expression"))
-    typed = nodes.where("id IS NOT NULL").select("graph_id", "id", "kind").distinct().join(F.broadcast(expressions), "kind", "left").withColumn("is_expression", F.coalesce("is_expression", F.lit(False)))
-    wrong_ends = typed_edge_violations(typed, edges.select("graph_id", "src", "dst", "kind"))
-    up = materialized(parents(d))
-    kind_of = typed.select("graph_id", F.col("id").alias("parent"), F.col("kind").alias("parent_kind"))
-    formals = typed.where(F.col("kind").isin(*OWNED)).select("graph_id", F.col("id").alias("node")).join(up, ["graph_id", "node"], "left").join(kind_of, ["graph_id", "parent"], "left")
-    ends = [up.select("graph_id", F.col("node").alias(e), F.col("parent").alias(f"{e}_owner")) for e in ("src", "dst")]
-    links = edges.where("kind = 'PARAMETER_LINK'").join(ends[0], ["graph_id", "src"]).join(ends[1], ["graph_id", "dst"])
+    typed = nodes.where("id IS NOT NULL").select("graph_id", "id", "kind").join(F.broadcast(expressions), "kind", "left").withColumn("is_expression", F.coalesce("is_expression", F.lit(False)))
+    # one written row for each node: its parent, that one's kinds, and the edges to it whose ends are wrong
+    e = _ended(typed, edges)
+    owner = F.when(F.col("kind") == "AST", F.col("src"))
+    wrong = F.when(F.col("rule").isNotNull(), F.struct("rule", "src"))
+    of_formal = F.when((F.col("kind") == "AST") & F.col("dst_kind").isin(*OWNED), F.struct("src", F.col("src_kind").alias("kind")))
+    own_kinds = F.collect_set(F.when(F.col("is_node") & F.col("dst_kind").isin(*OWNED), F.col("dst_kind")))
+    into = e.groupBy("graph_id", F.col("dst").alias("node")).agg(F.max(F.col("kind") == "AST").alias("owned"), F.min(owner).alias("parent"), (F.min(owner) < F.max(owner)).alias("several"), F.collect_set(of_formal).alias("parents"), F.collect_list(wrong).alias("wrong"), own_kinds.alias("own_kinds"), F.count_if("is_node").alias("n"))
+    into = materialized(into.withColumn("parents", F.filter("parents", lambda x: x["src"] == F.col("parent"))["kind"]))
+    up = into.where("owned").select("graph_id", "node", "parent")
+    ends_wrong = into.select("graph_id", "node", F.explode("wrong").alias("x")).select("graph_id", F.col("x.src").alias("src"), F.col("node").alias("dst"), F.col("x.rule").alias("rule"))
+    owners = into.where("several").select("graph_id", F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("owners").alias("rule"))
+    formals = into.select("graph_id", "node", "parents", F.explode("own_kinds")).select("graph_id", "node", F.explode_outer("parents").alias("parent_kind"))
+    ends = [up.select("graph_id", F.col("node").alias(e), F.col("parent").alias(f"{e}_owner")).hint("merge") for e in ("src", "dst")]
+    links, n_links = written(edges.where("kind = 'PARAMETER_LINK'").select("graph_id", "src", "dst"))
+    links = links.join(ends[0], ["graph_id", "src"]).join(ends[1], ["graph_id", "dst"]) if n_links else links.withColumns({f"{e}_owner": F.lit(None).cast("string") for e in ("src", "dst")})
     return union_all(
         [
             d.broken.select("graph_id", F.lit("not_a_document").alias("rule"), F.lit(None).cast("string").alias("subject")),
             _said(nodes.where(~F.coalesce(good_id, F.lit(False))), "bad_id", node_name),
-            _said(nodes.where("id IS NOT NULL").groupBy("graph_id", "id").count().where("count > 1"), "repeated_id", F.col("id")),
+            _said(into.where("n > 1"), "repeated_id", F.col("node")),
             _said(nodes.join(kinds, "kind", "left_anti"), "unknown_kind", node_name),
             _said(nodes.where("properties IS NULL"), "no_properties", node_name),
             _said(supported.where("native IS NULL"), "unknown_property", prop_name),
@@ -137,7 +176,7 @@ def violations(d: Documents) -> DataFrame:
             _said(edges.join(edge_kinds, "kind", "left_anti"), "unknown_edge_kind", edge_name),
             _said(known_edges.where("properties IS NULL").unionByName(known_edges.where(F.size(extra) > 0)), "unknown_edge_property", edge_name),
             _said(known_edges.where(not_text), "wrong_edge_property_type", edge_name),
-            _said(wrong_ends, "ends", F.concat_ws(":", "rule", edge_name)),
+            _said(ends_wrong.unionByName(owners), "ends", F.concat_ws(":", "rule", edge_name)),
             _said(cycles(up, ["graph_id"]), "cyclic_ownership", F.col("node")),
             _said(formals.where("parent_kind IS NULL OR parent_kind <> 'METHOD'"), "formal_without_method", F.col("node")),
             _said(links.where("src_owner <> dst_owner"), "link_across_methods", edge_name),
@@ -173,7 +212,8 @@ def role_edges(d: Documents) -> DataFrame:
     """
     kind_of = d.nodes.select("graph_id", "id", "kind")
     e = d.edges.select("graph_id", "ordinal", "src", "dst", F.col("kind").alias("edge"))
-    e = e.join(kind_of.toDF("graph_id", "src", "src_kind"), ["graph_id", "src"]).join(kind_of.toDF("graph_id", "dst", "dst_kind"), ["graph_id", "dst"])
+    # merged, not broadcast: the written nodes are far larger in memory
+    e = e.join(kind_of.toDF("graph_id", "src", "src_kind").hint("merge"), ["graph_id", "src"]).join(kind_of.toDF("graph_id", "dst", "dst_kind").hint("merge"), ["graph_id", "dst"])
     parts = F.create_map(*(F.lit(x) for kv in zip(METHOD_PARTS, ("inputs", "outputs", "returns", "modifiers"), strict=True) for x in kv))
     edge, a, b = F.col("edge"), F.col("src_kind"), F.col("dst_kind")
     formal = lambda k: k.isin(*FORMALS)
