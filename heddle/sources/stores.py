@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,8 +46,27 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("row_id", row_id("case:", F.col("commit_sha"), F.col("file_path"), F.col("func_name")))
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The SHA-256 of each part's ids, joined by newlines, as they come in order; no more than a batch is held."""
+    done, now, first = [], None, True
+    for batch in batches:
+        for part, name in zip(batch["held_out"].to_pylist(), batch["row_id"].to_pylist(), strict=True):
+            if now is None or now[0] != part:
+                now, first = (part, hashlib.sha256()), True
+                done.append(now)
+            if name is not None:
+                now[1].update(name.encode() if first else b"\n" + name.encode())
+                first = False
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in done], pa.bool_()), pa.array([h.hexdigest() for _, h in done], pa.string())], ["held_out", "ids_sha256"])
+
+
 def splits(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(held out, training, digest of each part's sorted ids) of rows with row_id; the parts never share a row."""
     marked = rows.withColumn("held_out", held_out(F.col("row_id")))
-    digest = marked.groupBy("held_out").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("row_id")), "\n"), 256).alias("ids_sha256"))
+    # a digest reads its ids in order, in one task; they get there as 16 bytes each, where they are what `read_corpus` makes
+    id_ = F.col("row_id")
+    code = F.when(id_.rlike("^case:[0-9a-f]{32}$"), F.unhex(F.substring(id_, 6, 32)))
+    ids = marked.select("held_out", code.alias("code"), F.when(code.isNull(), id_).alias("other")).distinct().repartition("held_out")
+    ids = ids.select("held_out", F.coalesce("other", F.concat(F.lit("case:"), F.lower(F.hex("code")))).alias("row_id"))
+    digest = ids.sortWithinPartitions("held_out", "row_id").mapInArrow(_digests, "held_out boolean, ids_sha256 string")
     return marked.where("held_out"), marked.where("NOT held_out"), digest

@@ -1,10 +1,12 @@
 """What keeps queries within their limits on larger tables."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from heddle.operators import graphs
+from heddle.operators import graphs, identity
 from heddle.plans import file_queries, observed_queries
-from heddle.sources import observed, reports
+from heddle.sources import observed, reports, stores
 
 TINY = "/root/testdata/sf0.001"
 
@@ -68,3 +70,20 @@ def test_files_of_reports_are_bounded(spark, monkeypatch):
             m.setattr(file_queries, "FILE", 20)
             largest, parts = _files(spark, m, name, counted)
         assert parts == whole and largest < 80
+
+
+def test_like_graphs_are_searched_once():
+    identity._searched.cache_clear()
+    node = lambda i, label: identity.Node(i, "CALL", label, "", "", "")
+    found = [identity._canonical([node(0, "root"), *(node(i, x) for i, x in enumerate(leaves, 1))], [(0, i, "AST") for i in (2, 1, 3)], identity.STATES) for leaves in ("abc", "cab", "bca")]
+    assert len({code for _, code, _ in found}) == 1 and identity._searched.cache_info().misses == 1
+    assert [ids[:3] for ids, _, _ in found] == [[1, 2, 3], [2, 3, 1], [3, 1, 2]]
+
+
+def test_digests_of_splits_gather_no_part(spark):
+    ids = [f"case:{hashlib.sha256(str(i).encode()).hexdigest()[:32]}" for i in range(300)] + ["case:other", "a"]
+    out, training, digest = stores.splits(spark.createDataFrame([(i,) for i in ids + ids[:9]], "row_id string"))
+    assert "collect_set" not in _plan(digest)
+    for part, rows in ((True, out), (False, training)):
+        want = hashlib.sha256("\n".join(sorted({r.row_id for r in rows.collect()})).encode()).hexdigest()
+        assert [r.ids_sha256 for r in digest.where(F.col("held_out") == part).collect()] == [want]
