@@ -5,9 +5,9 @@ anywhere in its body, the entry included. At a call whose fact isn't stopped, th
 spliced: its facts hold at the call's return sites, the control-flow successors of the call.
 
 A fact that isn't stopped at a call holds at the callee's entry, too, so as soon as one fact leaves a call
-all facts of the callee's body hold at its return sites. The fixpoint therefore keeps two tables besides the
-places of facts: procedures' bodies (proc, fact) and the calls that some fact leaves. No round makes the
-product of entry and body facts; `summary_rows` writes it out for those who ask.
+all facts of the callee's body hold at its return sites. Which calls are left follows from the nodes alone, so it is found
+first; then bodies are nodes with edges to the sites that they return to, and the facts spread over a condensed graph
+(`operators.condensed`). Nothing makes the product of entry and body facts; `summary_rows` writes it out for those who ask.
 
 Facts are named `node:ordinal` by their source and clause, so a name means the same after a change.
 """
@@ -19,7 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import Found, forget, materialized, union_all, written
+from heddle.functions.tables import materialized, union_all
+from heddle.operators.condensed import Condensed, Solution, condensed, spread
+from heddle.operators.graphs import closure
 from heddle.operators.taint import _matches, procedures, steps
 
 PLACE = ["spec_id", "graph_id", "node_id", "fact"]
@@ -47,7 +49,7 @@ def program(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> Program:
     fact = F.concat_ws(":", "node_id", "ordinal").alias("fact")
     return Program(
         proc,
-        both.select("graph_id", F.col("src").alias("node_id"), "dst").distinct(),
+        materialized(both.select("graph_id", F.col("src").alias("node_id"), "dst").distinct()),
         materialized(calls.join(after, ["graph_id", "call"])),
         materialized(_matches(nodes, clauses, "sanitize").select(*places).distinct()),
         materialized(_matches(nodes, clauses, "source").join(proc, ["graph_id", "node_id"], "left_semi").select(*places, fact)),
@@ -55,64 +57,89 @@ def program(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> Program:
     )
 
 
+NODE = ["spec_id", "graph_id", "node_id"]
+GRAPH = ["spec_id", "graph_id"]
+_KEYS = [*NODE, "body"]
+
+
 def _bodies(p: Program, places: DataFrame) -> DataFrame:
     return places.join(p.proc, ["graph_id", "node_id"]).select("spec_id", "graph_id", "proc", "fact").distinct()
 
 
-def _left(p: Program, places: DataFrame) -> DataFrame:
-    """The calls that one of these facts leaves."""
+def _passed(p: Program) -> DataFrame:
+    """(spec_id, graph_id, node_id, dst): the moves that no sanitizer stops."""
+    return materialized(p.seeds.select(*GRAPH).distinct().join(p.moves, "graph_id").join(p.blocked, NODE, "left_anti"))
+
+
+def _live(p: Program, passed: DataFrame) -> DataFrame:
+    """(spec_id, graph_id, node_id): where any fact holds. What a call gives back comes to nodes that the call leads to anyway."""
+    edges = passed.select(*GRAPH, F.col("node_id").alias("src"), "dst")
+    return materialized(closure(edges, p.seeds.select(*GRAPH, F.col("node_id").alias("node")), GRAPH).withColumnRenamed("node", "node_id"))
+
+
+def _left(p: Program, live: DataFrame) -> DataFrame:
+    """(spec_id, graph_id, call): the calls that some fact leaves."""
     calls = p.returns.select("graph_id", F.col("call").alias("node_id")).distinct()
-    out = places.join(calls, ["graph_id", "node_id"], "left_semi").join(p.blocked, ["spec_id", "graph_id", "node_id"], "left_anti")
-    return out.select("spec_id", "graph_id", F.col("node_id").alias("call")).distinct()
-
-
-def tabulate(p: Program, start: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """(spec_id, graph_id, node_id, fact): all places of facts that follow from `start` and from `base`, which has to be complete in itself but for what start adds."""
-    found, bodies, left = Found(), Found(), Found()
-    if base is not None:
-        found.add(*written(base.select(*PLACE)))
-        bodies.add(*written(_bodies(p, base)))
-        left.add(*written(_left(p, base)))
-        start = start.join(found.all(), PLACE, "left_anti")
-    frontier, n = written(start.select(*PLACE).distinct())
-    while n:
-        found.add(frontier, n)
-        body, leaving = _bodies(p, frontier), _left(p, frontier)
-        if bodies.parts:
-            body = body.join(bodies.all(), ["spec_id", "graph_id", "proc", "fact"], "left_anti")
-        if left.parts:
-            leaving = leaving.join(left.all(), ["spec_id", "graph_id", "call"], "left_anti")
-        none = {c: F.lit(None).cast(kind) for c, kind in (("proc", "long"), ("fact", "string"), ("call", "long"))}
-        columns = ["spec_id", "graph_id", *none]
-        told = body.withColumn("call", none["call"]).select(columns).unionByName(leaving.withColumns({c: none[c] for c in ("proc", "fact")}).select(columns))
-        told, n_told = written(told)  # both in one table
-        body, leaving = told.where("proc IS NOT NULL").drop("call"), told.where("call IS NOT NULL").drop("proc", "fact")
-        moved = frontier.join(p.blocked, ["spec_id", "graph_id", "node_id"], "left_anti").join(p.moves, ["graph_id", "node_id"])
-        new = [moved.select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact")]
-        if n_told and bodies.parts:  # older facts of the callee return to calls that are first left now
-            sites = leaving.join(p.returns, ["graph_id", "call"]).select("spec_id", "graph_id", "proc", "dst").distinct()
-            new.append(sites.join(bodies.all(), ["spec_id", "graph_id", "proc"]).select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact"))
-        if n_told:
-            left.add(leaving, n_told)
-        if n_told and left.parts:  # new facts of the callee return to all calls left so far
-            sites = left.all().join(p.returns, ["graph_id", "call"]).select("spec_id", "graph_id", "proc", "dst").distinct()
-            new.append(sites.join(body, ["spec_id", "graph_id", "proc"]).select("spec_id", "graph_id", F.col("dst").alias("node_id"), "fact"))
-        frontier, n = written(union_all(new).distinct().join(found.all(), PLACE, "left_anti"))
-        if n_told:  # not before: adding may delete tables that the new places are found from
-            bodies.add(body, n_told)
-    forget(*(t for t, _ in bodies.parts + left.parts))
-    return found.all() if found.parts else frontier
-
-
-def findings(p: Program, places: DataFrame) -> DataFrame:
+    return live.join(calls, ["graph_id", "node_id"], "left_semi").join(p.blocked, NODE, "left_anti").withColumnRenamed("node_id", "call")
+
+
+@dataclass
+class Graph:
+    """A program's graph with an edge from each body to the sites that it returns to, condensed."""
+
+    condensed: Condensed
+    left: DataFrame  # spec_id, graph_id, call
+
+
+def graph(p: Program, spliced: bool = True) -> Graph:
+    """Nodes, and bodies as nodes of their own (node_id: their procedure) that hold all that holds in them. Not spliced: facts return from no call."""
+    passed = _passed(p)
+    live = _live(p, passed)
+    left = materialized(_left(p, live))
+    body = lambda b: F.lit(b).alias("body")
+    nodes, moves = live.select(*NODE, body(False)), passed.join(live, NODE, "left_semi")
+    ends = lambda df, src, a, dst, b: df.select(*GRAPH, F.col(src).alias("node_id"), body(a), *(F.col(c).alias(f"dst_{c}") for c in GRAPH), F.col(dst).alias("dst_node_id"), F.lit(b).alias("dst_body"))
+    if spliced:
+        # what goes from a call to where it returns comes back from the callee as well
+        twice = p.returns.select("graph_id", F.col("call").alias("node_id"), "dst").distinct()
+        entered = p.returns.select("graph_id", F.col("call").alias("node_id"), F.col("proc").alias("dst")).distinct()
+        moves = moves.join(twice.join(entered, ["graph_id", "node_id", "dst"], "left_anti"), ["graph_id", "node_id", "dst"], "left_anti")
+        inside = materialized(live.join(p.proc, ["graph_id", "node_id"]).select(*NODE, "proc"))
+        back = left.join(p.returns, ["graph_id", "call"])
+        edges = union_all([ends(moves, "node_id", False, "dst", False), ends(inside, "node_id", False, "proc", True), ends(back, "proc", True, "dst", False)])
+        nodes = nodes.unionByName(inside.select(*GRAPH, F.col("proc").alias("node_id")).distinct().withColumn("body", body(True)))
+    else:
+        edges = ends(moves, "node_id", False, "dst", False)
+    return Graph(condensed(nodes, edges, p.seeds.withColumn("body", body(False)), _KEYS), left)
+
+
+def tabulate(g: Graph, start: DataFrame) -> Solution:
+    """Where the facts of `start` hold in the end; each goes its own way, since the edges don't depend on it."""
+    return spread(g.condensed, start.withColumn("body", F.lit(False)), _KEYS, GRAPH)
+
+
+def places(s: Solution) -> DataFrame:
+    """(spec_id, graph_id, node_id, fact): all places of facts."""
+    return s.at(s.nodes.where("not body").select(*_KEYS), _KEYS).select(*PLACE)
+
+
+def findings(p: Program, places: DataFrame | Solution) -> DataFrame:
     """(spec_id, graph_id, sink, fact): facts that hold at sinks."""
+    if isinstance(places, Solution):
+        return places.at(p.sinks.withColumn("body", F.lit(False)), _KEYS).select(*GRAPH, F.col("node_id").alias("sink"), "fact")
     return places.join(p.sinks, ["spec_id", "graph_id", "node_id"]).select("spec_id", "graph_id", F.col("node_id").alias("sink"), "fact")
 
 
 def solve(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> tuple[Program, DataFrame]:
     """The program, and all places of facts with summaries spliced."""
     p = program(nodes, edges, clauses)
-    return p, tabulate(p, p.seeds)
+    return p, places(tabulate(graph(p), p.seeds))
+
+
+def summary_totals(p: Program, s: Solution) -> tuple[DataFrame, DataFrame]:
+    """(spec_id, graph_id, proc, entry_fact), and (spec_id, graph_id, proc, rep): where the facts of each body are in the solution. Bodies that hold the same share a rep."""
+    entries = p.seeds.select("spec_id").distinct().crossJoin(p.proc.where("node_id = proc")).select(*NODE, F.lit(False).alias("body"), "proc")
+    return s.at(entries, _KEYS).select(*GRAPH, "proc", F.col("fact").alias("entry_fact")), s.nodes.where("body").select(*GRAPH, F.col("node_id").alias("proc"), "rep")
 
 
 def summary_rows(p: Program, places: DataFrame) -> DataFrame:
@@ -128,55 +155,74 @@ class VersionMismatch(ValueError):
     """A cache was made under another version or environment."""
 
 
-def write_cache(places: DataFrame, folder: str, version: str, environment: str) -> None:
+def write_cache(places: DataFrame | Solution, folder: str, version: str, environment: str) -> None:
     """Keeps the places of facts in a folder, under the version and the environment that made them; neither may be empty.
 
-    The header is written last, so a cache whose writing broke off has none and is refused.
+    A solution is kept as it is, without writing its places out. The header is written last, so a cache whose writing
+    broke off has none and is refused.
     """
     if not version or not environment:
         raise ValueError("a cache needs a version and an environment")
-    places.select(*PLACE).write.mode("overwrite").parquet(f"{folder}/places")
-    places.sparkSession.createDataFrame([(version, environment)], "version string, environment string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/header")
+    kept = {"nodes": places.nodes, "facts": places.facts} if isinstance(places, Solution) else {"places": places.select(*PLACE)}
+    for name, table in kept.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")
+    of = (places.nodes if isinstance(places, Solution) else places).sparkSession
+    of.createDataFrame([(version, environment)], "version string, environment string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/header")
 
 
-def read_cache(spark: SparkSession, folder: str, version: str, environment: str) -> DataFrame:
-    """The places of a cache; raises VersionMismatch if its header isn't this version and environment."""
+def _refuse_others(spark: SparkSession, folder: str, version: str, environment: str) -> None:
     found = [tuple(r) for r in spark.read.parquet(f"{folder}/header").limit(2).collect()]
     if found != [(version, environment)]:
         raise VersionMismatch(f"the cache is of {found}, not of {(version, environment)}")
+
+
+def read_cache(spark: SparkSession, folder: str, version: str, environment: str) -> DataFrame:
+    """The places of a cache; raises VersionMismatch if its header isn't this version and environment."""
+    _refuse_others(spark, folder, version, environment)
     return spark.read.parquet(f"{folder}/places")
 
 
-def resume(p: Program, cached: DataFrame, affected: DataFrame) -> DataFrame:
-    """All places of facts after a change, from those before it: the rows of a full run, but only facts that the change can touch are tabulated anew.
+def read_solution(spark: SparkSession, folder: str, version: str, environment: str) -> Solution:
+    """The same of a cache that was written from a solution."""
+    _refuse_others(spark, folder, version, environment)
+    return Solution(spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/facts"))
+
 
-    p: the program after the change; cached: places before it; affected (graph_id, proc): all procedures
+def _solution(places: DataFrame) -> Solution:
+    nodes = materialized(places.select(*NODE).distinct().withColumns({"body": F.lit(False), "rep": F.monotonically_increasing_id()}))
+    return Solution(nodes, places.join(nodes, NODE).select(*GRAPH, "rep", "fact"))
+
+
+def resumed(p: Program, cached: Solution, affected: DataFrame) -> tuple[Solution, Solution]:
+    """What stays of the solution before a change, and the solution of the facts that the change can touch: together the rows of a full run.
+
+    p: the program after the change; cached: the solution before it; affected (graph_id, proc): all procedures
     whose nodes, edges or meaning changed, and the direct callers of those that came or went.
 
-    Touched are facts that held in an affected procedure, or whose source came or went. If their new places no
-    longer leave a call that facts left before, what the callee gave back there may have gone as well, so the facts of
-    its body are touched, too; this is repeated until no call is lost.
+    Touched are facts that held in an affected procedure, whose source came or went, or that held in the body of a callee whose call
+    is left now and wasn't before, or the other way round, or is left in an affected procedure. No other fact meets an edge that has changed.
     """
-    keys = ["spec_id", "graph_id", "fact"]
-    cached = cached.select(*PLACE)
-    seeds = p.seeds
-    old = cached.join(seeds, PLACE, "left_anti")
-    inside = p.proc.join(affected, ["graph_id", "proc"], "left_semi").select("graph_id", "node_id")
+    keys = [*GRAPH, "fact"]
+    seeds, g = p.seeds, graph(p)
+    nodes = cached.nodes.where("not body").select(*NODE, "rep")
+    inside = p.proc.join(affected, ["graph_id", "proc"], "left_semi").select("graph_id", "node_id").distinct()
     # nodes that are gone have no procedure any more
-    gone = cached.select("graph_id", "node_id").distinct().join(p.proc, ["graph_id", "node_id"], "left_anti")
-    held = cached.join(inside.unionByName(gone).distinct(), ["graph_id", "node_id"], "left_semi").select(*keys)
-    came = seeds.join(cached, PLACE, "left_anti").select(*keys)
-    source = F.split("fact", ":")[0].cast("long")
-    went = old.where(F.col("node_id") == source).select(*keys)
+    stays = nodes.join(p.proc.select("graph_id", "node_id").distinct(), ["graph_id", "node_id"], "left_semi")
+    gone = nodes.join(stays, NODE, "left_anti")
+    hit = nodes.join(inside, ["graph_id", "node_id"], "left_semi").unionByName(gone).select("rep")
+    before = _left(p, nodes.select(*NODE))
+    changed = union_all([before.join(g.left, [*GRAPH, "call"], "left_anti"), g.left.join(before, [*GRAPH, "call"], "left_anti"), g.left.join(inside.withColumnRenamed("node_id", "call"), ["graph_id", "call"], "left_semi").select(*GRAPH, "call")])
+    callees = changed.join(p.returns, ["graph_id", "call"]).select(*GRAPH, "proc").distinct()
+    bodies = nodes.join(p.proc, ["graph_id", "node_id"]).join(callees, [*GRAPH, "proc"], "left_semi").select("rep")
+    held = cached.facts.join(hit.unionByName(bodies).distinct(), "rep", "left_semi").select(*keys)
+    at = seeds.join(nodes, NODE, "left").select(*keys, "rep")
+    came = at.join(cached.facts, [*keys, "rep"], "left_anti").select(*keys)
+    went = cached.facts.select(*keys).distinct().join(seeds, keys, "left_anti")
     touched = materialized(union_all([held, came, went]).distinct())
-    before = materialized(_left(p, cached))
-    while True:
-        kept = cached.join(touched, keys, "left_anti")
-        places = tabulate(p, seeds.join(touched, keys, "left_semi"), kept)
-        lost = before.join(_left(p, places), ["spec_id", "graph_id", "call"], "left_anti")
-        callees = lost.join(p.returns, ["graph_id", "call"]).select("spec_id", "graph_id", "proc").distinct()
-        more = _bodies(p, cached).join(callees, ["spec_id", "graph_id", "proc"], "left_semi").select(*keys).distinct()
-        more, n = written(more.join(touched, keys, "left_anti"))
-        if not n:
-            return places
-        touched = materialized(touched.unionByName(more))
+    kept = Solution(cached.nodes, materialized(cached.facts.join(touched, keys, "left_anti")))
+    return kept, tabulate(g, seeds.join(touched, keys, "left_semi"))
+
+
+def resume(p: Program, cached: DataFrame, affected: DataFrame) -> DataFrame:
+    """All places of facts after a change, from those before it, as of `resumed`."""
+    return union_all([places(s) for s in resumed(p, _solution(cached), affected)])

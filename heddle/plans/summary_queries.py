@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.tables import own_folder
-from heddle.operators import summaries, taint
+from heddle.operators import summaries
 from heddle.plans.graph_queries import event_graph
 
 VERSION, ENVIRONMENT = "1.4.0", "0" * 64
@@ -27,32 +27,34 @@ def _numbered(findings: DataFrame, *more: Column) -> DataFrame:
 
 def summary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts at sinks with summaries spliced, and whether each gets there only by a summary."""
-    nodes, edges, clauses = event_graph(spark, sf_dir)
-    p, places = summaries.solve(nodes, edges, clauses)
-    plain = taint.tabulate(p.seeds, p.moves.withColumnRenamed("node_id", "src"), p.blocked).select(*summaries.PLACE, F.lit(False).alias("by_summary"))
-    found = summaries.findings(p, places).withColumnRenamed("sink", "node_id").join(plain, summaries.PLACE, "left")
-    return _numbered(found.withColumnRenamed("node_id", "sink"), F.coalesce("by_summary", F.lit(True)).alias("by_summary"))
+    p = summaries.program(*event_graph(spark, sf_dir))
+    spliced, plain = (summaries.findings(p, summaries.tabulate(summaries.graph(p, s), p.seeds)) for s in (True, False))
+    found = spliced.join(plain.withColumn("by_summary", F.lit(False)), plain.columns, "left")
+    return _numbered(found, F.coalesce("by_summary", F.lit(True)).alias("by_summary"))
 
 
 def procedure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fact at the entry of a procedure with the number, the least and the largest of the facts of its body."""
-    p, places = summaries.solve(*event_graph(spark, sf_dir))
-    rows = summaries.summary_rows(p, places)
+    """Each fact at the entry of a procedure with the number, the least and the largest of the facts of its body, which are counted before they meet the entry's."""
+    p = summaries.program(*event_graph(spark, sf_dir))
+    s = summaries.tabulate(summaries.graph(p), p.seeds)
     fact = lambda c: F.split(c, ":")[0].cast("long")
-    rows = rows.select((-F.col("proc") - 1).alias("user_id"), fact("entry_fact").alias("entry_source"), fact("fact").alias("source"))
-    return rows.groupBy("user_id", "entry_source").agg(F.count("*").alias("n_facts"), F.min("source").alias("least"), F.max("source").alias("largest"))
+    entries, bodies = summaries.summary_totals(p, s)
+    totals = s.facts.join(bodies.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.count("*").alias("n_facts"), F.min(fact("fact")).alias("least"), F.max(fact("fact")).alias("largest"))
+    rows = entries.join(bodies.join(totals, "rep"), [*summaries.GRAPH, "proc"])
+    return rows.select((-F.col("proc") - 1).alias("user_id"), fact("entry_fact").alias("entry_source"), "n_facts", "least", "largest")
 
 
 def resumed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings after a change, from the cache that a run before the change wrote: the rows of a full run."""
     nodes, edges, clauses = event_graph(spark, sf_dir)
     folder = own_folder(spark, "summaries")
-    _, places = summaries.solve(nodes, edges, clauses)
-    summaries.write_cache(places, folder, VERSION, ENVIRONMENT)
+    p = summaries.program(nodes, edges, clauses)
+    summaries.write_cache(summaries.tabulate(summaries.graph(p), p.seeds), folder, VERSION, ENVIRONMENT)
     after, affected = _changed(nodes)
     p = summaries.program(after, edges, clauses)
-    cached = summaries.read_cache(spark, folder, VERSION, ENVIRONMENT)
-    return _numbered(summaries.findings(p, summaries.resume(p, cached, affected)))
+    cached = summaries.read_solution(spark, folder, VERSION, ENVIRONMENT)
+    kept, again = summaries.resumed(p, cached, affected)
+    return _numbered(summaries.findings(p, kept).unionByName(summaries.findings(p, again)))
 
 
 def _sql(kind: str) -> str:
