@@ -4,8 +4,8 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from heddle.operators import graphs, identity
-from heddle.plans import file_queries, observed_queries
+from heddle.operators import graphs, identity, taint
+from heddle.plans import file_queries, graph_queries, observed_queries
 from heddle.sources import observed, reports, stores
 
 TINY = "/root/testdata/sf0.001"
@@ -87,3 +87,10 @@ def test_digests_of_splits_gather_no_part(spark):
     for part, rows in ((True, out), (False, training)):
         want = hashlib.sha256("\n".join(sorted({r.row_id for r in rows.collect()})).encode()).hexdigest()
         assert [r.ids_sha256 for r in digest.where(F.col("held_out") == part).collect()] == [want]
+
+
+def test_rounds_of_taint_read_written_moves(spark, monkeypatch):
+    plans, real = [], taint.written
+    monkeypatch.setattr(taint, "written", lambda df: plans.append(_plan(df)) or real(df))
+    assert taint.solve(*graph_queries.event_graph(spark, TINY)).count() > 0
+    assert len(plans) > 2 and not any("Window" in p for p in plans[1:])
