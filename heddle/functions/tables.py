@@ -16,6 +16,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table for each task where tasks hold what they get.
+TASK_ROWS = 500_000
+
+
+def parts(spark: SparkSession, rows: int) -> int:
+    """How many tasks that many rows are dealt to, so that a task's share stays the same on larger tables."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset, a temporary one in local mode only: the machines of a cluster don't share it."""
     where = spark.conf.get("spark.checkpoint.dir", None)

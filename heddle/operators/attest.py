@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from heddle.operators.stats import reproduction_rate
 
 
-def identical(first: DataFrame, second: DataFrame) -> DataFrame:
-    """One row: whether two tables have the same rows as often, and how many rows only one has."""
+def identical(first: DataFrame, second: DataFrame, parts: int | None = None) -> DataFrame:
+    """One row: whether two tables have the same rows as often, and how many rows only one has. parts: how many tasks the rows are dealt to."""
     cols = first.columns
-    count = lambda df, n: df.groupBy(*cols).agg(F.count("*").alias(n))
-    both = count(first, "n1").withColumn("n2", F.lit(0).cast("long")).unionByName(count(second, "n2").withColumn("n1", F.lit(0).cast("long")))
-    odd = both.groupBy(*cols).agg((F.sum("n1") - F.sum("n2")).alias("d"))
+    both = first.withColumn("d", F.lit(1)).unionByName(second.withColumn("d", F.lit(-1)))
+    odd = _dealt(both, cols, parts).groupBy(*cols).agg(F.sum("d").alias("d"))
     out = odd.agg(F.coalesce(F.sum(F.greatest("d", F.lit(0))), F.lit(0)).alias("only_first"), F.coalesce(F.sum(F.greatest(-F.col("d"), F.lit(0))), F.lit(0)).alias("only_second"))
     return out.withColumn("identical", (F.col("only_first") == 0) & (F.col("only_second") == 0))
 
 
-def attested(core: tuple[DataFrame, DataFrame], oracle: tuple[DataFrame, DataFrame]) -> DataFrame:
+def _dealt(df: DataFrame, cols: list[str], parts: int | None) -> DataFrame:
+    return df.repartition(parts, *cols) if parts else df
+
+
+def attested(core: tuple[DataFrame, DataFrame], oracle: tuple[DataFrame, DataFrame], parts: int | None = None) -> DataFrame:
     """One row: identical, only_first, only_second of the core's runs, and the oracle's reproduction rate, which never decides."""
-    return identical(*core).crossJoin(reproduction_rate(*oracle).select(F.col("rate").alias("oracle_rate")))
+    first, second = (_dealt(df, oracle[0].columns, parts) for df in oracle)
+    return identical(*core, parts).crossJoin(reproduction_rate(first, second).select(F.col("rate").alias("oracle_rate")))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

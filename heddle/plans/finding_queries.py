@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heddle.functions import framing
-from heddle.functions.tables import read
+from heddle.functions.tables import parts, read
 from heddle.operators import attest, continuity, findings, stats
 
 ENGINES = {"signup": "ifds", "purchase": "ide", "click": "semgrep", "view": "codeql", "error": "mixed"}
@@ -271,7 +271,7 @@ def attestation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items once and again as the core's runs, the second without those of quantity 50; two filters as the oracle's."""
     li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     run = lambda c: li.where(c).select("l_orderkey", "l_partkey")
-    out = attest.attested((run("true"), run("l_quantity <> 50")), (run("l_quantity < 30"), run("l_quantity % 2 = 0")))
+    out = attest.attested((run("true"), run("l_quantity <> 50")), (run("l_quantity < 30"), run("l_quantity % 2 = 0")), parts(spark, 2 * li.count()))
     return out.select("identical", "only_first", "only_second", F.col("oracle_rate").cast("double").alias("oracle_rate"))
 
 
