@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.functions.canonical import canonical_row, namespaced_digest
-from heddle.functions.tables import read, union_all
+from heddle.functions.tables import parts, read, union_all
 from heddle.operators import inventory
 
 DOCUMENT, OCCURRENCE, INVENTORY = "document/1", "occurrence/1", "inventory/1"
@@ -38,6 +38,7 @@ SELECT doc_id, CAST(strlen(json) AS BIGINT) AS n_bytes, 'sha256:' || sha256('{DO
 def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(inventories without a digest, occurrences)."""
     c = read(spark, sf_dir, "customer")
+    n = parts(spark, 10 * read(spark, sf_dir, "orders").count())  # an order's row is wide, and both lists of its scan name it
     scope = [
         F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("scan_id"),
         F.concat(F.lit("cap-"), F.col("c_nationkey").cast("string")).alias("capture_id"),
@@ -52,7 +53,7 @@ def _scans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     state = F.when(F.col("c_mktsegment") == "MACHINERY", "done").otherwise("completed")
     refs = F.when(F.col("c_mktsegment") == "BUILDING", empty).otherwise(F.array("c_mktsegment", "c_name"))
     inventories = c.join(sealed, "c_custkey", "left").select(*scope, state.alias("detection_state"), (state == "completed").alias("sealed"), F.coalesce("ids", empty).alias("sealed_occurrence_ids"), refs.alias("evidence_refs"), "c_nationkey", "c_acctbal")
-    return inventories, occurrences
+    return inventories.repartition(n, "scan_id"), occurrences.repartition(n, "scan_id")
 
 
 def inventory_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
