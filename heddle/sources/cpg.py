@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heddle.functions.tables import materialized, union_all
+from heddle.functions.tables import materialized, numbered, union_all
 
 # The export's fields, the kinds of edges and what they become, and the labels of declarations.
 NODE = T.StructType([T.StructField(n, T.StringType()) for n in ("id", "label", "code", "name", "methodFullName", "fullName", "filename")] + [T.StructField(n, T.IntegerType()) for n in ("lineNumber", "columnNumber")])
@@ -40,12 +40,14 @@ def mapped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Da
     numbered by file, line, column and pre-order place, so that the order of the export doesn't count.
     Nodes outside the tree come last in it, without declaration and path. Invalid edges raise.
     """
-    if not invalid_edges(nodes, edges).isEmpty():
-        raise ValueError("an export has edges of unknown kind or without nodes")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     number = lambda c: F.coalesce(F.col(c), F.lit(0))
     is_decl = F.col("label").isin(*DECLARATIONS)
     n = materialized(nodes.select("graph_id", "id", text("label").alias("label"), text("code").alias("code"), text("name").alias("name"), text("methodFullName").alias("call_name"), text("fullName").alias("own_name"), text("filename").alias("own_file"), number("lineNumber").alias("line"), number("columnNumber").alias("column")))
+    edges = materialized(edges.select("graph_id", "src", "dst", "kind"))
+    if not invalid_edges(n, edges).isEmpty():
+        raise ValueError("an export has edges of unknown kind or without nodes")
+    own = [c for c in n.columns if c not in ("graph_id", "id")]
     tree = edges.where("kind = 'AST'").select("graph_id", F.col("src").alias("parent"), F.col("dst").alias("id"))
     tree = materialized(tree.groupBy("graph_id", "id").agg(F.max("parent").alias("parent")))
     sibling = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("file", "line", "column", "id")) - 1
@@ -56,7 +58,7 @@ def mapped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Da
     while True:
         path = F.when(is_decl, "").when(F.col("root"), "").otherwise(F.when(F.col("parent_path") == "", F.col("place").cast("string")).otherwise(F.concat_ws(".", "parent_path", "place")))
         decl = F.when(is_decl, F.col("own_name")).otherwise(F.col("parent_decl"))
-        level = materialized(level.select("graph_id", "id", "file", decl.alias("decl"), path.alias("path"), F.concat("walk", F.array(F.col("place").cast("int"))).alias("walk")))
+        level = materialized(level.select("graph_id", "id", *own, "file", decl.alias("decl"), path.alias("path"), F.concat("walk", F.array(F.col("place").cast("int"))).alias("walk")))
         if level.isEmpty():
             break
         found.append(level)
@@ -64,10 +66,12 @@ def mapped(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, Da
         level = tree.join(above, ["graph_id", "parent"]).join(n, ["graph_id", "id"]).withColumn("file", file)
         level = level.withColumns({"place": sibling("graph_id", "parent"), "root": F.lit(False)})
     walked = union_all(found) if found else level
-    orphans = n.join(walked, ["graph_id", "id"], "left_anti").select("graph_id", "id", F.col("own_file").alias("file"), F.lit("").alias("decl"), F.lit("").alias("path"), F.array(F.lit(2**31 - 1)).alias("walk"))
-    rows = n.join(walked.unionByName(orphans), ["graph_id", "id"])
-    node_id = F.row_number().over(W.partitionBy("graph_id").orderBy("file", "line", "column", "walk", "id")) - 1
-    rows = materialized(rows.withColumn("node_id", node_id.cast("long")))
+    orphans = n.join(walked, ["graph_id", "id"], "left_anti").select("graph_id", "id", *own, F.col("own_file").alias("file"), F.lit("").alias("decl"), F.lit("").alias("path"), F.array(F.lit(2**31 - 1)).alias("walk"))
+    rows = walked.unionByName(orphans)
+    # in ranges, so that a large graph isn't one task; a graph's first number is taken off
+    placed = numbered(rows, ["graph_id", "file", "line", "column", "walk", "id"], "place")
+    first = materialized(placed.groupBy("graph_id").agg(F.min("place").alias("first")))
+    rows = placed.join(first, "graph_id").withColumn("node_id", F.col("place") - F.col("first")).drop("place", "first")
     value = F.when(F.col("label") == "LITERAL", F.col("code")).when((F.col("label") == "CALL") & F.col("name").startswith(OPERATOR), F.col("name")).otherwise("")
     fqn = F.when(F.col("label") == "CALL", F.col("call_name")).when(is_decl, F.col("own_name")).otherwise("")
     out = rows.select("graph_id", "node_id", F.col("label").alias("kind"), value.alias("operator_or_literal"), fqn.alias("resolved_fqn"), F.col("decl").alias("enclosing_decl_fqn"), F.col("path").alias("structural_path"))
