@@ -1,12 +1,14 @@
 """What keeps queries within their limits on larger tables."""
 
 import hashlib
+import zlib
 
 from pyspark.sql import functions as F
 
-from heddle.operators import graphs, identity, taint
-from heddle.plans import file_queries, graph_queries, observed_queries
-from heddle.sources import observed, reports, stores
+from heddle.functions import tables
+from heddle.operators import attest, graphs, identity, taint
+from heddle.plans import file_queries, graph_queries, inventory_queries, observed_queries
+from heddle.sources import cpg, objects, observed, reports, stores
 
 TINY = "/root/testdata/sf0.001"
 
@@ -94,3 +96,28 @@ def test_rounds_of_taint_read_written_moves(spark, monkeypatch):
     monkeypatch.setattr(taint, "written", lambda df: plans.append(_plan(df)) or real(df))
     assert taint.solve(*graph_queries.event_graph(spark, TINY)).count() > 0
     assert len(plans) > 2 and not any("Window" in p for p in plans[1:])
+
+
+def test_rows_are_dealt_by_their_number(spark, monkeypatch):
+    rows = spark.range(20).selectExpr("id % 3 a", "id % 2 b")
+    got = attest.attested((rows, rows.where("a > 0")), (rows, rows.where("b = 0")), 7)
+    assert _plan(got).count(", 7)") >= 3
+    assert tuple(got.first())[:2] == (7, 0) and not got.first().identical
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    assert all(f", {10 * 1500 // 100})" in _plan(df) for df in inventory_queries._scans(spark, TINY))
+    assert tables.parts(spark, 1) == 4
+
+
+def test_imported_nodes_are_numbered_in_ranges(spark):
+    nodes = spark.createDataFrame([(g, f"n{i}", "METHOD", None, f"m{i}", None, f"m{i}", "f", i, 0) for g in "ab" for i in (2, 1, 3)], "graph_id string, id string, label string, code string, name string, methodFullName string, fullName string, filename string, lineNumber int, columnNumber int")
+    edges = spark.createDataFrame([("a", "n1", "n3", "AST")], "graph_id string, src string, dst string, kind string")
+    out, e, _ = cpg.mapped(nodes, edges)
+    assert "Window" not in _plan(out)
+    assert sorted((r.graph_id, r.node_id, r.resolved_fqn) for r in out.collect()) == [(g, i - 1, f"m{i}") for g in "ab" for i in (1, 2, 3)]
+    assert [tuple(r) for r in e.collect()] == [("a", 0, 2, "AST")]
+
+
+def test_texts_are_deflated_in_small_batches(spark):
+    rows = spark.createDataFrame([(bytearray(b"abc"),)], "payload binary").select(*objects.stored("blob", F.col("payload")))
+    assert "ArrowEvalPython" not in _plan(rows)
+    assert zlib.decompress(rows.first().stored) == b"blob 3\0abc"
