@@ -8,7 +8,7 @@ import uuid
 import weakref
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,12 +43,12 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame) -> tuple[DataFrame, int]:
-    """df as a written table, and its rows, which are counted on the way: the lineage ends here, and a lost executor costs no earlier round."""
+def written(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """df as a written table, and its rows (those of `which`), which are counted on the way: the lineage ends here, and a lost executor costs no earlier round."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     rows = Observation()
-    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(rows, (F.count(F.lit(1)) if which is None else F.count_if(which)).alias("n")).write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path

@@ -2,7 +2,9 @@
 
 Where the edges are known, what holds at a node follows from the nodes before it, whatever the facts are. A node
 with one predecessor and no fact of its own holds what that one holds, and two nodes with edges to each other hold
-the same. Both are merged, again and again, and only what is left is visited; rows are written out for the nodes that are asked for.
+the same. Both are merged. A node with one predecessor or none is released: it leaves the graph, what is its own goes on to its successors, and
+once all is known it holds that and what its predecessor holds. Nodes are released and merged again and again, and only what is left is visited.
+Facts are numbered by the node that they begin at (their origin); rows are written out for the nodes that are asked for.
 """
 
 from __future__ import annotations
@@ -13,17 +15,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import Found, forget, materialized, written
-from heddle.operators.graphs import nearest_ancestor
+from heddle.functions.tables import Found, forget, materialized, union_all, written
 
 # A fixed value: the merging ends when a round leaves more than this share of the edges.
-SHRINK = 0.9
+SHRINK = 0.5
 
 
 @dataclass
 class Condensed:
     nodes: DataFrame  # *keys, rep: all nodes that any fact reaches
     edges: DataFrame  # rep, dst
+    origins: DataFrame  # *keys, origin: nodes with facts of their own
+    own: DataFrame  # rep, origin: what the reps that are left have of their own
+    released: list[tuple[DataFrame, DataFrame]]  # of each round (rep, up) and (rep, origin): a rep holds its own origins and what up holds
 
 
 @dataclass
@@ -37,16 +41,25 @@ class Solution:
         return nodes.join(self.nodes, list(keys)).join(self.facts.drop(*by), "rep").drop("rep")
 
 
-def _merged(edges: DataFrame, own: DataFrame, pointers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Edges and own facts' places after each node became what its pointer (node, parent) leads to at last; also (node, owner) of those that moved."""
-    roots = pointers.select(F.col("parent").alias("node")).join(pointers, "node", "left_anti").distinct()
-    ends = roots.withColumn("parent", F.lit(None).cast("long"))
-    to = materialized(nearest_ancestor(pointers.unionByName(ends), roots).where("node <> owner"))
-    for end in ("rep", "dst"):
-        edges = edges.join(to.select(F.col("node").alias(end), "owner"), end, "left").withColumn(end, F.coalesce("owner", end)).drop("owner")
-    edges, n = written(edges.where("rep <> dst").distinct())
-    own = materialized(own.join(to.select(F.col("node").alias("rep"), "owner"), "rep", "left").select(F.coalesce("owner", "rep").alias("rep")).distinct())
-    return edges, own, to, n
+def _ends(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """(node, owner): what each node's pointer (node, parent) leads to at last, and their number. Each round follows the pointers of the last one three times; they may form no cycle."""
+    to, n = written(pointers)
+    open_ = n
+    while open_:
+        nxt = to.withColumn("more", F.lit(True))
+        for _ in range(2):
+            above = to.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
+            nxt = nxt.join(above, "parent", "left").select("node", F.coalesce("above", "parent").alias("parent"), F.col("above").isNotNull().alias("more"))
+        old, (to, open_) = to, written(nxt, F.col("more"))
+        to = to.drop("more")
+    return to.withColumnRenamed("parent", "owner"), n
+
+
+def _renamed(df: DataFrame, to: DataFrame, *columns: str) -> DataFrame:
+    """df after each node became its owner."""
+    for c in columns:
+        df = df.join(to.select(F.col("node").alias(c), "owner"), c, "left").withColumn(c, F.coalesce("owner", c)).drop("owner")
+    return df
 
 
 def condensed(nodes: DataFrame, edges: DataFrame, own: DataFrame, keys: Sequence[str]) -> Condensed:
@@ -55,44 +68,83 @@ def condensed(nodes: DataFrame, edges: DataFrame, own: DataFrame, keys: Sequence
     numbers = materialized(nodes.select(*keys).withColumn("rep", F.monotonically_increasing_id()))
     dst = numbers.select(*(F.col(k).alias(f"dst_{k}") for k in keys), F.col("rep").alias("dst"))
     e, n = written(edges.join(numbers, keys).join(dst, [f"dst_{k}" for k in keys]).select("rep", "dst").where("rep <> dst").distinct())
-    own = materialized(own.select(*keys).distinct().join(numbers, keys).select("rep"))
-    owner = numbers
+    origins = materialized(own.select(*keys).distinct().join(numbers, keys).withColumnRenamed("rep", "origin"))
+    own = origins.select(F.col("origin").alias("rep"), "origin")
+    merged: list[DataFrame] = []
+    released: list[tuple[DataFrame, DataFrame, int]] = []
+
+    def merge(pointers: DataFrame) -> None:
+        nonlocal e, n
+        to, moved = _ends(pointers)
+        if moved:
+            merged.append(to)
+            old, (e, n) = e, written(_renamed(e, to, "rep", "dst").where("rep <> dst").distinct())
+            forget(old)
+
+    if n:
+        merge(_single(e, own))
     while n:
         before = n
-        for step in (_single, _mutual):
-            pointers, moved = written(step(e, own))
-            if not moved:
-                continue
-            old = e
-            e, own, to, n = _merged(e, own, pointers)
-            forget(old)
-            old = owner
-            owner = materialized(owner.join(to.select(F.col("node").alias("rep"), "owner"), "rep", "left").select(*keys, F.coalesce("owner", "rep").alias("rep")))
+        gone, moved = written(_released(e, own))
+        if moved:
+            out = own.join(gone.select("rep"), "rep", "left_semi")
+            released.append((gone, out, len(merged)))
+            own = materialized(own.join(gone.select("rep"), "rep", "left_anti").unionByName(out.join(e, "rep").select(F.col("dst").alias("rep"), "origin")).distinct())
+            inner = e.join(gone.where(F.col("up").isNotNull()).select(F.col("rep").alias("dst")), "dst", "left_anti").join(gone.withColumn("is_gone", F.lit(True)), "rep", "left")
+            kept = inner.select(F.when(F.col("is_gone"), F.col("up")).otherwise(F.col("rep")).alias("rep"), "dst").where("rep <> dst")
+            old, (e, n) = e, written(kept.distinct())
             forget(old)
+        several = len(merged)
+        if n:
+            merge(_mutual(e))
+        if len(merged) > several:
+            own = materialized(_renamed(own, merged[-1], "rep").distinct())
         if n > SHRINK * before:
             break
-    return Condensed(owner, e)
+    owner = numbers
+    for to in merged:
+        owner = _renamed(owner, to, "rep")
+    layers = []
+    for gone, out, at in released:
+        for to in merged[at:]:
+            gone = _renamed(gone, to, "up")
+        layers.append((gone, out))
+    return Condensed(materialized(owner.select(*keys, "rep")), e, origins, own, layers)
 
 
 def _single(edges: DataFrame, own: DataFrame) -> DataFrame:
     one = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("rep").alias("parent")).where("n = 1")
-    return one.select(F.col("dst").alias("node"), "parent").join(own.withColumnRenamed("rep", "node"), "node", "left_anti")
+    return one.select(F.col("dst").alias("node"), "parent").join(own.select(F.col("rep").alias("node")).distinct(), "node", "left_anti")
+
+
+def _released(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(rep, up): nodes without predecessor (up: null), and those with one that isn't released itself."""
+    one = edges.groupBy("dst").agg(F.count("*").alias("n"), F.min("rep").alias("up")).where("n = 1").select(F.col("dst").alias("rep"), "up")
+    first = own.select("rep").distinct().join(edges.select(F.col("dst").alias("rep")).distinct(), "rep", "left_anti").join(edges.select("rep").distinct(), "rep", "left_semi")
+    after = one.select(F.col("rep").alias("up")).unionByName(first.select(F.col("rep").alias("up")))
+    return one.join(after, "up", "left_anti").select("rep", "up").unionByName(first.withColumn("up", F.lit(None).cast("long")))
 
 
-def _mutual(edges: DataFrame, own: DataFrame) -> DataFrame:
+def _mutual(edges: DataFrame) -> DataFrame:
     """Pointers to the least of the nodes with edges both ways, if that is smaller: they run downwards, so they meet no cycle."""
     back = edges.select(F.col("dst").alias("rep"), F.col("rep").alias("dst"))
     return edges.join(back, ["rep", "dst"], "left_semi").where("dst < rep").groupBy(F.col("rep").alias("node")).agg(F.min("dst").alias("parent"))
 
 
 def spread(c: Condensed, facts: DataFrame, keys: Sequence[str], by: Sequence[str]) -> Solution:
-    """Where facts (*keys, fact) hold in the end; by: the keys that name a graph, in which facts have their names."""
-    frontier, n = written(facts.join(c.nodes, list(keys)).select(*by, "rep", "fact").distinct())
+    """Where facts (*keys, fact) hold in the end, all of which begin at origins; by: the keys that name a graph, in which facts have their names."""
+    names = materialized(facts.join(c.origins, list(keys)).select("origin", *by, "fact").distinct())
+    wanted = names.select("origin").distinct()
+    frontier, n = written(c.own.join(wanted, "origin", "left_semi").select("rep", "origin"))
     found = Found()
     found.add(frontier, n)
     while n:
-        new = frontier.join(c.edges, "rep").select(*by, F.col("dst").alias("rep"), "fact").distinct()
-        frontier, n = written(new.join(found.all(), [*by, "rep", "fact"], "left_anti"))
+        new = frontier.join(c.edges, "rep").select(F.col("dst").alias("rep"), "origin").distinct()
+        frontier, n = written(new.join(found.all(), ["rep", "origin"], "left_anti"))
         if n:
             found.add(frontier, n)
-    return Solution(c.nodes, found.all())
+    held = [found.all()]
+    for gone, out in reversed(c.released):
+        above = union_all(held).withColumnRenamed("rep", "up").join(gone, "up").select("rep", "origin")
+        held.append(materialized(above.unionByName(out.join(wanted, "origin", "left_semi").select("rep", "origin")).distinct()))
+    return Solution(c.nodes, union_all(held).join(names, "origin").select(*by, "rep", "fact"))

@@ -49,7 +49,7 @@ def program(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> Program:
     fact = F.concat_ws(":", "node_id", "ordinal").alias("fact")
     return Program(
         proc,
-        materialized(both.select("graph_id", F.col("src").alias("node_id"), "dst").distinct()),
+        both.select("graph_id", F.col("src").alias("node_id"), "dst").distinct(),
         materialized(calls.join(after, ["graph_id", "call"])),
         materialized(_matches(nodes, clauses, "sanitize").select(*places).distinct()),
         materialized(_matches(nodes, clauses, "source").join(proc, ["graph_id", "node_id"], "left_semi").select(*places, fact)),
@@ -59,7 +59,7 @@ def program(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> Program:
 
 NODE = ["spec_id", "graph_id", "node_id"]
 GRAPH = ["spec_id", "graph_id"]
-_KEYS = [*NODE, "body"]
+_KEYS = [*NODE, "body", "plain"]
 
 
 def _bodies(p: Program, places: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _passed(p: Program) -> DataFrame:
 def _live(p: Program, passed: DataFrame) -> DataFrame:
     """(spec_id, graph_id, node_id): where any fact holds. What a call gives back comes to nodes that the call leads to anyway."""
     edges = passed.select(*GRAPH, F.col("node_id").alias("src"), "dst")
-    return materialized(closure(edges, p.seeds.select(*GRAPH, F.col("node_id").alias("node")), GRAPH).withColumnRenamed("node", "node_id"))
+    return closure(edges, p.seeds.select(*GRAPH, F.col("node_id").alias("node")), GRAPH).withColumnRenamed("node", "node_id")
 
 
 def _left(p: Program, live: DataFrame) -> DataFrame:
@@ -89,47 +89,62 @@ class Graph:
 
     condensed: Condensed
     left: DataFrame  # spec_id, graph_id, call
+    plain: bool  # whether it has a second copy of all nodes, in which facts return from no call
 
 
-def graph(p: Program, spliced: bool = True) -> Graph:
-    """Nodes, and bodies as nodes of their own (node_id: their procedure) that hold all that holds in them. Not spliced: facts return from no call."""
+def graph(p: Program, plain: bool = False) -> Graph:
+    """Nodes, and bodies as nodes of their own (node_id: their procedure) that hold all that holds in them. plain: also the graph without bodies, beside it."""
     passed = _passed(p)
     live = _live(p, passed)
     left = materialized(_left(p, live))
-    body = lambda b: F.lit(b).alias("body")
-    nodes, moves = live.select(*NODE, body(False)), passed.join(live, NODE, "left_semi")
-    ends = lambda df, src, a, dst, b: df.select(*GRAPH, F.col(src).alias("node_id"), body(a), *(F.col(c).alias(f"dst_{c}") for c in GRAPH), F.col(dst).alias("dst_node_id"), F.lit(b).alias("dst_body"))
-    if spliced:
-        # what goes from a call to where it returns comes back from the callee as well
-        twice = p.returns.select("graph_id", F.col("call").alias("node_id"), "dst").distinct()
-        entered = p.returns.select("graph_id", F.col("call").alias("node_id"), F.col("proc").alias("dst")).distinct()
-        moves = moves.join(twice.join(entered, ["graph_id", "node_id", "dst"], "left_anti"), ["graph_id", "node_id", "dst"], "left_anti")
-        inside = materialized(live.join(p.proc, ["graph_id", "node_id"]).select(*NODE, "proc"))
-        back = left.join(p.returns, ["graph_id", "call"])
-        edges = union_all([ends(moves, "node_id", False, "dst", False), ends(inside, "node_id", False, "proc", True), ends(back, "proc", True, "dst", False)])
-        nodes = nodes.unionByName(inside.select(*GRAPH, F.col("proc").alias("node_id")).distinct().withColumn("body", body(True)))
-    else:
-        edges = ends(moves, "node_id", False, "dst", False)
-    return Graph(condensed(nodes, edges, p.seeds.withColumn("body", body(False)), _KEYS), left)
+    kind = lambda body, copy: (F.lit(body).alias("body"), F.lit(copy).alias("plain"))
+    nodes, moves = live.select(*NODE, *kind(False, False)), passed.join(live, NODE, "left_semi")
+
+    def ends(df: DataFrame, src: str, a: bool, dst: str, b: bool, copy: bool = False) -> DataFrame:
+        to = [*(F.col(c) for c in GRAPH), F.col(dst).alias("node_id"), *kind(b, copy)]
+        return df.select(*GRAPH, F.col(src).alias("node_id"), *kind(a, copy), *(c.alias(f"dst_{k}") for k, c in zip(_KEYS, to, strict=True)))
+
+    # what goes from a call to where it returns comes back from the callee as well
+    twice = p.returns.select("graph_id", F.col("call").alias("node_id"), "dst").distinct()
+    entered = p.returns.select("graph_id", F.col("call").alias("node_id"), F.col("proc").alias("dst")).distinct()
+    once = moves.join(twice.join(entered, ["graph_id", "node_id", "dst"], "left_anti"), ["graph_id", "node_id", "dst"], "left_anti")
+    inside = materialized(live.join(p.proc, ["graph_id", "node_id"]).select(*NODE, "proc"))
+    back = left.join(p.returns, ["graph_id", "call"])
+    edges = [ends(once, "node_id", False, "dst", False), ends(inside, "node_id", False, "proc", True), ends(back, "proc", True, "dst", False)]
+    nodes = nodes.unionByName(inside.select(*GRAPH, F.col("proc").alias("node_id")).distinct().select("*", *kind(True, False)))
+    if plain:
+        edges.append(ends(moves, "node_id", False, "dst", False, True))
+        nodes = nodes.unionByName(live.select(*NODE, *kind(False, True)))
+    return Graph(condensed(nodes, union_all(edges), _copies(p.seeds, plain), _KEYS), left, plain)
+
+
+def _copies(df: DataFrame, plain: bool) -> DataFrame:
+    """Nodes as the graph has them: once, or also in its plain copy."""
+    return df.select("*", F.lit(False).alias("body"), F.explode(F.array(*map(F.lit, [False, True][: 1 + plain]))).alias("plain"))
 
 
 def tabulate(g: Graph, start: DataFrame) -> Solution:
     """Where the facts of `start` hold in the end; each goes its own way, since the edges don't depend on it."""
-    return spread(g.condensed, start.withColumn("body", F.lit(False)), _KEYS, GRAPH)
+    return spread(g.condensed, _copies(start, g.plain), _KEYS, GRAPH)
 
 
 def places(s: Solution) -> DataFrame:
     """(spec_id, graph_id, node_id, fact): all places of facts."""
-    return s.at(s.nodes.where("not body").select(*_KEYS), _KEYS).select(*PLACE)
+    return s.at(s.nodes.where("not body and not plain").select(*_KEYS), _KEYS).select(*PLACE)
 
 
 def findings(p: Program, places: DataFrame | Solution) -> DataFrame:
     """(spec_id, graph_id, sink, fact): facts that hold at sinks."""
     if isinstance(places, Solution):
-        return places.at(p.sinks.withColumn("body", F.lit(False)), _KEYS).select(*GRAPH, F.col("node_id").alias("sink"), "fact")
+        return places.at(_copies(p.sinks, False), _KEYS).select(*GRAPH, F.col("node_id").alias("sink"), "fact")
     return places.join(p.sinks, ["spec_id", "graph_id", "node_id"]).select("spec_id", "graph_id", F.col("node_id").alias("sink"), "fact")
 
 
+def only_by_summaries(p: Program, s: Solution) -> DataFrame:
+    """(spec_id, graph_id, sink, fact, by_summary): facts that hold at sinks, and whether each gets there only by a summary. s: of a graph with its plain copy, where facts hold that also hold beside it."""
+    return s.at(_copies(p.sinks, True), _KEYS).groupBy(*GRAPH, F.col("node_id").alias("sink"), "fact").agg((~F.bool_or("plain")).alias("by_summary"))
+
+
 def solve(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> tuple[Program, DataFrame]:
     """The program, and all places of facts with summaries spliced."""
     p = program(nodes, edges, clauses)
@@ -138,7 +153,7 @@ def solve(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> tuple[Progr
 
 def summary_totals(p: Program, s: Solution) -> tuple[DataFrame, DataFrame]:
     """(spec_id, graph_id, proc, entry_fact), and (spec_id, graph_id, proc, rep): where the facts of each body are in the solution. Bodies that hold the same share a rep."""
-    entries = p.seeds.select("spec_id").distinct().crossJoin(p.proc.where("node_id = proc")).select(*NODE, F.lit(False).alias("body"), "proc")
+    entries = p.seeds.select("spec_id").distinct().crossJoin(p.proc.where("node_id = proc")).select(*NODE, F.lit(False).alias("body"), F.lit(False).alias("plain"), "proc")
     return s.at(entries, _KEYS).select(*GRAPH, "proc", F.col("fact").alias("entry_fact")), s.nodes.where("body").select(*GRAPH, F.col("node_id").alias("proc"), "rep")
 
 
@@ -189,7 +204,7 @@ def read_solution(spark: SparkSession, folder: str, version: str, environment: s
 
 
 def _solution(places: DataFrame) -> Solution:
-    nodes = materialized(places.select(*NODE).distinct().withColumns({"body": F.lit(False), "rep": F.monotonically_increasing_id()}))
+    nodes = materialized(places.select(*NODE).distinct().withColumns({"body": F.lit(False), "plain": F.lit(False), "rep": F.monotonically_increasing_id()}))
     return Solution(nodes, places.join(nodes, NODE).select(*GRAPH, "rep", "fact"))
 
 
@@ -219,7 +234,7 @@ def resumed(p: Program, cached: Solution, affected: DataFrame) -> tuple[Solution
     came = at.join(cached.facts, [*keys, "rep"], "left_anti").select(*keys)
     went = cached.facts.select(*keys).distinct().join(seeds, keys, "left_anti")
     touched = materialized(union_all([held, came, went]).distinct())
-    kept = Solution(cached.nodes, materialized(cached.facts.join(touched, keys, "left_anti")))
+    kept = Solution(cached.nodes, cached.facts.join(touched, keys, "left_anti"))
     return kept, tabulate(g, seeds.join(touched, keys, "left_semi"))
 
 

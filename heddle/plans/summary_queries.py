@@ -28,9 +28,8 @@ def _numbered(findings: DataFrame, *more: Column) -> DataFrame:
 def summary_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts at sinks with summaries spliced, and whether each gets there only by a summary."""
     p = summaries.program(*event_graph(spark, sf_dir))
-    spliced, plain = (summaries.findings(p, summaries.tabulate(summaries.graph(p, s), p.seeds)) for s in (True, False))
-    found = spliced.join(plain.withColumn("by_summary", F.lit(False)), plain.columns, "left")
-    return _numbered(found, F.coalesce("by_summary", F.lit(True)).alias("by_summary"))
+    s = summaries.tabulate(summaries.graph(p, plain=True), p.seeds)
+    return _numbered(summaries.only_by_summaries(p, s), F.col("by_summary"))
 
 
 def procedure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,16 @@ def test_a_solution_is_resumed_as_a_full_run(spark, tmp_path):
 def test_summaries_make_no_product_of_entries_and_bodies(spark, monkeypatch):
     monkeypatch.setattr(summaries, "summary_rows", None)
     assert summary_queries.procedure_summaries(spark, TINY).agg(F.count("*")).first()[0] > 0
+
+
+def test_sources_that_hang_from_a_cycle_are_released(spark):
+    """A cycle of three nodes, 20 sources that it leads to, each with a source behind it: nothing but the cycle is left to visit."""
+    edges = [("g", a, "g", b) for a, b in [(0, 1), (1, 2), (2, 0), *((0, 10 + k) for k in range(20)), *((10 + k, 50 + k) for k in range(20))]]
+    own = [("g", v, str(v)) for v in (0, *range(10, 30), *range(50, 70))]
+    nodes = spark.createDataFrame([("g", v) for v in (0, 1, 2, *range(10, 30), *range(50, 70))], "g string, v long")
+    facts = spark.createDataFrame(own, "g string, v long, fact string")
+    c = condensed.condensed(nodes, spark.createDataFrame(edges, "g string, v long, dst_g string, dst_v long"), facts, ["g", "v"])
+    assert c.edges.count() <= 3
+    got = condensed.spread(c, facts, ["g", "v"], ["g"]).at(nodes, ["g", "v"])
+    want = {(v, "0") for v in (0, 1, 2, *range(10, 30), *range(50, 70))} | {(v, str(v)) for v in (*range(10, 30), *range(50, 70))} | {(50 + k, str(10 + k)) for k in range(20)}
+    assert {(r.v, r.fact) for r in got.collect()} == want
