@@ -6,8 +6,12 @@ import atexit
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +49,20 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
     """df as a written table, and its rows (those of `which`), which are counted on the way: the lineage ends here, and a lost executor costs no earlier round."""
+    table, (n,) = counted(df, F.lit(True) if which is None else which)
+    return table, n
+
+
+def counted(df: DataFrame, *which: Column) -> tuple[DataFrame, list[int]]:
+    """The same with a number of rows for each of `which`."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/round-{uuid.uuid4().hex}"
     rows = Observation()
-    df.observe(rows, (F.count(F.lit(1)) if which is None else F.count_if(which)).alias("n")).write.parquet(path)
+    df.observe(rows, *(F.count_if(w).alias(f"n{k}") for k, w in enumerate(which))).write.parquet(path)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
-    return out, rows.get["n"]
+    return out, [rows.get[f"n{k}"] for k in range(len(which))]
 
 
 #: Where written tables are, as long as somebody holds them.
@@ -78,6 +88,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def together(spark: SparkSession, *work: Callable[[], Any]) -> list[Any]:
+    """What each of `work` gives. Their jobs run at the same time: the jobs of a round leave most cores idle."""
+    with ThreadPoolExecutor(len(work)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(w)) for w in work]]
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

@@ -19,9 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import materialized, union_all
-from heddle.operators.condensed import Condensed, Solution, condensed, spread
-from heddle.operators.graphs import closure
+from heddle.functions.tables import materialized, together, union_all
+from heddle.operators.condensed import Condensed, Solution, condensed, reach, spread
 from heddle.operators.taint import _matches, procedures, steps
 
 PLACE = ["spec_id", "graph_id", "node_id", "fact"]
@@ -34,27 +33,30 @@ class Program:
     proc: DataFrame  # graph_id, node_id, proc
     moves: DataFrame  # graph_id, node_id, dst
     returns: DataFrame  # graph_id, call, proc, dst
-    blocked: DataFrame  # spec_id, graph_id, node_id
+    blocked: DataFrame  # spec_id, graph_id, node_id; maybe repeated
     seeds: DataFrame  # spec_id, graph_id, node_id, fact
     sinks: DataFrame  # spec_id, graph_id, node_id
 
 
 def program(nodes: DataFrame, edges: DataFrame, clauses: DataFrame) -> Program:
     """Joined once, and written: each round reads them."""
-    proc = materialized(procedures(nodes))
-    both = materialized(steps(nodes, edges))
+    places = ["spec_id", "graph_id", "node_id"]
+    proc, both, blocked = together(
+        nodes.sparkSession,
+        lambda: materialized(procedures(nodes)),
+        lambda: materialized(steps(nodes, edges)),
+        lambda: materialized(_matches(nodes, clauses, "sanitize").select(*places)),
+    )
     calls = both.where("call").select("graph_id", F.col("src").alias("call"), F.col("dst").alias("proc"))
     after = both.where("not call").select("graph_id", F.col("src").alias("call"), "dst")
-    places = ["spec_id", "graph_id", "node_id"]
     fact = F.concat_ws(":", "node_id", "ordinal").alias("fact")
-    return Program(
-        proc,
-        both.select("graph_id", F.col("src").alias("node_id"), "dst").distinct(),
-        materialized(calls.join(after, ["graph_id", "call"])),
-        materialized(_matches(nodes, clauses, "sanitize").select(*places).distinct()),
-        materialized(_matches(nodes, clauses, "source").join(proc, ["graph_id", "node_id"], "left_semi").select(*places, fact)),
-        _matches(nodes, clauses, "sink").select(*places).distinct(),
+    returns, seeds = together(
+        nodes.sparkSession,
+        lambda: materialized(calls.join(after, ["graph_id", "call"])),
+        lambda: materialized(_matches(nodes, clauses, "source").join(proc, ["graph_id", "node_id"], "left_semi").select(*places, fact)),
     )
+    moves = both.select("graph_id", F.col("src").alias("node_id"), "dst").distinct()
+    return Program(proc, moves, returns, blocked, seeds, _matches(nodes, clauses, "sink").select(*places).distinct())
 
 
 NODE = ["spec_id", "graph_id", "node_id"]
@@ -73,8 +75,7 @@ def _passed(p: Program) -> DataFrame:
 
 def _live(p: Program, passed: DataFrame) -> DataFrame:
     """(spec_id, graph_id, node_id): where any fact holds. What a call gives back comes to nodes that the call leads to anyway."""
-    edges = passed.select(*GRAPH, F.col("node_id").alias("src"), "dst")
-    return closure(edges, p.seeds.select(*GRAPH, F.col("node_id").alias("node")), GRAPH).withColumnRenamed("node", "node_id")
+    return reach(p.seeds.select(*NODE), passed, NODE)
 
 
 def _left(p: Program, live: DataFrame) -> DataFrame:
@@ -96,7 +97,11 @@ def graph(p: Program, plain: bool = False) -> Graph:
     """Nodes, and bodies as nodes of their own (node_id: their procedure) that hold all that holds in them. plain: also the graph without bodies, beside it."""
     passed = _passed(p)
     live = _live(p, passed)
-    left = materialized(_left(p, live))
+    left, inside = together(
+        live.sparkSession,
+        lambda: materialized(_left(p, live)),
+        lambda: materialized(live.join(p.proc, ["graph_id", "node_id"]).select(*NODE, "proc")),
+    )
     kind = lambda body, copy: (F.lit(body).alias("body"), F.lit(copy).alias("plain"))
     nodes, moves = live.select(*NODE, *kind(False, False)), passed.join(live, NODE, "left_semi")
 
@@ -108,7 +113,6 @@ def graph(p: Program, plain: bool = False) -> Graph:
     twice = p.returns.select("graph_id", F.col("call").alias("node_id"), "dst").distinct()
     entered = p.returns.select("graph_id", F.col("call").alias("node_id"), F.col("proc").alias("dst")).distinct()
     once = moves.join(twice.join(entered, ["graph_id", "node_id", "dst"], "left_anti"), ["graph_id", "node_id", "dst"], "left_anti")
-    inside = materialized(live.join(p.proc, ["graph_id", "node_id"]).select(*NODE, "proc"))
     back = left.join(p.returns, ["graph_id", "call"])
     edges = [ends(once, "node_id", False, "dst", False), ends(inside, "node_id", False, "proc", True), ends(back, "proc", True, "dst", False)]
     nodes = nodes.unionByName(inside.select(*GRAPH, F.col("proc").alias("node_id")).distinct().select("*", *kind(True, False)))
@@ -208,17 +212,18 @@ def _solution(places: DataFrame) -> Solution:
     return Solution(nodes, places.join(nodes, NODE).select(*GRAPH, "rep", "fact"))
 
 
-def resumed(p: Program, cached: Solution, affected: DataFrame) -> tuple[Solution, Solution]:
+def resumed(p: Program, cached: Solution, affected: DataFrame, g: Graph | None = None) -> tuple[Solution, Solution]:
     """What stays of the solution before a change, and the solution of the facts that the change can touch: together the rows of a full run.
 
     p: the program after the change; cached: the solution before it; affected (graph_id, proc): all procedures
-    whose nodes, edges or meaning changed, and the direct callers of those that came or went.
+    whose nodes, edges or meaning changed, and the direct callers of those that came or went; g: the graph of p, if it is
+    made already.
 
     Touched are facts that held in an affected procedure, whose source came or went, or that held in the body of a callee whose call
     is left now and wasn't before, or the other way round, or is left in an affected procedure. No other fact meets an edge that has changed.
     """
     keys = [*GRAPH, "fact"]
-    seeds, g = p.seeds, graph(p)
+    seeds, g = p.seeds, g or graph(p)
     nodes = cached.nodes.where("not body").select(*NODE, "rep")
     inside = p.proc.join(affected, ["graph_id", "proc"], "left_semi").select("graph_id", "node_id").distinct()
     # nodes that are gone have no procedure any more
@@ -229,11 +234,13 @@ def resumed(p: Program, cached: Solution, affected: DataFrame) -> tuple[Solution
     changed = union_all([before.join(g.left, [*GRAPH, "call"], "left_anti"), g.left.join(before, [*GRAPH, "call"], "left_anti"), g.left.join(inside.withColumnRenamed("node_id", "call"), ["graph_id", "call"], "left_semi").select(*GRAPH, "call")])
     callees = changed.join(p.returns, ["graph_id", "call"]).select(*GRAPH, "proc").distinct()
     bodies = nodes.join(p.proc, ["graph_id", "node_id"]).join(callees, [*GRAPH, "proc"], "left_semi").select("rep")
-    held = cached.facts.join(hit.unionByName(bodies).distinct(), "rep", "left_semi").select(*keys)
+    # the facts are many, and what they meet is few: it is looked up in them, and they are made distinct with all others
     at = seeds.join(nodes, NODE, "left").select(*keys, "rep")
-    came = at.join(cached.facts, [*keys, "rep"], "left_anti").select(*keys)
-    went = cached.facts.select(*keys).distinct().join(seeds, keys, "left_anti")
-    touched = materialized(union_all([held, came, went]).distinct())
+    came = at.join(cached.facts.join(at, [*keys, "rep"], "left_semi"), [*keys, "rep"], "left_anti").select(*keys)
+    went = cached.facts.select(*keys).join(seeds, keys, "left_anti")
+    reps, moved = together(p.proc.sparkSession, lambda: materialized(hit.unionByName(bodies).distinct()), lambda: materialized(came.unionByName(went)))
+    held = cached.facts.join(reps, "rep", "left_semi").select(*keys)
+    touched = materialized(held.unionByName(moved).distinct())
     kept = Solution(cached.nodes, cached.facts.join(touched, keys, "left_anti"))
     return kept, tabulate(g, seeds.join(touched, keys, "left_semi"))
 

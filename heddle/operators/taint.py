@@ -53,7 +53,8 @@ def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _matches(nodes: DataFrame, clauses: DataFrame, primitive: str) -> DataFrame:
     wanted = clauses.where(F.col("primitive") == primitive).select("spec_id", "ordinal", F.col("pattern").alias("operator_or_literal"))
-    return nodes.where("operator_or_literal <> ''").join(wanted, "operator_or_literal").select("spec_id", "graph_id", "node_id", "ordinal")
+    # broadcast: clauses are a rule file's, and shuffling by operators would put all nodes into a few tasks
+    return nodes.where("operator_or_literal <> ''").join(F.broadcast(wanted), "operator_or_literal").select("spec_id", "graph_id", "node_id", "ordinal")
 
 
 def seeds(nodes: DataFrame, clauses: DataFrame) -> DataFrame:

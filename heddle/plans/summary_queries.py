@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heddle.functions.tables import own_folder
+from heddle.functions.tables import own_folder, together
 from heddle.operators import summaries
 from heddle.plans.graph_queries import event_graph
 
@@ -44,15 +44,22 @@ def procedure_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resumed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings after a change, from the cache that a run before the change wrote: the rows of a full run."""
+    """Findings after a change, from the cache that a run before the change wrote: the rows of a full run. The graph after the change is made while that run goes on; it doesn't need the cache."""
     nodes, edges, clauses = event_graph(spark, sf_dir)
     folder = own_folder(spark, "summaries")
-    p = summaries.program(nodes, edges, clauses)
-    summaries.write_cache(summaries.tabulate(summaries.graph(p), p.seeds), folder, VERSION, ENVIRONMENT)
     after, affected = _changed(nodes)
-    p = summaries.program(after, edges, clauses)
+
+    def run_before() -> None:
+        p = summaries.program(nodes, edges, clauses)
+        summaries.write_cache(summaries.tabulate(summaries.graph(p), p.seeds), folder, VERSION, ENVIRONMENT)
+
+    def graph_after() -> tuple[summaries.Program, summaries.Graph]:
+        p = summaries.program(after, edges, clauses)
+        return p, summaries.graph(p)
+
+    _, (p, g) = together(spark, run_before, graph_after)
     cached = summaries.read_solution(spark, folder, VERSION, ENVIRONMENT)
-    kept, again = summaries.resumed(p, cached, affected)
+    kept, again = summaries.resumed(p, cached, affected, g)
     return _numbered(summaries.findings(p, kept).unionByName(summaries.findings(p, again)))
 
 

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from heddle.operators import condensed, summaries
+from heddle.functions import tables
+from heddle.operators import condensed, summaries, taint
 from heddle.plans import summary_queries
 from tests.test_summaries import CLAUSE, CLAUSES, EDGES, NODES, _changed, _places, _program, _tables
 
@@ -81,3 +82,36 @@ def test_sources_that_hang_from_a_cycle_are_released(spark):
     got = condensed.spread(c, facts, ["g", "v"], ["g"]).at(nodes, ["g", "v"])
     want = {(v, "0") for v in (0, 1, 2, *range(10, 30), *range(50, 70))} | {(v, str(v)) for v in (*range(10, 30), *range(50, 70))} | {(50 + k, str(10 + k)) for k in range(20)}
     assert {(r.v, r.fact) for r in got.collect()} == want
+
+
+def test_chains_of_sources_are_released_at_once(spark):
+    """A cycle of three nodes that two chains of three sources hang from, which meet in one node."""
+    pairs = [(0, 1), (1, 2), (2, 0), (0, 10), (10, 11), (11, 12), (2, 20), (20, 21), (21, 22), (12, 30), (22, 30)]
+    own = [0, 10, 11, 12, 20, 21, 22]
+    nodes = spark.createDataFrame([("g", v) for v in (1, 2, *own, 30)], "g string, v long")
+    edges = spark.createDataFrame([("g", a, "g", b) for a, b in pairs], "g string, v long, dst_g string, dst_v long")
+    facts = spark.createDataFrame([("g", v, str(v)) for v in own], "g string, v long, fact string")
+    c = condensed.condensed(nodes, edges, facts, ["g", "v"])
+    first, _ = c.released[0]
+    assert first.count() >= 6
+    got = {(r.v, r.fact) for r in condensed.spread(c, facts, ["g", "v"], ["g"]).at(nodes, ["g", "v"]).collect()}
+    assert got == {(v, "0") for v in (1, 2, *own, 30)} | {(b + k, str(b + j)) for b in (10, 20) for k in range(3) for j in range(k + 1)} | {(30, str(f)) for f in own}
+
+
+def test_a_round_takes_several_steps(spark, monkeypatch):
+    """40 nodes, each with edges to the next two: the last is 20 steps from the first."""
+    nodes = spark.createDataFrame([("g", v) for v in range(40)], "g string, v long")
+    edges = spark.createDataFrame([("g", v, "g", v + k) for v in range(40) for k in (1, 2) if v + k < 40], "g string, v long, dst_g string, dst_v long")
+    facts = spark.createDataFrame([("g", v, str(v)) for v in range(40)], "g string, v long, fact string")
+    c = condensed.condensed(nodes, edges, facts, ["g", "v"])
+    made, real = [], tables.uuid.uuid4
+    monkeypatch.setattr(tables.uuid, "uuid4", lambda: made.append(1) or real())
+    s = condensed.spread(c, facts, ["g", "v"], ["g"])
+    assert len(made) <= 12
+    assert {(r.v, int(r.fact)) for r in s.at(nodes, ["g", "v"]).collect()} == {(v, f) for v in range(40) for f in range(v + 1)}
+
+
+def test_nodes_are_not_shuffled_by_operator(spark):
+    nodes, _, clauses = _tables(spark, [([("g", 1, "CALL", "src", "", "m")], [("g", 1, 1, "CFG")])])
+    found = taint._matches(nodes, clauses, "source")
+    assert found.count() == 1 and "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
