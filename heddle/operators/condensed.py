@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from heddle.functions.tables import Found, counted, forget, materialized, together, union_all, written
 
 # The releasing ends when a round leaves more than SHRINK of its edges, or all rounds have left no more than ENOUGH.
-SHRINK, ENOUGH = 0.5, 0.125
+SHRINK, ENOUGH = 0.5, 0.03
 # Steps that a round takes; nodes of a chain that are released at once.
 HOPS, CHAIN = 3, 4
 
@@ -165,7 +165,9 @@ def spread(c: Condensed, facts: DataFrame, keys: Sequence[str], by: Sequence[str
     names = materialized(facts.join(c.origins, list(keys)).select("origin", *by, "fact").distinct())
     wanted = names.select("origin").distinct()
     held = [reach(c.own.join(wanted, "origin", "left_semi").select("rep", "origin"), c.edges, ["rep"])]
-    for gone, out in reversed(c.released):
+    for left, (gone, out) in zip(reversed(range(len(c.released))), reversed(c.released), strict=True):
         above = union_all(held).withColumnRenamed("rep", "up").join(gone, "up").select("rep", "origin")
-        held.append(materialized(above.unionByName(out.join(wanted, "origin", "left_semi").select("rep", "origin")).distinct()))
+        layer = above.unionByName(out.join(wanted, "origin", "left_semi").select("rep", "origin")).distinct()
+        # nothing but the rows themselves reads the last layer
+        held.append(materialized(layer) if left else layer)
     return Solution(c.nodes, union_all(held).join(names, "origin").select(*by, "rep", "fact"))
