@@ -60,13 +60,13 @@ def unexpected_keys(json: Column, expected: Sequence[str]) -> Column:
     return F.array_except(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), F.array(*map(F.lit, expected)))
 
 
-def wrong_ends() -> Column:
-    """The rule that an edge (kind, with src_kind, src_expr, dst_kind, dst_expr of its ends) breaks, or null."""
-    fits = lambda e, kinds: F.col(f"{e}_expr") if kinds == EXPRESSION else F.col(f"{e}_kind").isin(kinds)
-    bad = F.when(F.col("src_kind").isNull() | F.col("dst_kind").isNull(), "dangling")
+def wrong_ends(of: Callable[[str], Column] = F.col) -> Column:
+    """The rule that an edge (kind, with src_kind, src_expr, dst_kind, dst_expr of its ends) breaks, or null; `of` gives these."""
+    fits = lambda e, kinds: of(f"{e}_expr") if kinds == EXPRESSION else of(f"{e}_kind").isin(kinds)
+    bad = F.when(of("src_kind").isNull() | of("dst_kind").isNull(), "dangling")
     for kind, (a, b) in ENDS.items():
-        bad = bad.when((F.col("kind") == kind) & ~(fits("src", a) & fits("dst", b)), kind)
-    return bad.when((F.col("kind") == "REF") & (F.col("src_kind") == "IDENTIFIER") & ~F.col("dst_kind").isin(REFERENCES), "REF")
+        bad = bad.when((of("kind") == kind) & ~(fits("src", a) & fits("dst", b)), kind)
+    return bad.when((of("kind") == "REF") & (of("src_kind") == "IDENTIFIER") & ~of("dst_kind").isin(REFERENCES), "REF")
 
 
 def typed_edge_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def _filled(text: str, *values: Column) -> Column:
     return F.concat(*out)
 
 
-def _nodes(x: Column, broken: bool) -> Column:
+def _nodes(x: dict[str, Column], broken: bool) -> Column:
     """The nodes of an order (part 0) or an item, as JSON."""
     k, n, nameless = x["key"] * 100, x["part"], x["status"] == "P"
     line = F.when(F.lit(broken) & (x["priority"] == "1-URGENT"), _filled('"%s"', x["day"])).otherwise(x["day"].cast("string"))
@@ -40,7 +40,7 @@ def _nodes(x: Column, broken: bool) -> Column:
     return F.when(n == 0, method).otherwise(_filled(f"{formal},{call}", k + 1 + n, n, k + 50 + n, x["flag"], n, x["status"] == "F"))
 
 
-def _edges(x: Column, broken: bool) -> Column:
+def _edges(x: dict[str, Column], broken: bool) -> Column:
     """The edges of an item, as JSON; an order has none."""
     k, n, bad = x["key"] * 100, x["part"], F.lit(broken)
     formal, call = k + 1 + n, k + 50 + n
@@ -59,8 +59,8 @@ def _edges(x: Column, broken: bool) -> Column:
     return F.when(n > 0, F.concat_ws(",", *edges))
 
 
-def _documents(spark: SparkSession, sf_dir: str, broken: bool) -> observed.Documents:
-    """A document for each customer with orders.
+def _documents(spark: SparkSession, sf_dir: str, broken: bool, kept: bool = False) -> observed.Documents:
+    """A document for each customer with orders; kept: written, for what reads them more than once.
 
     Broken ones: urgent orders have their line number in quotation marks, orders of status P don't say that
     their name is missing, items with flag R stand below an item, those without tax call a formal, and the first
@@ -68,20 +68,22 @@ def _documents(spark: SparkSession, sf_dir: str, broken: bool) -> observed.Docum
     """
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", F.dayofmonth("o_orderdate").alias("day"))
     li = read(spark, sf_dir, "lineitem")
-    # line numbers repeat within orders
+    # line numbers repeat within orders; merged, as items are in the order of orders then
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    li = li.select("l_orderkey", n.alias("n"), "l_returnflag", "l_linestatus", (F.col("l_tax") == 0).alias("untaxed"), (F.col("l_quantity") == 50).alias("fifty")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    shared = [F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("key")]
+    li = li.select("l_orderkey", n.alias("n"), "l_returnflag", "l_linestatus", (F.col("l_tax") == 0).alias("untaxed"), (F.col("l_quantity") == 50).alias("fifty")).join(o.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    shared = [F.col("o_custkey").cast("string").alias("graph_id"), F.col("o_orderkey").alias("key")]
     m = o.select(*shared, F.lit(0).alias("part"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), "day", *(F.lit(None).cast(t).alias(c) for c, t in (("flag", "string"), ("untaxed", "boolean"), ("fifty", "boolean"))))
     items = li.select(*shared, F.col("n").alias("part"), F.col("o_orderpriority").alias("priority"), F.col("l_linestatus").alias("status"), F.lit(None).cast("int").alias("day"), F.col("l_returnflag").alias("flag"), "untaxed", "fifty")
     # only what the texts are made of is shuffled; the number of parts is fixed, since they become some forty times as large
     parts = 8 + o.count() // 20_000
-    rows = m.unionByName(items).repartition(parts, "graph_id").groupBy("graph_id").agg(F.sort_array(F.collect_list(F.struct(*m.columns[1:]))).alias("x"))
-    joined = lambda make: F.array_join(F.transform("x", lambda x: make(x, broken)), ",")
+    x = {c: F.col(c) for c in m.columns}
+    rows = m.unionByName(items).repartition(parts, "graph_id").select("graph_id", F.struct("key", "part", _nodes(x, broken).alias("nodes"), _edges(x, broken).alias("edges")).alias("x"))
+    rows = rows.groupBy("graph_id").agg(F.sort_array(F.collect_list("x")).alias("x"))
+    joined = lambda name: F.array_join(f"x.{name}", ",")
     meta = '{"id":"1","kind":"META_DATA","properties":{"LANGUAGE":"SQL"},"missing_properties":[]},'
-    docs = rows.select(F.col("graph_id").cast("string").alias("graph_id"), F.concat(F.lit('{"nodes":[' + meta), joined(_nodes), F.lit('],"edges":['), joined(_edges), F.lit("]}")).alias("json"))
+    docs = rows.select("graph_id", F.concat(F.lit('{"nodes":[' + meta), joined("nodes"), F.lit('],"edges":['), joined("edges"), F.lit("]}")).alias("json"))
     catalogue = spark.createDataFrame(CATALOGUE, "kind string, name string, native string, quantity string")
-    return observed.read(docs, catalogue, spark.createDataFrame(EDGES, "kind string, name string"))
+    return (observed.read if kept else observed.parsed)(docs, catalogue, spark.createDataFrame(EDGES, "kind string, name string"))
 
 
 def document_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,8 +110,7 @@ UNION ALL SELECT o_custkey, 'cyclic_ownership', CAST(unnest([method, call]) AS V
 def document_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by role for each node, as ordinals of the document, with the method that owns the node."""
     d = _documents(spark, sf_dir, False)
-    rows = observed.views(d).join(observed.ownership(d), ["graph_id", "node"])
-    return rows.select(F.col("node").cast("long").alias("node"), "role", F.col("owner").cast("long").alias("owner"), F.size("ordinals").cast("long").alias("n"), F.array_join(F.col("ordinals").cast("array<string>"), ",").alias("ordinals"))
+    return observed.owned_views(d).select(F.col("node").cast("long").alias("node"), "role", F.col("owner").cast("long").alias("owner"), F.size("ordinals").cast("long").alias("n"), F.array_join(F.col("ordinals").cast("array<string>"), ",").alias("ordinals"))
 
 
 DOCUMENT_VIEWS = f"""
@@ -130,7 +131,7 @@ SELECT node, role, l_orderkey * 100 AS owner, count(*) AS n, string_agg(ordinal,
 
 def method_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All methods that each customer's names and places may mean, none chosen: by every priority as a name, and by status and each of three days as a place."""
-    d = _documents(spark, sf_dir, False)
+    d = _documents(spark, sf_dir, False, kept=True)
     graphs = d.nodes.select("graph_id").distinct()
     names = graphs.join(F.broadcast(read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("full_name")).distinct()))
     places = graphs.select("graph_id", F.lit("F").alias("filename"), F.explode(F.array(*map(F.lit, (1, 15, 31)))).alias("line"))

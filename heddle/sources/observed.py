@@ -12,15 +12,15 @@ lookups are for those that have none.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heddle.functions.tables import materialized, union_all, written
-from heddle.operators.governance import owner_methods, wrong_ends
-from heddle.operators.graphs import cycles
+from heddle.functions.tables import materialized
+from heddle.operators.governance import wrong_ends
 
 # Native types and what VARIANT calls them, and what parts of a method and relations of nodes are called.
 NATIVE = {"str": "STRING", "int": "BIGINT", "bool": "BOOLEAN"}
@@ -33,47 +33,64 @@ INT_RANGE = (-(2**31), 2**31 - 1)
 
 @dataclass
 class Documents:
-    """nodes: graph_id, ordinal, id, kind, properties (map of VARIANT), missing (array, null if it isn't one of strings); edges: graph_id, ordinal, src, dst, kind, properties; broken: graph_id of what isn't such a document."""
+    """rows: a document each (graph_id, nodes, edges: arrays, null where they are none); what meets in a document meets in its row."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    broken: DataFrame
+    rows: DataFrame
     catalogue: DataFrame
     edge_catalogue: DataFrame
 
+    @property
+    def nodes(self) -> DataFrame:
+        """graph_id, ordinal, id, kind, properties (map of VARIANT), missing (array, null if it isn't one of strings)"""
+        return _exploded(self.rows, "nodes").withColumn("missing", F.when(~F.exists("missing", F.isnull), F.col("missing")))
 
-def _text(v: Column, name: str) -> Column:
-    """A field that is a string; null if it is anything else."""
-    field = F.try_variant_get(v, f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(field) == "STRING", F.try_variant_get(v, f"$.{name}", "string"))
+    @property
+    def edges(self) -> DataFrame:
+        """graph_id, ordinal, src, dst, kind, properties"""
+        return _exploded(self.rows, "edges")
 
+    @property
+    def broken(self) -> DataFrame:
+        """graph_id of what isn't such a document"""
+        return self.rows.where("nodes IS NULL OR edges IS NULL").select("graph_id")
 
-def _strings(v: Column, name: str) -> Column:
-    field = F.try_variant_get(v, f"$.{name}", "variant")
-    return F.when(F.schema_of_variant(field).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(F.try_variant_get(v, f"$.{name}", "array<variant>"), F.is_variant_null), F.try_variant_get(v, f"$.{name}", "array<string>"))
 
+def _exploded(rows: DataFrame, name: str) -> DataFrame:
+    # outer, as else the lists are made twice: once more for a filter that Spark adds
+    items = rows.select("graph_id", F.posexplode_outer(name).alias("ordinal", "x")).where("ordinal IS NOT NULL")
+    return items.select("graph_id", F.col("ordinal").cast("long").alias("ordinal"), "x.*")
 
-def read(documents: DataFrame, catalogue: DataFrame, edge_catalogue: DataFrame) -> Documents:
-    """documents: graph_id, json. Each is parsed once, into one written table of nodes and edges; a document that isn't JSON, or in which an object has a key twice, is broken."""
+
+def parsed(documents: DataFrame, catalogue: DataFrame, edge_catalogue: DataFrame) -> Documents:
+    """documents: graph_id, json. Parsed wherever they are read, so for what reads them once; a document that isn't JSON, or in which an object has a key twice, is broken."""
     v = documents.select("graph_id", F.try_parse_json("json").alias("v"))
-    lists = v.select("graph_id", *(F.try_variant_get("v", f"$.{n}", "array<variant>").alias(n) for n in ("nodes", "edges")))
-    none, no_place = F.lit(None).cast("variant"), F.lit(None).cast("int")
-    items = [
-        F.transform("nodes", lambda x, i: F.struct(i.alias("n"), no_place.alias("e"), x.alias("v"))),
-        F.transform("edges", lambda x, i: F.struct(no_place.alias("n"), i.alias("e"), x.alias("v"))),
-        F.when(F.col("nodes").isNull() | F.col("edges").isNull(), F.array(F.struct(no_place.alias("n"), no_place.alias("e"), none.alias("v")))),
-    ]
-    rows = lists.select("graph_id", F.explode(F.concat(*(F.coalesce(x, F.array().cast("array<struct<n:int,e:int,v:variant>>")) for x in items))).alias("x")).select("graph_id", "x.*")
-    v, props = F.col("v"), F.try_variant_get("v", "$.properties", "map<string,variant>")
-    # nodes' and edges' columns are apart, so that those who read the ones skip the others
-    of = {"n": {"id": _text(v, "id"), "kind": _text(v, "kind"), "properties": props, "missing": _strings(v, "missing_properties")}, "e": {"src": _text(v, "src"), "dst": _text(v, "dst"), "kind": _text(v, "kind"), "properties": props}}
-    table = materialized(rows.select("graph_id", *(c for k, cs in of.items() for c in (F.col(k).cast("long").alias(f"{k}_ordinal"), *(F.when(F.col(k).isNotNull(), x).alias(f"{k}_{name}") for name, x in cs.items())))))
-    part = lambda k: table.where(f"{k}_ordinal IS NOT NULL").select("graph_id", *(F.col(f"{k}_{name}").alias(name) for name in ("ordinal", *of[k])))
-    return Documents(part("n"), part("e"), table.where("n_ordinal IS NULL AND e_ordinal IS NULL").select("graph_id"), catalogue, edge_catalogue)
-
-
-def _said(df: DataFrame, rule: str, subject: Column) -> DataFrame:
-    return df.select("graph_id", F.lit(rule).alias("rule"), subject.cast("string").alias("subject"))
+    props = "properties map<string, variant>"
+    # of all that JSON has, only a string becomes binary, so a number isn't taken for one
+    node, edge = f"id {{0}}, kind {{0}}, {props}, missing_properties array<{{0}}>", f"src {{0}}, dst {{0}}, kind {{0}}, {props}"
+    lists = (F.try_variant_get("v", f"$.{n}", f"array<struct<{x.format('binary')}>>").cast(f"array<struct<{x.format('string').replace('missing_properties', 'missing')}>>").alias(n) for n, x in (("nodes", node), ("edges", edge)))
+    return Documents(v.select("graph_id", *lists), catalogue, edge_catalogue)
+
+
+def read(documents: DataFrame, catalogue: DataFrame, edge_catalogue: DataFrame) -> Documents:
+    """The same, each document parsed once, into one written table."""
+    d = parsed(documents, catalogue, edge_catalogue)
+    return replace(d, rows=materialized(d.rows))
+
+
+@F.udf(T.ArrayType(T.ArrayType(T.IntegerType())), useArrow=False)
+def _all_at(keys: list[str | None], asked: list[str | None]) -> list[list[int] | None]:
+    """Where each name that is asked for stands among the keys; null stands for null."""
+    at: dict = {}
+    for i, k in enumerate(keys):
+        at.setdefault(k, []).append(i)
+    return [at.get(a) for a in asked]
+
+
+@F.udf(T.ArrayType(T.IntegerType()), useArrow=False)
+def _at(keys: list[str | None], asked: list[str | None]) -> list[int | None]:
+    """The same where the keys are distinct; null is nowhere."""
+    at = {k: i for i, k in enumerate(keys) if k is not None}
+    return [at.get(a) for a in asked]
 
 
 def _wrong_type(value: Column, native: Column, quantity: Column) -> Column:
@@ -85,103 +102,117 @@ def _wrong_type(value: Column, native: Column, quantity: Column) -> Column:
     return ~F.coalesce(F.when(quantity == "many", many).otherwise(fits(value)), F.lit(False))
 
 
-def property_rows(d: Documents) -> DataFrame:
-    """(graph_id, id, kind, name, value, native, quantity) of all properties; native is null where the kind has none of that name."""
-    rows = d.nodes.select("graph_id", "id", "kind", F.explode("properties").alias("name", "value"))
-    return rows.join(F.broadcast(d.catalogue), ["kind", "name"], "left")  # a format's catalogue: some hundred rows
+def _catalogues(d: Documents) -> DataFrame:
+    """One row of both catalogues by kind: what is required, the properties, whether it is an expression; the property of an edge."""
+    has = F.col("name") == "ARGUMENT_INDEX"
+    of_kind = d.catalogue.where("kind IS NOT NULL").groupBy("kind").agg(
+        F.sort_array(F.collect_list(F.when(F.col("quantity") == "one", F.col("name")))).alias("required"), F.collect_list(F.struct("name", "native", "quantity")).alias("properties"), F.coalesce(F.max(has), F.lit(False)).alias("is_expression")
+    )
+    of_edge = d.edge_catalogue.where("kind IS NOT NULL").groupBy("kind").agg(F.max("name").alias("name"))
+    both = [df.agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct(*df.columns[1:])))).alias(name)) for df, name in ((of_kind, "kinds"), (of_edge, "edge_kinds"))]
+    return both[0].crossJoin(F.broadcast(both[1]))
 
 
-def _required(d: Documents) -> DataFrame:
-    needed = F.sort_array(F.collect_list(F.when(F.col("quantity") == "one", F.col("name"))))
-    return d.catalogue.groupBy("kind").agg(needed.alias("required"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value made once for a row; a column that lambdas name may be made again for each item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def parents(d: Documents) -> DataFrame:
-    """(graph_id, node, parent) of the syntax tree; of several parents the least."""
-    return d.edges.where("kind = 'AST'").groupBy("graph_id", F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+def _met(d: Documents) -> DataFrame:
+    """Documents with what meets at their nodes, as places in their arrays.
 
+    src_at, dst_at: of the nodes with an edge's names; tree: its AST edges; names: what these lead to; into: for each name which of the tree do; parent_at: where the
+    tree's parents stand among the names.
+    """
+    none = lambda c: F.coalesce(c, F.array().cast(d.rows.schema[c].dataType)).alias(c)
+    rows = d.rows.select("graph_id", (F.col("nodes").isNull() | F.col("edges").isNull()).alias("broken"), none("nodes"), none("edges"))
+    tree = F.filter(F.transform("edges", lambda e, i: F.struct(e["src"].alias("src"), e["dst"].alias("dst"), e["kind"].alias("kind"), i.alias("edge"))), lambda e: e["kind"] == "AST")
+    rows = rows.withColumn("tree", tree).withColumn("names", F.array_distinct("tree.dst"))
+    return rows.withColumns({"src_at": _all_at("nodes.id", "edges.src"), "dst_at": _all_at("nodes.id", "edges.dst"), "into": _all_at("tree.dst", "names"), "parent_at": _at("names", "tree.src")})
 
-def _ended(typed: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, src, dst, kind, src_kind, dst_kind, rule, is_node): edges with the kinds of their ends and what they break, and the nodes themselves as rows with no src.
 
-    A document is one row of the input, so its nodes and edges are dealt out together, once; what meets at a node is then a window without a shuffle.
-    """
-    none = F.lit(None).cast("string")
-    sort = F.struct(F.col("kind").alias("k"), F.col("is_expression").alias("e"))
-    both = typed.select("graph_id", F.col("id").alias("src"), none.alias("dst"), none.alias("kind"), sort.alias("sort"), F.lit(True).alias("is_node"))
-    both = both.unionByName(edges.select("graph_id", "src", "dst", "kind", F.lit(None).cast(both.schema["sort"].dataType).alias("sort"), F.lit(False).alias("is_node")))
-    parts = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.repartition(parts, "graph_id")
-    kinds = lambda end: F.collect_set("sort").over(W.partitionBy("graph_id", end))
-    other = ~F.col("is_node")
-    # a name that several nodes have stands for each of their kinds; no name is no node
-    both = both.withColumn("x", F.when(other & F.col("src").isNotNull(), kinds("src")))
-    both = both.select("graph_id", "src", F.when(F.col("is_node"), F.col("src")).otherwise(F.col("dst")).alias("dst"), "kind", "sort", "is_node", F.explode_outer("x").alias("s"))
-    both = both.withColumn("x", F.when(other & F.col("dst").isNotNull(), kinds("dst")))
-    both = both.select("graph_id", F.when(other, F.col("src")).alias("src"), "dst", "kind", "sort", "is_node", "s", F.explode_outer("x").alias("d"))
-    end = lambda x: [F.col(f"{x[0]}.k").alias(f"{x}_kind"), F.col(f"{x[0]}.e").alias(f"{x}_expr")]
-    rows = both.select("graph_id", "src", "dst", "kind", "sort", "is_node", *end("src"), *end("dst"))
-    return rows.select("graph_id", "src", "dst", "kind", "src_kind", F.coalesce("dst_kind", "sort.k").alias("dst_kind"), F.when(other, wrong_ends()).alias("rule"), "is_node")
+def _with_ups(body: Callable[[Column], Column]) -> Column:
+    """body of `ups`, for each name the edge (src, edge, at: where src is among the names) from its least parent, and `several`, whether there are other parents."""
+    up = lambda j: F.struct(F.get("tree", j)["src"].alias("src"), F.get("tree", j)["edge"].alias("edge"), F.get("parent_at", j).alias("at"))
+    every = F.transform("into", lambda js: F.filter(F.transform(js, up), lambda u: u["src"].isNotNull()))
+    several = lambda us: F.array_min(us)["src"] < F.array_max(us)["src"]
+    return _let(every, lambda x: _let(F.struct(F.transform(x, F.array_min).alias("ups"), F.transform(x, several).alias("several")), body))
+
+
+def _kinds_at(places: Column, name: Column) -> Column:
+    """The kinds of the nodes of a name, one that is null where there is no such node."""
+    kinds = F.array_distinct(F.transform(F.when(name.isNotNull(), places), lambda p: F.get("nodes", p)["kind"]))
+    return F.coalesce(kinds, F.array(F.lit(None).cast("string")))
+
+
+def _doubled(state: Column, size: Column, step: Callable[[Column, Column], Column], left: Callable[[Column], Column]) -> Column:
+    """An array of pointers into itself after as many rounds of step(state, pointer) as a chain of that size needs, as long as some are left."""
+    rounds = F.ceil(F.log2(F.greatest(size, F.lit(1)) + 1)).cast("int")
+    return F.aggregate(F.sequence(F.lit(1), rounds), state, lambda acc, _: F.when(F.exists(acc, left), F.transform(acc, lambda x: step(acc, x))).otherwise(acc))
 
 
 def violations(d: Documents) -> DataFrame:
     """(graph_id, rule, subject): all that is wrong, subject being a node's id or place, an edge as src>dst, or a property as id.name.
 
-    Nothing hides anything else: each rule is a join or a filter of its own over all documents.
+    Nothing hides anything else: each rule is a filter of its own over a document's row, which is gone through where it is read.
     """
-    nodes, edges = d.nodes, d.edges
-    place = F.concat(F.lit("#"), "ordinal")
-    node_name = F.coalesce("id", place)
-    edge_name = F.concat_ws(">", F.coalesce("src", F.lit("")), F.coalesce("dst", F.lit("")))
-    good_id = F.col("id").rlike("^(0|[1-9][0-9]*)$") & F.expr("try_cast(id as bigint)").isNotNull()
-    kinds = F.broadcast(_required(d))
-    known = nodes.join(kinds, "kind")
-    props = property_rows(d)
-    supported = props.join(F.broadcast(d.catalogue.select("kind").distinct()), "kind", "left_semi")
-    prop_name = F.concat_ws(".", "id", "name")
-    missing = F.array_except("required", F.coalesce(F.map_keys("properties"), F.array().cast("array<string>")))
-    meta = nodes.groupBy("graph_id").agg(F.count(F.when(F.col("kind") == "META_DATA", 1)).alias("n")).where("n <> 1")
-    edge_kinds = F.broadcast(d.edge_catalogue)
-    extra = F.array_except(F.map_keys("properties"), F.array_compact(F.array("name")))
-    not_text = F.exists(F.map_values("properties"), lambda v: F.schema_of_variant(v) != "STRING")
-    known_edges = edges.join(edge_kinds, "kind")
-    expressions = d.catalogue.where("name = 'ARGUMENT_INDEX'").select("kind", F.lit(True).alias("is_expression"))
-    typed = nodes.where("id IS NOT NULL").select("graph_id", "id", "kind").join(F.broadcast(expressions), "kind", "left").withColumn("is_expression", F.coalesce("is_expression", F.lit(False)))
-    # one written row for each node: its parent, that one's kinds, and the edges to it whose ends are wrong
-    e = _ended(typed, edges)
-    owner = F.when(F.col("kind") == "AST", F.col("src"))
-    wrong = F.when(F.col("rule").isNotNull(), F.struct("rule", "src"))
-    of_formal = F.when((F.col("kind") == "AST") & F.col("dst_kind").isin(*OWNED), F.struct("src", F.col("src_kind").alias("kind")))
-    own_kinds = F.collect_set(F.when(F.col("is_node") & F.col("dst_kind").isin(*OWNED), F.col("dst_kind")))
-    into = e.groupBy("graph_id", F.col("dst").alias("node")).agg(F.max(F.col("kind") == "AST").alias("owned"), F.min(owner).alias("parent"), (F.min(owner) < F.max(owner)).alias("several"), F.collect_set(of_formal).alias("parents"), F.collect_list(wrong).alias("wrong"), own_kinds.alias("own_kinds"), F.count_if("is_node").alias("n"))
-    into = materialized(into.withColumn("parents", F.filter("parents", lambda x: x["src"] == F.col("parent"))["kind"]))
-    up = into.where("owned").select("graph_id", "node", "parent")
-    ends_wrong = into.select("graph_id", "node", F.explode("wrong").alias("x")).select("graph_id", F.col("x.src").alias("src"), F.col("node").alias("dst"), F.col("x.rule").alias("rule"))
-    owners = into.where("several").select("graph_id", F.col("parent").alias("src"), F.col("node").alias("dst"), F.lit("owners").alias("rule"))
-    formals = into.select("graph_id", "node", "parents", F.explode("own_kinds")).select("graph_id", "node", F.explode_outer("parents").alias("parent_kind"))
-    ends = [up.select("graph_id", F.col("node").alias(e), F.col("parent").alias(f"{e}_owner")).hint("merge") for e in ("src", "dst")]
-    links, n_links = written(edges.where("kind = 'PARAMETER_LINK'").select("graph_id", "src", "dst"))
-    links = links.join(ends[0], ["graph_id", "src"]).join(ends[1], ["graph_id", "dst"]) if n_links else links.withColumns({f"{e}_owner": F.lit(None).cast("string") for e in ("src", "dst")})
-    return union_all(
-        [
-            d.broken.select("graph_id", F.lit("not_a_document").alias("rule"), F.lit(None).cast("string").alias("subject")),
-            _said(nodes.where(~F.coalesce(good_id, F.lit(False))), "bad_id", node_name),
-            _said(into.where("n > 1"), "repeated_id", F.col("node")),
-            _said(nodes.join(kinds, "kind", "left_anti"), "unknown_kind", node_name),
-            _said(nodes.where("properties IS NULL"), "no_properties", node_name),
-            _said(supported.where("native IS NULL"), "unknown_property", prop_name),
-            _said(props.where(F.col("native").isNotNull() & _wrong_type(F.col("value"), F.col("native"), F.col("quantity"))), "wrong_type", prop_name),
-            _said(known.where(~F.coalesce(F.col("missing") == missing, F.lit(False))), "missing_not_explicit", node_name),
-            _said(meta, "metadata", F.col("n")),
-            _said(edges.join(edge_kinds, "kind", "left_anti"), "unknown_edge_kind", edge_name),
-            _said(known_edges.where("properties IS NULL").unionByName(known_edges.where(F.size(extra) > 0)), "unknown_edge_property", edge_name),
-            _said(known_edges.where(not_text), "wrong_edge_property_type", edge_name),
-            _said(ends_wrong.unionByName(owners), "ends", F.concat_ws(":", "rule", edge_name)),
-            _said(cycles(up, ["graph_id"]), "cyclic_ownership", F.col("node")),
-            _said(formals.where("parent_kind IS NULL OR parent_kind <> 'METHOD'"), "formal_without_method", F.col("node")),
-            _said(links.where("src_owner <> dst_owner"), "link_across_methods", edge_name),
-        ]
-    )
+    rows = _met(d).crossJoin(F.broadcast(_catalogues(d)))
+    owned = lambda x: x["id"].isNotNull() & x["kind"].isin(*OWNED)
+    parts = F.array_distinct(F.transform(F.filter("nodes", owned), lambda x: F.struct(x["id"].alias("id"), x["kind"].alias("kind"))))
+    links = F.filter("edges", lambda e: e["kind"] == "PARAMETER_LINK")
+    rows = rows.withColumns({"parts": parts, "links": links})
+    rows = rows.withColumns({"part_at": _at("names", "parts.id"), **{f"link_{e}_at": _at("names", f"links.{e}") for e in ("src", "dst")}})
+    # pointers that have gone further than there are names are on a cycle
+    rings = lambda m: F.array_compact(F.array_distinct(_doubled(m["ups"]["at"], F.size("names"), lambda acc, p: F.get(acc, p), lambda p: p.isNotNull())))
+    return rows.select("graph_id", F.explode(_with_ups(lambda m: _let(rings(m), lambda r: _said(m, r)))).alias("x")).select("graph_id", "x.*")
+
+
+def _said(m: Column, rings: Column) -> Column:
+    """All that is wrong with a document, by rule; m: of `_with_ups`."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    node_name = lambda x, i: F.coalesce(x["id"], F.concat(F.lit("#"), i.cast("string")))
+    edge_name = lambda e: F.concat_ws(">", F.coalesce(e["src"], F.lit("")), F.coalesce(e["dst"], F.lit("")))
+    kind = lambda x: F.try_element_at("kinds", x["kind"])
+    edge_kind = lambda e: F.try_element_at("edge_kinds", e["kind"])
+    of_nodes = lambda bad: F.transform("nodes", lambda x, i: F.when(bad(x), node_name(x, i)))
+    of_edges = lambda bad: F.transform(F.filter("edges", bad), edge_name)
+    good_id = lambda x: x["id"].rlike("^(0|[1-9][0-9]*)$") & x["id"].try_cast("bigint").isNotNull()
+    missing = lambda x: F.array_except(kind(x)["required"], F.coalesce(F.map_keys(x["properties"]), F.array().cast("array<string>")))
+    as_said = lambda p, k: F.filter(k["properties"], lambda c: c["name"] == p["key"])
+    of_properties = lambda bad: F.flatten(F.array_compact(F.transform("nodes", lambda x: F.transform(F.filter(F.map_entries(F.when(kind(x).isNotNull(), x["properties"])), lambda p: bad(p, kind(x))), lambda p: F.concat_ws(".", x["id"], p["key"])))))
+    extra = lambda e: F.array_except(F.map_keys(e["properties"]), F.array_compact(F.array(edge_kind(e)["name"])))
+    expression = lambda k: F.coalesce(F.try_element_at("kinds", k)["is_expression"], F.lit(False))
+    rule = lambda e, a, b: wrong_ends({"kind": e["kind"], "src_kind": a, "dst_kind": b, "src_expr": expression(a), "dst_expr": expression(b)}.__getitem__)
+    named = lambda e, r: F.when(r.isNotNull(), F.concat_ws(":", r, edge_name(e)))
+    ends = lambda e, i: F.flatten(F.transform(_kinds_at(F.get("src_at", i), e["src"]), lambda a: F.transform(_kinds_at(F.get("dst_at", i), e["dst"]), lambda b: named(e, rule(e, a, b)))))
+    owners = F.transform("names", lambda n, i: F.when(F.get(m["several"], i), F.concat_ws(":", F.lit("owners"), F.concat_ws(">", F.get(m["ups"], i)["src"], F.coalesce(n, F.lit(""))))))
+    up = lambda at: F.get(m["ups"], at)
+    part = lambda x, i: F.transform(_kinds_at(F.get("src_at", up(F.get("part_at", i))["edge"]), up(F.get("part_at", i))["src"]), lambda k: F.when(k.isNull() | (k != "METHOD"), x["id"]))
+    across = F.transform("links", lambda e, i: F.when(up(F.get("link_src_at", i))["src"] != up(F.get("link_dst_at", i))["src"], edge_name(e)))
+    repeated = _let(F.array_sort(F.array_compact(F.col("nodes.id"))), lambda ids: F.array_distinct(F.filter(ids, lambda v, i: v == F.get(ids, i - 1))))
+    meta = F.size(F.filter("nodes", lambda x: x["kind"] == "META_DATA"))
+    said = {
+        "bad_id": of_nodes(lambda x: no(good_id(x))),
+        "repeated_id": repeated,
+        "unknown_kind": of_nodes(lambda x: kind(x).isNull()),
+        "no_properties": of_nodes(lambda x: x["properties"].isNull()),
+        "unknown_property": of_properties(lambda p, k: F.size(as_said(p, k)) == 0),
+        "wrong_type": of_properties(lambda p, k: F.exists(as_said(p, k), lambda c: _wrong_type(p["value"], c["native"], c["quantity"]))),
+        "missing_not_explicit": of_nodes(lambda x: kind(x).isNotNull() & no(x["missing"] == missing(x))),
+        "metadata": F.when((F.size("nodes") > 0) & (meta != 1), F.array(meta.cast("string"))),
+        "unknown_edge_kind": of_edges(lambda e: edge_kind(e).isNull()),
+        "unknown_edge_property": of_edges(lambda e: edge_kind(e).isNotNull() & (e["properties"].isNull() | (F.size(extra(e)) > 0))),
+        "wrong_edge_property_type": of_edges(lambda e: edge_kind(e).isNotNull() & F.exists(F.map_values(e["properties"]), lambda v: F.schema_of_variant(v) != "STRING")),
+        "ends": F.concat(F.flatten(F.transform("edges", ends)), owners),
+        "cyclic_ownership": F.transform(rings, lambda p: F.get("names", p)),
+        "formal_without_method": F.flatten(F.transform("parts", part)),
+        "link_across_methods": across,
+    }
+    none = F.array().cast("array<string>")
+    says = lambda rule, subjects: F.transform(F.array_compact(F.coalesce(subjects, none)), lambda x: F.struct(F.lit(rule).alias("rule"), x.alias("subject")))
+    each = (says(rule, subjects) for rule, subjects in said.items())
+    broken = F.when(F.col("broken"), F.array(F.struct(F.lit("not_a_document").alias("rule"), F.lit(None).cast("string").alias("subject")))).otherwise(F.array().cast("array<struct<rule:string,subject:string>>"))
+    return F.concat(broken, *each)
 
 
 # ---- the typed graph
@@ -204,41 +235,64 @@ def observations(d: Documents) -> DataFrame:
     return rows.select("graph_id", "id", "kind", "name", "native", "quantity", F.when(F.col("v").isNotNull(), "present").otherwise(absent).alias("presence"), F.when(F.col("v").isNotNull(), value).alias("value"))
 
 
-def role_edges(d: Documents) -> DataFrame:
-    """(graph_id, node, role, place, ordinal): the edges that play a role for a node, in the order of the document.
+def _owners(m: Column) -> Column:
+    """For each node its nearest method or none, by pointers that double within the row; own_at is where it is among the names, m of `_with_ups`."""
+    up = lambda i: F.get(F.get("src_at", F.get(m["ups"], F.get("own_at", i))["edge"]), F.lit(0))
+    method = lambda x: F.coalesce(x["kind"] == "METHOD", F.lit(False))
+    start = F.transform("nodes", lambda x, i: F.struct(F.when(method(x), x["id"]).alias("owner"), F.when(~method(x), up(i)).alias("up")))
+    above = lambda acc, x: F.get(acc, x["up"])
+    step = lambda acc, x: F.struct(F.coalesce(x["owner"], above(acc, x)["owner"]).alias("owner"), F.when(above(acc, x)["owner"].isNull(), above(acc, x)["up"]).alias("up"))
+    open_ = lambda x: x["up"].isNotNull()
+    found = lambda tops: F.when(F.exists(tops, open_), F.raise_error(F.lit("the parents form a cycle")).cast("array<string>")).otherwise(tops["owner"])
+    return _let(start, lambda x: _let(_doubled(x, F.size("nodes"), step, open_), found))
+
+
+def _roles(edge: Column, a: Column, b: Column) -> Column:
+    """The roles that an edge of this kind between nodes of these kinds plays for the first."""
+    parts = F.create_map(*(F.lit(x) for kv in zip(METHOD_PARTS, ("inputs", "outputs", "returns", "modifiers"), strict=True) for x in kv))
+    call = F.when(edge == "CALL", "callees").when(edge == "RECEIVER", "receivers").when(edge == "ARGUMENT", "arguments")
+    back = F.when(edge == "ARGUMENT", "arguments").when((edge == "CFG") & (b == "METHOD_RETURN"), "exits")
+    own = F.when((a == "METHOD") & (edge == "AST"), F.try_element_at(parts, b)).when(a == "CALL", call).when(a == "RETURN", back).when(a.isin(*FORMALS) & (edge == "PARAMETER_LINK"), "links")
+    return F.array_compact(F.array(own, F.when(edge.isin(*RELATIONS), edge)))
+
+
+def owned_views(d: Documents) -> DataFrame:
+    """(graph_id, node, role, owner, ordinals): the edges that play a role for a node, in the order of the document, and the method that owns the node.
 
     A method has its children by kind (`inputs`, `outputs`, `returns`, `modifiers`), a call `callees`, `receivers` and `arguments`, a
     formal its `links` (those that leave it first), a return its `arguments` and `exits`, and any node its relations by edge kind.
     """
-    kind_of = d.nodes.select("graph_id", "id", "kind")
-    e = d.edges.select("graph_id", "ordinal", "src", "dst", F.col("kind").alias("edge"))
-    # merged, not broadcast: the written nodes are far larger in memory
-    e = e.join(kind_of.toDF("graph_id", "src", "src_kind").hint("merge"), ["graph_id", "src"]).join(kind_of.toDF("graph_id", "dst", "dst_kind").hint("merge"), ["graph_id", "dst"])
-    parts = F.create_map(*(F.lit(x) for kv in zip(METHOD_PARTS, ("inputs", "outputs", "returns", "modifiers"), strict=True) for x in kv))
-    edge, a, b = F.col("edge"), F.col("src_kind"), F.col("dst_kind")
-    formal = lambda k: k.isin(*FORMALS)
-    roles = {
-        "part": F.when((edge == "AST") & (a == "METHOD"), parts[b]),
-        "call": F.when(a == "CALL", F.when(edge == "CALL", "callees").when(edge == "RECEIVER", "receivers").when(edge == "ARGUMENT", "arguments")),
-        "return": F.when(a == "RETURN", F.when(edge == "ARGUMENT", "arguments").when((edge == "CFG") & (b == "METHOD_RETURN"), "exits")),
-        "link": F.when((edge == "PARAMETER_LINK") & formal(a), "links"),
-        "relation": F.when(edge.isin(*RELATIONS), edge),
-    }
-    out = e.select("graph_id", F.col("src").alias("node"), "ordinal", F.lit(0).alias("side"), F.explode(F.array_compact(F.array(*roles.values()))).alias("role"))
-    into = e.where((edge == "PARAMETER_LINK") & formal(b)).select("graph_id", F.col("dst").alias("node"), "ordinal", F.lit(1).alias("side"), F.lit("links").alias("role"))
-    place = F.row_number().over(W.partitionBy("graph_id", "node", "role").orderBy("side", "ordinal")) - 1
-    return out.unionByName(into).select("graph_id", "node", "role", place.cast("long").alias("place"), "ordinal")
+    linked = F.transform("edges", lambda e: F.when(e["kind"] == "PARAMETER_LINK", e["dst"]))
+    rows = _met(d).withColumns({"own_at": _at("names", "nodes.id"), "out": _all_at("edges.src", "nodes.id"), "linked": _all_at(linked, "nodes.id")})
+    kind = lambda places: F.get("nodes", F.get(places, F.lit(0)))["kind"]
+    there = lambda e, i: e["src"].isNotNull() & e["dst"].isNotNull() & F.get("src_at", i).isNotNull() & F.get("dst_at", i).isNotNull()
+    roles = F.transform("edges", lambda e, i: F.when(there(e, i), _roles(e["kind"], kind(F.get("src_at", i)), kind(F.get("dst_at", i)))).otherwise(F.array().cast("array<string>")))
+    role = lambda r, e: F.struct(r.alias("role"), e.cast("long").alias("ordinal"))
+    leaving = lambda i, roles: F.flatten(F.transform(F.get("out", i), lambda e: F.transform(F.get(roles, e), lambda r: role(r, e))))
+    arriving = lambda x, i: F.transform(F.filter(F.when(x["kind"].isin(*FORMALS), F.get("linked", i)), lambda e: F.get("src_at", e).isNotNull()), lambda e: role(F.lit("links"), e))
+    never = F.array().cast("array<struct<role:string,ordinal:bigint>>")
+    played = lambda x, i, roles: F.when(x["id"].isNotNull(), F.concat(F.coalesce(leaving(i, roles), never), F.coalesce(arriving(x, i), never))).otherwise(never)
+    each = lambda x, owner, rs: F.transform(F.array_distinct(rs["role"]), lambda r: F.struct(x["id"].alias("node"), r.alias("role"), owner.alias("owner"), F.filter(rs, lambda p: p["role"] == r)["ordinal"].alias("ordinals")))
+    views = lambda owners, roles: F.flatten(F.transform("nodes", lambda x, i: _let(played(x, i, roles), lambda rs: each(x, F.get(owners, i), rs))))
+    every = _with_ups(lambda m: _let(_owners(m), lambda owners: _let(roles, lambda r: views(owners, r))))
+    return rows.select("graph_id", F.explode(every).alias("x")).select("graph_id", "x.*")
+
+
+def role_edges(d: Documents) -> DataFrame:
+    """(graph_id, node, role, place, ordinal): `owned_views` as rows."""
+    return owned_views(d).select("graph_id", "node", "role", F.posexplode("ordinals").alias("place", "ordinal")).withColumn("place", F.col("place").cast("long"))
 
 
 def views(d: Documents) -> DataFrame:
-    """(graph_id, node, role, ordinals): role_edges as arrays."""
-    e = role_edges(d).groupBy("graph_id", "node", "role").agg(F.sort_array(F.collect_list(F.struct("place", "ordinal"))).alias("x"))
-    return e.select("graph_id", "node", "role", F.transform("x", lambda x: x["ordinal"]).alias("ordinals"))
+    """(graph_id, node, role, ordinals): the edges by role for each node."""
+    return owned_views(d).drop("owner")
 
 
 def ownership(d: Documents) -> DataFrame:
     """(graph_id, node, owner, status): the nearest method at or above each node, or none; for documents without cyclic ownership."""
-    out = owner_methods(d.nodes.select("graph_id", "id", "kind"), d.edges)
+    nodes = lambda owners: F.transform("nodes", lambda x, i: F.struct(x["id"].alias("node"), F.get(owners, i).alias("owner")))
+    rows = _met(d).withColumn("own_at", _at("names", "nodes.id"))
+    out = rows.select("graph_id", F.explode(_with_ups(lambda m: _let(_owners(m), nodes))).alias("x")).select("graph_id", "x.*")
     return out.withColumn("status", F.when(F.col("owner").isNotNull(), "observed").otherwise("no_method_ancestor"))
 
 

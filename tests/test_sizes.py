@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from heddle.functions import tables
@@ -121,3 +122,41 @@ def test_texts_are_deflated_in_small_batches(spark):
     rows = spark.createDataFrame([(bytearray(b"abc"),)], "payload binary").select(*objects.stored("blob", F.col("payload")))
     assert "ArrowEvalPython" not in _plan(rows)
     assert zlib.decompress(rows.first().stored) == b"blob 3\0abc"
+
+
+def test_documents_that_are_read_once_are_not_written(spark, monkeypatch):
+    made, real = [], tables.counted
+    monkeypatch.setattr(tables, "counted", lambda df, *which: made.append(df) or real(df, *which))
+    for query in (observed_queries.document_views, observed_queries.document_violations, observed_queries.observed_properties):
+        df = query(spark, TINY)
+        assert df.count() > 0 and not made
+    # orders meet their items, and customers their orders; nothing is shuffled after the texts are made
+    above, below = _plan(observed_queries.document_views(spark, TINY)).split("BatchEvalPython", 1)
+    assert "Exchange" not in above and below.count("Exchange hashpartitioning") <= 3
+
+
+def test_views_of_nested_nodes_and_links(spark):
+    node = lambda i, kind: '{"id":"%s","kind":"%s","properties":{},"missing_properties":[]}' % (i, kind)
+    edge = lambda a, b, kind: '{"src":"%s","dst":"%s","kind":"%s","properties":{}}' % (a, b, kind)
+    kinds = ["META_DATA", "METHOD", "METHOD_PARAMETER_IN", "METHOD_PARAMETER_OUT", *["BLOCK"] * 9, "RETURN"]
+    edges = [edge(2, 3, "PARAMETER_LINK"), edge(1, 2, "AST"), edge(1, 3, "AST"), edge(1, 4, "AST"), *(edge(i, i + 1, "AST") for i in range(4, 13)), edge(3, 2, "PARAMETER_LINK"), edge(13, 12, "ARGUMENT"), edge(12, 99, "REF")]
+    docs = spark.createDataFrame([("g", '{"nodes":[%s],"edges":[%s]}' % (",".join(node(i, k) for i, k in enumerate(kinds)), ",".join(edges))), ("h", '{"nodes":[],"edges":[]}'), ("i", "x")], "graph_id string, json string")
+    d = observed.parsed(docs, spark.createDataFrame([], "kind string, name string, native string, quantity string"), spark.createDataFrame([], "kind string, name string"))
+    got = {(r.node, r.role): (r.ordinals, r.owner) for r in observed.owned_views(d).collect()}
+    want = {("1", "AST"): [1, 2, 3], ("1", "inputs"): [1], ("1", "outputs"): [2], ("2", "links"): [0, 13], ("3", "links"): [13, 0], ("13", "arguments"): [14], **{(str(i), "AST"): [i] for i in range(4, 13)}}
+    assert got == {k: (v, "1") for k, v in want.items()}
+    assert {r.node: r.owner for r in observed.ownership(d).collect()} == {"0": None, **{str(i): "1" for i in range(1, 14)}}
+    assert sorted(tuple(r)[1:] for r in observed.role_edges(d).where("role = 'links'").collect()) == [("2", "links", 0, 0), ("2", "links", 1, 13), ("3", "links", 0, 13), ("3", "links", 1, 0)]
+    ring = spark.createDataFrame([("g", '{"nodes":[%s],"edges":[%s]}' % (",".join(node(i, "BLOCK") for i in range(3)), ",".join(edge(i, (i + 1) % 3, "AST") for i in range(3))))], "graph_id string, json string")
+    with pytest.raises(Exception, match="form a cycle"):
+        observed.ownership(observed.parsed(ring, d.catalogue, d.edge_catalogue)).collect()
+
+
+def test_numbers_are_no_strings_without_ansi(spark):
+    docs = spark.createDataFrame([("g", '{"nodes":[{"id":1,"kind":true,"properties":{},"missing_properties":[2]}],"edges":[]}')], "graph_id string, json string")
+    try:
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        d = observed.parsed(docs, spark.createDataFrame([], "kind string, name string, native string, quantity string"), spark.createDataFrame([], "kind string, name string"))
+        assert [(r.id, r.kind, r.missing) for r in d.nodes.collect()] == [(None, None, None)]
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
