@@ -12,8 +12,10 @@ reports. Propagate clauses have no effect.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from itertools import pairwise
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +38,17 @@ def procedures(nodes: DataFrame, order: DataFrame | None = None) -> DataFrame:
     return out.select("graph_id", "node_id", F.when(F.col("kind") == "METHOD", F.col("node_id")).otherwise(F.col("owner")).alias("proc")).where("proc is not null")
 
 
-def steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, src, dst, call): where facts go; a CALL edge leads to its METHOD's entry."""
+def moves_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, call): where facts go, as often as edges say so; a CALL edge leads to its METHOD's entry."""
     methods = nodes.where("kind = 'METHOD'").select("graph_id", F.col("node_id").alias("dst"))
     flow = edges.where("kind = 'CFG'").select("graph_id", "src", "dst", F.lit(False).alias("call"))
     calls = edges.where("kind = 'CALL'").join(methods, ["graph_id", "dst"], "left_semi").select("graph_id", "src", "dst", F.lit(True).alias("call"))
-    return flow.unionByName(calls).distinct()
+    return flow.unionByName(calls)
+
+
+def steps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The same rows, each once."""
+    return moves_of(nodes, edges).distinct()
 
 
 def call_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -130,55 +137,77 @@ def witnesses(nodes: DataFrame, edges: DataFrame, clauses: DataFrame, order: Dat
     the graphs are dealt to, as each sorts all it gets.
     """
     rank = nodes.select("graph_id", "node_id", F.col("node_id").alias("rank")) if order is None else order
-    proc = procedures(nodes, order)
+    parts = parts or int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # only METHODs and sources have to meet
+    sources = F.broadcast(clauses.where("primitive = 'source'").select(F.col("pattern").alias("operator_or_literal")).distinct().withColumn("is_source", F.lit(True)))
+    proc = procedures(nodes.join(sources, "operator_or_literal", "left").where("kind = 'METHOD' OR is_source"), order)
     start = seeds(nodes, clauses).join(proc, ["graph_id", "node_id"], "left_semi")
-    stop = _matches(nodes, clauses, "sanitize").select("spec_id", "graph_id", "node_id").distinct()
-    sinks = _matches(nodes, clauses, "sink").select("spec_id", "graph_id", "node_id").distinct()
-    specs = start.select("spec_id", "graph_id").distinct()
-    moves = specs.join(steps(nodes, edges), "graph_id")
-    none = F.lit(None).cast("long")
-    rows = union_all(
-        [
-            start.select("spec_id", "graph_id", F.lit("seed").alias("what"), F.col("node_id").alias("a"), F.col("fact").alias("b"), F.lit(0).alias("c")),
-            stop.select("spec_id", "graph_id", F.lit("stop").alias("what"), F.col("node_id").alias("a"), none.alias("b"), F.lit(0).alias("c")),
-            sinks.select("spec_id", "graph_id", F.lit("sink").alias("what"), F.col("node_id").alias("a"), none.alias("b"), F.lit(0).alias("c")),
-            moves.select("spec_id", "graph_id", F.lit("move").alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("call").cast("int").alias("c")),
-            specs.join(rank, "graph_id").select("spec_id", "graph_id", F.lit("rank").alias("what"), F.col("node_id").alias("a"), F.col("rank").cast("long").alias("b"), F.lit(0).alias("c")),
-        ]
-    )
-    if parts:
-        rows = rows.repartition(parts, "spec_id", "graph_id")
-    return rows.groupBy("spec_id", "graph_id").applyInPandas(_search, "spec_id string, graph_id string, sink long, fact long, witness array<long>")
-
-
-def _search(key, rows):
-    of = {w: rows[rows.what == w] for w in ("seed", "stop", "sink", "move", "rank")}
-    rank = dict(zip(of["rank"].a, of["rank"].b, strict=True))
-    stop, sinks = set(of["stop"].a), sorted(set(of["sink"].a), key=lambda n: (rank.get(n, 1 << 62), n))
+    at = lambda what, primitive: _matches(nodes, clauses, primitive).select("spec_id", "graph_id", F.lit(what).alias("what"), F.col("node_id").alias("a"), F.lit(None).cast("long").alias("b"))
+    marks = union_all([start.select("spec_id", "graph_id", F.lit("seed").alias("what"), F.col("node_id").alias("a"), F.col("fact").alias("b")), at("stop", "sanitize"), at("sink", "sink")])
+    moves = moves_of(nodes, edges).select("graph_id", F.col("src").alias("a"), F.col("dst").alias("b"), F.col("call").cast("int").alias("c"))
+    whole = moves.unionByName(rank.select("graph_id", F.col("node_id").alias("a"), F.col("rank").cast("long").alias("b"), F.lit(None).cast("int").alias("c")))
+    of = lambda what, x: F.collect_list(F.when(F.col("what") == what, x)).alias(what)
+    marks = marks.repartition(parts, "graph_id").groupBy("spec_id", "graph_id").agg(of("seed", F.struct("a", "b")), of("stop", F.col("a")), of("sink", F.col("a"))).where(F.size("seed") > 0)
+    whole = whole.where("a IS NOT NULL AND b IS NOT NULL").repartition(parts, "graph_id").groupBy("graph_id").agg(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("a", "b", "c"))).alias("move"), F.collect_list(F.when(F.col("c").isNull(), F.struct("a", "b"))).alias("rank"))
+    columns = ["spec_id", "graph_id", "seed", "stop", "sink", "move", "rank"]
+    none = [F.coalesce(c, F.array().cast(whole.schema[c].dataType)).alias(c) for c in ("move", "rank")]
+    return marks.join(whole.hint("merge"), "graph_id", "left").withColumns(dict(zip(("move", "rank"), none, strict=True))).select(*columns).mapInArrow(_searched, "spec_id string, graph_id string, sink long, fact long, witness array<long>")
+
+
+# Graphs of a batch whose rows are Python's at a time.
+GRAPHS = 200
+
+
+def _rows(lists: pa.ListArray) -> list[list[tuple]]:
+    """The items of each list as tuples of numbers; none is null."""
+    ends = lists.offsets.to_numpy().tolist()
+    values = lists.values.slice(ends[0], ends[-1] - ends[0])
+    columns = values.flatten() if pa.types.is_struct(values.type) else [values]
+    flat = list(zip(*(c.to_numpy(zero_copy_only=False).tolist() for c in columns), strict=True))
+    return [flat[a - ends[0] : b - ends[0]] for a, b in pairwise(ends)]
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, GRAPHS):
+            b = batch.slice(k, GRAPHS)
+            lists = zip(*(_rows(b[c]) for c in ("seed", "stop", "sink", "move", "rank")), strict=True)
+            out = [(spec, graph, *found) for spec, graph, x in zip(b["spec_id"].to_pylist(), b["graph_id"].to_pylist(), lists, strict=True) for found in _search(*x)]
+            if out:
+                kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["spec_id", "graph_id", "sink", "fact", "witness"])
+
+
+def _search(seed: list[tuple], stop: list[tuple], sink: list[tuple], move: list[tuple], ranked: list[tuple]) -> Iterator[tuple[int, int, list[int]]]:
+    """(sink, fact, witness) of one graph: facts (node, fact), nodes (node,), moves (from, to, whether it's a call) and ranks (node, rank)."""
+    last = 1 << 62
+    rank, stops = dict(ranked), {n for (n,) in stop}
     moves: dict = {}
-    for a, b, c in sorted(zip(of["move"].a, of["move"].b, of["move"].c, strict=True), key=lambda m: (m[2], rank.get(m[1], 1 << 62))):
+    for _, _, a, b in sorted((c, rank.get(b, last), a, b) for a, b, c in move):
         moves.setdefault(a, []).append(b)
     came: dict = {}
     queue: list = []
 
-    def arrive(node, fact, source) -> None:
+    def arrive(node: int, fact: int, source: tuple | None) -> None:
         if (node, fact) not in came:
             came[node, fact] = source
-            heapq.heappush(queue, (rank.get(node, 1 << 62), fact, node))
+            heapq.heappush(queue, (rank.get(node, last), fact, node))
 
-    for node, fact in sorted(zip(of["seed"].a, of["seed"].b, strict=True), key=lambda s: s[1]):
+    for fact, node in sorted((fact, node) for node, fact in seed):
         arrive(node, fact, None)
     while queue:
         _, fact, node = heapq.heappop(queue)
-        if node not in stop:
+        if node not in stops:
             for nxt in moves.get(node, ()):
                 arrive(nxt, fact, (node, fact))
-    out = []
-    for sink in sinks:
-        for fact in sorted(f for n, f in came if n == sink):
-            path, at = [], (sink, fact)
+    facts: dict = {n: [] for (n,) in sink}
+    for node, fact in came:
+        if node in facts:
+            facts[node].append(fact)
+    for node in sorted(facts, key=lambda n: (rank.get(n, last), n)):
+        for fact in sorted(facts[node]):
+            path, at = [], (node, fact)
             while at is not None:
-                path.append(int(at[0]))
+                path.append(at[0])
                 at = came[at]
-            out.append((key[0], key[1], int(sink), int(fact), path[::-1]))
-    return pd.DataFrame(out, columns=["spec_id", "graph_id", "sink", "fact", "witness"])
+            yield node, fact, path[::-1]

@@ -1,7 +1,9 @@
 """What keeps queries within their limits on larger tables."""
 
 import hashlib
+import random
 import zlib
+from itertools import pairwise
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +162,27 @@ def test_numbers_are_no_strings_without_ansi(spark):
         assert [(r.id, r.kind, r.missing) for r in d.nodes.collect()] == [(None, None, None)]
     finally:
         spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_witnesses_of_a_graph_are_searched_in_its_row(spark):
+    node = "graph_id string, node_id long, kind string, operator_or_literal string, resolved_fqn string, enclosing_decl_fqn string"
+    edge = "graph_id string, src long, dst long, kind string"
+    rng = random.Random(5)
+    nodes, edges = [], []
+    for g in "abcdefgh":
+        nodes += [(g, 100, "METHOD", "", "m", ""), (g, 101, "METHOD", "", "other", "")]
+        nodes += [(g, i, "CALL", rng.choice(["source", "sink", "clean", "x", "x", "x", ""]), "", rng.choice(["m", "m", "m", "none"])) for i in range(20)]
+        edges += [(g, rng.randrange(20), rng.randrange(22), rng.choice(["CFG", "CFG", "CFG", "AST"])) for _ in range(50)] + [(g, rng.randrange(20), rng.choice([100, 101, 3]), "CALL")] * 2 + [(g, 101, 5, "CFG"), (g, 99, 4, "CFG")]
+    clauses = [("p", 0, "source", "source"), ("p", 1, "sink", "sink"), ("p", 2, "sanitize", "clean"), ("q", 0, "source", "x"), ("q", 1, "source", "source"), ("q", 2, "sink", "sink")]
+    n, e, c = spark.createDataFrame(nodes, node), spark.createDataFrame(edges, edge), spark.createDataFrame(clauses, "spec_id string, ordinal int, primitive string, pattern string")
+    found = taint.witnesses(n, e, c, parts=3)
+    assert "MapInArrow" in _plan(found) and "FlatMapGroups" not in _plan(found)
+    got = {(r.spec_id, r.graph_id, r.sink, r.fact): r.witness for r in found.collect()}
+    want = {(r.spec_id, r.graph_id, r.sink, r.fact): r.depth for r in taint.solve(n, e, c).collect()}
+    assert got.keys() == want.keys() and len(got) > 30
+    of = {(g, i): o for g, i, _, o, _, _ in nodes}
+    moves = {(g, a, b) for g, a, b, k in edges if k == "CFG" or k == "CALL" and b in (100, 101)}
+    stops = {"p": "clean", "q": None}
+    for (spec, g, sink, _), path in got.items():
+        assert path[-1] == sink and of[g, path[0]] in ("source", "x") and len(path) - 1 >= want[spec, g, sink, _]
+        assert all((g, a, b) in moves and of.get((g, a)) != stops[spec] for a, b in pairwise(path))
