@@ -184,8 +184,8 @@ def _said(m: Column, rings: Column) -> Column:
     expression = lambda k: F.coalesce(F.try_element_at("kinds", k)["is_expression"], F.lit(False))
     rule = lambda e, a, b: wrong_ends({"kind": e["kind"], "src_kind": a, "dst_kind": b, "src_expr": expression(a), "dst_expr": expression(b)}.__getitem__)
     named = lambda e, r: F.when(r.isNotNull(), F.concat_ws(":", r, edge_name(e)))
-    # most edges are of kinds without a rule for their ends, so only a missing one counts
-    ruled = lambda e, i: e["kind"].isin(*ENDS, "REF") | e["src"].isNull() | e["dst"].isNull() | F.get("src_at", i).isNull() | F.get("dst_at", i).isNull()
+    # most edges are of kinds without a rule for their ends, so only a missing one counts, or one without a kind
+    ruled = lambda e, i, unsaid: unsaid | e["kind"].isin(*ENDS, "REF") | e["src"].isNull() | e["dst"].isNull() | F.get("src_at", i).isNull() | F.get("dst_at", i).isNull()
     ends = lambda e, i: F.flatten(F.transform(_kinds_at(F.get("src_at", i), e["src"]), lambda a: F.transform(_kinds_at(F.get("dst_at", i), e["dst"]), lambda b: named(e, rule(e, a, b)))))
     owners = F.transform("names", lambda n, i: F.when(F.get(m["several"], i), F.concat_ws(":", F.lit("owners"), F.concat_ws(">", F.get(m["ups"], i)["src"], F.coalesce(n, F.lit(""))))))
     up = lambda at: F.get(m["ups"], at)
@@ -205,7 +205,7 @@ def _said(m: Column, rings: Column) -> Column:
         "unknown_edge_kind": of_edges(lambda e: edge_kind(e).isNull()),
         "unknown_edge_property": of_edges(lambda e: edge_kind(e).isNotNull() & (e["properties"].isNull() | (F.size(extra(e)) > 0))),
         "wrong_edge_property_type": of_edges(lambda e: edge_kind(e).isNotNull() & F.exists(F.map_values(e["properties"]), lambda v: F.schema_of_variant(v) != "STRING")),
-        "ends": F.concat(F.flatten(F.array_compact(F.transform("edges", lambda e, i: F.when(ruled(e, i), ends(e, i))))), owners),
+        "ends": F.concat(_let(F.exists("nodes", lambda x: x["kind"].isNull()), lambda unsaid: F.flatten(F.array_compact(F.transform("edges", lambda e, i: F.when(ruled(e, i, unsaid), ends(e, i)))))), owners),
         "cyclic_ownership": F.transform(rings, lambda p: F.get("names", p)),
         "formal_without_method": F.flatten(F.transform("parts", part)),
         "link_across_methods": across,

@@ -197,10 +197,12 @@ def test_violations_read_each_table_once_for_all_rules(spark):
 def test_violations_of_ends(spark):
     node = lambda i, kind: '{"id":%s,"kind":"%s","properties":{},"missing_properties":[]}' % (i, kind)
     edge = lambda a, b, kind: '{"src":%s,"dst":%s,"kind":"%s","properties":{}}' % (a, b, kind)
-    nodes = [node('"1"', "METHOD"), node('"2"', "CALL"), node('"3"', "METHOD_PARAMETER_IN"), node('"4"', "METHOD_PARAMETER_OUT"), node('"5"', "METHOD"), node("6", "CALL")]
-    edges = [edge('"1"', '"3"', "AST"), edge('"5"', '"4"', "AST"), edge('"3"', '"4"', "PARAMETER_LINK"), edge('"4"', '"3"', "PARAMETER_LINK"), edge("6", '"1"', "CFG"), edge('"1"', "null", "AST"), edge('"5"', "null", "AST"), edge('"2"', '"1"', "CALL"), edge('"2"', '"1"', "ARGUMENT")]
+    nodes = [node('"1"', "METHOD"), node('"2"', "CALL"), node('"3"', "METHOD_PARAMETER_IN"), node('"4"', "METHOD_PARAMETER_OUT"), node('"5"', "METHOD"), node("6", "CALL"), node('"7"', "BLOCK")]
+    edges = [edge('"7"', '"5"', "CFG"), edge('"1"', '"3"', "AST"), edge('"5"', '"4"', "AST"), edge('"3"', '"4"', "PARAMETER_LINK"), edge('"4"', '"3"', "PARAMETER_LINK"), edge("6", '"1"', "CFG"), edge('"1"', "null", "AST"), edge('"5"', "null", "AST"), edge('"2"', '"1"', "CALL"), edge('"2"', '"1"', "ARGUMENT")]
     docs = spark.createDataFrame([("g", '{"nodes":[%s],"edges":[%s]}' % (",".join(nodes), ",".join(edges)))], "graph_id string, json string")
     d = observed.parsed(docs, spark.createDataFrame([("CALL", "ARGUMENT_INDEX", "int", "optional")], "kind string, name string, native string, quantity string"), spark.createDataFrame([], "kind string, name string"))
     found = sorted((r.rule, r.subject) for r in observed.violations(d).collect() if r.rule in {"ends", "link_across_methods", "bad_id", "formal_without_method"})
     ends = ["ARGUMENT:2>1", "PARAMETER_LINK:4>3", "dangling:1>", "dangling:5>", "dangling:>1", "owners:1>"]
     assert found == [("bad_id", "#5"), *(("ends", e) for e in ends), ("link_across_methods", "3>4"), ("link_across_methods", "4>3")]
+    none = spark.createDataFrame([("g", '{"nodes":[%s,%s],"edges":[%s]}' % (node('"1"', "BLOCK"), node('"2"', "").replace('"kind":""', '"kind":null'), edge('"1"', '"2"', "CFG")))], "graph_id string, json string")
+    assert [r.subject for r in observed.violations(observed.parsed(none, d.catalogue, d.edge_catalogue)).where("rule = 'ends'").collect()] == ["dangling:1>2"]
